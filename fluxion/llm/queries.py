@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup
+from . import line_dedup, url_filter
+from .language_id import language_id
+from .licences import scan_licences
 from .line_dedup import dedup_lines
+from .mpeg_audio import encode_texts, probe_media
 from .near_dup import near_duplicates
 from .packing import pack
 from .support import table
+from .url_filter import filter_urls, listed_of
 
 
 def tokenizer_path() -> str:
@@ -20,6 +24,25 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = probe_media(encode_texts(table(spark, sf_dir, "documents")), "doc_id", "n_bytes")
+    return out.withColumn("seek_offsets", F.array_join("seek_offsets", ",")).drop("tags")
+
+
+def op2_hyperdimensional_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op3_bloom_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return filter_urls(pages, listed_of(pages))
+
+
+def op5_suffix_automaton_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_licences(table(spark, sf_dir, "documents"))
+    return out.withColumn("spans", F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["label"], x["start"], x["end"])), ","))
+
+
 def op7_superminhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_window_dedup": line_dedup.ORACLE_SQL}
+    return {"op3_bloom_url_filter": url_filter.ORACLE_SQL, "op10_line_window_dedup": line_dedup.ORACLE_SQL}
