@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup, url_filter
+from .decontaminate import contaminated
 from .language_id import language_id
 from .licences import scan_licences
 from .line_dedup import dedup_lines
 from .mpeg_audio import encode_texts, probe_media
 from .near_dup import near_duplicates
 from .packing import pack
+from .quality import resample
 from .support import table
 from .url_filter import filter_urls, listed_of
 
@@ -38,6 +40,11 @@ def op3_bloom_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, listed_of(pages))
 
 
+def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier keeps."""
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_suffix_automaton_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan_licences(table(spark, sf_dir, "documents"))
     return out.withColumn("spans", F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["label"], x["start"], x["end"])), ","))
@@ -47,6 +54,10 @@ def op7_superminhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
