@@ -245,3 +245,9 @@ def near_duplicates(
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
         .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
     )
+
+
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """docs, all columns, with one document of each group; rows with null doc_id stay."""
+    kept = near_duplicates(docs, **how).where("kept and doc_id is not null").select(F.col("doc_id").alias("fluxion_id")).distinct()
+    return docs.join(kept, F.col("doc_id") == F.col("fluxion_id"), "left_semi").unionByName(docs.where("doc_id is null"))
