@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import kernel as K
 from .support import fields, id_type, map_arrow
 
-GRAM, STRETCH, LEAST, BLOCK_BYTES = 3, 4, 0.4, 32_000_000
+GRAM, STRETCH, LEAST, BLOCK_BYTES = 3, 2, 0.4, 32_000_000
 MATCH, MISMATCH, GAP = 2, 1, 1
 
 

@@ -15,6 +15,7 @@ from .line_dedup import dedup_lines
 from .mpeg_audio import encode_texts, probe_media
 from .near_dup import near_duplicates
 from .packing import pack
+from .personal_data import find_personal_data
 from .quality import resample
 from .support import table
 from .url_filter import filter_urls, listed_of
@@ -50,6 +51,10 @@ def op5_suffix_automaton_licences(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.withColumn("spans", F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["label"], x["start"], x["end"])), ","))
 
 
+def op6_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op7_superminhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
