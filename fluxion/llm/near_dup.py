@@ -6,8 +6,9 @@
 3. Buckets are counted with map-side partial aggregates; those of one class go. In every other bucket, the smallest
    member is compared with all members on full sets: as many pairs as members, whatever the bucket's size.
 4. Links found so are contracted to components. Buckets that still hold several components besides their leader are dealt
-   out in blocks of at most `block` members, every block against every block, and every pair across components is compared
-   on full sets. So no candidate pair of different components goes unchecked and no task gets a whole hot bucket.
+   out in blocks of some `block` members and BLOCK_SHINGLES shingles, and blocks of the leader's component meet blocks of the
+   others, and these one another. Pairs across components whose signatures agree in LEAST_ESTIMATE of their positions or more
+   (five standard deviations below the similarity asked for) are compared on full sets. So no task gets a whole hot bucket.
 5. Components of all links give component_id.
 
 A pair at similarity s shares a bucket with probability 1 - (1 - s**rows)**bands: 0.99998 at 0.75, 0.9999999 at 0.8.
@@ -31,7 +32,9 @@ from .graph import components
 from .superminhash import signatures
 from .support import fields, id_type, lists, map_arrow, materialise
 
-ROWS, BANDS, SHINGLE, PERCENT, BLOCK = 5, 40, 5, 75, 128
+ROWS, BANDS, SHINGLE, PERCENT, BLOCK = 5, 40, 5, 75, 1024
+#: Shingles of a block, some 4 MB; and the share of equal signature values below which a pair is not compared.
+BLOCK_SHINGLES, LEAST_ESTIMATE = 500_000, 0.6
 _COEF = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(64)], np.uint64)
 
 
@@ -151,17 +154,14 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _across(entries: DataFrame, sets: DataFrame, percent: int, rows: int, bands: int, block: int) -> DataFrame:
     """Links between components within buckets.
 
-    entries: key, doc_id, comp, major (the component of the bucket's leader), inside and outside (members of that and of
-    other components); the leader itself has been compared with all before. Members are dealt to blocks by hash: each
-    block of the major component meets each block of the others, and these meet one another. A pair is compared in the
-    first bucket that it shares, and only until its two components are joined within the group.
+    entries: key, doc_id, comp, major (the component of the bucket's leader), n1 and n2 (blocks of that and of the other
+    components' members); the leader itself has been compared with all before. A pair is compared in the first bucket that it
+    shares, and only until its two components are joined within the group.
     """
     kind = id_type(entries)
     schema = fields(("src", kind), ("dst", kind))
     dealt = (
-        entries.withColumn("n1", F.ceil(F.col("inside") / block).cast("int"))
-        .withColumn("n2", F.ceil(F.col("outside") / block).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.greatest(F.lit(1), F.when(F.col("comp") == F.col("major"), F.col("n1")).otherwise(F.col("n2")))).cast("int"))
+        entries.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.greatest(F.lit(1), F.when(F.col("comp") == F.col("major"), F.col("n1")).otherwise(F.col("n2")))).cast("int"))
         .withColumn("to", F.expr("""
             if(comp = major,
                transform(sequence(0, n2 - 1), x -> struct(0 as kind, own as p, x as q, 0 as side)),
@@ -175,11 +175,14 @@ def _across(entries: DataFrame, sets: DataFrame, percent: int, rows: int, bands:
     def test(key: tuple, group: pa.Table) -> pa.Table:
         band_key, kind, p, q = (k.as_py() for k in key)
         group = group.sort_by("doc_id")
-        ids, comp, side = group["doc_id"].to_pylist(), group["comp"].to_pylist(), group["side"].to_pylist()
+        ids, comp, side = group["doc_id"].to_pylist(), group["comp"].to_pylist(), group["side"].to_numpy()
         members = [np.frombuffer(s, np.uint64) for s in group["shingles"].to_pylist()]
-        flat, offsets = np.concatenate(members), np.concatenate([[0], np.cumsum([len(s) for s in members])])
-        signature = signatures(flat, offsets, rows * bands)
+        size = np.array([len(s) for s in members])
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        signature = signatures(np.concatenate(members), offsets, rows * bands)
         keys = band_keys(signature, rows, bands).view(np.int64)
+        before = keys[:, : int((keys[0] == band_key).argmax())]
+        short = (signature & np.uint64(0xFFFF)).astype(np.uint16)
         parent: dict = {}
 
         def root(x):
@@ -188,12 +191,14 @@ def _across(entries: DataFrame, sets: DataFrame, percent: int, rows: int, bands:
             return x
 
         src, dst = [], []
-        for a in range(len(ids)):
-            same = keys[a] == keys[a + 1 :]
-            first = keys[a][same.argmax(axis=1)] == band_key if len(same) else []
-            for b in (a + 1 + np.flatnonzero(first)).tolist():
-                if (kind == 0 or p != q) and side[a] == side[b]:
-                    continue  # these meet elsewhere
+        # all of this group's pairs: those of two sides, or all if a block meets itself
+        for a in np.flatnonzero(side == 1).tolist() if kind == 0 else range(len(ids)):
+            with_ = np.flatnonzero(side == 0) if kind == 0 else a + 1 + np.flatnonzero(side[a + 1 :] != side[a]) if p != q else np.arange(a + 1, len(ids))
+            with_ = with_[100 * np.minimum(size[with_], size[a]) >= percent * np.maximum(size[with_], size[a])]
+            with_ = with_[(short[with_] == short[a]).mean(axis=1) >= LEAST_ESTIMATE] if len(with_) else with_
+            if before.shape[1] and len(with_):
+                with_ = with_[~(before[with_] == before[a]).any(axis=1)]
+            for b in with_.tolist():
                 x, y = root(comp[a]), root(comp[b])
                 if x != y and _alike(members[a], members[b], percent):
                     parent[max(x, y)] = min(x, y)
@@ -215,7 +220,7 @@ def near_duplicates(
         .groupBy("set_a", "set_b", "n_shingles")
         .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     )
-    entries = materialise(classes.select(F.explode("bands").alias("key"), F.col("rep").alias("doc_id")))
+    entries = materialise(classes.select(F.explode("bands").alias("key"), F.col("rep").alias("doc_id"), "n_shingles"))
     buckets = materialise(
         entries.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("members")).where("members > 1")
     )
@@ -227,16 +232,17 @@ def near_duplicates(
     comps = components(links)
     comp = comps.select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
     rest = materialise(
-        members.where("members > 2").join(comp, "doc_id", "left").select("key", "doc_id", "leader", F.coalesce("comp", "doc_id").alias("comp"))
+        members.where("members > 2").join(comp, "doc_id", "left").select("key", "doc_id", "n_shingles", "leader", F.coalesce("comp", "doc_id").alias("comp"))
     )
     mixed = rest.groupBy("key", "leader").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", F.col("leader").alias("doc_id"))
     mixed = mixed.join(comp, "doc_id", "left").select("key", F.coalesce("comp", "doc_id").alias("major"))
-    mixed = materialise(
-        rest.join(mixed, "key")
-        .groupBy("key", "major")
-        .agg(F.count_if(F.col("comp") == F.col("major")).alias("inside"), F.count_if(F.col("comp") != F.col("major")).alias("outside"))
-    )
-    more = materialise(_across(rest.drop("leader").join(mixed, "key"), sets, percent, rows, bands, block))
+    mine = F.col("comp") == F.col("major")
+    blocks = [
+        F.greatest(F.ceil(F.count_if(which) / block), F.ceil(F.sum(F.when(which, F.col("n_shingles")).otherwise(0)) / BLOCK_SHINGLES)).cast("int").alias(n)
+        for n, which in (("n1", mine), ("n2", ~mine))
+    ]
+    mixed = materialise(rest.join(mixed, "key").groupBy("key", "major").agg(*blocks))
+    more = materialise(_across(rest.drop("leader", "n_shingles").join(mixed, "key"), sets, percent, rows, bands, block))
     comps = components(links.union(more))
     named = classes.drop("bands").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component"))
