@@ -1,0 +1,219 @@
+"""Space-time fields: frames in, Gram matrices and diagnostics out.
+
+A frame is a row (traj, step, t, <field> arrays). Frames of a trajectory are dealt to chunks with a halo of half a smoothing window, so that a
+long trajectory is many tasks; each task smooths, differentiates, evaluates the library on its own frames and returns one small matrix.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Mapping, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import numerics as N
+from ..functions.expressions import Expr, linear_combination
+from . import regression
+from .gram import Gram, of_arrays
+from .library import build_library, derivative_symbols
+from .simulate import derivatives
+from .systems import System
+from .windows import with_halo
+
+CHUNK = 64
+
+
+def stacked(pdf: pd.DataFrame, system: System) -> np.ndarray:
+    """(frames, *grid, fields) of rows in order."""
+    shape = [system.grid[d][0] for d in system.dims]
+    return np.stack([np.stack([np.asarray(a, float).reshape(shape) for a in pdf[f]]) for f in system.variables], axis=-1)
+
+
+def smooth_space(u: np.ndarray, system: System, fraction: float) -> np.ndarray:
+    """Low-pass along every axis of (frames, *grid, fields): Fourier on periodic axes; else a Savitzky-Golay window of about 2.5 / fraction nodes."""
+    for k, d in enumerate(system.dims):
+        axis = 1 + k
+        if system.boundary == "periodic":
+            u = N.lowpass(u, fraction, axis)
+        else:
+            w = N.odd_window(int(2.5 / fraction), 3, system.grid[d][0])
+            u = np.moveaxis(N.savgol(np.moveaxis(u, axis, 0), w, 3), 0, axis)
+    return u
+
+
+def margin(system: System) -> tuple[slice, ...]:
+    """Nodes used for fits: all of periodic grids; elsewhere 5 % of each end, 2 nodes at least, stay out."""
+    if system.boundary == "periodic":
+        return tuple(slice(None) for _ in system.dims)
+    return tuple(slice(max(2, int(0.05 * system.grid[d][0])), -max(2, int(0.05 * system.grid[d][0]))) for d in system.dims)
+
+
+def prepared(u: np.ndarray, system: System, dt: float, window: int, order: int, fraction: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed fields and time derivatives."""
+    if fraction:
+        u = smooth_space(u, system, fraction)
+    w = N.odd_window(window, order, len(u))
+    if len(u) < w:
+        return u, np.gradient(u, dt, axis=0)
+    return N.savgol(u, w, order), N.savgol(u, w, order, 1, dt)
+
+
+def field_grams(
+    frames: DataFrame, system: System, library: Mapping[str, Expr], dt: float, window: int = 9, order: int = 3, fraction: float | None = 0.3,
+    edge: int = 3, chunk: int = CHUNK,
+) -> dict[tuple[int, int], Gram]:
+    """{(trajectory, chunk): Gram} of the library against time derivatives, ends of trajectories trimmed."""
+    terms, targets = list(library), system.variables
+    p, q = len(terms), len(targets)
+    wanted = set().union(*(e.symbols for e in library.values()))
+    compiled = [e.numpy() for e in library.values()]
+    half = window // 2 + 1
+    inner = margin(system)
+    last = frames.groupBy("traj").agg(F.max("step").alias("_last"))
+    rows = with_halo(frames.select("traj", "step", *targets), chunk, half).join(F.broadcast(last), "traj")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("step")
+        u, ut = prepared(stacked(pdf, system), system, dt, window, order, fraction)
+        own = (pdf["own"] & (pdf["step"] >= edge) & (pdf["step"] <= pdf["_last"] - edge)).to_numpy()
+        if not own.any():
+            return pd.DataFrame({"traj": [], "chunk": [], "m": []})
+        u, ut = u[own], ut[own]
+        values = derivatives(u, targets, system, wanted)
+        cut = (slice(None), *inner)
+        theta = np.stack([np.broadcast_to(c(values), u.shape[:-1])[cut].ravel() for c in compiled], axis=1)
+        y = np.stack([ut[..., i][cut].ravel() for i in range(q)], axis=1)
+        good = np.isfinite(theta).all(axis=1) & np.isfinite(y).all(axis=1)
+        g = of_arrays(theta[good], y[good], terms, targets)
+        flat = np.concatenate([g.xx.ravel(), g.xy.ravel(), g.yy, [g.n]])
+        return pd.DataFrame({"traj": [pdf["traj"].iloc[0]], "chunk": [pdf["chunk"].iloc[0]], "m": [flat]})
+
+    out = {}
+    for r in rows.groupBy("traj", "chunk").applyInPandas(run, "traj long, chunk long, m array<double>").toLocalIterator():
+        m = np.array(r["m"])
+        out[r["traj"], r["chunk"]] = Gram(terms, targets, m[: p * p].reshape(p, p), m[p * p : p * p + p * q].reshape(p, q), m[p * p + p * q : -1], m[-1])
+    return out
+
+
+def split(grams: dict[tuple[int, int], Gram]) -> tuple[Gram, Gram]:
+    """Training and validation: the last trajectory, or the last quarter of the chunks of the only one."""
+    keys = sorted(grams)
+    last = keys[-1][0]
+    held = [k for k in keys if k[0] == last] if keys[0][0] != last else keys[int(0.75 * len(keys)) :]
+    train = [k for k in keys if k not in held] or held
+    add = lambda ks: sum((grams[k] for k in ks[1:]), grams[ks[0]])
+    return add(train), add(held)
+
+
+def run_field_sindy(
+    frames: DataFrame, system: System, dt: float, degree: int = 2, max_derivative: int = 4, custom: Iterable[str] = (), exclude: Iterable[str] = (),
+    thresholds: Sequence[float] = regression.THRESHOLDS, window: int = 9, order: int = 3, fraction: float | None = 0.3, tolerance: float = 0.05,
+) -> dict:
+    library = build_library(system.variables, degree, custom=custom, exclude=exclude, dims=system.dims, max_derivative=max_derivative)
+    train, held = split(field_grams(frames, system, library, dt, window, order, fraction))
+    rhs, coefs = {}, {}
+    for k, f in enumerate(system.variables):
+        best, _ = regression.sweep(train, held, k, thresholds, tolerance=tolerance)
+        c = regression.stlsq(train + held, k, best["threshold"])
+        rhs[f], coefs[f] = linear_combination(c, train.terms), c
+    return {"rhs": rhs, "coefficients": coefs, "terms": train.terms, "library_size": len(library)}
+
+
+def spectrum(frames: DataFrame, system: System) -> dict[str, dict]:
+    """For each field and axis of a periodic grid: modes above ten times the noise floor (median of the top quarter) and the largest resolved wave number."""
+    names, dims = system.variables, system.dims
+
+    def run(batches):
+        total: dict = {}
+        for pdf in batches:
+            u = stacked(pdf, system)
+            for i, f in enumerate(names):
+                for k, d in enumerate(dims):
+                    e = np.abs(np.fft.rfft(u[..., i], axis=1 + k)) ** 2
+                    e = np.moveaxis(e, 1 + k, -1).reshape(-1, e.shape[1 + k]).sum(axis=0)
+                    total[f, d] = total.get((f, d), 0.0) + e
+        for (f, d), e in total.items():
+            yield pd.DataFrame({"f": f, "d": d, "k": np.arange(len(e)), "e": e})
+
+    rows = frames.select(*names).mapInPandas(run, "f string, d string, k int, e double").groupBy("f", "d", "k").agg(F.sum("e").alias("e")).toPandas()
+    out: dict[str, dict] = {f: {} for f in names}
+    for (f, d), own in rows.groupby(["f", "d"]):
+        e = own.sort_values("k")["e"].to_numpy()
+        e = e / (e.sum() + 1e-30)
+        floor = float(np.median(e[int(0.75 * len(e)) :]))
+        above = np.flatnonzero(e > 10 * floor)
+        n, length, _ = system.grid[d]
+        out[f][d] = {
+            "modes": len(e), "modes_above_floor": len(above), "k_max": float(N.wavenumbers(n, length)[above[-1]]) if len(above) else None,
+            "top_half_energy": float(e[len(e) // 2 :].sum()),
+        }
+    return out
+
+
+def periodicity(frames: DataFrame, field: str, nodes: int) -> dict:
+    """How a field fits together at its ends: wrap jump over inner jump, whether the last node repeats the first, spectral leakage, edge activity."""
+    u = F.col(field)
+    at = lambda k: F.element_at(u, k)
+    inner = F.aggregate(F.sequence(F.lit(2), F.lit(nodes)), F.lit(0.0), lambda s, i: s + F.abs(F.element_at(u, i.cast("int")) - F.element_at(u, (i - 1).cast("int")))) / (nodes - 1)
+    r = frames.agg(
+        (F.avg(F.abs(at(1) - at(-1))) / (F.avg(inner) + 1e-30)).alias("wrap"),
+        F.max(F.abs(at(1) - at(-1))).alias("repeat"),
+        F.max(F.abs(at(1) - at(2))).alias("move"),
+        (F.avg(F.abs(at(1) - at(2)) + F.abs(at(-1) - at(-2))) / (2 * F.avg(inner) + 1e-30)).alias("edge_activity"),
+    ).first()
+
+    def leak(batches):
+        for pdf in batches:
+            rows = np.stack([np.asarray(a, float) for a in pdf[field]])
+            ramp = rows[:, :1] + (rows[:, -1:] - rows[:, :1]) * np.linspace(0, 1, rows.shape[1])
+            top = lambda x: (np.abs(np.fft.rfft(x, axis=1)) ** 2)[:, rows.shape[1] // 4 :].sum(axis=1)
+            yield pd.DataFrame({"raw": top(rows), "flat": top(rows - ramp)})
+
+    s = frames.select(field).mapInPandas(leak, "raw double, flat double").agg(F.avg("raw").alias("raw"), F.avg("flat").alias("flat")).first()
+    return {"wrap": r["wrap"], "duplicate_end": bool(r["repeat"] <= 1e-9 * max(1.0, r["move"])), "leakage": s["raw"] / (s["flat"] + 1e-30), "edge_activity": r["edge_activity"]}
+
+
+def decide_boundary(facts: Mapping[str, float], edge_values_fixed: bool = False, edge_slopes_zero: bool = False) -> dict:
+    """Boundary kind with a confidence, from periodicity() and the look of the edges."""
+    if facts["duplicate_end"]:
+        return {"boundary": "periodic", "drop_end": True, "confidence": "high"}
+    if facts["wrap"] <= 1.5 and facts["leakage"] <= 3:
+        return {"boundary": "periodic", "drop_end": False, "confidence": "high" if facts["edge_activity"] > 0.05 else "low"}
+    if edge_values_fixed:
+        return {"boundary": "dirichlet", "drop_end": False, "confidence": "medium"}
+    if edge_slopes_zero:
+        return {"boundary": "neumann", "drop_end": False, "confidence": "medium"}
+    return {"boundary": "unknown", "drop_end": False, "confidence": "low"}
+
+
+def edge_report(frames: DataFrame, system: System) -> DataFrame:
+    """field, side: range of the end value, its variation in time over the field's deviation, and its normal slope over the inner slope (1-D)."""
+    n, length, _ = system.grid["x"]
+    dx = length / (n - 1)
+    parts = []
+    for f in system.variables:
+        u = F.col(f)
+        inner = F.aggregate(F.sequence(F.lit(2), F.lit(n - 1)), F.lit(0.0), lambda s, i, u=u: s + F.abs(F.element_at(u, (i + 1).cast("int")) - F.element_at(u, (i - 1).cast("int")))) / (2 * dx * (n - 2))
+        scale = frames.select(F.explode(u).alias("v")).agg(F.stddev_pop("v")).first()[0] or 0.0
+        for side, s in (("low", 1), ("high", -1)):
+            a, b, c = (F.element_at(u, s * k) for k in (1, 2, 3))
+            each = frames.groupBy("traj").agg(F.min(a).alias("lo"), F.max(a).alias("hi"), F.stddev_pop(a).alias("v"), F.avg(F.abs(-3 * a + 4 * b - c) / (2 * dx)).alias("g"), F.avg(inner).alias("i"))
+            parts.append(each.agg(F.lit(f).alias("field"), F.lit(side).alias("side"), F.min("lo").alias("least"), F.max("hi").alias("most"), (F.avg("v") / (scale + 1e-12)).alias("variation"), (F.avg("g") / (F.avg("i") + 1e-12)).alias("slope")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def cells(frames: DataFrame, system: System) -> DataFrame:
+    """Long form of 1-D frames: traj, step, ix, t, x and fields."""
+    n, length, origin = system.grid["x"]
+    dx = length / (n if system.boundary == "periodic" else n - 1)
+    z = frames.select("traj", "step", "t", F.posexplode(F.arrays_zip(*system.variables)).alias("ix", "z"))
+    return z.select("traj", "step", "ix", "t", (F.lit(origin) + F.col("ix") * dx).alias("x"), *[F.col(f"z.{f}").alias(f) for f in system.variables])
+
+
+def derivative_symbols_of(system: System, order: int = 4) -> list[str]:
+    return derivative_symbols(system.variables, system.dims, order)

@@ -1,0 +1,121 @@
+"""Sparse regression on Gram matrices: no operator here reads rows."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+
+from .gram import Gram
+
+#: Supports up to this size are refined by exchanges.
+SWAPPED = 6
+THRESHOLDS = (1e-4, 3e-4, 1e-3, 3e-3, 1e-2, 3e-2, 0.1, 0.3)
+
+
+def solve(g: Gram, target: int, support: Sequence[int] | None = None, ridge: float = 0.0) -> np.ndarray:
+    """Least squares on a support, columns scaled to unit length; zeros elsewhere."""
+    at = np.arange(len(g.terms)) if support is None else np.asarray(sorted(support), int)
+    out = np.zeros(len(g.terms))
+    if not len(at):
+        return out
+    scale = np.sqrt(np.maximum(np.diag(g.xx)[at], 1e-300))
+    a = g.xx[np.ix_(at, at)] / np.outer(scale, scale)
+    b = g.xy[at, target] / scale
+    c = np.linalg.solve(a + ridge * np.eye(len(at)), b) if ridge else np.linalg.lstsq(a, b, rcond=1e-13)[0]
+    out[at] = np.where(np.isfinite(c), c, 0.0) / scale
+    return out
+
+
+def stlsq(g: Gram, target: int, threshold: float, ridge: float = 1e-6, rounds: int = 20) -> np.ndarray:
+    """Sequentially thresholded ridge: terms whose contribution |c| * |column| is below threshold * |target| go, until none does."""
+    size = np.sqrt(np.maximum(np.diag(g.xx), 0))
+    length = np.sqrt(max(g.yy[target], 1e-300))
+    support = [i for i in range(len(g.terms)) if size[i] > 0]
+    for _ in range(rounds):
+        c = solve(g, target, support, ridge)
+        kept = [i for i in support if abs(c[i]) * size[i] >= threshold * length]
+        if kept == support:
+            break
+        support = kept
+    return solve(g, target, support)
+
+
+def sweep(train: Gram, held: Gram, target: int, thresholds: Sequence[float] = THRESHOLDS, ridge: float = 1e-6, tolerance: float = 0.05) -> tuple[dict, list[dict]]:
+    """The sparsest of the thresholds' models within tolerance of the best held-out error, and the whole path."""
+    path = []
+    for th in thresholds:
+        c = stlsq(train, target, th, ridge)
+        path.append({"threshold": th, "n_terms": int(np.count_nonzero(c)), "val_err": held.error(c, target), "coef": c})
+    best = min(r["val_err"] for r in path)
+    good = [r for r in path if r["val_err"] <= (1 + tolerance) * best + 1e-4]
+    return min(good, key=lambda r: (r["n_terms"], r["val_err"])), path
+
+
+def backward_path(g: Gram, target: int, start: Sequence[int] | None = None, swap: bool = False) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Supports from full to one term: the term whose loss costs least goes each time; swap: each support is then refined by single exchanges."""
+    every = [i for i in range(len(g.terms)) if g.xx[i, i] > 0]
+    support = list(start) if start is not None else every
+    while support:
+        if swap and len(support) <= SWAPPED:
+            support = _swapped(g, target, support, every)
+        yield list(support), solve(g, target, support)
+        if len(support) == 1:
+            return
+        support = min(([j for j in support if j != i] for i in support), key=lambda s: g.rss(solve(g, target, s), target))
+
+
+def _swapped(g: Gram, target: int, support: list[int], every: list[int], rounds: int = 4) -> list[int]:
+    best = g.rss(solve(g, target, support), target)
+    for _ in range(rounds):
+        tries = [[*(k for k in support if k != i), j] for i in support for j in every if j not in support]
+        if not tries:
+            break
+        own = min(tries, key=lambda s: g.rss(solve(g, target, s), target))
+        value = g.rss(solve(g, target, own), target)
+        if value >= best * (1 - 1e-9):
+            break
+        support, best = own, value
+    return support
+
+
+def forward_path(g: Gram, target: int, most: int = 20) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Supports from one term on: the term that helps most joins each time."""
+    support: list[int] = []
+    every = [i for i in range(len(g.terms)) if g.xx[i, i] > 0]
+    while len(support) < min(most, len(every)):
+        support = min(([*support, j] for j in every if j not in support), key=lambda s: g.rss(solve(g, target, s), target))
+        yield list(support), solve(g, target, support)
+
+
+def sparsest(train: Gram, held: Gram, target: int, tolerance: float = 0.05, swap: bool = False, floor: float = 0.0) -> np.ndarray:
+    """Along the backward path, the fewest terms within tolerance of the best held-out error (or within floor, if given)."""
+    paths = [(s, held.error(c, target)) for s, c in backward_path(train, target, swap=swap)]
+    best = min((e for _, e in paths), default=0.0)
+    good = [s for s, e in paths if e <= max((1 + tolerance) * best + 1e-4, floor)]
+    return solve(train + held, target, min(good, key=len)) if good else np.zeros(len(train.terms))
+
+
+def information(rss: float, n: float, k: int, effective: float | None = None) -> dict[str, float]:
+    """AICc and BIC with the effective number of rows."""
+    m = effective or n
+    fit = m * np.log(max(rss, 1e-300) / n)
+    return {"aicc": fit + 2 * k + (2 * k * (k + 1) / (m - k - 1) if m > k + 1 else np.inf), "bic": fit + k * np.log(m)}
+
+
+def near_dependent(g: Gram, tolerance: float = 1e-6) -> list[int]:
+    """Terms to keep: a pivoted elimination of the normalised Gram drops columns that others span."""
+    size = np.sqrt(np.maximum(np.diag(g.xx), 1e-300))
+    a = g.xx / np.outer(size, size)
+    left, kept = np.diag(a).copy(), []
+    basis = np.zeros((0, len(a)))
+    for _ in range(len(a)):
+        i = int(left.argmax())
+        if left[i] < tolerance:
+            break
+        row = (a[i] - basis[:, i] @ basis) / np.sqrt(left[i])
+        basis = np.vstack([basis, row])
+        left = left - row**2
+        left[i] = -1
+        kept.append(i)
+    return sorted(kept)
