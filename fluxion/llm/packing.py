@@ -5,8 +5,8 @@
 2. The histogram of piece lengths (at most `size` numbers, whatever the corpus) goes to the driver. The linear program over
    configurations (multisets of lengths that fit one sequence) is solved by multiplicative weights: lengths carry dual
    weights, a knapsack dynamic program prices the best configuration, and weights of lengths that are covered fall.
-3. The fractional solution is rounded: whole multiples of the configurations found are taken as far as demand goes, then
-   configurations priced anew by the same duals against the remaining demand, and what is left goes best-fit.
+3. The fractional solution is rounded: whole multiples of the configurations found are taken as far as demand goes; the rest goes
+   in configurations that the knapsack program prices anew against the remaining demand, gaps filled best-fit (see solve).
 4. The plan says which ranks of each length go to which sequence and offset. Pieces get their rank within their length from
    per-partition counts, without gathering a length in one task: the pieces of one length may be a third of all.
 
@@ -158,25 +158,29 @@ def multiplicative_weights(lengths: np.ndarray, demand: np.ndarray, size: int, r
     return [(config, x * min(scale, 1.0)) for config, x in pool.values()], best_y, bound
 
 
-def solve(histogram: dict[int, int], size: int = SIZE, rounds: int = 48) -> Plan:
-    """Rounded solution for the histogram length -> number of pieces."""
-    lengths = np.array(sorted(n for n in histogram if n < size), np.int64)
-    demand = np.array([histogram[int(n)] for n in lengths], np.int64)
-    full = int(histogram.get(size, 0))
-    rest = demand.copy()
-    chosen: list[tuple[dict[int, int], int]] = []
+class Rounding:
+    """Whole numbers of configurations for a demand, by duals y (worth of a piece of each length)."""
+
+    def __init__(self, lengths: np.ndarray, demand: np.ndarray, size: int):
+        self.lengths, self.size, self.rest = lengths, size, demand.copy()
+        self.chosen: list[tuple[dict[int, int], int]] = []
 
-    def take(config: dict[int, int], most: int | None = None, least_fill: float = 0.0) -> bool:
-        """Trims a configuration to what is left, fills its gap best-fit, and takes it as often as demand goes."""
+    @property
+    def used(self) -> int:
+        return sum(times for _, times in self.chosen)
+
+    def take(self, config: dict[int, int], most: int | None = None, y: np.ndarray | None = None, least: float = 0.0) -> bool:
+        """Trims a configuration to what is left, fills its gap best-fit, and takes it as often as demand goes, if it is worth `least`."""
+        lengths, rest = self.lengths, self.rest
         own = {i: min(c, int(rest[i])) for i, c in config.items() if rest[i] > 0}
-        gap = size - sum(int(lengths[i]) * c for i, c in own.items())
+        gap = self.size - sum(int(lengths[i]) * c for i, c in own.items())
         i = int(np.searchsorted(lengths, gap, "right")) - 1
         while gap > 0 and i >= 0:
             if (k := min(gap // int(lengths[i]), int(rest[i]) - own.get(i, 0))) > 0:
                 own[i] = own.get(i, 0) + k
                 gap -= k * int(lengths[i])
             i = min(i - 1, int(np.searchsorted(lengths, gap, "right")) - 1)
-        if not own or gap > (1 - least_fill) * size:
+        if not own or y is not None and sum(float(y[i]) * c for i, c in own.items()) < least:
             return False
         times = min(int(rest[i]) // c for i, c in own.items())
         times = min(times, most) if most is not None else times
@@ -184,33 +188,68 @@ def solve(histogram: dict[int, int], size: int = SIZE, rounds: int = 48) -> Plan
             return False
         for i, c in own.items():
             rest[i] -= c * times
-        chosen.append((own, times))
+        self.chosen.append((own, times))
         return True
 
-    bound = 0.0
-    if len(lengths):
-        pool, y, bound = multiplicative_weights(lengths, demand.astype(float), size, rounds)
-        pool.sort(key=lambda p: (-p[1], sorted(p[0].items())))
-        for config, x in pool:  # whole multiples
-            if x >= 1 and all(rest[i] >= c for i, c in config.items()):
-                take(config, int(x), 0.999)
+    def whole_multiples(self, pool: list[tuple[dict[int, int], float]], y: np.ndarray) -> None:
+        """The whole parts of a fractional solution, largest first, of configurations that the duals call tight."""
+        for config, x in sorted(pool, key=lambda p: (-p[1], sorted(p[0].items()))):
+            if x >= 1 and all(self.rest[i] >= c for i, c in config.items()):
+                self.take(config, int(x), y, 0.995)
+
+    def fullest_first(self, y: np.ndarray) -> None:
+        """Configurations that leave almost nothing free, one for each length in every pass; less full ones once few are left."""
         fill = 0.9995
-        while rest.any():
-            left = np.flatnonzero(rest)
-            value, taken = _knapsack(lengths[left], np.maximum(y[left], 1e-6 * lengths[left]), size)
-            before = len(chosen)
+        while self.rest.any():
+            left = np.flatnonzero(self.rest)
+            _, taken = _knapsack(self.lengths[left], y[left], self.size)
+            before = len(self.chosen)
+            for i in left[::-1].tolist():
+                if self.rest[i] > 0:
+                    config = {int(left[j]): c for j, c in _trace(self.lengths[left], taken, int(self.size - self.lengths[i])).items()}
+                    config[i] = config.get(i, 0) + 1
+                    self.take(config, None, self.lengths / self.size, fill)
+            if len(self.chosen) - before < max(1, len(left) // 50):
+                fill = 1 - 4 * (1 - fill) if fill > 0.75 else 0.0
+
+    def longest_first(self, y: np.ndarray) -> None:
+        """The longest piece left with its most valuable company, priced anew after every few configurations."""
+        again = max(1, len(self.lengths) // 40)
+        while self.rest.any():
+            left = np.flatnonzero(self.rest)
+            _, taken = _knapsack(self.lengths[left], y[left], self.size)
+            begun = len(self.chosen)
             for k in range(len(left) - 1, -1, -1):
                 i = int(left[k])
-                if rest[i] <= 0:
-                    continue
-                config = {int(left[j]): c for j, c in _trace(lengths[left], taken, int(size - lengths[i])).items()}
-                config[i] = config.get(i, 0) + 1
-                take(config, None, fill)
-            if len(chosen) - before < max(1, len(left) // 50):
-                fill = 1 - 4 * (1 - fill) if fill > 0.75 else 0.0
+                while self.rest[i] > 0 and len(self.chosen) - begun < again:
+                    config = {int(left[j]): c for j, c in _trace(self.lengths[left], taken, int(self.size - self.lengths[i])).items()}
+                    config[i] = config.get(i, 0) + 1
+                    self.take(config)
+                if len(self.chosen) - begun >= again:
+                    break
+
+
+def solve(histogram: dict[int, int], size: int = SIZE, rounds: int | None = None) -> Plan:
+    """Rounded solution for the histogram length -> number of pieces. Four roundings are made: whole multiples, then the fullest configurations
+    or the longest piece first; the latter without them; and it again with lengths as worths. The one of fewest sequences counts."""
+    lengths = np.array(sorted(n for n in histogram if n < size), np.int64)
+    demand = np.array([histogram[int(n)] for n in lengths], np.int64)
+    full = int(histogram.get(size, 0))
+    bound, best = 0.0, Rounding(lengths, demand, size)
+    if len(lengths):
+        pool, y, bound = multiplicative_weights(lengths, demand.astype(float), size, rounds or (300 if len(lengths) <= 256 else 60))
+        y = np.maximum(y, 1e-6 * lengths)
+        tries = []
+        for worth, whole, fullest in ((y, True, True), (y, True, False), (y, False, False), (lengths / size, False, False)):
+            r = Rounding(lengths, demand, size)
+            if whole:
+                r.whole_multiples(pool, worth)
+            (r.fullest_first if fullest else r.longest_first)(worth)
+            tries.append(r)
+        best = min(tries, key=lambda r: r.used)
     out: list[tuple[int, int, int, int, int]] = []
     used, at = np.zeros(len(lengths), np.int64), full
-    for own, times in chosen:
+    for own, times in best.chosen:
         offset = 0
         for i, c in sorted(own.items(), reverse=True):
             out.append((int(lengths[i]), int(used[i]), c, at, offset))
@@ -223,7 +262,7 @@ def solve(histogram: dict[int, int], size: int = SIZE, rounds: int = 48) -> Plan
     return Plan(*table.T, sequences=at, bound=bound + full)
 
 
-def pack(docs: DataFrame, path: str, size: int = SIZE, rounds: int = 48, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, size: int = SIZE, rounds: int | None = None, keep_ids: bool = False) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32 (and ids), sequence_id, offset."""
     cut = materialise(pieces(docs, path, size, keep_ids))
     counts = materialise(cut.groupBy("part", "length").count())
