@@ -55,15 +55,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     starts = later_places(docs)
     lines = "split(text, '\\n', -1)"
     # kept stretches lie between the end of one covered window and the start of the next
-    kept = f"""flatten(transform(sequence(0, size(starts)), i -> slice(fluxion_lines,
-        if(i = 0, 0, starts[i - 1] + {SPAN}) + 1,
-        greatest(0, if(i = size(starts), size(fluxion_lines), starts[i]) - if(i = 0, 0, starts[i - 1] + {SPAN})))))"""
+    kept = f"""flatten(transform(sequence(0, size(fluxion_starts)), i -> slice(fluxion_lines,
+        if(i = 0, 0, fluxion_starts[i - 1] + {SPAN}) + 1,
+        greatest(0, if(i = size(fluxion_starts), size(fluxion_lines), fluxion_starts[i]) - if(i = 0, 0, fluxion_starts[i - 1] + {SPAN})))))"""
     own = docs.columns
-    joined = docs.join(starts.select(F.col("doc_id").alias("fluxion_id"), "starts"), F.col("doc_id") == F.col("fluxion_id"), "left")
-    joined = joined.withColumn("fluxion_lines", F.expr(f"if(starts is null, null, {lines})")).withColumn("fluxion_kept", F.expr(f"if(starts is null, null, {kept})"))
+    joined = docs.join(starts.select(F.col("doc_id").alias("fluxion_id"), F.col("starts").alias("fluxion_starts")), F.col("doc_id") == F.col("fluxion_id"), "left")
+    joined = joined.withColumn("fluxion_lines", F.expr(f"if(fluxion_starts is null, null, {lines})")).withColumn("fluxion_kept", F.expr(f"if(fluxion_starts is null, null, {kept})"))
     count = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     return joined.select(
-        *[F.expr("if(starts is null, text, array_join(fluxion_kept, '\\n'))").alias(c) if c == "text" else F.col(c) for c in own],
+        *[F.expr("if(fluxion_starts is null, text, array_join(fluxion_kept, '\\n'))").alias(c) if c == "text" else F.col(c) for c in own],
         count.alias("n_lines"),
         F.coalesce(F.size("fluxion_lines") - F.size("fluxion_kept"), F.lit(0)).cast("long").alias("n_removed"),
     )
