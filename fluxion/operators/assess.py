@@ -164,3 +164,30 @@ def verdict(a: Mapping) -> dict:
     if not a["validation"]["rollout_blew_up"] and a["predictability"]["horizon_is_full_data_span"] and not strong:
         return {"status": "CONFIDENT IN PREDICTIONS", "recommendation": "plausible models agree over the data's range, though their terms differ"}
     return {"status": "INCONCLUSIVE", "recommendation": "; ".join(a["data_advice"][:2]) or "more trajectories, less noise, or knowledge of the domain"}
+
+
+def coefficient_information(starts: DataFrame, rhs: Mapping[str, str], noise: Mapping[str, float], t: np.ndarray, share: float = 0.05) -> DataFrame:
+    """traj, model (the coefficient moved), information: how far, in squared noise, a relative change of each coefficient moves a trajectory from
+    each start; tells which experiment pins down which coefficient."""
+    names = [*rhs, "t"]
+    base = scoring.rollout(starts, rhs, t).drop("model", "t")
+    moved = scoring.rollout(starts, perturbed(rhs, names, share), t)
+    joined = moved.join(base.withColumnsRenamed({v: f"_{v}" for v in rhs}), ["traj", "step"])
+    d = sum((((F.col(v) - F.col(f"_{v}")) / s) ** 2 for v, s in noise.items()), F.lit(0.0)) / share**2
+    return joined.groupBy("traj", "model").agg(F.avg(F.least(F.coalesce(d, F.lit(1e12)), F.lit(1e12))).alias("information"))
+
+
+def field_candidates(x: np.ndarray, scale: float, n: int = 12, seed: int = 0) -> list[np.ndarray]:
+    """Starting profiles for field experiments: amplitudes, single modes and pulses within a third beyond the data's scale."""
+    rng = np.random.default_rng(seed)
+    s = (x - x[0]) / (x[-1] - x[0] + x[1] - x[0])
+    out = []
+    for k in range(n):
+        a = scale * (0.3 + 1.05 * (k + rng.random()) / n)
+        if k % 3 == 0:
+            out.append(a * np.cos(2 * np.pi * (1 + k // 3) * s + rng.uniform(0, 2 * np.pi)))
+        elif k % 3 == 1:
+            out.append(a * np.exp(-(((s - rng.random() + 0.5) % 1 - 0.5) ** 2) / 0.005))
+        else:
+            out.append(a * sum(rng.normal() / m * np.cos(2 * np.pi * (m * s + rng.random())) for m in range(1, 5)))
+    return out

@@ -254,3 +254,14 @@ def field_symmetries(rhs: Mapping[str, str], names: Sequence[str]) -> dict:
     return out
 
 
+
+
+def balanced_sample(states: np.ndarray, n: int, k: int = 10, power: float = 1.0, seed: int = 0) -> np.ndarray:
+    """n of the states (a bounded sample), with chances proportional to the distance of their k-th neighbour to a power: thin regions count more."""
+    scaled = (states - states.mean(axis=0)) / (states.std(axis=0) + 1e-12)
+    radius = np.empty(len(scaled))
+    for lo in range(0, len(scaled), 256):
+        d = ((scaled[lo : lo + 256, None, :] - scaled[None, :, :]) ** 2).sum(axis=2)
+        radius[lo : lo + 256] = np.sqrt(np.partition(d, min(k, d.shape[1] - 1), axis=1)[:, min(k, d.shape[1] - 1)])
+    weight = radius**power
+    return states[np.random.default_rng(seed).choice(len(states), min(n, len(states)), replace=False, p=weight / weight.sum())]

@@ -41,11 +41,18 @@ def cross_validated(found: Mapping, target: int, fitter: Callable[[Gram, int], n
 
 def bags(blocks: Mapping[int, Gram], count: int, draws: int) -> Iterator[Gram]:
     """Bags of `draws` blocks by a portable integer hash: (bag * 7919 + slot * 104729) mod 1000003 mod blocks."""
+    for inside, _ in bags_and_rest(blocks, count, draws):
+        yield inside
+
+
+def bags_and_rest(blocks: Mapping[int, Gram], count: int, draws: int) -> Iterator[tuple[Gram, Gram | None]]:
+    """Each bag, and the blocks that it left out (None if there are none)."""
     keys = sorted(blocks)
     for b in range(count):
         picked = np.bincount([(b * 7919 + s * 104729) % 1000003 % len(keys) for s in range(draws)], minlength=len(keys))
         parts = [blocks[k].times(float(n)) for k, n in zip(keys, picked, strict=True) if n]
-        yield sum(parts[1:], parts[0])
+        rest = [blocks[k] for k, n in zip(keys, picked, strict=True) if not n]
+        yield sum(parts[1:], parts[0]), sum(rest[1:], rest[0]) if rest else None
 
 
 def block_bootstrap_mean(blocks: DataFrame, count: int) -> DataFrame:
@@ -71,8 +78,8 @@ def ensemble(df: DataFrame, variables: Sequence[str], dt: float, degree: int = 2
     every, out = total(blocks), {}
     for k, v in enumerate(variables):
         fits = []
-        for g in bags(blocks, count, len(blocks)):
-            fits.append(regression.stlsq(g, k, threshold) if threshold is not None else regression.sparsest(g, every - g if (every - g).n > 0 else g, k))
+        for g, rest in bags_and_rest(blocks, count, len(blocks)):
+            fits.append(regression.stlsq(g, k, threshold) if threshold is not None else regression.sparsest(g, rest or g, k))
         c = np.array(fits)
         share = (c != 0).mean(axis=0)
         kept = np.flatnonzero(share >= consensus)
@@ -153,3 +160,16 @@ def repair(g: Gram, target: int, support: Sequence[int], effective: float | None
             break
         own = best[0]["support"]
     return own
+
+
+def noise_floor(variables: Sequence[str], noise: Mapping[str, float], dt: float, window: int = 9, order: int = 3) -> dict[str, float]:
+    """Deviation of a smoothed derivative that white noise of the given size alone would cause: the filter's own gain."""
+    from ..functions.numerics import savgol_weights
+
+    gain = float(np.sqrt(np.sum(np.square(savgol_weights(window, order, 1))))) / dt
+    return {v: gain * noise[v] for v in variables}
+
+
+def select_thresholds(train: Gram, held: Gram, thresholds: Sequence[float] = regression.THRESHOLDS) -> dict[str, float]:
+    """For each target, the threshold of its sweep's choice."""
+    return {v: regression.sweep(train, held, k, thresholds)[0]["threshold"] for k, v in enumerate(train.targets)}
