@@ -245,7 +245,8 @@ def near_duplicates(
     more = materialise(_across(rest.drop("leader", "n_shingles").join(mixed, "key"), sets, percent, rows, bands, block))
     comps = components(links.union(more))
     named = classes.drop("bands").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    # written out first, so that both sides of the last join are plain exchanges and a hot class can be split
+    named = materialise(named.select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component")))
     return (
         sketch.join(named, ["set_a", "set_b", "n_shingles"], "left")
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
@@ -257,3 +258,23 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     """docs, all columns, with one document of each group; rows with null doc_id stay."""
     kept = near_duplicates(docs, **how).where("kept and doc_id is not null").select(F.col("doc_id").alias("fluxion_id")).distinct()
     return docs.join(kept, F.col("doc_id") == F.col("fluxion_id"), "left_semi").unionByName(docs.where("doc_id is null"))
+
+
+#: The same result by comparing every pair that shares a shingle: exact, for tables of a few thousand documents.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, sh FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh
+    FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, u.b FROM reach r JOIN u ON r.seen = u.a),
+c AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
