@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import kernel as K
-from .support import fields, id_type, map_arrow
+from .support import fields, id_type
 
 GRAM, STRETCH, LEAST, BLOCK_BYTES = 3, 2, 0.4, 32_000_000
 MATCH, MISMATCH, GAP = 2, 1, 1

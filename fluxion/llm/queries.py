@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, url_filter
+from . import line_dedup, near_dup, url_filter
 from .decontaminate import contaminated
 from .language_id import language_id
 from .licences import scan_licences
@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_bloom_url_filter": url_filter.ORACLE_SQL, "op10_line_window_dedup": line_dedup.ORACLE_SQL}
+    return {"op3_bloom_url_filter": url_filter.ORACLE_SQL, "op7_superminhash_near_dup": near_dup.ORACLE_SQL, "op10_line_window_dedup": line_dedup.ORACLE_SQL}
