@@ -379,7 +379,7 @@ def block_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "shape_moments",
-    "SELECT * FROM (" + " UNION ALL ".join(f"SELECT {k!r} AS scale, round(sum(z), 6) AS s1, round(sum(z * z), 6) AS s2, round(sum(z * l_tax), 6) AS sy FROM (SELECT l_quantity / ({k!r} + l_quantity) AS z, l_tax FROM lineitem)" for k in (5.0, 20.0, 50.0)) + ")",
+    "SELECT * FROM (" + " UNION ALL ".join(f"SELECT CAST({k!r} AS DOUBLE) AS scale, round(sum(z), 6) AS s1, round(sum(z * z), 6) AS s2, round(sum(z * l_tax), 6) AS sy FROM (SELECT l_quantity / ({k!r} + l_quantity) AS z, l_tax FROM lineitem)" for k in (5.0, 20.0, 50.0)) + ")",
 )
 def shape_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "lineitem").select("l_quantity", "l_tax", F.explode(F.array(*[F.lit(k) for k in (5.0, 20.0, 50.0)])).alias("scale"))
@@ -390,7 +390,7 @@ def shape_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CROSS = {"1": "1.0", "a": "l_quantity", "b": "l_discount", "ab": "l_quantity * l_discount"}
 
 
-@query("interaction_moments", _moment_sql(_CROSS, "l_tax", "lineitem"))
+@query("interaction_moments", _moment_sql({**_CROSS, "1": "CAST(1 AS DOUBLE)"}, "l_tax", "lineitem"))
 def interaction_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(gram.wide_gram(table(spark, sf_dir, "lineitem"), {k: parse(v).column() for k, v in _CROSS.items()}, {"y": F.col("l_tax").cast("double")}))
 
