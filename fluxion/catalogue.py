@@ -309,12 +309,12 @@ def power_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.power_spectrum(trajectories(spark, sf_dir), "u", 12).select("traj", "k", F.round("power", 2).alias("power"))
 
 
-_HIST = """e AS (SELECT min(l_quantity) AS a0, max(l_quantity) AS a1, min(l_extendedprice) AS b0, max(l_extendedprice) AS b1 FROM lineitem),
-c AS (SELECT CAST(least(floor((l_quantity - a0) / (a1 - a0) * 8), 7) AS INTEGER) AS i, CAST(least(floor((l_extendedprice - b0) / (b1 - b0) * 8), 7) AS INTEGER) AS j, CAST(count(*) AS BIGINT) AS n FROM lineitem, e GROUP BY 1, 2)"""
+_HIST = f"""{OBS}, e AS (SELECT min(t) AS a0, max(t) AS a1, min(u) AS b0, max(u) AS b1 FROM obs),
+c AS (SELECT CAST(least(floor((t - a0) / (a1 - a0) * 8), 7) AS INTEGER) AS i, CAST(least(floor((u - b0) / (b1 - b0) * 8), 7) AS INTEGER) AS j, CAST(count(*) AS BIGINT) AS n FROM obs, e GROUP BY 1, 2)"""
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnostics.occupied_cells(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice")
+    return diagnostics.occupied_cells(trajectories(spark, sf_dir), "t", "u")
 
 
 @query("hist2d_coverage", f"WITH {_HIST} SELECT * FROM c")
@@ -479,13 +479,14 @@ def paired_block_z(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "block_bootstrap_ci",
-    f"""WITH {OBS}, b AS (SELECT dense_rank() OVER (ORDER BY traj, step // 10) - 1 AS block, u FROM obs), s AS (SELECT block, sum(u) AS s, count(*) AS n FROM b GROUP BY 1), m AS (SELECT count(*) AS m FROM s),
-draw AS (SELECT bag, ((bag * 7919 + slot * 104729) % 1000003) % m AS block FROM (SELECT unnest(range(0, 40)) AS bag) x, (SELECT block AS slot FROM s) y, m),
-e AS (SELECT bag, sum(s) / sum(n) AS v FROM draw JOIN s USING (block) GROUP BY 1) SELECT round(quantile_cont(v, 0.05), 6) AS q05, round(median(v), 6) AS q50, round(quantile_cont(v, 0.95), 6) AS q95 FROM e""",
+    f"""WITH {OBS}, s AS (SELECT traj, step // 10 AS k, sum(u) AS s, count(*) AS n FROM obs GROUP BY 1, 2),
+d AS (SELECT bag, s, n, ((bag * 7919 + traj * 104729 + k * 1299709) % 1000003) / 1000003.0 AS x FROM s, (SELECT unnest(range(0, 40)) AS bag)),
+e AS (SELECT bag, sum(w * s) / sum(w * n) AS v FROM (SELECT bag, s, n, {" + ".join(f"(x >= {p!r})::INT" for p in uncertainty.POISSON)} AS w FROM d) GROUP BY 1)
+SELECT round(quantile_cont(v, 0.05), 6) AS q05, round(median(v), 6) AS q50, round(quantile_cont(v, 0.95), 6) AS q95 FROM e""",
 )
 def block_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = trajectories(spark, sf_dir).select("traj", F.floor(F.col("step") / 10).alias("k"), "u").groupBy("traj", "k").agg(F.sum("u").alias("s"), F.count("*").alias("n"))
-    means = uncertainty.block_bootstrap_mean(blocks.orderBy("traj", "k"), 40)
+    means = uncertainty.block_bootstrap_mean(blocks, 40)
     q = means.agg(F.percentile("v", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"))
     return q.select(*[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q05", "q50", "q95"))])
 

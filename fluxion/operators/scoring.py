@@ -131,5 +131,6 @@ def _times(df: DataFrame) -> np.ndarray:
 
 def rank(df: DataFrame, by: Sequence[Column], order: Sequence[Column], k: int) -> DataFrame:
     """The first k rows of each group in the given order, numbered from 1."""
-    w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
-    return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    if not by:  # k rows only are numbered in one place
+        return df.orderBy(*order).limit(k).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= k)

@@ -55,16 +55,18 @@ def bags_and_rest(blocks: Mapping[int, Gram], count: int, draws: int) -> Iterato
         yield sum(parts[1:], parts[0]), sum(rest[1:], rest[0]) if rest else None
 
 
-def block_bootstrap_mean(blocks: DataFrame, count: int) -> DataFrame:
-    """bag, v: means over bags of blocks. blocks: one row each (s, n), in a fixed order; a bag draws as many as there are."""
-    from pyspark.sql import Window
-
-    order = [c for c in blocks.columns if c not in ("s", "n")]
-    numbered = blocks.select((F.row_number().over(Window.orderBy(*order)) - 1).alias("block"), "s", "n")
-    m = numbered.count()
-    draw = numbered.select(F.col("block").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("bag"))
-    draw = draw.select("bag", (((F.col("bag").cast("long") * 7919 + F.col("slot").cast("long") * 104729) % 1000003) % m).cast("int").alias("block"))
-    return draw.join(numbered, "block").groupBy("bag").agg((F.sum("s") / F.sum("n")).alias("v"))
+#: Chances of 0, 1, 2, ... draws of a block in a bag (Poisson, mean 1), summed up.
+POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
+
+
+def block_bootstrap_mean(blocks: DataFrame, count: int, traj: str = "traj", block: str = "k") -> DataFrame:
+    """bag, v: means over bags of blocks (traj, k, s, n). Each bag takes a block so often as a portable hash of (bag, traj, k) says, Poisson
+    with mean 1: one partial aggregate, no numbering of blocks and no join."""
+    bag = F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("bag")
+    u = ((F.col("bag").cast("long") * 7919 + F.col(traj).cast("long") * 104729 + F.col(block).cast("long") * 1299709) % 1000003) / 1000003.0
+    draws = sum(((F.col("u") >= p).cast("int") for p in POISSON), F.lit(0))
+    rows = blocks.select(traj, block, "s", "n", bag).select("bag", "s", "n", u.alias("u")).select("bag", "s", "n", draws.alias("w"))
+    return rows.groupBy("bag").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("v"))
 
 
 def ensemble(df: DataFrame, variables: Sequence[str], dt: float, degree: int = 2, count: int = 50, window: int = 9, consensus: float = 0.6, threshold: float | None = None, **library) -> dict:

@@ -79,10 +79,36 @@ def trim(df: DataFrame, n: int, key: Sequence[str] = KEY, by: Sequence[str] = OR
 
 
 def trajectories_from_resets(df: DataFrame, time: str, ordinal: str, source: Sequence[str] = ()) -> DataFrame:
-    """df with `traj`: how often time has decreased so far, in the order of ordinal within each source (a file, say)."""
-    w = Window.partitionBy(*source).orderBy(ordinal) if source else Window.orderBy(ordinal)
-    reset = F.coalesce((F.col(time) < F.lag(time).over(w)).cast("int"), F.lit(0))
-    return df.withColumn("_r", reset).withColumn("traj", F.sum("_r").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_r")
+    """df with `traj`: how often time has decreased so far, in the order of ordinal within each source (a file, say).
+
+    Without a source, ordinal is taken for what monotonically_increasing_id gives: its upper bits name a partition, so that rows are counted
+    within partitions and only one row for each partition is put in order."""
+    if source:
+        w = Window.partitionBy(*source).orderBy(ordinal)
+        reset = F.coalesce((F.col(time) < F.lag(time).over(w)).cast("int"), F.lit(0))
+        return df.withColumn("_r", reset).withColumn("traj", F.sum("_r").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_r")
+    cut = df.withColumn("_part", F.shiftright(F.col(ordinal), 33))
+    w = Window.partitionBy("_part").orderBy(ordinal)
+    cut = cut.withColumn("_r", F.coalesce((F.col(time) < F.lag(time).over(w)).cast("int"), F.lit(0)))
+    ends = cut.groupBy("_part").agg(F.min_by(time, ordinal).alias("_first"), F.max_by(time, ordinal).alias("_last"), F.sum("_r").alias("_own"))
+    o = Window.orderBy("_part")
+    start = F.coalesce((F.col("_first") < F.lag("_last").over(o)).cast("int"), F.lit(0))
+    before = ends.select("_part", start.alias("_s"), "_own").select("_part", (F.sum(F.col("_s") + F.col("_own")).over(o.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_own")).alias("_before"))
+    out = cut.withColumn("_k", F.sum("_r").over(w.rowsBetween(Window.unboundedPreceding, 0))).join(before, "_part")
+    return out.withColumn("traj", (F.col("_k") + F.col("_before")).cast("int")).drop("_part", "_r", "_k", "_before")
+
+
+def never_falls(df: DataFrame, columns: Sequence[str], ordinal: str) -> dict[str, bool]:
+    """For each column, whether it never falls in the order of ordinal (as above: within partitions, then from each partition to the next)."""
+    cut = df.select(F.shiftright(F.col(ordinal), 33).alias("_part"), ordinal, *columns)
+    w = Window.partitionBy("_part").orderBy(ordinal)
+    rows = cut.select("_part", ordinal, *columns, *[F.coalesce(F.col(c) >= F.lag(c).over(w), F.lit(True)).alias(f"_up_{c}") for c in columns])
+    cells = [x for c in columns for x in (F.bool_and(f"_up_{c}").alias(f"_up_{c}"), F.min_by(c, ordinal).alias(f"_a_{c}"), F.max_by(c, ordinal).alias(f"_z_{c}"))]
+    o = Window.orderBy("_part")
+    parts = rows.groupBy("_part").agg(*cells)
+    checks = [(F.col(f"_up_{c}") & F.coalesce(F.col(f"_a_{c}") >= F.lag(f"_z_{c}").over(o), F.lit(True))).alias(c) for c in columns]
+    r = parts.select(*checks).agg(*[F.bool_and(c).alias(c) for c in columns]).first()
+    return {c: bool(r[c]) for c in columns}
 
 
 def elapsed(df: DataFrame, stamp: str, order: Sequence[str], unit_seconds: float = 1.0, key: Sequence[str] = ()) -> DataFrame:

@@ -77,8 +77,7 @@ def detect_layout(df: DataFrame, card: Card, hints: Mapping[str, object] | None
     time = hints.get("time") or next((low[n] for n in TIME_NAMES if n in low), None) or next((c for c in names if c.lower().startswith("time")), None) or (stamps[0] if stamps else None)
     sure = "high" if time else "low"
     if time is None:
-        w = Window.orderBy("_ordinal")
-        flags = df.select(*[(F.col(c) - F.lag(c).over(w)).alias(c) for c in numbers]).agg(*[F.bool_and(F.coalesce(F.col(c) >= 0, F.lit(True))).alias(c) for c in numbers]).first()
+        flags = windows.never_falls(df, numbers, "_ordinal")
         many = df.agg(*[F.count_distinct(c).alias(c) for c in numbers]).first()
         time = next((c for c in numbers if flags[c] and many[c] > 2), None)
         if time is None:
@@ -90,7 +89,11 @@ def detect_layout(df: DataFrame, card: Card, hints: Mapping[str, object] | None
         df = df.withColumn("_traj", F.lit(0)) if isinstance(df.schema[time].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)) else windows.trajectories_from_resets(df, time, "_ordinal").withColumnRenamed("traj", "_traj")
         card.assume("trajectories", "where time falls", "medium", "no column names them")
     else:
-        df = df.withColumn("_traj", (F.dense_rank().over(Window.orderBy(trajectory)) - 1).cast("int")) if not isinstance(df.schema[trajectory].dataType, T.IntegralType) else df.withColumn("_traj", F.col(trajectory).cast("int"))
+        if isinstance(df.schema[trajectory].dataType, T.IntegralType):
+            df = df.withColumn("_traj", F.col(trajectory).cast("int"))
+        else:  # one row for each trajectory is put in order, not the measurements
+            names_ = df.select(trajectory).distinct().withColumn("_traj", (F.row_number().over(Window.orderBy(trajectory)) - 1).cast("int"))
+            df = df.join(names_, trajectory)
         card.assume("trajectory column", trajectory, "high", "by name")
     facts = df.agg(*[F.count_distinct(c).alias(c) for c in values], F.count("*").alias("_rows")).first()
     constants = [c for c in values if facts[c] <= 1]
