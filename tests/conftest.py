@@ -7,6 +7,9 @@ from pathlib import Path
 import pytest
 
 os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
+# one BLAS thread: starting the JVM forks, after which a pool of BLAS threads in this process may hang
+for _name in ("OPENBLAS_NUM_THREADS", "OMP_NUM_THREADS"):
+    os.environ.setdefault(_name, "1")
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
