@@ -7,8 +7,12 @@ shape of its own). Words go to two hash tables and the less crowded bucket count
 1. Raw model: counts of all features over all documents, whole texts. Target model: counts over labelled documents of good
    quality that are not toxic; the fit takes about FIT labelled rows, all if there are fewer, by hash of doc_id.
 2. Every feature's log ratio of target to raw is shrunk by PRIOR: log((c + PRIOR) / (e + PRIOR)), e the count expected from
-   the raw model. A document's log weight is that of its weakest passage: the least sum over WINDOW consecutive tokens.
-3. Gumbel top-k: key = SHARPNESS * log weight + Gumbel noise (from a hash of doc_id), and the k largest keys are sampled. k is
+   the raw model. A document's weakest passage is the least sum over WINDOW consecutive tokens (over all of a shorter text).
+3. That sum falls with the number of passages to choose from, and a shorter text's with its spread alone. The log weight is
+   what it is above what good text of as many tokens has, by one formula for all lengths (`levelled`), whose two constants
+   come from good labelled documents kept out of the fit: the mean value of a token in their first WINDOW tokens, and how
+   much the least sum falls when a text grows to twice its length, over prefixes of the same document.
+4. Gumbel top-k: key = SHARPNESS * log weight + Gumbel noise (from a hash of doc_id), and the k largest keys are sampled. k is
    the number of documents whose weight passes the threshold that best parts good from other labelled rows kept out of the fit.
 
 The k-th key is found by counting bins of ordered keys (65,536 at a time), not by sorting in one place; ties at it are kept.
@@ -154,36 +158,58 @@ def log_ratios(raw: np.ndarray, target: np.ndarray, prior: float = PRIOR) -> np.
     return out
 
 
-def _weights(raw: np.ndarray, ratio: np.ndarray, slots: np.ndarray, known: np.ndarray, tokens: np.ndarray, window: int) -> np.ndarray:
+def _weights(raw: np.ndarray, ratio: np.ndarray, slots: np.ndarray, known: np.ndarray, tokens: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each document the least sum, the sum of its first `window` tokens, and for the least sums of its prefixes of window, 2 window,
+    4 window ... tokens the products of deviations: of doublings with sums, and of doublings with themselves."""
     one, two = slots[0], slots[1] + _STARTS[1]
     word = ratio[np.where(raw[one] <= raw[two], one, two)]
     value = np.where(known, np.minimum(word, MOST) + np.minimum(ratio[slots[2] + _STARTS[2]], MOST), 0.0)
     value = value + np.clip(ratio[slots[3] + _STARTS[3]], SHAPE_LEAST, MOST)
     total = np.concatenate([[0.0], np.cumsum(value, dtype=np.float64)])
-    out = np.zeros(len(tokens) - 1)
+    out, head, fall, spread = (np.zeros(len(tokens) - 1) for _ in range(4))
     counts = np.diff(tokens)
     for d in np.flatnonzero(counts).tolist():
         a, b = int(tokens[d]), int(tokens[d + 1])
         w = min(window, b - a)
-        out[d] = (total[a + w : b + 1] - total[a : b + 1 - w]).min()
-    return np.round(out, 6)
+        least = np.minimum.accumulate(total[a + w : b + 1] - total[a : b + 1 - w])
+        out[d], head[d] = least[-1], least[0]
+        if b - a >= 2 * window:
+            n = ((b - a) // window).bit_length()
+            x = np.arange(n) - (n - 1) / 2
+            fall[d], spread[d] = x @ least[window * ((1 << np.arange(n)) - 1)], x @ x
+    return np.round(out, 6), np.round(head, 6), np.round(fall, 6), spread
 
 
 def score(docs: DataFrame, raw: np.ndarray, target: np.ndarray, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_tokens, log_weight."""
+    """doc_id, n_tokens, least, head, fall, spread (see _weights)."""
     sent = docs.sparkSession.sparkContext.broadcast((np.minimum(raw, 2**31 - 1).astype(np.int32), log_ratios(raw, target)))
-    schema = fields(("doc_id", id_type(docs)), ("n_tokens", "long"), ("log_weight", "double"))
+    schema = fields(("doc_id", id_type(docs)), ("n_tokens", "long"), *((n, "double") for n in ("least", "head", "fall", "spread")))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         counts, ratio = sent.value
         for i, j, slots, known, tokens in features(batch.column(1)):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), pa.array(np.diff(tokens)), pa.array(_weights(counts, ratio, slots, known, tokens, window))], names=schema.names
-            )
+            found = [pa.array(c) for c in _weights(counts, ratio, slots, known, tokens, window)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(tokens)), *found], names=schema.names)
 
     return map_arrow(docs.select("doc_id", "text"), run, schema)
 
 
+def length_null(scored: DataFrame, labels: DataFrame, window: int = WINDOW) -> tuple[float, float]:
+    """Of good labelled documents: the mean value of a token, and the change of the least sum by each doubling of the length (0 at most).
+
+    Summed as whole millionths, so that the order of rows doesn't matter."""
+    parts = [F.sum(F.round(F.col(c) * 1_000_000).cast("long")) / 1_000_000 for c in ("head", "fall", "spread")]
+    head, fall, spread, n = scored.join(labels.where("good"), "doc_id").agg(*parts, F.sum(F.least("n_tokens", F.lit(window)))).first()
+    return head / n if n else 0.0, fall / spread if spread else 0.0
+
+
+def levelled(scored: DataFrame, mean: float, slope: float, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_tokens, log_weight. A sum over fewer than `window` tokens is brought to the spread of `window`; 0 without tokens."""
+    taken, doublings = F.least("n_tokens", F.lit(window)), F.log2(F.greatest(F.col("n_tokens") / window, F.lit(1.0)))
+    level = (F.col("least") - taken * mean) / F.sqrt(taken / window) - doublings * slope
+    return scored.select("doc_id", "n_tokens", F.when(F.col("n_tokens") > 0, F.round(level, 6)).otherwise(0.0).alias("log_weight"))
+
+
 def threshold(scored: DataFrame, labels: DataFrame) -> float:
     """The log weight that parts good from other labelled documents with the least balanced error; -inf if one kind is absent.
 
@@ -235,6 +261,7 @@ def resample(docs: DataFrame, labels: DataFrame, sample: int = FIT, window: int
     held = F.pmod(F.xxhash64("doc_id", F.lit(37)), F.lit(4)) == 3
     raw, target = fit(docs, known.where(~held), sample)
     scored = materialise(score(docs, raw, target, window))
+    scored = levelled(scored, *length_null(scored, known.where(held), window), window)
     least = threshold(scored, known.where(held))
     counted = scored.agg(F.count("*").alias("n"), F.count_if(F.col("log_weight") >= least).alias("k")).first()
     return gumbel_top_k(scored, counted["k"], counted["n"], sharpness)

@@ -183,6 +183,33 @@ def test_quality_parts_planted_documents(spark):
     assert sum(i in kept for i, t in truth.items() if not t) <= 0.03 * (len(truth) - len(good))
 
 
+def planted_lengths(spark, n=3000, seed=5):
+    """Good and bad documents of 2 to 4,000 words; 3 % of the words of good text and 60 % of those of bad text are shouted."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice(("ka", "lo", "mi", "ter", "en", "sou", "ri", "da")) for _ in range(rng.randint(1, 4))) for _ in range(3000)]
+    docs, labels = [], []
+    for i in range(n):
+        bad = rng.random() < 0.3
+        text = [words[int(len(words) * rng.random() ** 3)] for _ in range(int(2 ** rng.uniform(1, 12)))]
+        text = [w.upper() + "!!" if rng.random() < (0.6 if bad else 0.03) else w for w in text]
+        docs.append((i, " ".join(text), int(not bad), len(text)))
+        if i % 5 < 3:
+            labels.append((i, int(not bad), 0))
+    return spark.createDataFrame(docs, "doc_id long, text string, truth int, n int"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_quality_judges_texts_of_all_lengths_alike(spark):
+    docs, labels = planted_lengths(spark)
+    weight = {r["doc_id"]: r["log_weight"] for r in quality.resample(docs, labels).collect()}
+    rows = docs.select("doc_id", "truth", "n").collect()
+    middle = []
+    for a, b, most in ((2, 8, 0.35), (8, 32, 0.05), (32, 256, 0.05), (256, 1024, 0.05), (1024, 5000, 0.05)):
+        good, bad = ([r["doc_id"] for r in rows if r["truth"] == t and a <= r["n"] < b] for t in (1, 0))
+        assert sum(i in weight for i in good) >= 0.95 * len(good) and sum(i in weight for i in bad) <= most * len(bad)
+        middle.append(sorted(weight[i] for i in good if i in weight)[len(good) // 2])
+    assert max(middle) - min(middle) < 1.5
+
+
 def test_gumbel_top_k_takes_exactly_the_largest_keys(spark):
     scored = spark.range(5000).selectExpr("id as doc_id", "cast(id % 7 as double) as log_weight")
     keys = sorted(((r["gumbel_key"], r["doc_id"]) for r in quality.gumbel_top_k(scored, 5000, 5000).collect()), reverse=True)
