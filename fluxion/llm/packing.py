@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .support import fields, id_type, map_arrow, materialise
 
-SIZE, CLOSING = 2048, 0
+SIZE, CLOSING, ROUNDS = 2048, 0, 300
 
 
 @lru_cache(2)
@@ -229,22 +229,21 @@ class Rounding:
                     break
 
 
-def solve(histogram: dict[int, int], size: int = SIZE, rounds: int | None = None) -> Plan:
-    """Rounded solution for the histogram length -> number of pieces. Four roundings are made: whole multiples, then the fullest configurations
-    or the longest piece first; the latter without them; and it again with lengths as worths. The one of fewest sequences counts."""
+def solve(histogram: dict[int, int], size: int = SIZE, rounds: int = ROUNDS) -> Plan:
+    """Rounded solution for the histogram length -> number of pieces. Two roundings are made, both from the fractional solution and its duals:
+    whole multiples, then the fullest configurations or the longest piece first. The one of fewer sequences counts."""
     lengths = np.array(sorted(n for n in histogram if n < size), np.int64)
     demand = np.array([histogram[int(n)] for n in lengths], np.int64)
     full = int(histogram.get(size, 0))
     bound, best = 0.0, Rounding(lengths, demand, size)
     if len(lengths):
-        pool, y, bound = multiplicative_weights(lengths, demand.astype(float), size, rounds or (300 if len(lengths) <= 256 else 60))
+        pool, y, bound = multiplicative_weights(lengths, demand.astype(float), size, rounds)
         y = np.maximum(y, 1e-6 * lengths)
         tries = []
-        for worth, whole, fullest in ((y, True, True), (y, True, False), (y, False, False), (lengths / size, False, False)):
+        for rest in (Rounding.fullest_first, Rounding.longest_first):
             r = Rounding(lengths, demand, size)
-            if whole:
-                r.whole_multiples(pool, worth)
-            (r.fullest_first if fullest else r.longest_first)(worth)
+            r.whole_multiples(pool, y)
+            rest(r, y)
             tries.append(r)
         best = min(tries, key=lambda r: r.used)
     out: list[tuple[int, int, int, int, int]] = []
@@ -262,7 +261,7 @@ def solve(histogram: dict[int, int], size: int = SIZE, rounds: int | None = None
     return Plan(*table.T, sequences=at, bound=bound + full)
 
 
-def pack(docs: DataFrame, path: str, size: int = SIZE, rounds: int | None = None, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, size: int = SIZE, rounds: int = ROUNDS, keep_ids: bool = False) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32 (and ids), sequence_id, offset."""
     cut = materialise(pieces(docs, path, size, keep_ids))
     counts = materialise(cut.groupBy("part", "length").count())

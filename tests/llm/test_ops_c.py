@@ -139,6 +139,25 @@ def test_configuration_program(seed):
         assert plan.sequences == 70
 
 
+def test_every_rounding_starts_from_the_fractional_solution(monkeypatch):
+    """Whatever the number of lengths: as many rounds, and no rounding without the pool and its duals."""
+    rounds, whole, rest = [], [], []
+    solved, multiples = packing.multiplicative_weights, packing.Rounding.whole_multiples
+
+    def solving(lengths, demand, size, n):
+        rounds.append(n)
+        return solved(lengths, demand, size, 4)
+
+    monkeypatch.setattr(packing, "multiplicative_weights", solving)
+    monkeypatch.setattr(packing.Rounding, "whole_multiples", lambda self, pool, y: (whole.append((id(self), y.tobytes())), multiples(self, pool, y))[1])
+    for name in ("fullest_first", "longest_first"):
+        own = getattr(packing.Rounding, name)
+        monkeypatch.setattr(packing.Rounding, name, lambda self, y, own=own: (rest.append((id(self), y.tobytes())), own(self, y))[1])
+    for most in (20, 400):
+        assert packing.solve({n: 3 for n in range(1, most)}, 512).sequences >= 3 * most * (most - 1) / 2 / 512
+    assert rounds[0] == rounds[1] and rest and rest == whole
+
+
 def test_multiplicative_weights_cover_all_demand():
     lengths, demand = np.array([3, 5, 7, 11]), np.array([10.0, 20.0, 5.0, 8.0])
     pool, y, bound = packing.multiplicative_weights(lengths, demand, 16)
