@@ -5,7 +5,7 @@
 frames of the highest bitrate and the rest into the smallest frame that takes it, hence the variable bitrate.
 
 `probe` reads a file without trusting it: it skips tags, resynchronises on frame headers (a header counts if the frame it
-announces is followed by another header of the same stream, a tag or the end), checks CRCs, parses Xing/Info and VBRI
+announces is followed by another header of the same stream, a tag or the end), checks CRCs of all layers, parses Xing/Info and VBRI
 tables and the ID3v2 text frames, and returns exact durations (samples and rate) and the byte offset of every frame.
 
 Defined cases: null text is empty; its payload is 64 zero bytes. Null media, or media without a frame, gives zero frames,
@@ -91,13 +91,51 @@ _CRC = _crc_table()
 
 @lru_cache(4096)
 def crc16(data: bytes) -> int:
-    """CRC-16 of the standard (polynomial 0x8005, start 0xFFFF), over the header's last two bytes and the side information."""
+    """CRC-16 of the standard (polynomial 0x8005, start 0xFFFF)."""
     c = 0xFFFF
     for b in data:
         c = c << 8 & 0xFFFF ^ _CRC[c >> 8 ^ b]
     return c
 
 
+def _widths(h: Header) -> tuple[int, ...]:
+    """Bits of the allocation of each subband, layers I and II."""
+    if h.layer == 1:
+        return (4,) * 32
+    if h.version != 3:
+        return (4,) * 4 + (3,) * 7 + (2,) * 19
+    kbps = h.kbps if h.mono else h.kbps // 2
+    if 56 <= kbps <= 80 or h.rate == 48000 and kbps >= 56:
+        return (4,) * 11 + (3,) * 12 + (2,) * 4
+    if kbps >= 96:
+        return (4,) * 11 + (3,) * 12 + (2,) * 7
+    return (4,) * 2 + (3,) * (6 if h.rate != 32000 else 10)
+
+
+def checksum(frame: bytes, h: Header) -> int | None:
+    """The CRC that a protected frame should have: over the header's last two bytes and the side information (layer III), the bit
+    allocation (layer I), or the bit allocation and scfsi (layer II). None if the frame is too short to hold them."""
+    if h.layer == 3:
+        return crc16(frame[2:4] + frame[6 : 6 + h.side])
+    bits, size, at, scfsi = int.from_bytes(frame[6:], "big"), 8 * (len(frame) - 6), 0, 0
+    channels, mode = 1 if h.mono else 2, frame[3] >> 6
+    bound = 4 * (frame[3] >> 4 & 3) + 4 if mode == 1 else 32
+    for band, width in enumerate(_widths(h)):
+        for _ in range(channels if band < bound else 1):  # above the bound both channels share one
+            at += width
+            if at > size:
+                return None
+            if bits >> size - at & (1 << width) - 1:
+                scfsi += 2 * (channels if band >= bound else 1)
+    at += scfsi if h.layer == 2 else 0
+    if at > size:
+        return None
+    c = crc16(frame[2:4] + (bits >> size - at // 8 * 8).to_bytes(at // 8, "big"))
+    for k in range(at // 8 * 8, at):
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if (c >> 15) ^ (bits >> size - 1 - k & 1) else 0)
+    return c
+
+
 @lru_cache(64)
 def _frame_head(index: int) -> bytes:
     word = bytes([0xFF, 0xFA, index << 4 | 2 << 2, 0xC0])
@@ -212,9 +250,9 @@ def probe(data: bytes | None) -> Probe:
             at = to
             continue
         stream = h.stream
-        if h.protected and h.layer == 3:
+        if h.protected:
             out.crc_checked += 1
-            out.crc_bad += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) != data[at + 4] << 8 | data[at + 5]
+            out.crc_bad += checksum(data[at : at + h.size], h) != data[at + 4] << 8 | data[at + 5]
         if not out.frames:
             _read_table(data, at, h, out)
         out.offsets.append(at)

@@ -53,6 +53,38 @@ def test_mpeg_resynchronises_and_checks():
     assert mpeg_audio.crc16(b"123456789") == 0xAEE7  # CRC-16/CMS
 
 
+@pytest.mark.parametrize(
+    ("head", "allocation", "bits"),
+    [
+        ("fffe58c0", "1" * 8, 128),  # layer I, mono
+        ("fffe5800", "1" * 8, 256),  # stereo
+        ("fffe5860", "1" * 8, 176),  # joint from subband 12: 2 * 12 + 20 allocations of 4 bits
+        ("fffc48c0", "0001" + "0" * 84, 90),  # layer II, mono, 64 kbit/s: 11 * 4 + 12 * 3 + 4 * 2 bits, and scfsi of one subband
+        ("fffca8c0", "0" * 94, 94),  # 192 kbit/s: 11 * 4 + 12 * 3 + 7 * 2
+        ("fffc18c0", "0" * 38, 38),  # 32 kbit/s at 32 kHz: 2 * 4 + 10 * 3
+        ("fff444c0", "0" * 75, 75),  # MPEG-2: 4 * 4 + 7 * 3 + 19 * 2
+    ],
+)
+def test_mpeg_checks_layers_one_and_two(head, allocation, bits):
+    """A bit turned within the protected bits is seen, one behind them isn't; the checksum is bit by bit as in the standard."""
+    head = bytes.fromhex(head)
+    h = mpeg_audio.parse_header(head)
+    body = allocation.ljust(8 * (h.size - 6), "0")
+    c = 0xFFFF
+    for bit in f"{int.from_bytes(head[2:], 'big'):016b}" + body[:bits]:
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if (c >> 15) ^ int(bit) else 0)
+
+    def frame(text):
+        return head + c.to_bytes(2, "big") + int(text, 2).to_bytes(h.size - 6, "big")
+
+    def turned(k):
+        return body[:k] + "10"[int(body[k])] + body[k + 1 :]
+
+    for text, bad in ((body, 0), (turned(1), 1), (turned(bits - 1), 1), (turned(bits), 0)):
+        p = mpeg_audio.probe(frame(body) + frame(text) + frame(body))
+        assert (p.frames, p.crc_checked, p.crc_bad) == (3, 3, bad)
+
+
 def test_mpeg_other_streams():
     """A layer II stream at 44.1 kHz with padding, free of CRCs, and a VBRI table in layer III."""
     head = bytes([0xFF, 0xFD, 0xA2, 0xC0])  # layer II, 192 kbit/s, padded
