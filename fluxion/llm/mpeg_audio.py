@@ -6,10 +6,12 @@ frames of the highest bitrate and the rest into the smallest frame that takes it
 
 `probe` reads a file without trusting it: it skips tags, resynchronises on frame headers (a header counts if the frame it
 announces is followed by another header of the same stream, a tag or the end), checks CRCs of all layers, parses Xing/Info and VBRI
-tables and the ID3v2 text frames, and returns exact durations (samples and rate) and the byte offset of every frame.
+tables and the ID3v2 text frames, and returns exact durations (samples, rate, seconds) and the byte offset of every frame. The frame
+that carries the table is no sound: it counts neither as a frame nor in the duration. Encoder delay and padding, where the table's
+writer states them, are taken off the samples.
 
 Defined cases: null text is empty; its payload is 64 zero bytes. Null media, or media without a frame, gives zero frames,
-no payload and empty offsets. Equal texts give equal files. Repeated rows give repeated results; extra columns are ignored.
+no payload and empty offsets. A payload length in a tag that isn't a whole number within the file gives no payload. Equal texts give equal files. Repeated rows give repeated results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -163,9 +165,9 @@ def encode(payload: bytes) -> bytes:
     if rest:
         indexes.append(next(i for i in range(1, 15) if _SIZES[i] - _HEAD >= rest))
     table_index = next(i for i in range(1, 15) if _SIZES[i] - _HEAD >= 120)
-    count = len(indexes) + 1
+    count = len(indexes)
     total = _SIZES[table_index] + sum(_SIZES[i] for i in indexes)
-    body, at, starts = [], 0, [0]
+    body, at, starts = [], 0, []
     for k, i in enumerate(indexes):
         starts.append(_SIZES[table_index] + k * _SIZES[14])
         piece = payload[at : at + _SIZES[i] - _HEAD]
@@ -183,8 +185,8 @@ def encode(payload: bytes) -> bytes:
 
 @dataclass
 class Probe:
-    frames: int = 0
-    samples: int = 0
+    frames: int = 0  # of sound, without the table's
+    samples: int = 0  # without encoder delay and padding
     rate: int = 0
     crc_checked: int = 0
     crc_bad: int = 0
@@ -198,7 +200,8 @@ class Probe:
     tags: dict[str, str] = field(default_factory=dict)
     offsets: list[int] = field(default_factory=list)
     heads: list[Header] = field(default_factory=list)
-    table_frame: bool = False
+    delay: int = 0
+    padding: int = 0
 
 
 def parse_id3v2(data: bytes) -> tuple[dict[str, str], int]:
@@ -253,46 +256,54 @@ def probe(data: bytes | None) -> Probe:
         if h.protected:
             out.crc_checked += 1
             out.crc_bad += checksum(data[at : at + h.size], h) != data[at + 4] << 8 | data[at + 5]
-        if not out.frames:
-            _read_table(data, at, h, out)
-        out.offsets.append(at)
-        out.heads.append(h)
-        out.frames += 1
-        out.samples += h.samples
-        out.kbps_min, out.kbps_max = min(out.kbps_min or h.kbps, h.kbps), max(out.kbps_max, h.kbps)
+        first = not out.frames and not out.table
+        if not (first and _read_table(data, at, h, out)):
+            out.offsets.append(at)
+            out.heads.append(h)
+            out.frames += 1
+            out.samples += h.samples
+            out.kbps_min, out.kbps_max = min(out.kbps_min or h.kbps, h.kbps), max(out.kbps_max, h.kbps)
         at += h.size
+    out.samples = max(0, out.samples - out.delay - out.padding)
     out.skipped += max(0, end - at)
     out.rate = stream[2] if stream else 0
     return out
 
 
-def _read_table(data: bytes, at: int, h: Header, out: Probe) -> None:
-    x = at + 4 + 2 * h.protected + h.side
-    name = data[x : x + 4]
-    if name in (b"Xing", b"Info"):
-        flags, p = int.from_bytes(data[x + 4 : x + 8], "big"), x + 8
-        out.table, out.table_frame = name.decode(), True
+def _read_table(data: bytes, at: int, h: Header, out: Probe) -> bool:
+    """Reads the table of a stream's first frame; false if it has none."""
+    if h.layer != 3:
+        return False
+    x, end = at + 4 + 2 * h.protected + h.side, at + h.size
+    word = lambda p, n=4: int.from_bytes(data[p : p + n], "big")
+    if data[x : x + 4] in (b"Xing", b"Info") and x + 8 <= end:
+        out.table, flags, p = data[x : x + 4].decode(), word(x + 4), x + 8
         if flags & 1:
-            out.table_frames, p = int.from_bytes(data[p : p + 4], "big"), p + 4
+            out.table_frames, p = word(p), p + 4
         if flags & 2:
-            out.table_bytes, p = int.from_bytes(data[p : p + 4], "big"), p + 4
+            out.table_bytes, p = word(p), p + 4
         if flags & 4:
-            out.toc = data[p : p + 100]
-    elif data[at + 36 : at + 40] == b"VBRI":
-        v = at + 36
-        out.table, out.table_frame = "VBRI", True
-        out.table_bytes, out.table_frames = int.from_bytes(data[v + 10 : v + 14], "big"), int.from_bytes(data[v + 14 : v + 18], "big")
-        entries, size = int.from_bytes(data[v + 18 : v + 20], "big"), int.from_bytes(data[v + 22 : v + 24], "big")
-        out.toc = data[v + 26 : v + 26 + entries * size]
+            out.toc, p = data[p : p + 100], p + 100
+        p += 4 * bool(flags & 8)
+        if p + 24 <= end and data[p : p + 4].isalnum():  # the writer's own part: nine bytes of name, and 12 bits each of delay and padding at byte 21
+            out.delay, out.padding = word(p + 21, 3) >> 12, word(p + 21, 3) & 0xFFF
+        return True
+    v = at + 36
+    if data[v : v + 4] == b"VBRI" and v + 26 <= end:
+        out.table, out.delay = "VBRI", 0
+        out.table_bytes, out.table_frames = word(v + 10), word(v + 14)
+        out.toc = data[v + 26 : v + 26 + word(v + 18, 2) * word(v + 22, 2)]
+        return True
+    return False
 
 
 def payload_of(data: bytes | None, found: Probe) -> bytes:
-    """Ancillary bytes of the frames after the table's, up to the length that the tag names."""
-    if not data or "payload_bytes" not in found.tags:
+    """Ancillary bytes of the frames of sound, up to the length that the tag names."""
+    said = found.tags.get("payload_bytes", "")
+    if not data or not (said.isascii() and said.isdigit()) or len(said) > 18 or int(said) > len(data):
         return b""
-    own = zip(found.offsets[found.table_frame :], found.heads[found.table_frame :], strict=True)
-    parts = [data[a + 4 + 2 * h.protected + h.side : a + h.size] for a, h in own]
-    return b"".join(parts)[: int(found.tags["payload_bytes"])]
+    parts = [data[a + 4 + 2 * h.protected + h.side : a + h.size] for a, h in zip(found.offsets, found.heads, strict=True)]
+    return b"".join(parts)[: int(said)]
 
 
 def padded(text: bytes) -> bytes:
@@ -319,7 +330,7 @@ def probe_media(media: DataFrame, *keep: str) -> DataFrame:
     own = [(f.name, f.dataType) for f in media.select(*keep).schema]
     schema = fields(
         *own, ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string"),
-        ("frames", "long"), ("samples", "long"), ("sample_rate", "int"), ("crc_bad", "long"), ("skipped_bytes", "long"), ("seek_offsets", "array<long>"), ("tags", "map<string,string>"),
+        ("frames", "long"), ("samples", "long"), ("sample_rate", "int"), ("seconds", "double"), ("crc_bad", "long"), ("skipped_bytes", "long"), ("seek_offsets", "array<long>"), ("tags", "map<string,string>"),
     )
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -337,10 +348,10 @@ def probe_media(media: DataFrame, *keep: str) -> DataFrame:
                 )
                 rows.append(
                     (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data or b""), hashlib.sha256(data or b"").hexdigest(), feature,
-                     p.frames, p.samples, p.rate, p.crc_bad, p.skipped, p.offsets, list(p.tags.items()))
+                     p.frames, p.samples, p.rate, p.samples / p.rate if p.rate else 0.0, p.crc_bad, p.skipped, p.offsets, list(p.tags.items()))
                 )
             i64, s, i32 = pa.int64(), pa.string(), pa.int32()
-            kinds = (i64, s, i64, i64, s, s, i64, i64, i32, i64, i64, pa.list_(i64), pa.map_(s, s))
+            kinds = (i64, s, i64, i64, s, s, i64, i64, i32, pa.float64(), i64, i64, pa.list_(i64), pa.map_(s, s))
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], *columns], names=schema.names)
 

@@ -42,8 +42,9 @@ def test_mpeg_resynchronises_and_checks():
     media = mpeg_audio.encode(padded("a" * 5000))
     whole = mpeg_audio.probe(media)
     assert whole.samples == whole.frames * 1152 and whole.table == "Xing" and whole.table_frames == whole.frames
-    assert whole.offsets[0] + whole.table_bytes == len(media) - 128 and len(whole.toc) == 100
-    at = whole.offsets[2]
+    start = 10 + int.from_bytes(media[8:10], "big")  # the tag is short
+    assert start + whole.table_bytes == len(media) - 128 and len(whole.toc) == 100 and whole.offsets[0] > start
+    at = whole.offsets[1]
     damaged = mpeg_audio.probe(media[:at] + b"\xff\xfb\x00junk" + media[at:])
     assert damaged.frames >= whole.frames - 1 and damaged.skipped >= 7
     broken = bytearray(media)
@@ -98,7 +99,49 @@ def test_mpeg_other_streams():
     body[32:36] = b"VBRI"
     body[32 + 10 : 32 + 18] = (1234).to_bytes(4, "big") + (7).to_bytes(4, "big")
     p = mpeg_audio.probe(head + bytes(body) + (head + bytes(h.size - 4)) * 2)
-    assert (p.table, p.table_bytes, p.table_frames, p.frames) == ("VBRI", 1234, 7, 3)
+    assert (p.table, p.table_bytes, p.table_frames, p.frames) == ("VBRI", 1234, 7, 2)
+
+
+def walk(data):
+    """Frames of layer III at 32 kHz mono, one after the other, read without the module: (offset, kbit/s)."""
+    kbps = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
+    at = 10 + sum((b & 127) << 7 * k for k, b in enumerate(reversed(data[6:10])))
+    while data[at : at + 3] != b"TAG":
+        k = kbps[data[at + 2] >> 4]
+        yield at, k
+        at += 144 * 1000 * k // 32000
+
+
+@pytest.mark.parametrize("n", [0, 1, 500, 1396, 1397, 1398, 5000, 123_456])
+def test_mpeg_durations_and_offsets_against_a_plain_walk(n):
+    """The frame with the table is no sound: as many frames as the payload needs, and their offsets, rates and seconds."""
+    media = mpeg_audio.encode(padded("x" * n))
+    frames = list(walk(media))[1:]
+    p = mpeg_audio.probe(media)
+    assert p.offsets == [a for a, _ in frames] and (p.kbps_min, p.kbps_max) == (min(k for _, k in frames), max(k for _, k in frames))
+    assert p.frames == p.table_frames == len(frames) and p.samples == 1152 * len(frames) and p.tags["TLEN"] == str(36 * len(frames))
+    assert b"".join(media[a + 23 : a + 144000 * k // 32000] for a, k in frames)[: len(padded("x" * n))] == padded("x" * n)
+
+
+def test_mpeg_table_of_another_writer():
+    """Info table with frames and bytes only, and a writer's part with delay 576 and padding 1,000: 5 frames of sound."""
+    head = bytes([0xFF, 0xFB, 0x90, 0xC0])  # layer III, 128 kbit/s, 44.1 kHz, mono
+    size = mpeg_audio.parse_header(head).size
+    table = b"Info" + (3).to_bytes(4, "big") + (5).to_bytes(4, "big") + (6 * size).to_bytes(4, "big")
+    writer = b"LAME3.100" + bytes(12) + (576 << 12 | 1000).to_bytes(3, "big")
+    first = (head + bytes(17) + table + writer).ljust(size, b"\0")
+    p = mpeg_audio.probe(first + (head + bytes(size - 4)) * 5)
+    assert (p.frames, p.samples, p.delay, p.padding, p.table_frames, p.offsets[0]) == (5, 5 * 1152 - 1576, 576, 1000, 5, size)
+    plain = mpeg_audio.probe((head + bytes(17) + table).ljust(size, b"\0") + (head + bytes(size - 4)) * 5)
+    assert (plain.frames, plain.samples, plain.delay) == (5, 5 * 1152, 0)
+
+
+@pytest.mark.parametrize("said", ["abc", "-5", "", "9" * 30, "999999", "1e3", "٣"])
+def test_mpeg_hostile_payload_lengths(said, spark):
+    body = b"\3payload_bytes\0" + said.encode()
+    tags = b"TXXX" + len(body).to_bytes(4, "big") + b"\0\0" + body
+    media = b"ID3\x03\0\0" + mpeg_audio._synchsafe(len(tags)) + tags + mpeg_audio.encode(padded("abc"))[10:]
+    assert mpeg_audio.payload_of(media, mpeg_audio.probe(media)) == b""
 
 
 def test_language_accuracy(spark, data):
