@@ -11,7 +11,8 @@
    per-partition counts, without gathering a length in one task: the pieces of one length may be a third of all.
 
 Ids are those of the byte-level BPE of `tokenizers`; the faster encoder of `tiktoken` with the same vocabulary gives the
-same ids (tests compare the two), with the text `<|endoftext|>` as its special id as there.
+same ids (tests compare the two), with the text `<|endoftext|>` as its special id as there. Its pattern backtracks over white
+space, so that texts with a very long run of it are left to `tokenizers`.
 
 Defined cases: null and empty text are one piece holding id 0 only. Repeated rows are pieces of their own. A row with null
 doc_id is packed as well. An empty table gives an empty result.
@@ -20,6 +21,7 @@ doc_id is packed as well. An empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 from .support import fields, id_type, map_arrow, materialise
 
 SIZE, CLOSING, ROUNDS = 2048, 0, 300
+_BLANKS = re.compile(r"\s{100000}")
 
 
 @lru_cache(2)
@@ -40,19 +43,29 @@ def encoder(path: str):
     """The encoder of a tokenizer file's path (`….json`), through the ranks file beside it if there is one."""
     import os
 
-    ranks = path.removesuffix(".json") + ".tiktoken"
-    if path.endswith(".json") and os.path.exists(ranks):
-        import public_tokenizers
-        import tiktoken
-
-        with open(ranks, "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={"<|endoftext|>": len(table)})
-        return lambda text: fast.encode(text, allowed_special="all")
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
-    return lambda text: slow.encode(text, add_special_tokens=False).ids
+    @lru_cache(1)
+    def exact():
+        return Tokenizer.from_file(path)
+
+    slow = lambda text: exact().encode(text, add_special_tokens=False).ids
+    ranks = path.removesuffix(".json") + ".tiktoken"
+    if not path.endswith(".json") or not os.path.exists(ranks):
+        return slow
+    import public_tokenizers
+    import tiktoken
+
+    with open(ranks, "rb") as f:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={"<|endoftext|>": len(table)})
+
+    def encode(text: str) -> list[int]:
+        if len(text) >= 100_000 and _BLANKS.search(text):
+            return slow(text)
+        return fast.encode(text, allowed_special="all")
+
+    return encode
 
 
 def pieces(docs: DataFrame, path: str, size: int = SIZE, keep_ids: bool = False) -> DataFrame:
@@ -269,7 +282,8 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, rounds: int = ROUNDS, kee
     plan = solve(histogram, size, rounds)
     before = F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     ranks = counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("before"))
-    joined = cut.join(ranks, ["part", "length"]).select(*[c for c in cut.columns if c not in ("part", "rank")], (F.col("rank") + F.col("before")).alias("rank"))
+    # the table of ranks grows with the partitions: a sort-merge join, never a broadcast
+    joined = cut.join(ranks.hint("merge"), ["part", "length"]).select(*[c for c in cut.columns if c not in ("part", "rank")], (F.col("rank") + F.col("before")).alias("rank"))
     # at most size configurations with at most sqrt(2 * size) lengths each, and as many again for the rest
     sent = docs.sparkSession.sparkContext.broadcast(plan)
     schema = fields(*[(f.name, f.dataType) for f in joined.schema if f.name != "rank"], ("sequence_id", "long"), ("offset", "long"))
