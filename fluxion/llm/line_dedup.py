@@ -25,7 +25,7 @@ SPAN = 3
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, a, b: a row for every window that isn't blank."""
+    """doc_id, pos, a, b: a row for every window that isn't blank (as many for a place as rows share its doc_id)."""
     hashed = docs.where("doc_id is not null and text is not null").select(
         "doc_id", F.expr("transform(split(text, '\\n', -1), x -> struct(xxhash64(x) as a, xxhash64(x, 1) as b, trim(x) <> '' as full))").alias("l")
     )
@@ -39,7 +39,7 @@ def windows(docs: DataFrame) -> DataFrame:
             )
         ).alias("pos", "w"),
     )
-    return made.where("w.full").select("doc_id", "pos", "w.a", "w.b").distinct()
+    return made.where("w.full").select("doc_id", "pos", "w.a", "w.b")
 
 
 def later_places(docs: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def later_places(docs: DataFrame) -> DataFrame:
     found = materialise(windows(docs))
     first = found.groupBy("a", "b").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = found.join(first, ["a", "b"]).where("not (doc_id = first.doc_id and pos = first.pos)")
-    return later.groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("starts"))
+    return later.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

@@ -46,6 +46,15 @@ def test_line_dedup_on_random_texts(spark):
         assert got[i]["text"] == want[i] and got[i]["n_lines"] == len(text.split("\n")) == kept + got[i]["n_removed"]
 
 
+def test_line_dedup_of_ties_and_repeated_rows(spark):
+    """Equal windows: the first by doc_id, then by position, stays, whatever the order of rows; rows that share a doc_id are one document."""
+    w = "a\nb\nc"
+    docs = [(5, f"{w}\nx\n{w}"), (5, f"{w}\nx\n{w}"), (9, f"y\n{w}"), (2, f"z\n{w}"), (2, f"z\n{w}")]
+    for parts in (1, 4):
+        got = sorted((r["doc_id"], r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)).collect())
+        assert got == [(2, f"z\n{w}", 0)] * 2 + [(5, "x", 6)] * 2 + [(9, "y", 3)]
+
+
 def test_line_dedup_query_against_duckdb(spark, data):
     import duckdb
 
@@ -110,6 +119,12 @@ def test_packing_odd_and_empty(odd, empty, spark):
     check_packing(packing.pack(special, queries.tokenizer_path()).collect(), [tuple(r) for r in special.collect()])
 
 
+@pytest.mark.parametrize("text", [" " * 3_000_000, "\n" * 3_000_000, "a" + " \n\t" * 1_000_000 + "b", " " * 1_500_000 + "word" + "\u3000" * 1_500_000])
+def test_packing_of_long_white_space(spark, text):
+    docs = [(1, text), (2, "a word"), (3, None)]
+    check_packing(packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), queries.tokenizer_path()).collect(), docs)
+
+
 def best_fit_decreasing(h, size):
     free, bins = Counter(), 0
     for k, n in sorted(h.items(), reverse=True):
