@@ -50,7 +50,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
     Alternating large-star and small-star contraction; every round is written to the shared folder. Hubs are safe: minima
     are partial aggregates, and the join that hands them back may be split by adaptive execution. Links with a null end and
-    loops are ignored.
+    loops are ignored. Rounds grow with the logarithm of the nodes; if `most` don't do, it raises rather than return a part.
     """
     edges = materialise(_forest(edges.where("src is not null and dst is not null and src <> dst")).distinct())
     for _ in range(most):
@@ -72,5 +72,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         edges = after
         if done:
             break
+    else:
+        raise RuntimeError(f"components are not complete after {most} rounds")
     roots = edges.select("dst").distinct()
     return materialise(edges.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(roots.select("dst", F.col("dst"))))

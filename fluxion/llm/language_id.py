@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import mix
-from .support import crc32_text, fields, id_type, map_arrow
+from .support import crc32_text, fields, id_type, map_arrow, sampled
 
 DIMENSIONS, MAX_LANGUAGES, SLICE = 1024, 5000, 1_000_000
 #: Rows to learn from, about: all if there are fewer, else a share of them by hash of doc_id.
@@ -169,8 +169,6 @@ def held_out() -> F.Column:
 def language_id(docs: DataFrame, sample: int = SAMPLE, dimensions: int = DIMENSIONS) -> DataFrame:
     """Learns from rows whose crc32(doc_id as text) modulo 4 isn't 2, and returns doc_id, held_out, lang_pred, score, cosine of all rows."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    share = min(1.0, sample / max(1, rows.count()))
-    if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(29)), F.lit(1_000_000)) < int(share * 1_000_000))
+    rows = rows.where(sampled("doc_id", 29, sample, rows.count()))
     names, prototypes = learn(rows, dimensions)
     return identify(docs, names, prototypes).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "cosine")

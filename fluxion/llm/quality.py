@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .support import fields, id_type, map_arrow, materialise
+from .support import fields, id_type, map_arrow, materialise, sampled
 
 WORD_BITS, PREFIX_BITS, SHAPE_BITS = 19, 18, 16
 PREFIX, PRIOR, WINDOW, SHARPNESS, FIT = 4, 3.0, 8, 16.0, 30_000
@@ -120,8 +120,7 @@ def _good(labels: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = FIT) -> tuple[np.ndarray, np.ndarray]:
     """Counts of raw and target features, over all tables side by side. labels: doc_id, good."""
-    share = min(1.0, sample / max(1, labels.count()))
-    chosen = labels.where("good").where(F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = labels.where("good").where(sampled("doc_id", 31, sample, labels.count()))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "good")), "doc_id", "left").select("text", "good")  # about `sample` ids at most
     schema = fields(("slot", "int"), ("raw", "long"), ("target", "long"))
 

@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests on one machine), one of our own."""
+    """The folder named by spark.checkpoint.dir; where that is unset, one of our own, if all runs on one machine as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = spark.conf.get("spark.fluxion.scratch", None)
         if not found:
             found = tempfile.mkdtemp(prefix="fluxion-")
@@ -39,6 +41,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sampled(column: str, salt: int, sample: int, count: int) -> F.Column:
+    """True for about `sample` of `count` rows, by a hash of the column; for all if there are no more."""
+    return F.lit(True) if count <= sample else F.pmod(F.xxhash64(column, F.lit(salt)), F.lit(1 << 62)) < F.lit(share(sample, count))
+
+
+def share(sample: int, count: int) -> int:
+    """sample / count in parts of 2**62, one part at least."""
+    return max(1, (sample << 62) // max(1, count))
+
+
 def id_type(df: DataFrame, name: str = "doc_id") -> T.DataType:
     return df.schema[name].dataType
 
@@ -62,11 +74,5 @@ def fields(*of: tuple[str, T.DataType | str]) -> T.StructType:
     return T.StructType([T.StructField(n, T._parse_datatype_string(t) if isinstance(t, str) else t) for n, t in of])
 
 
-def with_column_free(df: DataFrame, *names: str) -> DataFrame:
-    """df without columns of these names (compared without case), so that results can be joined on under them."""
-    taken = {n.lower() for n in names}
-    return df.drop(*[c for c in df.columns if c.lower() in taken])
-
-
 def crc32_text(column) -> F.Column:
     return F.crc32(column.cast("string").cast("binary"))

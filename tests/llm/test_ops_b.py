@@ -151,6 +151,32 @@ def test_components_of_random_graphs(spark):
     assert components(frame.limit(0)).count() == 0
 
 
+def test_components_of_a_long_path_raise_rather_than_stop(spark):
+    path = [(k * 7919 % 1000, (k + 1) * 7919 % 1000) for k in range(999)]
+    frame = spark.createDataFrame(path, "src long, dst long").repartition(50, "src")
+    with pytest.raises(RuntimeError):
+        components(frame, most=1)
+    assert components(frame).agg(F.count("*"), F.max("component")).first() == (1000, 0)
+
+
+def test_shares_of_huge_tables_are_not_none(spark):
+    from fluxion.llm.support import sampled, share, shared_folder
+
+    assert share(20_000, 10**11) > 0 and share(20_000, 10**18) > 0 and abs(share(3, 4) / (1 << 62) - 0.75) < 1e-9
+    ids = spark.range(10_000).withColumnRenamed("id", "doc_id")
+    assert ids.where(sampled("doc_id", 1, 5000, 10_000)).count() == pytest.approx(5000, abs=300) and ids.where(sampled("doc_id", 1, 10_000, 10_000)).count() == 10_000
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        shared_folder(Cluster)
+
+
 # --- quality
 
 
