@@ -43,6 +43,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
+_HEX = re.compile(r"[0-9a-fA-F]+")
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -118,7 +119,6 @@ _SIGN = re.compile(r"[0-9@=]")
 _SPACE = re.compile(r"\s")
 _TOKEN = re.compile(r"\S+")
 _TRIM_LEFT, _TRIM_RIGHT = "\"'`([{<,;:.", "\"'`)]}>,;:.!?"
-_LONGEST = 200  # a token beyond this many characters is described by its beginning and its length
 
 
 def regions(text: str, room: int = 3) -> Iterator[list[tuple[int, int]]]:
@@ -157,7 +157,7 @@ def _before(text: str, at: int, n: int, least: int) -> list[tuple[int, int]]:
         while end > least and text[end - 1].isspace():
             end -= 1
         start = end
-        while start > least and not text[start - 1].isspace() and end - start < _LONGEST:
+        while start > least and not text[start - 1].isspace():
             start -= 1
         if start == end:
             break
@@ -187,22 +187,22 @@ def _class(c: str) -> str:
     return "0" if "0" <= c <= "9" else "A" if "A" <= c <= "Z" else "a" if c.isalpha() else c
 
 
+_RUNS = re.compile(r"([0-9]+)|([A-Z]+)|([^\W\d_A-Z]+)|(.)\4*", re.DOTALL)
+
+
 def shape(span: str) -> str:
-    out: list[str] = []
-    for c in span[:_LONGEST]:
-        k = _class(c)
-        if not out or out[-1] != k:
-            out.append(k)
-    return "".join(out[:20])
+    """The kinds of a span's runs of equal kind, all of it; of a span of more than 20 runs, which kinds there are."""
+    runs = ["0" if m.group(1) else "A" if m.group(2) else "a" if m.group(3) else m.group(4) for m in _RUNS.finditer(span)]
+    return "".join(runs) if len(runs) <= 20 else f"many {''.join(sorted(set(runs)))[:8]}"
 
 
 def segment_features(text: str, tokens: list[tuple[int, int]], a: int, b: int) -> list[str]:
     """Names of the features of the segment of tokens a to b (exclusive) as a whole."""
     start, end = trimmed(text, tokens[a][0], tokens[b - 1][1])
-    span = text[start:end][:_LONGEST]
+    span = text[start:end]
     digits = _NOT_DIGIT.sub("", span)
     key, sign, value = span.partition("=")
-    before = text[slice(*tokens[a - 1])].lower()[:20].strip(_TRIM_LEFT + _TRIM_RIGHT) if a else "^"
+    before = text[slice(*tokens[a - 1])].lower().strip(_TRIM_LEFT + _TRIM_RIGHT) if a else "^"
     out = [f"n={b - a}", f"shape={shape(span)}", f"digits={min(len(digits), 20)}", f"long={min(6, (end - start) // 8)}", f"before={before if before in _CUES else _class(before[:1]) if before else '-'}"]
     if digits and len(digits) == len(span.replace(" ", "").replace("-", "")):
         out.append(f"number;luhn={luhn(digits)};n={13 < len(digits) < 20}")
@@ -216,7 +216,7 @@ def segment_features(text: str, tokens: list[tuple[int, int]], a: int, b: int) -
         out.append(f"key={key.lower() if key.lower() in _CUES else '?'};value={len(value) >= 6}")
     core = value if sign else span
     if len(core) >= 12 and core.isascii() and core.isalnum() and digits and len(digits) < len(core):
-        out.append(f"mixed;hex={all(c in '0123456789abcdefABCDEF' for c in core)};upper={core.isupper()};len={min(5, len(core) // 8)}")
+        out.append(f"mixed;hex={_HEX.fullmatch(core) is not None};upper={core.isupper()};len={min(5, len(core) // 8)}")
     return out
 
 
