@@ -7,11 +7,14 @@
    member is compared with all members on full sets: as many pairs as members, whatever the bucket's size.
 4. Links found so are contracted to components. Buckets that still hold several components besides their leader are dealt
    out in blocks of some `block` members and BLOCK_SHINGLES shingles, and blocks of the leader's component meet blocks of the
-   others, and these one another. Pairs across components whose signatures agree in LEAST_ESTIMATE of their positions or more
-   (five standard deviations below the similarity asked for) are compared on full sets. So no task gets a whole hot bucket.
+   others, and these one another. Pairs across components whose signatures agree in `estimate` of their positions or more are
+   compared on full sets; 0 compares all. LEAST_ESTIMATE lies five standard deviations below the similarity asked for: it
+   passes over one pair in two million at 0.75, a fortieth of those that share no bucket. So no task gets a whole hot bucket.
 5. Components of all links give component_id.
 
 A pair at similarity s shares a bucket with probability 1 - (1 - s**rows)**bands: 0.99998 at 0.75, 0.9999999 at 0.8.
+Full sets are sets of 64-bit hashes of whole shingles: two different shingles of a pair of documents agree by chance once in
+2**64 pairs of shingles.
 
 Defined cases: null, empty or blank text has an empty set and links with nothing. Rows that share a doc_id are one document.
 A row with null doc_id can't be named by others: it is never linked, component_id is null and kept is true. Extra columns
@@ -81,20 +84,24 @@ def sketches(docs: DataFrame, rows: int = ROWS, bands: int = BANDS, shingle: int
     return map_arrow(docs.select("doc_id", "text"), sketch, schema)
 
 
-#: A fixed 2**23 bits, whatever the number of ids: more ids only let more rows through to the exact join.
-_FILTER_BITS = 1 << 23
+#: Bits of the filter of ids, by their number: 16 for each, within these; more ids only let more rows through to the exact join.
+_FILTER_BITS = (1 << 20, 1 << 26)
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """A bit for hash(id) modulo 2**23, gathered as at most 2**17 words of 64 bits: 1 MB at most."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER_BITS))
+def _bits(count: int) -> int:
+    return min(_FILTER_BITS[1], max(_FILTER_BITS[0], 1 << (16 * count).bit_length()))
+
+
+def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
+    """A bit for hash(id) modulo `bits`, gathered as at most 2**20 words of 64 bits: 8 MB at most."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
     found = (
-        ids.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) as int))").alias("b"))
+        ids.select(F.shiftright(slot, 6).alias("w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) as int))").alias("b"))
         .groupBy("w")
         .agg(F.expr("bit_or(b)").alias("b"))
         .toPandas()
     )
-    out = np.zeros(_FILTER_BITS // 64, np.int64)
+    out = np.zeros(bits // 64, np.int64)
     out[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
     return out
 
@@ -102,12 +109,13 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and shingles (sorted 64-bit hashes as bytes) of the documents whose ids are in wanted (distinct doc_id).
 
-    A broadcast bitmap of fixed size keeps other texts out of the shuffle; the exact semi-join follows.
+    A broadcast bitmap of bounded size keeps other texts out of the shuffle; the exact semi-join follows.
     """
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_bitmap(wanted))
+    size = _bits(wanted.count())
+    bits = spark.sparkContext.broadcast(_bitmap(wanted, size))
     schema = fields(("doc_id", id_type(docs)), ("shingles", "binary"))
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER_BITS))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(size))
     source = docs.where(F.col("doc_id").isNotNull()).select(
         "doc_id", "text", F.shiftright(slot, 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) as int))").alias("b")
     )
@@ -151,7 +159,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(joined.select("src", "dst", "a", "b"), test, schema)
 
 
-def _across(entries: DataFrame, sets: DataFrame, percent: int, rows: int, bands: int, block: int) -> DataFrame:
+def _across(entries: DataFrame, sets: DataFrame, percent: int, rows: int, bands: int, estimate: float) -> DataFrame:
     """Links between components within buckets.
 
     entries: key, doc_id, comp, major (the component of the bucket's leader), n1 and n2 (blocks of that and of the other
@@ -195,7 +203,7 @@ def _across(entries: DataFrame, sets: DataFrame, percent: int, rows: int, bands:
         for a in np.flatnonzero(side == 1).tolist() if kind == 0 else range(len(ids)):
             with_ = np.flatnonzero(side == 0) if kind == 0 else a + 1 + np.flatnonzero(side[a + 1 :] != side[a]) if p != q else np.arange(a + 1, len(ids))
             with_ = with_[100 * np.minimum(size[with_], size[a]) >= percent * np.maximum(size[with_], size[a])]
-            with_ = with_[(short[with_] == short[a]).mean(axis=1) >= LEAST_ESTIMATE] if len(with_) else with_
+            with_ = with_[(short[with_] == short[a]).mean(axis=1) >= estimate] if len(with_) else with_
             if before.shape[1] and len(with_):
                 with_ = with_[~(before[with_] == before[a]).any(axis=1)]
             for b in with_.tolist():
@@ -211,7 +219,7 @@ def _across(entries: DataFrame, sets: DataFrame, percent: int, rows: int, bands:
 
 
 def near_duplicates(
-    docs: DataFrame, rows: int = ROWS, bands: int = BANDS, shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK
+    docs: DataFrame, rows: int = ROWS, bands: int = BANDS, shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, estimate: float = LEAST_ESTIMATE
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
     sketch = materialise(sketches(docs, rows, bands, shingle))
@@ -231,24 +239,26 @@ def near_duplicates(
     links = materialise(_verify(pairs, sets, percent))
     comps = components(links)
     comp = comps.select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
-    rest = materialise(
-        members.where("members > 2").join(comp, "doc_id", "left").select("key", "doc_id", "n_shingles", "leader", F.coalesce("comp", "doc_id").alias("comp"))
-    )
-    mixed = rest.groupBy("key", "leader").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", F.col("leader").alias("doc_id"))
-    mixed = mixed.join(comp, "doc_id", "left").select("key", F.coalesce("comp", "doc_id").alias("major"))
-    mine = F.col("comp") == F.col("major")
+    named = lambda column: F.coalesce("comp", column)
+    rest = materialise(members.where("members > 2").join(comp, "doc_id", "left").select("key", "doc_id", "n_shingles", named("doc_id").alias("comp")))
+    # counted within tasks by (bucket, component) before anything is put together by bucket
+    counted = materialise(rest.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")))
+    several = counted.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    leaders = buckets.where("members > 2").join(several, "key", "left_semi").select("key", F.col("leader").alias("doc_id"))
+    majors = materialise(leaders.join(comp, "doc_id", "left").select("key", named("doc_id").alias("major")))
+    sizes = counted.join(majors, "key").select("key", "major", (F.col("comp") == F.col("major")).alias("mine"), "n", "s")
     blocks = [
-        F.greatest(F.ceil(F.count_if(which) / block), F.ceil(F.sum(F.when(which, F.col("n_shingles")).otherwise(0)) / BLOCK_SHINGLES)).cast("int").alias(n)
-        for n, which in (("n1", mine), ("n2", ~mine))
+        F.greatest(F.ceil(F.sum(F.when(which, F.col("n")).otherwise(0)) / block), F.ceil(F.sum(F.when(which, F.col("s")).otherwise(0)) / BLOCK_SHINGLES)).cast("int").alias(n)
+        for n, which in (("n1", F.col("mine")), ("n2", ~F.col("mine")))
     ]
-    mixed = materialise(rest.join(mixed, "key").groupBy("key", "major").agg(*blocks))
-    more = materialise(_across(rest.drop("leader", "n_shingles").join(mixed, "key"), sets, percent, rows, bands, block))
+    mixed = materialise(materialise(sizes).groupBy("key", "major").agg(*blocks))
+    more = materialise(_across(rest.drop("n_shingles").join(mixed, "key"), sets, percent, rows, bands, estimate))
     comps = components(links.union(more))
-    named = classes.drop("bands").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    classed = classes.drop("bands").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     # written out first, so that both sides of the last join are plain exchanges and a hot class can be split
-    named = materialise(named.select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component")))
+    classed = materialise(classed.select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component")))
     return (
-        sketch.join(named, ["set_a", "set_b", "n_shingles"], "left")
+        sketch.join(classed, ["set_a", "set_b", "n_shingles"], "left")
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
         .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
     )

@@ -117,8 +117,10 @@ def test_near_duplicates_of_a_large_group(spark):
         docs.append((i, " ".join(own)))
     docs += [(1000 + i, " ".join(word() for _ in range(50))) for i in range(30)]
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(frame, block=16).collect()}
-    assert got == brute_components(docs)
+    want = brute_components(docs)
+    for estimate in (near_dup.LEAST_ESTIMATE, 0.0):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(frame, block=16, estimate=estimate).collect()}
+        assert got == want
 
 
 def test_near_duplicates_odd_and_empty(odd, empty):
@@ -288,6 +290,14 @@ def test_personal_data_query(spark, data):
     assert found >= 0.9 * secrets
 
 
+def test_long_tokens_are_described_whole():
+    text = "w" * 500 + " " + "x" * 400 + "1 " + "x" * 400 + "."
+    assert personal_data._before(text, 501, 3, 0) == [(0, 500)]
+    of = lambda s: personal_data.segment_features(s, [(0, len(s))], 0, 1)
+    assert "digits=1" in of("x" * 400 + "1") and "digits=0" in of("x" * 400) and of("a" * 900 + "=secret77") != of("a" * 900 + "=secret7")
+    assert personal_data.shape("aB1" * 5) != personal_data.shape("aB1" * 5 + "-") and personal_data.shape("a1" * 50) == "many 0a" != personal_data.shape("a1" * 50 + "-")
+
+
 def test_field_on_held_out_sentences():
     field = personal_data.trained()
     right = sum(field.decode(text, tokens) == [g for g in gold if g[2] != personal_data._OTHER] for text, tokens, gold in personal_data.training_sentences(200, 77))
