@@ -6,7 +6,8 @@ broadcast filter has 16 MB at most however long the list; a longer list only let
 listed meet the list in an exact hash join on the canonical URL, which removes false positives; all others never move.
 
 Defined cases: a null url, or one without `://`, has empty host and path, fits no rule and is never listed. Repeated rows
-give repeated results. Null and repeated entries of the list change nothing. Extra columns are ignored.
+give repeated results. Null and repeated entries of the list change nothing; an empty list blocks nothing, and only rules
+decide. Extra columns are ignored. URLs are taken whole, however long.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_BLOCKS = 1 << 18
 #: Rules of the query: (verdict, rule).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Sites of the query whose pages make up its list of URLs.
-LISTED_SITES = ("spam-farm", "cheap-pills", "casino-win", "free-bets", "adult-x", "ads-track")
+#: The query's list, for want of a table of its own: the canonical URLs whose md5 begins with one of these digits, an eighth.
+LISTED_DIGITS = "01"
 TRACKING = "^(utm_[a-z]+|ref|fbclid|gclid)="
 
 
@@ -62,9 +63,9 @@ def _hashes(url: Column, blocks: int) -> tuple[Column, Column]:
     return F.pmod(F.xxhash64(url), F.lit(blocks)).cast("int"), F.xxhash64(url, F.lit(7))
 
 
-def build_filter(listed: DataFrame, count: int) -> np.ndarray:
+def build_filter(listed: DataFrame, count: int, blocks: int | None = None) -> np.ndarray:
     """The filter of the column `listed` as (blocks, 8) words; some 16 bits for each URL, up to MAX_BLOCKS blocks."""
-    blocks = min(MAX_BLOCKS, 1 << max(0, (max(1, count) * 16 // 512)).bit_length())
+    blocks = blocks or min(MAX_BLOCKS, 1 << max(0, (max(1, count) * 16 // 512)).bit_length())
     block, bits = _hashes(F.col("listed"), blocks)
     words = [F.bit_or(F.expr(f"shiftleft(1L, cast(shiftright(bits, {6 * i}) & 63 as int))")).alias(f"w{i}") for i in range(8)]
     got = listed.select(block.alias("block"), bits.alias("bits")).groupBy("block").agg(*words).toPandas()
@@ -80,10 +81,10 @@ def may_contain(words: np.ndarray, block: np.ndarray, bits: np.ndarray) -> np.nd
     return out
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict, listed (boolean). listed: a column `listed` of canonical URLs."""
+def filter_urls(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, blocks: int | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict, listed (boolean). listed: a column `listed` of canonical URLs. blocks: of the filter, by the list's size if not given."""
     listed = materialise(listed.select("listed").where("listed is not null").distinct())
-    words = build_filter(listed, listed.count())
+    words = build_filter(listed, listed.count(), blocks)
     sent = pages.sparkSession.sparkContext.broadcast(words)
     host, path, _ = parts(F.col("url"))
     url = canonical(F.col("url"))
@@ -107,10 +108,11 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str
     return found.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
 
 
-def listed_of(pages: DataFrame, sites: tuple[str, ...] = LISTED_SITES) -> DataFrame:
-    """The query's list: canonical URLs of the pages whose host has one of the sites as a label."""
-    host, _, _ = parts(F.col("url"))
-    return pages.where(host.rlike(rf"(^|[.])({'|'.join(sites)})[.]")).select(canonical(F.col("url")).alias("listed"))
+def listed_of(pages: DataFrame, digits: str = LISTED_DIGITS) -> DataFrame:
+    """A list of URLs that says nothing of hosts: canonical URLs of pages whose md5 begins with one of the digits. A host has listed and other
+    URLs, so that path and query decide, and spellings of a listed URL with another scheme, `www.`, tracking or fragment are listed as well."""
+    url = pages.select(canonical(F.col("url")).alias("listed")).where("listed is not null")
+    return url.where(F.substring(F.md5(F.col("listed").cast("binary")), 1, 1).isin(*digits))
 
 
 ORACLE_SQL = rf"""
@@ -123,7 +125,7 @@ c AS (
   SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, '(:80|:443)?$', ''), '^www[.]', '')
     || regexp_replace(regexp_replace(path, '/index[.]html?$', '/'), '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS u
   FROM b),
-l AS (SELECT DISTINCT u FROM c WHERE regexp_matches(host, '(^|[.])({"|".join(LISTED_SITES)})[.]')),
+l AS (SELECT DISTINCT u FROM c WHERE left(md5(u), 1) IN ({", ".join(f"'{d}'" for d in LISTED_DIGITS)})),
 r AS (SELECT * FROM (VALUES {", ".join(f"('{v}', '{t}', '{t.partition('/')[0]}', '/{t.partition('/')[2]}')" for v, t in RULES)}) AS r(what, rule, site, rest)),
 best AS (
   SELECT c.page_id, c.host, c.path, max_by(r.rule, length(r.rule)) AS rule, max_by(r.what, length(r.rule)) AS what

@@ -153,6 +153,46 @@ def test_language_accuracy(spark, data):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_language_against_explicit_hyperdimensional_vectors(spark):
+    """Permutation, binding and bundling letter by letter, over a few texts, with ties."""
+    import numpy as np
+
+    from fluxion.llm import language_id as L
+
+    texts = [(1, "aa ab", "x"), (2, "Ba! 7 b", "x"), (3, "ccc dcd", "y"), (4, "é É éa", "z"), (5, "aa ab", "w"), (6, "aa ab", None), (7, "?? 12", "x"), (8, None, "y"), (9, "a" * 50, None)]
+    size = 256
+
+    def vector(text):
+        clean = "".join(c.lower() if c.isalpha() else " " for c in text or "")
+        clean = " " + " ".join(clean.split()) + " "
+        out = np.zeros(size)
+        letter = lambda c: L.letter(0 if c == " " else ord(c), size).astype(float)
+        for a, b, c in zip(clean, clean[1:], clean[2:], strict=False):
+            if b != " ":
+                out += np.roll(np.roll(letter(a), 1) * letter(b), 1) * letter(c)
+        return out
+
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-12)
+    learned = {}
+    for _, t, lang in texts:
+        if lang:
+            learned[lang] = learned.get(lang, np.zeros(size)) + unit(vector(t))
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(3)
+    names, prototypes = L.learn(docs.where("lang is not null"), size)
+    assert names == sorted(learned) and np.allclose(prototypes, [unit(learned[n]) for n in names], atol=1e-5)
+    got = {r["doc_id"]: r for r in L.identify(docs, names, prototypes).collect()}
+    for i, t, _ in texts:
+        v = unit(vector(t))
+        cosine = [round(float(v @ unit(learned[n])), 5) for n in names]
+        if not v.any():
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+        else:
+            assert abs(got[i]["cosine"] - max(cosine)) < 1e-4 and abs(got[i]["score"] - (1 + max(cosine)) / 2) < 1e-4
+            assert cosine[names.index(got[i]["lang_pred"])] >= max(cosine) - 1e-4
+    tied = L.identify(docs, ["p", "q"], np.stack([prototypes[0], prototypes[0]])).where("doc_id = 1").first()
+    assert tied["lang_pred"] == "p"  # equal cosines: the language first in order
+
+
 def test_language_odd_and_empty(odd, empty):
     got = [(r["doc_id"], r["lang_pred"]) for r in language_id(odd).collect()]
     assert len(got) == 10 and {lang for i, lang in got if i in (2, 3, 4)} == {"und"}
@@ -175,6 +215,37 @@ def test_urls_odd(spark):
     assert url_filter.filter_urls(pages.limit(0), listed.limit(0)).count() == 0
 
 
+def test_path_and_query_decide_and_the_join_removes_false_positives(spark, data, monkeypatch):
+    """The list names no host: hosts have listed and other pages. A full filter lets everything through, and the join still parts them; without
+    the join the result would differ, and without the filter's pass nothing would be listed."""
+    pages = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/pages.parquet")
+    listed = url_filter.listed_of(pages, "0123456")
+    want = sorted((r["page_id"], r["verdict"], r["listed"]) for r in url_filter.filter_urls(pages, listed).collect())
+    assert 0.3 < sum(x for *_, x in want) / len(want) < 0.6
+    hosts = {}
+    for r in url_filter.filter_urls(pages, listed).select("host", "listed").collect():
+        hosts.setdefault(r["host"].removeprefix("www."), set()).add(r["listed"])
+    assert any(len(v) == 2 for v in hosts.values())
+    full = url_filter.filter_urls(pages, listed, blocks=1)  # a single block of 512 bits: many false positives
+    words = url_filter.build_filter(listed, 1, 1)
+    block, bits = url_filter._hashes(url_filter.canonical(pages["url"]), 1)
+    p = pages.select(block.alias("k"), bits.alias("b")).toPandas()
+    assert url_filter.may_contain(words, p["k"].to_numpy(), p["b"].to_numpy()).sum() > sum(x for *_, x in want)
+    assert sorted((r["page_id"], r["verdict"], r["listed"]) for r in full.collect()) == want
+    monkeypatch.setattr(url_filter, "may_contain", lambda words, block, bits: block < 0)
+    assert not any(r["listed"] for r in url_filter.filter_urls(pages, listed).collect())
+
+
+def test_urls_long_and_extra_columns_on_empty_input(spark):
+    path = "/p" * 500_000
+    pages = spark.createDataFrame([(1, f"http://Listed.net{path}/?b=2&a=1&utm_x=3"), (2, f"http://listed.net{path}x"), (3, None)], "page_id long, url string").selectExpr("*", "'x' as canonical", "'y' as maybe")
+    listed = spark.createDataFrame([(f"listed.net{path}?a=1&b=2",)], "listed string")
+    got = {r["page_id"]: (r["verdict"], len(r["path"])) for r in url_filter.filter_urls(pages, listed).collect()}
+    assert got == {1: ("block", len(path) + 1), 2: ("allow", len(path) + 1), 3: ("allow", 0)}
+    out = url_filter.filter_urls(pages.limit(0), listed)
+    assert out.columns == ["page_id", "host", "path", "rule", "verdict", "listed"] and out.count() == 0 and url_filter.listed_of(pages.limit(0)).count() == 0
+
+
 def test_bloom_has_no_false_negatives_and_few_positives(spark):
     listed = spark.range(20_000).selectExpr("concat('h', id) as listed")
     words = url_filter.build_filter(listed, 20_000)
