@@ -15,6 +15,10 @@ shape of its own). Words go to two hash tables and the less crowded bucket count
 4. Gumbel top-k: key = SHARPNESS * log weight + Gumbel noise (from a hash of doc_id), and the k largest keys are sampled. k is
    the number of documents whose weight passes the threshold that best parts good from other labelled rows kept out of the fit.
 
+`passages=False` weighs a document by the plain importance ratio instead, the sum of all its tokens' log ratios (of bounded features as
+above), levelled by nothing, and `sharpness=1.0` samples by it with the noise of plain Gumbel top-k. Such a sum grows with the length of
+a text, so that long texts are sampled and short ones are not, whatever their quality; README gives figures. Passages are the default.
+
 The k-th key is found by counting bins of ordered keys (65,536 at a time), not by sorting in one place; ties at it are kept.
 
 Defined cases: a text without words has log weight 0. Without labels of both kinds all documents are sampled. Documents with
@@ -70,12 +74,12 @@ def _cut_features(part: np.ndarray, bounds: np.ndarray, carry: tuple[int, int] |
     first = np.zeros(len(start) + 1, bool)
     first[tokens[:-1]] = True
     first = first[:-1]
-    before = np.concatenate([[0], raw[:-1]]).astype(_M)
+    before = np.concatenate([np.zeros(1, _M), raw[:-1]])
     before[first] = 0
     if carry:
         before[0] = carry[0]
     shape = np.where(raw == before, _M(1), shape)
-    last = np.concatenate([[0], shape[:-1]]).astype(_M)
+    last = np.concatenate([np.zeros(1, _M), shape[:-1]])
     last[first] = 0
     if carry:
         last[0] = carry[1]
@@ -157,9 +161,9 @@ def log_ratios(raw: np.ndarray, target: np.ndarray, prior: float = PRIOR) -> np.
     return out
 
 
-def _weights(raw: np.ndarray, ratio: np.ndarray, slots: np.ndarray, known: np.ndarray, tokens: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each document the least sum, the sum of its first `window` tokens, and for the least sums of its prefixes of window, 2 window,
-    4 window ... tokens the products of deviations: of doublings with sums, and of doublings with themselves."""
+def _weights(raw: np.ndarray, ratio: np.ndarray, slots: np.ndarray, known: np.ndarray, tokens: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """For each document the least sum, the sum of its first `window` tokens, for the least sums of its prefixes of window, 2 window,
+    4 window ... tokens the products of deviations (of doublings with sums, and of doublings with themselves), and the sum of all tokens."""
     one, two = slots[0], slots[1] + _STARTS[1]
     word = ratio[np.where(raw[one] <= raw[two], one, two)]
     value = np.where(known, np.minimum(word, MOST) + np.minimum(ratio[slots[2] + _STARTS[2]], MOST), 0.0)
@@ -176,13 +180,13 @@ def _weights(raw: np.ndarray, ratio: np.ndarray, slots: np.ndarray, known: np.nd
             n = ((b - a) // window).bit_length()
             x = np.arange(n) - (n - 1) / 2
             fall[d], spread[d] = x @ least[window * ((1 << np.arange(n)) - 1)], x @ x
-    return np.round(out, 6), np.round(head, 6), np.round(fall, 6), spread
+    return np.round(out, 6), np.round(head, 6), np.round(fall, 6), spread, np.round(total[tokens[1:]] - total[tokens[:-1]], 6)
 
 
 def score(docs: DataFrame, raw: np.ndarray, target: np.ndarray, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_tokens, least, head, fall, spread (see _weights)."""
+    """doc_id, n_tokens, least, head, fall, spread, whole (see _weights)."""
     sent = docs.sparkSession.sparkContext.broadcast((np.minimum(raw, 2**31 - 1).astype(np.int32), log_ratios(raw, target)))
-    schema = fields(("doc_id", id_type(docs)), ("n_tokens", "long"), *((n, "double") for n in ("least", "head", "fall", "spread")))
+    schema = fields(("doc_id", id_type(docs)), ("n_tokens", "long"), *((n, "double") for n in ("least", "head", "fall", "spread", "whole")))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         counts, ratio = sent.value
@@ -254,13 +258,16 @@ def gumbel_top_k(scored: DataFrame, k: int, n: int, sharpness: float = SHARPNESS
     return keyed.where(F.col("ordered") >= kth_largest(keyed, k)).drop("ordered")
 
 
-def resample(docs: DataFrame, labels: DataFrame, sample: int = FIT, window: int = WINDOW, sharpness: float = SHARPNESS) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, sample: int = FIT, window: int = WINDOW, sharpness: float = SHARPNESS, passages: bool = True) -> DataFrame:
     """The documents sampled: doc_id, n_tokens, log_weight, gumbel_key."""
     known = materialise(_good(labels))
     held = F.pmod(F.xxhash64("doc_id", F.lit(37)), F.lit(4)) == 3
     raw, target = fit(docs, known.where(~held), sample)
     scored = materialise(score(docs, raw, target, window))
-    scored = levelled(scored, *length_null(scored, known.where(held), window), window)
+    if passages:
+        scored = levelled(scored, *length_null(scored, known.where(held), window), window)
+    else:
+        scored = scored.select("doc_id", "n_tokens", F.col("whole").alias("log_weight"))
     least = threshold(scored, known.where(held))
     counted = scored.agg(F.count("*").alias("n"), F.count_if(F.col("log_weight") >= least).alias("k")).first()
     return gumbel_top_k(scored, counted["k"], counted["n"], sharpness)

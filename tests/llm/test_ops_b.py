@@ -238,6 +238,58 @@ def test_quality_judges_texts_of_all_lengths_alike(spark):
     assert max(middle) - min(middle) < 1.5
 
 
+@pytest.mark.parametrize("passages", [True, False])
+def test_log_weights_against_a_dictionary_model(spark, data, passages):
+    """Counts of features kept in dictionaries by name, whole texts, token by token; on the smallest table."""
+    import math
+
+    docs = spark.read.parquet(f"{data.replace('sf0.01', 'sf0.001')}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    good = {i for i in texts if i % 3 == 0}
+    labels = spark.createDataFrame([(i, True) for i in good], "doc_id long, good boolean")
+    raw, target = quality.fit(docs, labels, 10**9)
+    got = {r["doc_id"]: r for r in quality.score(docs, raw, target).collect()}
+    kind = lambda c: "a" if "a" <= c <= "z" or ord(c) > 127 else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else c
+
+    def tokens(text):
+        out, last, before = [], None, None
+        for token in re.findall(r"[^\x20\x09-\x0D]+", text):
+            own = "".join(k for j, k in enumerate(map(kind, token)) if j == 0 or k != kind(token[j - 1]))
+            own = "same" if token == before else own
+            word = re.search(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", token.translate(LOW))
+            # a letter beyond ASCII is two bytes: prefixes are bytes
+            out.append((word.group().encode() if word else None, word.group().encode()[: quality.PREFIX] if word else None, (own, last)))
+            last, before = own, token
+        return out
+
+    slot_of: dict = {}
+    seen = {}
+    for i, text in texts.items():
+        ((_, _, slots, known, _),) = quality.features(pa.array([text]))
+        names = tokens(text)
+        assert slots.shape[1] == len(names) == got[i]["n_tokens"] and known.tolist() == [w is not None for w, _, _ in names]
+        seen[i] = [[(t, s) for t, s in enumerate(row) if t == 3 or k] for row, k in zip(slots.T.tolist(), known.tolist(), strict=True)]
+        for name, row, k in zip(names, slots.T.tolist(), known.tolist(), strict=True):  # one slot for each name, always
+            for t, part in enumerate((name[0], name[0], name[1], name[2])):
+                assert slot_of.setdefault((t, part), row[t]) == row[t] or not k and t < 3
+    counts: dict = defaultdict(lambda: [0, 0])
+    for i, own in seen.items():
+        for f in (f for token in own for f in token):
+            counts[f][0] += 1
+            counts[f][1] += i in good
+    total = {t: [sum(c[j] for (u, _), c in counts.items() if u == t) for j in (0, 1)] for t in range(4)}
+    ratio = lambda f: math.log((counts[f][1] + quality.PRIOR) / (counts[f][0] * total[f[0]][1] / total[f[0]][0] + quality.PRIOR))
+    for i, own in seen.items():
+        value = []
+        for token in own:
+            parts = dict(token)
+            word = min(((0, parts[0]), (1, parts[1])), key=lambda f: (counts[f][0], f[0])) if 0 in parts else None
+            value.append((min(ratio(word), quality.MOST) + min(ratio((2, parts[2])), quality.MOST) if word else 0.0) + min(max(ratio((3, parts[3])), quality.SHAPE_LEAST), quality.MOST))
+        w = min(quality.WINDOW, len(value))
+        want = min((sum(value[k : k + w]) for k in range(len(value) - w + 1)), default=0.0) if passages else sum(value)
+        assert got[i]["least" if passages else "whole"] == pytest.approx(want, abs=1e-3, rel=1e-4)
+
+
 def test_gumbel_top_k_takes_exactly_the_largest_keys(spark):
     scored = spark.range(5000).selectExpr("id as doc_id", "cast(id % 7 as double) as log_weight")
     keys = sorted(((r["gumbel_key"], r["doc_id"]) for r in quality.gumbel_top_k(scored, 5000, 5000).collect()), reverse=True)
