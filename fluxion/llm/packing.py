@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .support import fields, id_type, map_arrow, materialise
 
-SIZE, CLOSING, ROUNDS = 2048, 0, 300
+SIZE, CLOSING, ROUNDS = 2048, 0, (30, 300)
 _BLANKS = re.compile(r"\s{100000}")
 
 
@@ -140,7 +140,7 @@ def _trace(lengths: np.ndarray, taken: np.ndarray, w: int) -> dict[int, int]:
     return out
 
 
-def multiplicative_weights(lengths: np.ndarray, demand: np.ndarray, size: int, rounds: int = 48, step: float = 0.5) -> tuple[list[tuple[dict[int, int], float]], np.ndarray, float]:
+def multiplicative_weights(lengths: np.ndarray, demand: np.ndarray, size: int, rounds: int = ROUNDS[-1], step: float = 0.5) -> tuple[list[tuple[dict[int, int], float]], np.ndarray, float]:
     """A covering of demand by fractions of configurations, the dual weights (best configuration 1), and the dual bound."""
     y = lengths / size
     pool: dict[tuple, list] = {}
@@ -242,22 +242,31 @@ class Rounding:
                     break
 
 
-def solve(histogram: dict[int, int], size: int = SIZE, rounds: int = ROUNDS) -> Plan:
-    """Rounded solution for the histogram length -> number of pieces. Two roundings are made, both from the fractional solution and its duals:
-    whole multiples, then the fullest configurations or the longest piece first. The one of fewer sequences counts."""
+def solve(histogram: dict[int, int], size: int = SIZE, rounds: tuple[int, ...] = ROUNDS) -> Plan:
+    """Rounded solution for the histogram length -> number of pieces. Three roundings are made from the fractional solution and its duals: whole
+    multiples and then the fullest configurations, whole multiples and then the longest piece first, or the longest first with companies priced
+    by the duals throughout. The one of fewest sequences counts. `rounds`: numbers of rounds
+    of multiplicative weights, tried in turn; a solution with no more sequences than a dual bound rounded up ends the search, since none can have fewer."""
     lengths = np.array(sorted(n for n in histogram if n < size), np.int64)
     demand = np.array([histogram[int(n)] for n in lengths], np.int64)
     full = int(histogram.get(size, 0))
     bound, best = 0.0, Rounding(lengths, demand, size)
     if len(lengths):
-        pool, y, bound = multiplicative_weights(lengths, demand.astype(float), size, rounds)
-        y = np.maximum(y, 1e-6 * lengths)
-        tries = []
-        for rest in (Rounding.fullest_first, Rounding.longest_first):
-            r = Rounding(lengths, demand, size)
-            r.whole_multiples(pool, y)
-            rest(r, y)
-            tries.append(r)
+        tries: list[Rounding] = []
+        for n in rounds:
+            pool, y, least = multiplicative_weights(lengths, demand.astype(float), size, n)
+            y, bound = np.maximum(y, 1e-6 * lengths), max(bound, least)
+            priced = 0.9 * y + 0.1 * lengths / size  # of companies of equal price the fuller one
+            for whole, rest, price in ((True, Rounding.fullest_first, y), (True, Rounding.longest_first, priced), (False, Rounding.longest_first, priced)):
+                if tries and min(r.used for r in tries) <= np.ceil(bound - 1e-6):
+                    break
+                r = Rounding(lengths, demand, size)
+                if whole:
+                    r.whole_multiples(pool, y)
+                rest(r, price)
+                tries.append(r)
+            if min(r.used for r in tries) <= np.ceil(bound - 1e-6):
+                break
         best = min(tries, key=lambda r: r.used)
     out: list[tuple[int, int, int, int, int]] = []
     used, at = np.zeros(len(lengths), np.int64), full
@@ -274,7 +283,7 @@ def solve(histogram: dict[int, int], size: int = SIZE, rounds: int = ROUNDS) ->
     return Plan(*table.T, sequences=at, bound=bound + full)
 
 
-def pack(docs: DataFrame, path: str, size: int = SIZE, rounds: int = ROUNDS, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, size: int = SIZE, rounds: tuple[int, ...] = ROUNDS, keep_ids: bool = False) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32 (and ids), sequence_id, offset."""
     cut = materialise(pieces(docs, path, size, keep_ids))
     counts = materialise(cut.groupBy("part", "length").count())

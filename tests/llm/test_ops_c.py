@@ -155,7 +155,7 @@ def test_configuration_program(seed):
 
 
 def test_every_rounding_starts_from_the_fractional_solution(monkeypatch):
-    """Whatever the number of lengths: as many rounds, and no rounding without the pool and its duals."""
+    """Whatever the number of lengths: the same numbers of rounds in turn, and no rounding without the pool and its duals."""
     rounds, whole, rest = [], [], []
     solved, multiples = packing.multiplicative_weights, packing.Rounding.whole_multiples
 
@@ -169,8 +169,18 @@ def test_every_rounding_starts_from_the_fractional_solution(monkeypatch):
         own = getattr(packing.Rounding, name)
         monkeypatch.setattr(packing.Rounding, name, lambda self, y, own=own: (rest.append((id(self), y.tobytes())), own(self, y))[1])
     for most in (20, 400):
+        rounds.clear()
         assert packing.solve({n: 3 for n in range(1, most)}, 512).sequences >= 3 * most * (most - 1) / 2 / 512
-    assert rounds[0] == rounds[1] and rest and rest == whole
+        assert rounds == list(packing.ROUNDS[: len(rounds)])
+    assert rest and whole and {k for k, _ in whole} <= {k for k, _ in rest}
+
+
+def test_search_ends_only_with_a_certificate():
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        h = {int(k): int(n) for k, n in zip(rng.integers(1, 129, 30), rng.integers(1, 60, 30), strict=True)}
+        plan = packing.solve(h, 128)
+        assert plan.sequences == np.ceil(plan.bound - 1e-6) or plan.sequences <= packing.solve(h, 128, (300,)).sequences
 
 
 def test_multiplicative_weights_cover_all_demand():
