@@ -166,7 +166,7 @@ def _lines(rhs: Mapping[str, str], system: System, start: np.ndarray, t: np.ndar
 def add_noise(u: np.ndarray, level: float, kind: str, rng: np.random.Generator) -> np.ndarray:
     """Noise of `level` times each variable's standard deviation. u: (time, ..., variables).
 
-    gaussian; multiplicative (level times the value); red (AR(1) with 0.9 over time); outliers (gaussian and 1 % of ten times the size)."""
+    gaussian; multiplicative (level times the value); red (AR(1) with 0.9 over time); outliers (gaussian, and ten times the size more on 1 % of the samples)."""
     if not level:
         return u
     scale = level * u.reshape(-1, u.shape[-1]).std(axis=0)
@@ -177,7 +177,7 @@ def add_noise(u: np.ndarray, level: float, kind: str, rng: np.random.Generator)
         for i in range(1, len(u)):
             white[i] = 0.9 * white[i - 1] + np.sqrt(1 - 0.81) * white[i]
     if kind == "outliers":
-        white = np.where(rng.random(u.shape) < 0.01, 10 * np.sign(rng.normal(size=u.shape)), white)
+        white = white + np.where(rng.random(u.shape) < 0.01, np.where(rng.random(u.shape) < 0.5, 10.0, -10.0), 0.0)
     return u + scale * white
 
 
