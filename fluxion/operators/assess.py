@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import parse
 from . import regression, scoring, uncertainty
 from .diagnostics import coverage, diagnose, ranges
-from .gram import grams
+from .gram import grams, grouped
 from .library import build_library, columns
 from .sindy import features
 
@@ -106,7 +106,7 @@ def assess(df: DataFrame, variables: Sequence[str], dt: float, rhs: Mapping[str,
     extra = [t for e in own.values() for t in e.coefficients()]
     library = build_library(variables, degree, custom=extra, names=names)
     shape = df.groupBy("traj").count().agg(F.max("count").alias("n")).first()["n"]
-    block = F.concat_ws("/", "traj", uncertainty.block_of("step", shape, window))
+    block = grouped("traj", uncertainty.block_of("step", shape, window))
     found = grams(rows, columns(library), {v: F.col(f"{v}_t") for v in variables}, block)
     every = uncertainty.total(found)
     place = {e: i for i, e in enumerate(library.values())}
@@ -131,7 +131,7 @@ def assess(df: DataFrame, variables: Sequence[str], dt: float, rhs: Mapping[str,
     scale = {r["variable"]: r["std"] for r in ranges(df, variables).collect()}
     noise = {v: max(facts["noise_rel"][v], 1e-3) * scale[v] for v in variables}
     plausible = {k: models[k] for k in compared["indistinguishable"]} | {"model": models["model"]}
-    t = np.arange(min(shape, 200)) * dt
+    t = np.arange(shape) * dt
     starts = df.where("step = 0").select("traj", *variables)
     trust = grade({
         "every term is significant": all(x["significant"] for x in terms),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import Expr, linear_combination, parse
 from . import regression
-from .gram import grams
+from .gram import within
 from .library import build_library, columns
 from .sindy import features
 from .windows import unwrap
@@ -22,10 +22,10 @@ def find_invariants(df: DataFrame, variables: Sequence[str], dt: float, degree:
 
     kind `constraint`: the same value everywhere; `first integral`: a value for each trajectory. From one pass of grouped Gram matrices."""
     rows = features(df, variables, dt, window)
-    positive = [v for v in variables if logs and rows.agg(F.min(v)).first()[0] > 0]
+    least = rows.agg(*[F.min(v).alias(v) for v in variables]).first()
+    positive = [v for v in variables if logs and least[v] > 0]
     library = build_library(variables, degree, custom=[f"log({v})" for v in positive], exclude=["1"])
-    found = grams(rows, {"1": F.lit(1.0)} | columns(library), {"y": F.lit(0.0)}, F.col("traj"))
-    every = sum(list(found.values())[1:], next(iter(found.values())))
+    every, scatter = within(rows, columns(library), F.col("traj"))
     n, mean = every.n, every.xx[0] / every.n
     centred = every.xx / n - np.outer(mean, mean)
     size = np.sqrt(np.maximum(np.diag(centred), 0))
@@ -33,12 +33,9 @@ def find_invariants(df: DataFrame, variables: Sequence[str], dt: float, degree:
     scaled = regression.Gram([every.terms[i] for i in at], ["y"], centred[np.ix_(at, at)], np.zeros((len(at), 1)), np.zeros(1), n)
     kept = regression.near_dependent(scaled, 1e-9)
     at_all, at = at, [at[i] for i in kept]
-    within = np.zeros((len(at_all), len(at_all)))
-    for g in found.values():
-        m = g.xx[0] / g.n
-        within += (g.xx - g.n * np.outer(m, m))[np.ix_(at_all, at_all)] / n
+    inner = scatter[np.ix_(at_all, at_all)] / n
     d = np.array([size[i] for i in at_all])
-    w, v = np.linalg.eigh(within / np.outer(d, d))
+    w, v = np.linalg.eigh(inner / np.outer(d, d))
     out = []
     for value, vec in zip(w, v.T, strict=True):
         if np.sqrt(max(value, 0)) > tolerance or len(out) >= most:
@@ -47,7 +44,7 @@ def find_invariants(df: DataFrame, variables: Sequence[str], dt: float, degree:
         c = np.where(np.abs(vec) < 0.02 * np.abs(vec).max(), 0.0, c)
         c = c / c[np.argmax(np.abs(c * d))]
         total = float(np.sqrt(max(c @ centred[np.ix_(at_all, at_all)] @ c, 0)))
-        spread = float(np.sqrt(max(c @ within @ c, 0)))
+        spread = float(np.sqrt(max(c @ inner @ c, 0)))
         reach = float(np.sqrt(((c * d) ** 2).sum()))
         out.append({"H": linear_combination(c, [every.terms[i] for i in at_all], 4), "rel_variation": spread / (reach + 1e-300), "kind": "constraint" if total <= 3 * tolerance * reach else "first integral"})
     spectrum = np.linalg.eigvalsh(centred[np.ix_(range(1, 1 + len(variables)), range(1, 1 + len(variables)))])

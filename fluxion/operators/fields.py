@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import numerics as N
 from ..functions.expressions import Expr, linear_combination
 from . import regression
-from .gram import Gram, of_arrays
+from .gram import Gram, added, packed_gram
 from .library import build_library, derivative_symbols
 from .simulate import derivatives
 from .systems import System
@@ -63,48 +63,42 @@ def prepared(u: np.ndarray, system: System, dt: float, window: int, order: int,
 def field_grams(
     frames: DataFrame, system: System, library: Mapping[str, Expr], dt: float, window: int = 9, order: int = 3, fraction: float | None = 0.3,
     edge: int = 3, chunk: int = CHUNK,
-) -> dict[tuple[int, int], Gram]:
-    """{(trajectory, chunk): Gram} of the library against time derivatives, ends of trajectories trimmed."""
+) -> dict[str, Gram]:
+    """{train, held: Gram} of the library against time derivatives, ends of trajectories trimmed. Held out is the last trajectory, or the last
+    quarter of the only one. Matrices of chunks are added up on the executors."""
     terms, targets = list(library), system.variables
-    p, q = len(terms), len(targets)
+    q = len(targets)
     wanted = set().union(*(e.symbols for e in library.values()))
     compiled = [e.numpy() for e in library.values()]
     half = window // 2 + 1
     inner = margin(system)
     last = frames.groupBy("traj").agg(F.max("step").alias("_last"))
-    rows = with_halo(frames.select("traj", "step", *targets), chunk, half).join(F.broadcast(last), "traj")
+    ends = last.agg(F.min("traj").alias("a"), F.max("traj").alias("b"), F.max("_last").alias("s")).first()
+    dealt = with_halo(frames.select("traj", "step", *targets), chunk, half).join(last, "traj")
+    chunks = (ends["s"] or 0) // chunk + 1
+    held = F.col("traj") == ends["b"] if ends["a"] != ends["b"] else F.col("chunk") >= max(1, int(0.75 * chunks)) if chunks > 1 else F.lit(False)
+    rows = dealt.withColumn("label", F.when(held, "held").otherwise("train"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("step")
         u, ut = prepared(stacked(pdf, system), system, dt, window, order, fraction)
         own = (pdf["own"] & (pdf["step"] >= edge) & (pdf["step"] <= pdf["_last"] - edge)).to_numpy()
         if not own.any():
-            return pd.DataFrame({"traj": [], "chunk": [], "m": []})
+            return pd.DataFrame({"label": [], "m": []})
         u, ut = u[own], ut[own]
         values = derivatives(u, targets, system, wanted)
         cut = (slice(None), *inner)
         theta = np.stack([np.broadcast_to(c(values), u.shape[:-1])[cut].ravel() for c in compiled], axis=1)
         y = np.stack([ut[..., i][cut].ravel() for i in range(q)], axis=1)
         good = np.isfinite(theta).all(axis=1) & np.isfinite(y).all(axis=1)
-        g = of_arrays(theta[good], y[good], terms, targets)
-        flat = np.concatenate([g.xx.ravel(), g.xy.ravel(), g.yy, [g.n]])
-        return pd.DataFrame({"traj": [pdf["traj"].iloc[0]], "chunk": [pdf["chunk"].iloc[0]], "m": [flat]})
-
-    out = {}
-    for r in rows.groupBy("traj", "chunk").applyInPandas(run, "traj long, chunk long, m array<double>").toLocalIterator():
-        m = np.array(r["m"])
-        out[r["traj"], r["chunk"]] = Gram(terms, targets, m[: p * p].reshape(p, p), m[p * p : p * p + p * q].reshape(p, q), m[p * p + p * q : -1], m[-1])
-    return out
+        return pd.DataFrame({"label": [pdf["label"].iloc[0]], "m": [packed_gram(theta[good], y[good])]})
+
+    return added(rows.groupBy("traj", "chunk").applyInPandas(run, "label string, m array<double>"), terms, targets)
 
 
-def split(grams: dict[tuple[int, int], Gram]) -> tuple[Gram, Gram]:
-    """Training and validation: the last trajectory, or the last quarter of the chunks of the only one."""
-    keys = sorted(grams)
-    last = keys[-1][0]
-    held = [k for k in keys if k[0] == last] if keys[0][0] != last else keys[int(0.75 * len(keys)) :]
-    train = [k for k in keys if k not in held] or held
-    add = lambda ks: sum((grams[k] for k in ks[1:]), grams[ks[0]])
-    return add(train), add(held)
+def train_and_held(found: Mapping[str, Gram]) -> tuple[Gram, Gram]:
+    """Both parts; where one is missing, the other serves for both."""
+    return found.get("train", found.get("held")), found.get("held", found.get("train"))
 
 
 def run_field_sindy(
@@ -112,7 +106,7 @@ def run_field_sindy(
     thresholds: Sequence[float] = regression.THRESHOLDS, window: int = 9, order: int = 3, fraction: float | None = 0.3, tolerance: float = 0.05,
 ) -> dict:
     library = build_library(system.variables, degree, custom=custom, exclude=exclude, dims=system.dims, max_derivative=max_derivative)
-    train, held = split(field_grams(frames, system, library, dt, window, order, fraction))
+    train, held = train_and_held(field_grams(frames, system, library, dt, window, order, fraction))
     rhs, coefs = {}, {}
     for k, f in enumerate(system.variables):
         best, _ = regression.sweep(train, held, k, thresholds, tolerance=tolerance)
@@ -152,40 +146,54 @@ def spectrum(frames: DataFrame, system: System) -> dict[str, dict]:
     return out
 
 
-def periodicity(frames: DataFrame, field: str, nodes: int) -> dict:
-    """How a field fits together at its ends: wrap jump over inner jump, whether the last node repeats the first, spectral leakage, edge activity."""
-    u = F.col(field)
-    at = lambda k: F.element_at(u, k)
-    inner = F.aggregate(F.sequence(F.lit(2), F.lit(nodes)), F.lit(0.0), lambda s, i: s + F.abs(F.element_at(u, i.cast("int")) - F.element_at(u, (i - 1).cast("int")))) / (nodes - 1)
-    r = frames.agg(
-        (F.avg(F.abs(at(1) - at(-1))) / (F.avg(inner) + 1e-30)).alias("wrap"),
-        F.max(F.abs(at(1) - at(-1))).alias("repeat"),
-        F.max(F.abs(at(1) - at(2))).alias("move"),
-        (F.avg(F.abs(at(1) - at(2)) + F.abs(at(-1) - at(-2))) / (2 * F.avg(inner) + 1e-30)).alias("edge_activity"),
-    ).first()
+def periodicity(frames: DataFrame, field: str) -> dict[str, float]:
+    """How a 1-D field fits together at its ends, from sums of squares over all frames: second differences across the seam (with and without a
+    repeated end node) and the difference of the end nodes against those inside; spectral energy in the upper half with the end jump against without
+    it; steps at the edges against steps inside."""
+    names = ("inner1", "inner2", "edge", "seam2", "end1", "end2", "steps", "bends", "high", "all", "flat_high", "flat_all", "frames")
 
-    def leak(batches):
+    def run(batches):
+        total = np.zeros(len(names))
         for pdf in batches:
-            rows = np.stack([np.asarray(a, float) for a in pdf[field]])
-            ramp = rows[:, :1] + (rows[:, -1:] - rows[:, :1]) * np.linspace(0, 1, rows.shape[1])
-            top = lambda x: (np.abs(np.fft.rfft(x, axis=1)) ** 2)[:, rows.shape[1] // 4 :].sum(axis=1)
-            yield pd.DataFrame({"raw": top(rows), "flat": top(rows - ramp)})
-
-    s = frames.select(field).mapInPandas(leak, "raw double, flat double").agg(F.avg("raw").alias("raw"), F.avg("flat").alias("flat")).first()
-    return {"wrap": r["wrap"], "duplicate_end": bool(r["repeat"] <= 1e-9 * max(1.0, r["move"])), "leakage": s["raw"] / (s["flat"] + 1e-30), "edge_activity": r["edge_activity"]}
-
-
-def decide_boundary(facts: Mapping[str, float], edge_values_fixed: bool = False, edge_slopes_zero: bool = False) -> dict:
-    """Boundary kind with a confidence, from periodicity() and the look of the edges."""
-    if facts["duplicate_end"]:
-        return {"boundary": "periodic", "drop_end": True, "confidence": "high"}
-    if facts["wrap"] <= 1.5 and facts["leakage"] <= 3:
-        return {"boundary": "periodic", "drop_end": False, "confidence": "high" if facts["edge_activity"] > 0.05 else "low"}
-    if edge_values_fixed:
-        return {"boundary": "dirichlet", "drop_end": False, "confidence": "medium"}
-    if edge_slopes_zero:
-        return {"boundary": "neumann", "drop_end": False, "confidence": "medium"}
-    return {"boundary": "unknown", "drop_end": False, "confidence": "low"}
+            if not len(pdf):
+                continue
+            u = np.stack([np.asarray(a, float) for a in pdf[field]])
+            n = u.shape[1]
+            round_, closed = np.diff(np.concatenate([u[:, -2:], u[:, :2]], axis=1), 2, axis=1), u[:, 1] - 2 * u[:, 0] + u[:, -2]
+            first, second = np.diff(u, axis=1), np.diff(u, 2, axis=1)
+            power = lambda x: np.abs(np.fft.rfft(x - x.mean(axis=1, keepdims=True), axis=1)) ** 2
+            raw, flat = power(u), power(u - (u[:, -1:] - u[:, :1]) * (np.arange(n) / (n - 1) - 0.5))
+            half = raw.shape[1] // 2
+            total += [
+                (first**2).sum(), (second**2).sum(), (first[:, [0, -1]] ** 2).sum() / 2, (round_**2).sum() / 2, ((u[:, -1] - u[:, 0]) ** 2).sum(), (closed**2).sum(),
+                first.size, second.size, raw[:, half:].sum(), raw.sum(), flat[:, half:].sum(), flat.sum(), len(u),
+            ]
+        yield pd.DataFrame([total], columns=names)
+
+    r = frames.select(field).mapInPandas(run, ", ".join(f"`{n}` double" for n in names)).agg(*[F.sum(n).alias(n) for n in names]).first()
+    rms = lambda a, n: float(np.sqrt(r[a] / max(n, 1))) + 1e-300
+    step, bend = rms("inner1", r["steps"]), rms("inner2", r["bends"])
+    return {
+        "wrap": rms("seam2", r["frames"]) / bend, "end_difference": rms("end1", r["frames"]) / step, "end_bend": rms("end2", r["frames"]) / bend,
+        "leakage": (r["high"] / (r["all"] + 1e-300) + 1e-30) / (r["flat_high"] / (r["flat_all"] + 1e-300) + 1e-30), "edge_activity": rms("edge", r["frames"]) / step,
+    }
+
+
+def decide_boundary(facts: Mapping[str, float], boundary: str | None = None, drop_end: bool | None = None) -> dict:
+    """Boundary with a confidence, from periodicity(); what is given wins. An end node that differs from the first by less than 5 % of a step, with no
+    kink there, repeats it, noise or not; a seam no rougher than three times the inside, without spectral leakage, is periodic."""
+    quiet = facts["edge_activity"] < 0.05
+    repeats = facts["end_difference"] < 0.05 and facts["end_bend"] < 3 and not quiet
+    smooth = facts["wrap"] < 3 and facts["leakage"] < 3
+    drop = repeats if drop_end is None else drop_end
+    if boundary:
+        return {"boundary": boundary, "drop_end": drop, "confidence": "high", "why": "given"}
+    if repeats:
+        return {"boundary": "periodic", "drop_end": drop, "confidence": "high", "why": "the last node repeats the first, and the seam is smooth"}
+    if smooth:
+        sure = "high" if facts["wrap"] < 1.5 and not quiet else "medium"
+        return {"boundary": "periodic", "drop_end": drop, "confidence": sure, "why": "flat at both ends, which fits other boundaries as well" if quiet else "the seam is as smooth as the inside"}
+    return {"boundary": "unknown", "drop_end": drop, "confidence": "medium", "why": "a jump, a kink or spectral leakage at the seam"}
 
 
 def edge_report(frames: DataFrame, system: System) -> DataFrame:
@@ -254,9 +262,9 @@ def travelling_speed(frames: DataFrame, field: str, nodes: int, length: float, d
     return {"median": r["q"][1], "iqr": r["q"][2] - r["q"][0], "amplitude_correlation": r["c"]}
 
 
-def validate_fields(frames: DataFrame, system: System, rhs: Mapping[str, str], dt: float, window: int = 9, fraction: float | None = 0.3, steps: int = 60) -> dict:
+def validate_fields(frames: DataFrame, system: System, rhs: Mapping[str, str], dt: float, window: int = 9, fraction: float | None = 0.3, steps: int | None = None) -> dict:
     """On the last trajectory: error of time derivatives inside the grid, and of a rollout from its smoothed first frame, boundary values imposed
-    from the data on grids that aren't periodic. The rollout takes `steps` frames at most."""
+    from the data on grids that aren't periodic. steps: frames of the rollout, all if not given."""
     from .simulate import integrate_pde, pde_function
 
     last = frames.agg(F.max("traj")).first()[0]
@@ -270,7 +278,7 @@ def validate_fields(frames: DataFrame, system: System, rhs: Mapping[str, str], d
         with np.errstate(all="ignore"):
             f = pde_function(rhs, system)(u)
             error = float(np.sqrt(np.mean((f[cut] - ut[cut]) ** 2)) / (np.sqrt(np.mean(ut[cut] ** 2)) + 1e-12))
-        n = min(len(u), steps)
+        n = min(len(u), steps or len(u))
         t = pdf["t"].to_numpy()[:n]
         ends = None if system.boundary == "periodic" else np.stack([u[:n, 0], u[:n, -1]], axis=1)
         roll = integrate_pde(rhs, system, u[0], t, ends=ends)

@@ -64,41 +64,99 @@ def _pack(theta: np.ndarray, y: np.ndarray) -> np.ndarray:
     return both.T @ both
 
 
-def grams(df: DataFrame, terms: dict[str, Column], targets: dict[str, Column], by: Column | str | None = None) -> dict:
-    """Gram matrices by group (None: one group). Rows with a null or non-finite term or target are left out.
+#: Groups of blocks whose matrices come to the driver: blocks are dealt to them by hash, so that their number doesn't grow with the data.
+GROUPS = 512
 
-    Groups are meant to be few (folds, blocks): one matrix for each comes to the driver.
-    """
+
+def grouped(*keys: str | Column, groups: int = GROUPS) -> Column:
+    """The group of a block, from a hash of what names it."""
+    return F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int")
+
+
+def _partial(df: DataFrame, terms: dict[str, Column], targets: dict[str, Column], key: Column) -> DataFrame:
+    """key, i, v: entry i of the matrix of products of terms, targets and 1, added up over the key's rows."""
     p, q = len(terms), len(targets)
-    key = (F.col(by) if isinstance(by, str) else by).cast("string") if by is not None else F.lit("")
-    rows = df.select(key.alias("_key"), *[c.cast("double").alias(f"x{i}") for i, c in enumerate(terms.values())], *[c.cast("double").alias(f"y{i}") for i, c in enumerate(targets.values())])
+    rows = df.select(key.cast("string").alias("_key"), *[c.cast("double").alias(f"x{i}") for i, c in enumerate(terms.values())], *[c.cast("double").alias(f"y{i}") for i, c in enumerate(targets.values())])
     schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("m", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
         for batch in batches:
             table = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1).astype(float)
+            coded = batch.column(0).dictionary_encode(null_encoding="encode")
+            names, place = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
             good = np.isfinite(table).all(axis=1)
-            keys = np.array(batch.column(0).to_pylist(), object)[good]
-            table = table[good]
-            for k in dict.fromkeys(keys.tolist()):
-                own = table[keys == k] if k is not None else table[[x is None for x in keys]]
-                sums[k] = sums.get(k, 0.0) + _pack(own[:, :p], own[:, p:])
+            table, place = table[good], place[good]
+            order = np.argsort(place, kind="stable")
+            table, place = table[order], place[order]
+            cuts = np.flatnonzero(np.diff(place, prepend=-1))
+            for lo, hi in zip(cuts, [*cuts[1:], len(place)], strict=True):
+                k = names[place[lo]]
+                sums[k] = sums.get(k, 0.0) + _pack(table[lo:hi, :p], table[lo:hi, p : p + q])
+            if len(sums) > 4096:  # bounded memory with many keys
+                yield packed(sums)
+                sums = {}
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([m.ravel() for m in sums.values()], pa.list_(pa.float64()))], names=["key", "m"])
+            yield packed(sums)
+
+    def packed(sums: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([m.ravel() for m in sums.values()], pa.list_(pa.float64()))], names=["key", "m"])
 
-    size = p + q + 1
     # partial matrices of equal groups are added by position before they leave the executors
-    added = rows.mapInArrow(run, schema).select("key", F.posexplode("m").alias("i", "v")).groupBy("key", "i").agg(F.sum("v").alias("v"))
+    return rows.mapInArrow(run, schema).select("key", F.posexplode("m").alias("i", "v")).groupBy("key", "i").agg(F.sum("v").alias("v"))
+
+
+def _gram(m: np.ndarray, terms: list[str], targets: list[str]) -> Gram:
+    p, q = len(terms), len(targets)
+    return Gram(terms, targets, m[:p, :p], m[:p, p : p + q], np.diag(m)[p : p + q].copy(), float(m[-1, -1]))
+
+
+def grams(df: DataFrame, terms: dict[str, Column], targets: dict[str, Column], by: Column | str | None = None) -> dict:
+    """Gram matrices by group (None: one group). Rows with a null or non-finite term or target are left out.
+
+    Groups are few (folds, train and validation, `grouped` blocks): one matrix for each comes to the driver.
+    """
+    size = len(terms) + len(targets) + 1
     found: dict = {}
-    for r in added.toLocalIterator():
+    for r in _partial(df, terms, targets, F.lit("") if by is None else F.col(by) if isinstance(by, str) else by).toLocalIterator():
         found.setdefault(r["key"], np.zeros(size * size))[r["i"]] = r["v"]
-    names, wanted = list(terms), list(targets)
-    out = {}
-    for k, flat in found.items():
-        m = flat.reshape(size, size)
-        out[k] = Gram(names, wanted, m[:p, :p], m[:p, p : p + q], np.diag(m)[p : p + q].copy(), float(m[-1, -1]))
-    return out if by is not None else {None: out.get("", Gram.empty(names, wanted))}
+    out = {k: _gram(flat.reshape(size, size), list(terms), list(targets)) for k, flat in found.items()}
+    return out if by is not None else {None: out.get("", Gram.empty(list(terms), list(targets)))}
+
+
+def added(rows: DataFrame, terms: list[str], targets: list[str]) -> dict[str, Gram]:
+    """{label: Gram} of rows (label, m): packed matrices, added up by position on the executors."""
+    size = len(terms) + len(targets) + 1
+    found: dict = {}
+    for r in rows.select("label", F.posexplode("m").alias("i", "v")).groupBy("label", "i").agg(F.sum("v").alias("v")).toLocalIterator():
+        found.setdefault(r["label"], np.zeros(size * size))[r["i"]] = r["v"]
+    return {k: _gram(flat.reshape(size, size), terms, targets) for k, flat in found.items()}
+
+
+def packed_gram(theta: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """What `added` adds up, of the rows of a task."""
+    return _pack(theta, y).ravel()
+
+
+def within(df: DataFrame, terms: dict[str, Column], by: Column) -> tuple[Gram, np.ndarray]:
+    """The Gram matrix of all rows with a leading term of ones, and the scatter of the terms around their means within each group of `by`. A group's
+    matrix stays on the executors, however many groups there are; only sums reach the driver."""
+    terms = {"1": F.lit(1.0)} | terms
+    p, size = len(terms), len(terms) + 1
+    each = _partial(df, terms, {}, by).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("z")).select(F.col("z.v").alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, inner = np.zeros((size, size)), np.zeros((size, size))
+        for batch in batches:
+            m = batch.column(0).values.to_numpy()[batch.column(0).offsets.to_numpy()[0] :][: batch.num_rows * size * size].reshape(-1, size, size)
+            mean = m[:, :p, -1] / m[:, -1, -1][:, None]
+            whole += m.sum(axis=0)
+            inner[:p, :p] += m[:, :p, :p].sum(axis=0) - np.einsum("ki,kj,k->ij", mean, mean, m[:, -1, -1])
+        yield pa.RecordBatch.from_arrays([pa.array(["all", "within"]), pa.array([whole.ravel(), inner.ravel()], pa.list_(pa.float64()))], names=["label", "m"])
+
+    found = added(each.mapInArrow(run, "label string, m array<double>"), list(terms), [])
+    every = found.get("all", Gram.empty(list(terms), []))
+    return every, found["within"].xx if "within" in found else np.zeros((p, p))
 
 
 def wide_gram(df: DataFrame, terms: dict[str, Column], targets: dict[str, Column]) -> DataFrame:

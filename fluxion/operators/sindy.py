@@ -11,14 +11,18 @@ from ..functions.expressions import linear_combination
 from . import regression
 from .gram import Gram, grams
 from .library import build_library, columns, split_rows
-from .windows import smooth_and_differentiate, trim
+from .windows import smooth_and_differentiate
 
 
 def features(df: DataFrame, variables: Sequence[str], dt: float, window: int = 9, order: int = 3, method: str = "savgol", edge: int = 3) -> DataFrame:
     """Smoothed variables (under their own names) and derivatives `<v>_t`, ends trimmed."""
-    out = smooth_and_differentiate(df, variables, dt, window, order, method)
     rest = [c for c in df.columns if c not in variables]
-    return trim(out.select(*rest, *[F.col(f"{v}_s").alias(v) for v in variables], *[f"{v}_t" for v in variables]), edge)
+    out = smooth_and_differentiate(df, variables, dt, window, order, method)
+    out = out.select(*rest, *[F.col(f"{v}_s").alias(v) for v in variables], *[f"{v}_t" for v in variables])
+    if not edge:
+        return out
+    span = df.groupBy("traj").agg(F.min("step").alias("_lo"), F.max("step").alias("_hi"))  # of the input: nothing is smoothed twice
+    return out.join(span, "traj").where((F.col("step") >= F.col("_lo") + edge) & (F.col("step") <= F.col("_hi") - edge)).drop("_lo", "_hi")
 
 
 def train_and_held(rows: DataFrame, variables: Sequence[str], library: dict, targets: Sequence[str] | None = None) -> tuple[Gram, Gram]:

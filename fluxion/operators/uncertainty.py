@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import regression
-from .gram import Gram, grams
+from .gram import Gram, grams, grouped
 from .library import build_library, columns
 from .sindy import features
 
@@ -74,7 +74,7 @@ def ensemble(df: DataFrame, variables: Sequence[str], dt: float, degree: int = 2
     rows = features(df, variables, dt, window)
     shape = df.groupBy("traj").count().agg(F.max("count").alias("n"), F.count("*").alias("k")).first()
     lib = build_library(variables, degree, **library)
-    key = F.concat_ws("/", "traj", block_of("step", shape["n"], window))
+    key = grouped("traj", block_of("step", shape["n"], window))
     found = grams(rows, columns(lib), {v: F.col(f"{v}_t") for v in variables}, key)
     blocks = {i: found[k] for i, k in enumerate(sorted(found))}
     every, out = total(blocks), {}
@@ -119,14 +119,19 @@ def compare_models(rows: DataFrame, models: Mapping[str, Mapping[str, str]], blo
     names = [*variables, "t"]
     scale = rows.agg(*[F.avg(F.col(f"{v}_t") ** 2).alias(v) for v in variables]).first()
     error = {m: sum((((parse(rhs[v], names).column() - F.col(f"{v}_t")) ** 2 / (scale[v] + 1e-300) for v in variables)), F.lit(0.0)) for m, rhs in models.items()}
-    each = rows.select(block.alias("_b"), *[e.alias(m) for m, e in error.items()]).groupBy("_b").agg(*[F.avg(m).alias(m) for m in models]).toPandas()
-    n = len(each)
-    mean = {m: float(each[m].mean()) for m in models}
-    best = min(mean, key=mean.get)
+    at = {m: f"_m{i}" for i, m in enumerate(models)}
+    each = rows.select(block.alias("_b"), *[e.alias(at[m]) for m, e in error.items()]).groupBy("_b").agg(*[F.avg(c).alias(c) for c in at.values()]).persist()
+    try:  # one aggregate for the means, one for the differences to the best: a row for all blocks each
+        row = each.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in at.values()]).first()
+        n, mean = row["n"], {m: float(row[c]) for m, c in at.items()}
+        best = min(mean, key=mean.get)
+        spread = each.agg(*[F.stddev_samp(F.col(c) - F.col(at[best])).alias(c) for c in at.values()]).first()
+    finally:
+        each.unpersist()
     out = {}
     for m, rhs in models.items():
-        d = each[m] - each[best]
-        z = 0.0 if m == best or not d.std(ddof=1) else float(d.mean() / (d.std(ddof=1) / np.sqrt(n)))
+        d = spread[at[m]]
+        z = 0.0 if m == best or not d else float((mean[m] - mean[best]) / (d / np.sqrt(n)))
         k = sum(len(parse(e, names).terms) for e in rhs.values())
         out[m] = {"nrmse": float(np.sqrt(mean[m] / len(variables))), "n_terms": k, "z_vs_best": z, **regression.information(mean[m] * n, n, k)}
     equal = [m for m in models if out[m]["z_vs_best"] < limit]

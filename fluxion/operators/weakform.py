@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import Expr, Symbol, linear_combination
 from . import regression
-from .gram import Gram, grams, of_arrays
+from .gram import Gram, added, grams, packed_gram
 from .library import build_library, columns, derivative_symbols
+from .quantiles import median
 from .simulate import derivatives
 from .systems import System
 from .windows import along, weighted
@@ -98,14 +99,16 @@ def _split_derivative(e: Expr, fields: Sequence[str]) -> tuple[float, list[tuple
     return None
 
 
-def weak_field_grams(frames: DataFrame, system: System, library: Mapping[str, Expr], dt: float, half_t: int | None = None, half_x: Mapping[str, int] | None = None, p: int = 8) -> dict[int, Gram]:
-    """{trajectory: Gram} of projected terms; a task for each trajectory. Widths are chosen from the data's corner modes where not given."""
+def weak_field_grams(frames: DataFrame, system: System, library: Mapping[str, Expr], dt: float, half_t: int | None = None, half_x: Mapping[str, int] | None = None, p: int = 8) -> dict[str, Gram]:
+    """{train, held: Gram} of projected terms; a task for each trajectory, whose matrices are added up on the executors. Held out is the last
+    trajectory; the only one serves for both. Widths are chosen from the data's corner modes where not given."""
     names, dims = system.variables, system.dims
     terms = list(library)
     plan = {t: _split_derivative(e, names) for t, e in library.items()}
     wanted = set().union(*(library[t].symbols for t in terms if plan[t] is None), set())
     compiled = {t: library[t].numpy() for t in terms}
-    n_terms, q = len(terms), len(names)
+    q = len(names)
+    ends = frames.agg(F.min("traj").alias("a"), F.max("traj").alias("b")).first()
 
     def axis_matrix(n: int, half: int, derivative: int, h: float, wrap: bool, stride: int) -> np.ndarray:
         values = bump(half, p, derivative) * (-1) ** derivative * h ** (1 - derivative)
@@ -151,23 +154,17 @@ def weak_field_grams(frames: DataFrame, system: System, library: Mapping[str, Ex
             else:
                 columns_.append(project(np.broadcast_to(compiled[t](values), u.shape[:-1]), ""))
         y = np.stack([project(u[..., i], "", 1) for i in range(q)], axis=1)
-        g = of_arrays(np.stack(columns_, axis=1), y, terms, names)
-        return pd.DataFrame({"traj": [pdf["traj"].iloc[0]], "m": [np.concatenate([g.xx.ravel(), g.xy.ravel(), g.yy, [g.n]])]})
+        label = "held" if pdf["traj"].iloc[0] == ends["b"] else "train"
+        return pd.DataFrame({"label": [label], "m": [packed_gram(np.stack(columns_, axis=1), y)]})
 
-    out = {}
-    for r in frames.select("traj", "step", *names).groupBy("traj").applyInPandas(run, "traj long, m array<double>").toLocalIterator():
-        m, k = np.array(r["m"]), n_terms
-        out[r["traj"]] = Gram(terms, names, m[: k * k].reshape(k, k), m[k * k : k * k + k * q].reshape(k, q), m[k * k + k * q : -1], m[-1])
-    return out
+    return added(frames.select("traj", "step", *names).groupBy("traj").applyInPandas(run, "label string, m array<double>"), terms, names)
 
 
 def weak_sindy(frames: DataFrame, system: System, dt: float, degree: int = 2, max_derivative: int = 4, custom: Iterable[str] = (), exclude: Iterable[str] = (), p: int = 8, tolerance: float = 0.1, swap: bool = True, half_t: int | None = None, half_x: Mapping[str, int] | None = None) -> dict:
     """Sparse weak regression of a field equation. With one trajectory, its own test functions serve for both fit and choice."""
     library = build_library(system.variables, degree, custom=custom, exclude=exclude, dims=system.dims, max_derivative=max_derivative, names=derivative_symbols(system.variables, system.dims, max_derivative))
     found = weak_field_grams(frames, system, library, dt, half_t, half_x, p)
-    keys = sorted(found)
-    held = found[keys[-1]]
-    train = sum((found[k] for k in keys[1:-1]), found[keys[0]])
+    train, held = found.get("train", found["held"]), found["held"]
     kept = regression.near_dependent(train, 1e-10)
     train, held = train.keep(kept), held.keep(kept)
     rhs = {f: linear_combination(regression.sparsest(train, held, k, tolerance, swap), train.terms) for k, f in enumerate(system.variables)}
@@ -178,6 +175,10 @@ def noise_level(df: DataFrame, value: str, by: Sequence[str] = ("traj",), order:
     """One row: noise from third differences, 1.4826 * median absolute deviation / sqrt(20)."""
     w = along(by, order)
     d = weighted(value, (-1.0, 3.0, -3.0, 1.0), (-3, -2, -1, 0), w)
-    rows = df.select(d.alias("_d")).where("_d is not null")
-    middle = rows.agg(F.median("_d").alias("_m"))
-    return rows.join(F.broadcast(middle)).agg((F.median(F.abs(F.col("_d") - F.col("_m"))) * 1.4826 / np.sqrt(20.0)).alias("noise"))
+    rows = df.select(d.alias("_d")).where("_d is not null").persist()
+    try:
+        middle = median(rows, "_d")
+        away = median(rows, F.abs(F.col("_d") - F.lit(middle))) if middle is not None else None
+    finally:
+        rows.unpersist()
+    return df.sparkSession.createDataFrame([(away * 1.4826 / float(np.sqrt(20.0)) if away is not None else None,)], "noise double")

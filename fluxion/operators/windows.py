@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.numerics import savgol_weights
 
 KEY, ORDER = ("traj",), ("step",)
+#: Steps of a trajectory that one task takes at a time.
+CHUNK = 65_536
 
 
 def along(key: Sequence[str] = KEY, order: Sequence[str] = ORDER) -> WindowSpec:
@@ -49,17 +51,24 @@ def savgol(name: str, window: int, order: int, derivative: int, delta: float, w:
 
 def smooth_and_differentiate(
     df: DataFrame, variables: Sequence[str], dt: float, window: int = 9, order: int = 3, method: str = "savgol",
-    key: Sequence[str] = KEY, by: Sequence[str] = ORDER, ends: bool = True,
+    key: Sequence[str] = KEY, by: str = "step", ends: bool = True, chunk: int = CHUNK,
 ) -> DataFrame:
-    """df with `<v>_s` (smoothed) and `<v>_t` (time derivative) for each variable. method: savgol, or fd (no smoothing)."""
-    w = along(key, by)
+    """df with `<v>_s` (smoothed) and `<v>_t` (time derivative) for each variable. method: savgol, or fd (no smoothing).
+
+    `by` numbers the rows of a trajectory without gaps. Rows go to chunks of `chunk` steps with as many neighbours as a window needs, so that a long
+    trajectory is many tasks."""
+    dealt = with_halo(df, chunk, window if method != "fd" else 1, by)
+    w = along((*key, "chunk"), (by,))
     if method == "fd":
-        return df.select("*", *[c for v in variables for c in (F.col(v).alias(f"{v}_s"), gradient(v, dt, w).alias(f"{v}_t"))])
-    if not ends:
-        return df.select("*", *[savgol(v, window, order, d, dt, w).alias(f"{v}_{s}") for v in variables for d, s in ((0, "s"), (1, "t"))])
-    placed = df.select("*", (F.row_number().over(w) - 1).alias("_p"), F.count("*").over(Window.partitionBy(*key)).alias("_n"))
-    out = [savgol(v, window, order, d, dt, w, F.col("_p"), F.col("_n")).alias(f"{v}_{s}") for v in variables for d, s in ((0, "s"), (1, "t"))]
-    return placed.select(*df.columns, *out)
+        out = [c for v in variables for c in (F.col(v).alias(f"{v}_s"), gradient(v, dt, w).alias(f"{v}_t"))]
+    elif not ends:
+        out = [savgol(v, window, order, d, dt, w).alias(f"{v}_{s}") for v in variables for d, s in ((0, "s"), (1, "t"))]
+    else:
+        span = df.groupBy(*key).agg(F.min(by).alias("_lo"), F.max(by).alias("_hi"))
+        dealt = dealt.join(span, list(key))
+        place, size = F.col(by) - F.col("_lo"), F.col("_hi") - F.col("_lo") + 1
+        out = [savgol(v, window, order, d, dt, w, place, size).alias(f"{v}_{s}") for v in variables for d, s in ((0, "s"), (1, "t"))]
+    return dealt.select(*df.columns, "own", *out).where("own").drop("own")
 
 
 def gradient(name: str, dt: float, w: WindowSpec) -> Column:
@@ -68,14 +77,10 @@ def gradient(name: str, dt: float, w: WindowSpec) -> Column:
     return F.coalesce((after - before) / (2 * dt), (after - own) / dt, (own - before) / dt)
 
 
-def trim(df: DataFrame, n: int, key: Sequence[str] = KEY, by: Sequence[str] = ORDER) -> DataFrame:
-    """Without the first and last n rows of every trajectory."""
-    w = along(key, by)
-    return (
-        df.select("*", F.row_number().over(w).alias("_p"), F.count("*").over(Window.partitionBy(*key)).alias("_n"))
-        .where((F.col("_p") > n) & (F.col("_p") <= F.col("_n") - n))
-        .drop("_p", "_n")
-    )
+def trim(df: DataFrame, n: int, key: Sequence[str] = KEY, by: str = "step") -> DataFrame:
+    """Without the first and last n rows of every trajectory, numbered by `by` without gaps."""
+    span = df.groupBy(*key).agg(F.min(by).alias("_lo"), F.max(by).alias("_hi"))
+    return df.join(span, list(key)).where((F.col(by) >= F.col("_lo") + n) & (F.col(by) <= F.col("_hi") - n)).select(*df.columns)
 
 
 def trajectories_from_resets(df: DataFrame, time: str, ordinal: str, source: Sequence[str] = ()) -> DataFrame:
