@@ -223,3 +223,67 @@ def test_catalogue_against_duckdb(spark, data, name):
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     assert same(catalogue.queries()[name](spark, data).toPandas(), c.sql(catalogue.oracle_sql()[name]).df())
+
+
+# --- what caps used to hide
+
+
+def test_dominant_mode_beyond_64(spark):
+    from fluxion.operators.diagnostics import diagnose
+
+    n, k = 1000, 200
+    df = spark.createDataFrame([(0, i, i * 0.1, float(np.sin(2 * np.pi * k * i / n))) for i in range(n)], "traj int, step int, t double, u double")
+    found = diagnose(df, ["u"], 0.1)["oscillation"]["u"]
+    assert abs(found["period"] - n * 0.1 / k) < 1e-9 and found["share"] > 0.99
+
+
+def test_predictability_looks_at_the_whole_span(spark):
+    """Two models that part only after 300 of 500 steps."""
+    start = spark.createDataFrame([(0, 1.0)], "traj int, x double")
+    t = np.arange(500) * 0.1
+    out = assess.predictability(start, {"a": {"x": "0.0*x"}, "b": {"x": "0.001"}}, {"x": 0.005}, t)
+    assert 29 < out["horizon"] < 31 and not out["horizon_is_full_data_span"]
+    short = simulate(spark, "lotka_volterra", 2, t_end=15)
+    a = assess.assess(short, ["x", "y"], 0.05, SYSTEMS["lotka_volterra"].rhs, {"near": {"x": "1.1*x - 0.4001*x*y", "y": "-0.4*y + 0.1*x*y"}}, window=7)
+    assert a["predictability"]["horizon"] > 200 * 0.05 or not a["predictability"]["horizon_is_full_data_span"]
+
+
+def test_quantiles_agree_with_numpy(spark):
+    from fluxion.operators.quantiles import median, quantiles
+
+    rng = np.random.default_rng(3)
+    x, y = rng.lognormal(0, 4, 5000), rng.integers(0, 3, 5000).astype(float)
+    df = spark.createDataFrame([(float(a), float(b), None) for a, b in zip(x, y, strict=True)] + [(None, 1.0, None)], "x double, y double, z double").repartition(3)
+    shares = [0, 0.01, 0.25, 0.5, 0.9, 1]
+    for few, bins in ((100_000, 8192), (50, 64)):
+        got = quantiles(df, ["x", "y", "z"], shares, few, bins)
+        assert np.allclose(got["x"], np.quantile(x, shares)) and np.allclose(got["y"], np.quantile([*y, 1.0], shares)) and got["z"] == [None] * 6
+    assert median(df, F.col("x") * 2) == pytest.approx(2 * np.median(x))
+
+
+def test_many_trajectories_reach_the_driver_as_one_matrix(spark, monkeypatch):
+    """Ten thousand trajectories: what comes to the driver doesn't grow with them."""
+    rows = spark.range(40_000).selectExpr("cast(id div 4 as int) as traj", "cast(id % 4 as int) as step", "cast(id div 4 as double) % 7 as a", "cast(id % 4 as double) as b")
+    every, inner = gram.within(rows, {"a": F.col("a"), "b": F.col("b")}, F.col("traj"))
+    assert every.n == 40_000 and abs(inner[1, 1]) < 1e-6 and inner[2, 2] == pytest.approx(10_000 * 5.0)
+    found = gram.grams(rows, {"a": F.col("a")}, {"b": F.col("b")}, gram.grouped("traj", "step"))
+    assert len(found) <= gram.GROUPS and sum(g.n for g in found.values()) == 40_000
+
+
+def test_chunks_with_halo_change_nothing(spark):
+    rng = np.random.default_rng(4)
+    u = rng.normal(size=200).cumsum()
+    df = spark.createDataFrame([(0, i, float(x)) for i, x in enumerate(u)], "traj int, step int, u double")
+    for method in ("savgol", "fd"):
+        whole, cut = (windows.smooth_and_differentiate(df, ["u"], 0.5, 9, method=method, chunk=c).orderBy("step").toPandas() for c in (1 << 16, 16))
+        assert np.allclose(whole, cut)
+
+
+def test_shapes_are_told_apart(spark):
+    from fluxion.operators.diagnostics import shape_in, shape_of
+
+    x = np.linspace(0.1, 5, 40)
+    for name, y in {"linear": 2 * x - 1, "quadratic": x**2, "cubic": x**3 - x, "sin": np.sin(x), "saturating": 3 * x / (0.5 + x)}.items():
+        assert shape_of(x, y)["shape"] == name, name
+    df = spark.createDataFrame([(float(a), float(3 * a / (0.5 + a))) for a in x], "x double, y double")
+    assert shape_in(df, "x", "y")["shape"] == "saturating"
