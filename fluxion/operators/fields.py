@@ -146,8 +146,8 @@ def spectrum(frames: DataFrame, system: System) -> dict[str, dict]:
     return out
 
 
-def periodicity(frames: DataFrame, field: str) -> dict[str, float]:
-    """How a 1-D field fits together at its ends, from sums of squares over all frames: second differences across the seam (with and without a
+def periodicity(frames: DataFrame, field: str, shape: Sequence[int] = (-1,), axis: int = 0) -> dict[str, float]:
+    """How a field fits together at the ends of an axis, from sums of squares over all frames: second differences across the seam (with and without a
     repeated end node) and the difference of the end nodes against those inside; spectral energy in the upper half with the end jump against without
     it; steps at the edges against steps inside."""
     names = ("inner1", "inner2", "edge", "seam2", "end1", "end2", "steps", "bends", "high", "all", "flat_high", "flat_all", "frames")
@@ -157,7 +157,8 @@ def periodicity(frames: DataFrame, field: str) -> dict[str, float]:
         for pdf in batches:
             if not len(pdf):
                 continue
-            u = np.stack([np.asarray(a, float) for a in pdf[field]])
+            u = np.moveaxis(np.stack([np.asarray(a, float).reshape(shape) for a in pdf[field]]), 1 + axis, -1)
+            u = u.reshape(-1, u.shape[-1])
             n = u.shape[1]
             round_, closed = np.diff(np.concatenate([u[:, -2:], u[:, :2]], axis=1), 2, axis=1), u[:, 1] - 2 * u[:, 0] + u[:, -2]
             first, second = np.diff(u, axis=1), np.diff(u, 2, axis=1)

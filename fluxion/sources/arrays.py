@@ -9,16 +9,14 @@ import numpy as np
 
 from .ingest import SPACE_NAMES, TIME_NAMES, Card
 
-_PARTIAL = re.compile(r"^d?([A-Za-z]\w*?)_?(t|x+|y+)$|^d([A-Za-z]\w*)d([txy])\d?$")
+#: How names say that something is a derivative of `{}`: u_x, uxx, u_dt, u_dot, uprime, u_deriv2; dudx, du_dt; du, ddu.
+_SAYINGS = ("{}_?d?[txyz]{{1,4}}", "{}_?dot", "{}_?prime", "{}_?deriv\\w*", "d{}_?d[txyz]+", "d{{1,4}}{}")
 
 
 def derivative_of(name: str, known: set[str]) -> str | None:
-    """The array that a name calls a derivative of (u_x, u_xx, dudx, ut), if that array is there."""
-    m = _PARTIAL.match(name)
-    if not m:
-        return None
-    base = m.group(1) or m.group(3)
-    return base if base in known and base != name else None
+    """The array that a name calls a derivative of, if that array is there: the longest of them."""
+    says = lambda base: any(re.fullmatch(s.format(re.escape(base)), name, re.IGNORECASE) for s in _SAYINGS)
+    return max((b for b in known if b.lower() != name.lower() and says(b)), key=len, default=None)
 
 
 def infer_arrays(arrays: Mapping[str, np.ndarray], card: Card, hints: Mapping[str, str] | None = None) -> dict:

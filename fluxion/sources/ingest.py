@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import numerics as N
 from ..operators import windows
-from .readers import read_file, sanitize_names
+from .readers import ARRAYS, extension, read_file, sanitize_names
 
 # Names by which columns are known, and units of time.
 TIME_NAMES = ("t", "time", "times", "date", "datetime", "timestamp", "epoch", "tau")
@@ -76,13 +77,16 @@ def detect_layout(df: DataFrame, card: Card, hints: Mapping[str, object] | None
     numbers = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name != "_ordinal"]
     time = hints.get("time") or next((low[n] for n in TIME_NAMES if n in low), None) or next((c for c in names if c.lower().startswith("time")), None) or (stamps[0] if stamps else None)
     sure = "high" if time else "low"
+    if time is None:
+        df, time = _stamped(df, [f.name for f in df.schema if isinstance(f.dataType, T.StringType)])
+        sure = "medium" if time else "low"
     if time is None:
         flags = windows.never_falls(df, numbers, "_ordinal")
         many = df.agg(*[F.count_distinct(c).alias(c) for c in numbers]).first()
         time = next((c for c in numbers if flags[c] and many[c] > 2), None)
         if time is None:
             raise ValueError("no column looks like time; name one in the hints")
-    card.assume("time column", time, sure, "by name" if sure == "high" else "first column that never falls")
+    card.assume("time column", time, sure, {"high": "by name", "medium": "text that reads as dates", "low": "first column that never falls"}[sure])
     trajectory = hints.get("trajectory") or next((low[n] for n in TRAJECTORY_NAMES if n in low and low[n] != time), None) or next((c for c in names if c.lower().endswith("_id") and c != time), None)
     values = [c for c in numbers if c not in (time, trajectory)]
     if trajectory is None:
@@ -98,27 +102,45 @@ def detect_layout(df: DataFrame, card: Card, hints: Mapping[str, object] | None
     facts = df.agg(*[F.count_distinct(c).alias(c) for c in values], F.count("*").alias("_rows")).first()
     constants = [c for c in values if facts[c] <= 1]
     values = [c for c in values if c not in constants]
-    moving = df.groupBy("_traj").agg(*[F.stddev_pop(c).alias(c) for c in values]).agg(*[F.max(c).alias(c) for c in values], F.count("*").alias("_n")).first() if values else {"_n": 1}
-    scale = df.agg(*[F.max(F.abs(F.col(c))).alias(c) for c in values]).first() if values else {}
-    parameters = [c for c in values if moving["_n"] > 1 and (moving[c] or 0.0) <= 1e-9 * max(scale[c] or 0.0, 1e-300)]
+    still = {r["name"]: r["parameter"] for r in parameter_columns(df, "_traj", values).collect()} if values else {}
+    parameters = [c for c in values if still[c]]
     values = [c for c in values if c not in parameters]
-    space = _space_columns(df, time, values, facts)
+    space = _preferred(space_columns(df, ("_traj", time), values))
     for c in space:
         card.assume("space column", c, "high" if c.lower() in SPACE_NAMES else "medium", "several values at each time, shared by many rows")
     return df, Layout("pde" if space else "ode", time, trajectory, space, [c for c in values if c not in space], parameters, constants, "_ordinal")
 
 
-def _space_columns(df: DataFrame, time: str, values: Sequence[str], distinct: Mapping[str, int]) -> list[str]:
-    """Long-format fields: rows share (trajectory, time), and a column has several values in each such group but few in all."""
-    if not values:
-        return []
-    each = df.groupBy("_traj", time).agg(F.count("*").alias("_n"), *[F.count_distinct(c).alias(c) for c in values])
-    row = each.agg(F.max("_n").alias("_n"), *[F.min(c).alias(c) for c in values]).first()
-    if row["_n"] <= 1:
+def _stamped(df: DataFrame, text: Sequence[str], share: float = 0.95) -> tuple[DataFrame, str | None]:
+    """df with the first text column that reads as dates or times in more than `share` of its rows made time stamps, and its name."""
+    if not text:
+        return df, None
+    read = lambda c: F.expr(f"try_cast(`{c}` as timestamp)")
+    row = df.agg(*[F.avg(F.when(F.col(c).isNotNull(), read(c).isNotNull().cast("double"))).alias(c) for c in text]).first()
+    found = next((c for c in text if (row[c] or 0) > share), None)
+    return (df.withColumn(found, read(found)), found) if found else (df, None)
+
+
+def parameter_columns(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """name, parameter: whether a column keeps one value within each of several keys, to 1e-9 of its size."""
+    own = df.groupBy(key).agg(*[F.struct(F.stddev_pop(c).alias("d"), F.max(F.abs(F.col(c))).alias("m")).alias(f"_{c}") for c in columns])
+    still = lambda c: (F.count("*") > 1) & (F.coalesce(F.max(f"_{c}.d"), F.lit(0.0)) <= 1e-9 * F.coalesce(F.max(f"_{c}.m"), F.lit(0.0)))
+    return own.agg(F.array(*[F.struct(F.lit(c).alias("name"), still(c).alias("parameter")) for c in columns]).alias("a")).select(F.inline("a"))
+
+
+def space_columns(df: DataFrame, key: Sequence[str], columns: Sequence[str]) -> list[str]:
+    """Columns with several values in every group of rows that share the key (trajectory and time), but half as many values as rows at most, in all."""
+    if not columns:
         return []
-    found = [c for c in values if row[c] > 1 and distinct[c] <= distinct["_rows"] / 2]
-    named = [c for c in found if c.lower() in SPACE_NAMES]
-    return (named or found)[:2]
+    each = df.groupBy(*key).agg(F.count("*").alias("_n"), *[F.count_distinct(c).alias(c) for c in columns])
+    row = each.agg(F.max("_n").alias("_n"), *[F.min(c).alias(c) for c in columns]).first()
+    every = df.agg(F.count("*").alias("_rows"), *[F.count_distinct(c).alias(c) for c in columns]).first()
+    return [c for c in columns if (row["_n"] or 0) > 1 and row[c] > 1 and every[c] <= every["_rows"] / 2]
+
+
+def _preferred(found: Sequence[str]) -> list[str]:
+    """Two of them at most, those with names of space if there are any."""
+    return ([c for c in found if c.lower() in SPACE_NAMES] or list(found))[:2]
 
 
 def to_trajectories(df: DataFrame, layout: Layout, unit: str = "s") -> DataFrame:
@@ -134,18 +156,23 @@ def to_trajectories(df: DataFrame, layout: Layout, unit: str = "s") -> DataFrame
 
 
 def to_grid(df: DataFrame, layout: Layout) -> DataFrame:
-    """frames(traj, step, t, <field> arrays) of a long 1-D field: every (time, node) of a trajectory, missing cells null, the last of doubled cells."""
+    """frames(traj, step, t, <field> arrays) of a long 1-D field: every (time, node), missing cells null, the last of doubled cells.
+
+    The nodes are one row, no larger than a frame, which meets every time of a trajectory; cells are then looked up by an equi-join."""
     x = layout.space[0]
     base = df.select(F.col("_traj").alias("traj"), F.col(layout.time).cast("double").alias("t"), F.col(x).cast("double").alias("x"), *layout.variables, layout.order)
     one = base.groupBy("traj", "t", "x").agg(*[F.max_by(v, layout.order).alias(v) for v in layout.variables])
-    nodes = one.select("x").distinct()
-    grid = one.select("traj", "t").distinct().crossJoin(F.broadcast(nodes)) if nodes.count() <= 100_000 else one.select("traj", "t").distinct().join(nodes)
-    full = grid.join(one, ["traj", "t", "x"], "left")
-    rows = full.groupBy("traj", "t").agg(F.array_sort(F.collect_list(F.struct("x", *layout.variables))).alias("z"))
+    nodes = one.agg(F.sort_array(F.collect_set("x")).alias("nodes"))
+    grid = one.select("traj", "t").distinct().crossJoin(F.broadcast(nodes)).select("traj", "t", F.explode("nodes").alias("x"))
+    rows = grid.join(one, ["traj", "t", "x"], "left").groupBy("traj", "t").agg(F.array_sort(F.collect_list(F.struct("x", *layout.variables))).alias("z"))
     out = rows.select("traj", "t", *[F.col(f"z.{v}").alias(n) for v, n in zip(layout.variables, sanitize_names(layout.variables), strict=True)])
     return out.withColumn("step", (F.row_number().over(Window.partitionBy("traj").orderBy("t")) - 1).cast("int"))
 
 
+def grid_nodes(df: DataFrame, layout: Layout) -> np.ndarray:
+    return np.array([r["x"] for r in df.select(F.col(layout.space[0]).cast("double").alias("x")).distinct().orderBy("x").collect()])  # one axis of the grid
+
+
 def regular_time(df: DataFrame, variables: Sequence[str], tolerance: float = 1e-3, resample: bool = True) -> tuple[DataFrame, float]:
     """Trajectories on one uniform step (the median over all): those that deviate are read from a not-a-knot spline in their own task; all are
     cut to the shortest. A trajectory whose time falls is reversed."""
@@ -186,15 +213,96 @@ def sanity(df: DataFrame, variables: Sequence[str]) -> list[str]:
     return out
 
 
+def finish_fields(frames: DataFrame, names: Sequence[str], nodes: Sequence[np.ndarray], card: Card, hints: Mapping[str, object]) -> tuple[DataFrame, dict]:
+    """Frames on a uniform grid with a known boundary: holes filled in time, uneven nodes resampled (1-D), a repeated end node dropped; and the grid.
+
+    Axes that differ in their boundary make it unknown."""
+    from ..operators import fields
+
+    holes = frames.select(F.explode(F.arrays_zip(*names)).alias("z")).agg(*[F.count_if(F.col(f"z.{n}").isNull()).alias(n) for n in names]).first()
+    if sum(holes):
+        card.warnings.append(f"{sum(holes)} missing cells are filled from the times before and after")
+        frames = fill_frames(frames, names)
+    if len(nodes) == 1:
+        frames, even = fields.uniform_space(frames, nodes[0], names)
+        nodes = [even]
+    shape, dims = [len(x) for x in nodes], "xy"[: len(nodes)]
+    given, drop = hints.get("boundary"), hints.get("drop_end")
+    found = {d: fields.decide_boundary(fields.periodicity(frames, names[0], shape, k), given, drop) for k, d in enumerate(dims)}
+    for d, b in found.items():
+        card.assume(f"boundary ({d})", b["boundary"], b["confidence"], b["why"])
+    kept = [n - bool(b["drop_end"]) for n, b in zip(shape, found.values(), strict=True)]
+    if kept != shape:
+        cut = lambda c: F.slice(c, 1, kept[0]) if len(shape) == 1 else F.flatten(F.transform(F.sequence(F.lit(0), F.lit(kept[0] - 1)), lambda i: F.slice(c, i * shape[1] + 1, kept[1])))
+        frames = frames.withColumns({n: cut(F.col(n)) for n in names})
+    kinds = {b["boundary"] for b in found.values()}
+    boundary = kinds.pop() if len(kinds) == 1 else "unknown"
+    grid = {}
+    for d, x, n in zip(dims, nodes, kept, strict=True):
+        dx = float((x[-1] - x[0]) / (len(x) - 1))
+        grid[d] = {"n": n, "L": float(hints.get("L", dx * (n if boundary == "periodic" else n - 1))), "dx": dx, "x0": float(x[0])}
+    return frames, {"kind": "pde", "variables": list(names), "spatial_dims": list(dims), "boundary": boundary, "grid": grid}
+
+
+def fill_frames(frames: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Missing cells by linear interpolation along time, node by node."""
+    rest = [c for c in frames.columns if c not in names]
+    z = frames.select(*rest, F.posexplode(F.arrays_zip(*names)).alias("_ix", "z")).select(*rest, "_ix", *[F.col(f"z.{n}").alias(n) for n in names])
+    filled = windows.fill_gaps(z, names, ("traj", "_ix"))
+    back = filled.groupBy(*rest).agg(F.array_sort(F.collect_list(F.struct("_ix", *names))).alias("z"))
+    return back.select(*rest, *[F.col(f"z.{n}").alias(n) for n in names])
+
+
+def ingest_arrays(spark, path: str, card: Card, hints: Mapping[str, object]) -> tuple[DataFrame, dict]:
+    """An array file to trajectories or frames: roles from headers and vectors, values through Spark."""
+    from .arrays import infer_arrays
+    from .readers import array_headers, array_table
+
+    rows = read_file(spark, path)
+    heads = array_headers(rows)
+    roles = infer_arrays(heads, card, {k: v for k, v in hints.items() if k in ("field", "axes", "time")})
+    size = dict(zip(roles["axes"], heads[roles["field"]].shape, strict=True))
+    t = heads.get(roles["time"]) if roles["time"] else None
+    dt = float(hints.get("dt", np.median(np.diff(t)) if t is not None else 1.0))
+    table = array_table(rows, roles["field"], roles["time"], dt, roles["axes"])
+    names = list(hints.get("names") or ([roles["field"]] if size.get("v", 1) == 1 else [f"{roles['field']}{i}" for i in range(size["v"])]))
+    names = sanitize_names(names)
+    if "x" not in size:
+        obs = table.groupBy("traj", "step", "t").agg(*[F.max(F.when(F.col("variable") == i, F.col("value"))).alias(n) for i, n in enumerate(names)])
+        obs, step = regular_time(windows.fill_gaps(obs, names), names)
+        return obs, {"kind": "ode", "variables": names, "dt": step}
+    cells = table.groupBy("traj", "step", "t", "ix", "iy").agg(*[F.max(F.when(F.col("variable") == i, F.col("value"))).alias(n) for i, n in enumerate(names)])
+    frames = cells.groupBy("traj", "step", "t").agg(F.array_sort(F.collect_list(F.struct("ix", "iy", *names))).alias("z")).select("traj", "step", "t", *[F.col(f"z.{n}").alias(n) for n in names])
+    nodes = [next((heads[s] for s in roles["space"] if heads[s].size == size[d] and (d == "x") == (s == roles["space"][0])), np.arange(size[d], dtype=float)) for d in "xy" if d in size]
+    frames, meta = finish_fields(frames, names, nodes, card, hints)
+    return frames, meta | {"dt": dt}
+
+
+def system_of(meta: Mapping):
+    """The grid of ingested fields as a System without equations."""
+    from ..operators.systems import System
+
+    grid = {d: (g["n"], g["L"], g["x0"]) for d, g in meta["grid"].items()}
+    return System("measured", dict.fromkeys(meta["variables"], "0"), (), meta["dt"], 0.0, 0.0, tuple(meta["spatial_dims"]), meta["boundary"], grid)
+
+
 def ingest(spark, path: str, hints: Mapping[str, object] | None = None) -> tuple[DataFrame, dict, Card]:
-    """A table file to trajectories or frames, with meta data and a card of what was assumed."""
-    card = Card()
+    """A table or array file to trajectories or frames, with meta data and a card of what was assumed. hints: time, trajectory, rename, drop, unwrap
+    (columns of angles), boundary, drop_end, L; of array files field, axes, time, dt, names."""
+    card, hints = Card(), dict(hints or {})
+    if extension(path) in ARRAYS:
+        out, meta = ingest_arrays(spark, path, card, hints)
+        return out, meta, card
     df, layout = detect_layout(read_file(spark, path), card, hints)
     if layout.kind == "pde":
-        out = to_grid(df, layout)
-        return out, {"kind": "pde", "variables": sanitize_names(layout.variables), "layout": asdict(layout)}, card
+        frames, meta = finish_fields(to_grid(df, layout), sanitize_names(layout.variables), [grid_nodes(df, layout)], card, hints)
+        dt = windows.sampling(frames.select("traj", "step", "t"), order=("step",)).agg(F.median("dt")).first()[0]
+        return frames, meta | {"dt": float(dt), "layout": asdict(layout)}, card
     names = sanitize_names(layout.variables)
     obs = windows.fill_gaps(to_trajectories(df, layout), names, by="t")  # times may be uneven
+    for angle in hints.get("unwrap", []):
+        top = obs.agg(F.max(angle) - F.min(angle)).first()[0]
+        obs = windows.unwrap(obs, angle, 360.0 if top > 7 else 2 * float(np.pi))
     obs, dt = regular_time(obs, names)
     card.warnings += sanity(obs, names)
     return obs, {"kind": "ode", "variables": names, "dt": dt, "layout": asdict(layout)}, card

@@ -163,7 +163,7 @@ def read_arrays(spark: SparkSession, path: str) -> DataFrame:
 
 
 def array_table(arrays: DataFrame, name: str, time: str | None, dt: float, axes: str) -> DataFrame:
-    """Long rows of one array by its axis letters: r (trajectory), t, x, v (variable). Missing letters are one. Time from a named array, or dt."""
+    """Long rows of one array by its axis letters: r (trajectory), t, x, y, v (variable). Missing letters are one. Time from a named array, or dt."""
     own = arrays.where(F.col("name") == name)
     shape = own.select("shape").first()[0]
     size = dict(zip(axes, shape, strict=True))
@@ -171,13 +171,22 @@ def array_table(arrays: DataFrame, name: str, time: str | None, dt: float, axes:
     for a in reversed(axes):
         stride[a] = left
         left *= size[a]
-    at = {a: (F.floor(F.col("position") / stride[a]) % size[a]).cast("int") if a in stride else F.lit(0) for a in "rtxv"}
-    rows = own.select(*[at[a].alias(n) for a, n in (("r", "traj"), ("t", "step"), ("x", "ix"), ("v", "variable"))], "value")
+    at = {a: (F.floor(F.col("position") / stride[a]) % size[a]).cast("int") if a in stride else F.lit(0) for a in "rtxyv"}
+    rows = own.select(*[at[a].alias(n) for a, n in (("r", "traj"), ("t", "step"), ("x", "ix"), ("y", "iy"), ("v", "variable"))], "value")
     if time is None:
         return rows.withColumn("t", F.col("step") * dt)
     return rows.join(F.broadcast(arrays.where(F.col("name") == time).select(F.col("position").cast("int").alias("step"), F.col("value").alias("t"))), "step")
 
 
+def array_headers(arrays: DataFrame) -> dict[str, np.ndarray]:
+    """The arrays of read_arrays as the driver needs them to tell their roles: vectors with their values, others as blanks of their shape."""
+    out = {r["name"]: np.broadcast_to(np.nan, tuple(r["shape"])) for r in arrays.select("name", "shape").distinct().collect()}
+    vectors = [n for n, a in out.items() if a.size == max(a.shape, default=0)]
+    for r in arrays.where(F.col("name").isin(vectors)).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("position", F.coalesce("value", F.lit(float("nan"))).alias("v")))).alias("z")).collect():
+        out[r["name"]] = np.array([x["v"] for x in r["z"]])
+    return out
+
+
 # --- inspection
 
 

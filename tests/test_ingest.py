@@ -107,3 +107,80 @@ def test_intuition(spark):
     assert out["config"]["degree"] == 2 and any("products" in h["hypothesis"] for h in out["hypotheses"])
     s = SYSTEMS["sir"]
     assert any("conserved" in h["hypothesis"] for h in intuit(simulate(spark, s, 2), s.variables, s.dt)["hypotheses"])
+
+
+# --- array files and fields from end to end
+
+
+def wave(n=32, nt=24, runs=1, seed=0):
+    x, t = np.linspace(0, 2 * np.pi, n, endpoint=False), np.arange(nt) * 0.1
+    return x, t, np.stack([np.sin(x[None, :] - t[:, None] + r) + 0.3 * np.cos(2 * (x[None, :] - t[:, None])) for r in range(runs)])
+
+
+def test_npz_trajectories(spark, tmp_path):
+    t = np.arange(40) * 0.05
+    u = np.stack([np.stack([np.sin(t + r), np.cos(t + r)], axis=1) for r in range(3)])
+    np.savez(tmp_path / "d.npz", Y=u, time=t)
+    obs, meta, card = I.ingest(spark, str(tmp_path / "d.npz"))
+    assert meta["kind"] == "ode" and meta["variables"] == ["Y0", "Y1"] and abs(meta["dt"] - 0.05) < 1e-12 and obs.count() == 120
+    got = obs.where("traj = 2").orderBy("step").toPandas()
+    assert np.allclose(got["Y1"], u[2, :, 1]) and any(a["what"] == "axes" for a in card.assumptions)
+    np.save(tmp_path / "a.npy", u[0])
+    obs, meta, _ = I.ingest(spark, str(tmp_path / "a.npy"), {"dt": 0.05, "axes": "tv"})
+    assert obs.count() == 40 and abs(meta["dt"] - 0.05) < 1e-9
+
+
+@pytest.mark.parametrize("noise", [0.0, 0.002])
+def test_repeated_end_node_is_dropped_even_under_noise(spark, tmp_path, noise):
+    x, t, u = wave()
+    closed = np.concatenate([u, u[:, :, :1]], axis=2) + noise * np.random.default_rng(1).normal(size=(1, 24, 33))
+    np.savez(tmp_path / "f.npz", u=closed[0], x=np.append(x, 2 * np.pi), t=t)
+    frames, meta, _ = I.ingest(spark, str(tmp_path / "f.npz"))
+    assert meta["boundary"] == "periodic" and meta["grid"]["x"]["n"] == 32 and abs(meta["grid"]["x"]["L"] - 2 * np.pi) < 1e-9
+    assert frames.count() == 24 and len(frames.first()["u"]) == 32
+
+
+def test_cut_window_is_not_periodic(spark, tmp_path):
+    x, t, u = wave(64)
+    np.savez(tmp_path / "f.npz", u=u[0][:, :41], x=x[:41], t=t)
+    _, meta, _ = I.ingest(spark, str(tmp_path / "f.npz"))
+    assert meta["boundary"] == "unknown" and meta["grid"]["x"]["n"] == 41
+    _, meta, _ = I.ingest(spark, str(tmp_path / "f.npz"), {"boundary": "dirichlet"})
+    assert meta["boundary"] == "dirichlet"
+
+
+def test_two_dimensional_field(spark, tmp_path):
+    x, y, t = np.linspace(0, 1, 16, endpoint=False), np.linspace(0, 2, 12, endpoint=False), np.arange(10) * 0.2
+    u = np.sin(2 * np.pi * x)[None, :, None] * np.cos(np.pi * y)[None, None, :] * np.exp(-t)[:, None, None]
+    np.savez(tmp_path / "g.npz", u=u, x=x, y=y, t=t)
+    frames, meta, _ = I.ingest(spark, str(tmp_path / "g.npz"))
+    assert meta["boundary"] == "periodic" and meta["spatial_dims"] == ["x", "y"] and [meta["grid"][d]["n"] for d in "xy"] == [16, 12]
+    assert np.allclose(np.array(frames.where("step = 3").first()["u"]).reshape(16, 12), u[3])
+
+
+def test_table_of_a_field_to_an_equation(spark, tmp_path):
+    """Advection u_t = -u_x from a long table with a hole, through ingest, fit and rollout."""
+    from fluxion.plans.discover import discover
+
+    x, t, u = wave(32, 40)
+    g = [(0, a, b, u[0, i, j]) for i, a in enumerate(t) for j, b in enumerate(x) if (i, j) != (7, 3)]
+    pd.DataFrame(g, columns=["traj", "t", "x", "u"]).to_csv(tmp_path / "f.csv", index=False)
+    out = discover(spark, str(tmp_path / "f.csv"))
+    from fluxion.functions.expressions import parse
+
+    assert out["verdict"]["status"] == "CONFIDENT IN PREDICTIONS" and abs(parse(out["rhs"]["u"]).coefficients()["u_x"] + 1) < 0.05
+    assert any("missing" in w for w in out["card"].warnings)
+
+
+def test_dates_as_text_are_time(spark, tmp_path):
+    rows = pd.DataFrame({"when": [f"2024-01-{d:02d}T06:00:00" for d in range(1, 31)], "level": np.sin(np.arange(30) / 3)})
+    rows.to_json(tmp_path / "d.json", orient="records")
+    obs, meta, card = I.ingest(spark, str(tmp_path / "d.json"))
+    assert abs(meta["dt"] - 86400) < 1e-6 and obs.count() == 30 and next(a for a in card.assumptions if a["what"] == "time column")["value"] == "when"
+
+
+@pytest.mark.parametrize(("name", "base"), [("u_x", "u"), ("uxx", "u"), ("u_dot", "u"), ("uprime", "u"), ("u_deriv1", "u"), ("dudx", "u"), ("du_dt", "u"), ("ddu", "u"), ("dvel", "vel"), ("vel_t", "vel"), ("u", None), ("w", None)])
+def test_names_of_derivatives(name, base):
+    from fluxion.sources.arrays import derivative_of
+
+    assert derivative_of(name, {"u", "vel", name}) == base
