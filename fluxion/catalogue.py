@@ -17,7 +17,7 @@ from .functions.expressions import parse
 from .operators import diagnostics, gram, library, memory, regression, scoring, sindy, uncertainty, weakform, windows
 from .operators.simulate import simulate
 from .operators.systems import SYSTEMS
-from .sources import readers
+from .sources import ingest, readers
 from .streaming import rates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,10 +130,7 @@ def constant_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS name, max(d) <= 1e-9 * max(m) AS parameter FROM (SELECT stddev_pop({c}) AS d, max(abs({c})) AS m FROM lineitem GROUP BY l_linenumber)" for c in _COLUMNS) + ")",
 )
 def param_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "lineitem")
-    own = df.groupBy("l_linenumber").agg(*[F.struct(F.stddev_pop(c).alias("d"), F.max(F.abs(F.col(c))).alias("m")).alias(f"_{c}") for c in _COLUMNS])
-    cells = [F.struct(F.lit(c).alias("name"), (F.max(f"_{c}.d") <= 1e-9 * F.max(f"_{c}.m")).alias("parameter")) for c in _COLUMNS]
-    return own.agg(F.array(*cells).alias("a")).select(F.inline("a"))
+    return ingest.parameter_columns(table(spark, sf_dir, "lineitem"), "l_linenumber", _COLUMNS)
 
 
 @query(
@@ -145,11 +142,8 @@ def param_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
     + ")",
 )
 def spatial_col_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "lineitem").select("l_suppkey", *_COLUMNS)
-    all_ = df.agg(*[F.count_distinct(c).alias(f"g_{c}") for c in _COLUMNS], F.count("*").alias("n"))
-    each = df.groupBy("l_suppkey").agg(*[F.count_distinct(c).alias(c) for c in _COLUMNS]).agg(*[F.min(c).alias(c) for c in _COLUMNS])
-    cells = [F.struct(F.lit(c).alias("name"), ((F.col(c) > 1) & (F.col(f"g_{c}") <= F.col("n") / 2)).alias("spatial")) for c in _COLUMNS]
-    return each.join(F.broadcast(all_)).select(F.inline(F.array(*cells)))
+    found = ingest.space_columns(table(spark, sf_dir, "lineitem").select("l_suppkey", *_COLUMNS), ["l_suppkey"], _COLUMNS)
+    return spark.createDataFrame([(c, c in found) for c in _COLUMNS], "name string, spatial boolean")
 
 
 _DAILY = """d AS (SELECT user_id AS traj, CAST(floor(epoch_us(ts) / 86400e6) AS BIGINT) AS day, avg(value) AS u FROM events GROUP BY 1, 2),
@@ -165,11 +159,24 @@ def daily_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.join(d, ["traj", "day"], "left").select("traj", (F.col("day") - F.col("a")).alias("step"), "u")
 
 
-@query("grid_pivot", f"WITH {_DAILY} SELECT traj, CAST(step AS BIGINT) AS step, round(u, 6) AS u FROM grid")
-def grid_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("daily_grid", f"WITH {_DAILY} SELECT traj, CAST(step AS BIGINT) AS step, round(u, 6) AS u FROM grid")
+def daily_grid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_grid(spark, sf_dir).select("traj", "step", F.round("u", 6).alias("u"))
 
 
+@query(
+    "grid_pivot",
+    """WITH e AS (SELECT CAST(floor(epoch_us(ts) / 86400e6) AS DOUBLE) AS t, CAST(user_id AS DOUBLE) AS x, value, event_id FROM events), o AS (SELECT t, x, max_by(value, event_id) AS u FROM e GROUP BY 1, 2),
+s AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS step FROM (SELECT DISTINCT t FROM e)), n AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS ix FROM (SELECT DISTINCT x FROM e))
+SELECT CAST(step AS INTEGER) AS step, CAST(ix AS INTEGER) AS ix, round(u, 6) AS u FROM s CROSS JOIN n LEFT JOIN o ON o.t = s.t AND o.x = n.x""",
+)
+def grid_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days by users: every cell, null where a user has no event that day, the last event of several."""
+    e = table(spark, sf_dir, "events").select(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86400e6).alias("day"), "user_id", "value", "event_id", F.lit(0).alias("_traj"))
+    frames = ingest.to_grid(e, ingest.Layout("pde", "day", None, ["user_id"], ["value"], [], [], "event_id"))
+    return frames.select("step", F.posexplode("value").alias("ix", "u")).select("step", "ix", F.round("u", 6).alias("u"))
+
+
 @query(
     "gap_fill_linear",
     f"""WITH {_DAILY}, f AS (SELECT traj, step, u, last_value(CASE WHEN u IS NOT NULL THEN step END IGNORE NULLS) OVER b AS x0, last_value(u IGNORE NULLS) OVER b AS y0,
@@ -296,7 +303,8 @@ def sum_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT l_suppkey AS traj, round(stddev_pop(l_quantity) / (abs(avg(l_quantity)) + 1e-12), 8) AS variation FROM lineitem GROUP BY 1",
 )
 def per_traj_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("traj")).agg(F.round(F.stddev_pop("l_quantity") / (F.abs(F.avg("l_quantity")) + 1e-12), 8).alias("variation"))
+    out = diagnostics.variation(table(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "traj"), "l_quantity")
+    return out.select("traj", F.round("variation", 8).alias("variation"))
 
 
 @query(
@@ -355,7 +363,7 @@ def _rounded(df: DataFrame, digits: int = 2) -> DataFrame:
 _LIB = library.build_library(["l_quantity", "l_discount"], 2, names=["l_quantity", "l_discount"])
 
 
-@query("poly_library", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_LIB)) + ") AS v(place, term)")
+@query("poly_library", "SELECT * FROM (VALUES (0, '1'), (1, 'l_quantity'), (2, 'l_discount'), (3, 'l_quantity*l_quantity'), (4, 'l_quantity*l_discount'), (5, 'l_discount*l_discount')) AS v(place, term)")
 def poly_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, t) for i, t in enumerate(_LIB)], "place int, term string")
 
@@ -666,3 +674,6 @@ def etdrk4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate(spark, "kdv", 1, t_end=1).select("traj", "step", "t", F.posexplode("u").alias("ix", "u"))
 
 
+# --- operators whose results are known from elsewhere
+
+from . import catalogue_facts  # noqa: E402, F401
