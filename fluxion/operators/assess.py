@@ -8,8 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import parse
-from . import regression, scoring, uncertainty
+from ..functions.expressions import linear_combination, parse
+from . import regression, scoring, uncertainty, weakform
 from .diagnostics import coverage, diagnose, ranges
 from .gram import grams, grouped
 from .library import build_library, columns
@@ -97,6 +97,52 @@ def questions(terms: Sequence[Mapping], ambiguous: Sequence[str]) -> list[str]:
     return out + ([f"Models {', '.join(ambiguous)} explain the data equally well: is one known to be unphysical?"] if len(ambiguous) > 1 else [])
 
 
+def use_weak(facts: Mapping, kind: str = "ode") -> bool:
+    """Whether noise or coarse steps make integrals against test functions a better basis than derivatives."""
+    return max(facts["noise_rel"].values()) > (0.02 if kind == "ode" else 0.005) or max(facts["change_per_step"].values()) > 0.15
+
+
+def weak_grams(df: DataFrame, variables: Sequence[str], library: Mapping, dt: float, half: int = 12, p: int = 8) -> dict:
+    """Gram matrices of weak rows by groups of neighbouring test functions, so that overlapping ones are drawn together."""
+    rows = weakform.weak_ode_rows(df, variables, library, dt, half, p)
+    return grams(rows, {t: F.col(f"x{i}") for i, t in enumerate(library)}, {v: F.col(f"y{i}") for i, v in enumerate(variables)}, grouped("traj", F.floor(F.col("step") / (2 * half))))
+
+
+def refit_disagreement(terms: Sequence[Mapping]) -> float:
+    """The largest relative gap between a refitted coefficient (coef) and the model's own (given)."""
+    return max((abs(t["coef"] - t["given"]) / (abs(t["given"]) + 1e-12) for t in terms if t.get("given") is not None), default=0.0)
+
+
+def term_statistics(found: Mapping, variables: Sequence[str], own: Mapping, library: Mapping, effective: float | None = None) -> tuple[list[dict], list[dict], list[dict]]:
+    """(terms with intervals, what removing each does to BIC, additions that lower BIC by more than 10, two for each variable), from blocks' matrices."""
+    every, place = uncertainty.total(found), {e: i for i, e in enumerate(library.values())}
+    n = effective or len(found)
+    terms, removal, missing = [], [], []
+    for k, v in enumerate(variables):
+        given = {place[type(own[v])({m: 1.0})]: c for m, c in own[v].terms.items() if type(own[v])({m: 1.0}) in place}
+        support = sorted(given)
+        if not support:
+            continue
+        terms += [{"var": v, "given": given[i], **t} for i, t in zip(support, uncertainty.coefficient_intervals(found, k, support), strict=True)]
+        edits = uncertainty.local_search(every, k, support, n, len(every.terms) + len(support))
+        error = every.error(regression.solve(every, k, support), k)
+        removal += [{"var": v, "term": e["term"], "dBIC_if_removed": e["dbic"]} for e in edits if e["edit"] == "remove"]
+        for e in [e for e in edits if e["edit"] == "add" and e["dbic"] < -10][:2]:
+            left = every.error(regression.solve(every, k, e["support"]), k)
+            missing.append({"var": v, "term": e["term"], "dBIC_if_added": e["dbic"], "error_reduction": 1 - left / max(error, 1e-300), "coef": e["coef"]})
+    return terms, removal, missing
+
+
+def weak_stats(df: DataFrame, variables: Sequence[str], dt: float, rhs: Mapping[str, str], degree: int = 2, half: int = 12, p: int = 8) -> dict:
+    """Intervals, removals and additions on the weak form, where noisy derivatives bias nothing; test functions overlap, so that a quarter of them count."""
+    names = [*variables, "t"]
+    own = {v: parse(e, names) for v, e in rhs.items()}
+    library = build_library(variables, degree, custom=[t for e in own.values() for t in e.coefficients()], names=names)
+    found = weak_grams(df, variables, library, dt, half, p)
+    terms, removal, missing = term_statistics(found, variables, own, library, max(uncertainty.total(found).n / 4, 10.0))
+    return {"terms": terms, "removal_evidence": removal, "missing_term_evidence": missing, "basis": "weak form"}
+
+
 def assess(df: DataFrame, variables: Sequence[str], dt: float, rhs: Mapping[str, str], rivals: Mapping[str, Mapping[str, str]] | None = None, degree: int = 2, window: int = 9) -> dict:
     """Terms with intervals, evidence for missing terms, rivals, coverage, experiments, predictability, confidence."""
     names = [*variables, "t"]
@@ -107,25 +153,15 @@ def assess(df: DataFrame, variables: Sequence[str], dt: float, rhs: Mapping[str,
     library = build_library(variables, degree, custom=extra, names=names)
     shape = df.groupBy("traj").count().agg(F.max("count").alias("n")).first()["n"]
     block = grouped("traj", uncertainty.block_of("step", shape, window))
-    found = grams(rows, columns(library), {v: F.col(f"{v}_t") for v in variables}, block)
-    every = uncertainty.total(found)
-    place = {e: i for i, e in enumerate(library.values())}
-    terms, missing = [], []
-    for k, v in enumerate(variables):
-        support = sorted({place[type(own[v])({m: 1.0})] for m in own[v].terms if type(own[v])({m: 1.0}) in place})
-        if support:
-            terms += [{"var": v, **t} for t in uncertainty.coefficient_intervals(found, k, support)]
-            edits = [e for e in uncertainty.local_search(every, k, support, len(found), 20) if e["edit"] == "add" and e["dbic"] < -10][:2]
-            error = every.error(regression.solve(every, k, support), k)
-            missing += [{"var": v, "term": e["term"], "dBIC_if_added": e["dbic"], "error_reduction": 1 - every.error(regression.solve(every, k, e["support"]), k) / max(error, 1e-300)} for e in edits]
+    basis = "weak form" if use_weak(facts) else "derivatives"
+    found = grams(rows, columns(library), {v: F.col(f"{v}_t") for v in variables}, block) if basis == "derivatives" else weak_grams(df, variables, library, dt)
+    terms, removal, missing = term_statistics(found, variables, own, library)
+    if basis == "derivatives" and refit_disagreement(terms) > 0.25:  # derivatives and model disagree: integrals decide
+        basis, found = "weak form", weak_grams(df, variables, library, dt)
+        terms, removal, missing = term_statistics(found, variables, own, library)
     models = {"model": dict(rhs), **{k: dict(m) for k, m in (rivals or {}).items()}}
     for i, m in enumerate(missing):  # a rival from each edit, with the edit's own coefficients
-        k = list(variables).index(m["var"])
-        support = next(e["support"] for e in uncertainty.local_search(every, k, sorted({place[type(own[m["var"]])({t: 1.0})] for t in own[m["var"]].terms if type(own[m["var"]])({t: 1.0}) in place}), len(found), 20) if e["term"] == m["term"] and e["edit"] == "add")
-        c = regression.solve(every, k, support)
-        from ..functions.expressions import linear_combination
-
-        models[f"with {m['term']} in {m['var']} ({i})"] = {**rhs, m["var"]: linear_combination(c, every.terms)}
+        models[f"with {m['term']} in {m['var']} ({i})"] = {**rhs, m["var"]: linear_combination(m["coef"].values(), m["coef"])}
     compared = uncertainty.compare_models(rows, models, block)
     validation = scoring.validate(df, variables, rhs, dt, window)
     scale = {r["variable"]: r["std"] for r in ranges(df, variables).collect()}
@@ -140,7 +176,7 @@ def assess(df: DataFrame, variables: Sequence[str], dt: float, rhs: Mapping[str,
         "derivatives are explained": max(validation["deriv_nrmse"].values()) < max(0.1, 3 * max(facts["noise_rel"].values())),
     })
     return {
-        "terms": terms, "missing_term_evidence": missing, "model_ambiguity": compared, "validation": validation, "coverage": coverage(df, variables) if len(variables) > 1 else [],
+        "terms": terms, "basis": basis, "removal_evidence": removal, "missing_term_evidence": missing, "model_ambiguity": compared, "validation": validation, "coverage": coverage(df, variables) if len(variables) > 1 else [],
         "experiments": {"ranked": design_experiments(df, variables, plausible, noise, t) if len(plausible) > 1 else []},
         "predictability": predictability(starts, plausible, noise, t) if len(plausible) > 1 else {"horizon": float(t[-1]), "horizon_is_full_data_span": True},
         "data_advice": data_advice(facts), "questions_for_human": questions(terms, compared["indistinguishable"]), "confidence": trust,
@@ -166,6 +202,19 @@ def verdict(a: Mapping) -> dict:
     return {"status": "INCONCLUSIVE", "recommendation": "; ".join(a["data_advice"][:2]) or "more trajectories, less noise, or knowledge of the domain"}
 
 
+def brief_markdown(a: Mapping) -> str:
+    """An assessment on one page of Markdown: verdict, terms, rivals, what to measure next, open questions."""
+    v = verdict(a)
+    line = lambda *cells: "| " + " | ".join(map(str, cells)) + " |"
+    parts = [f"# {v['status']}", v["recommendation"], f"Confidence: {a['confidence']['level']}. Basis: {a.get('basis', 'derivatives')}.", "## Terms", line("of", "term", "coefficient", "90 %", "significant"), line(*["-"] * 5)]
+    parts += [line(t["var"], f"`{t['term']}`", f"{t['coef']:.4g}", f"{t['ci90'][0]:.4g} to {t['ci90'][1]:.4g}", "yes" if t["significant"] else "no") for t in a["terms"]]
+    parts += ["## Missing terms", *([f"- `{m['term']}` in {m['var']}: BIC falls by {-m['dBIC_if_added']:.1f}" for m in a["missing_term_evidence"]] or ["none"])]
+    parts += ["## Models that explain the data as well", ", ".join(a["model_ambiguity"]["indistinguishable"])]
+    parts += ["## Next experiments", *([f"- start at {[round(x, 4) for x in r['initial_condition']]} (score {r['score']:.3g})" for r in a["experiments"]["ranked"]] or ["none"])]
+    parts += ["## Questions", *([f"- {q}" for q in a["questions_for_human"]] or ["none"]), "## Advice", *([f"- {x}" for x in a["data_advice"]] or ["none"])]
+    return "\n".join(parts) + "\n"
+
+
 def coefficient_information(starts: DataFrame, rhs: Mapping[str, str], noise: Mapping[str, float], t: np.ndarray, share: float = 0.05) -> DataFrame:
     """traj, model (the coefficient moved), information: how far, in squared noise, a relative change of each coefficient moves a trajectory from
     each start; tells which experiment pins down which coefficient."""

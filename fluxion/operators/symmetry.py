@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from ..functions import numerics as N
 from ..functions.expressions import Expr, Symbol, linear_combination, parse, symbol
 from . import regression
-from .gram import Gram
-from .library import build_library
+from .gram import Gram, grams
+from .library import build_library, columns
 from .sindy import features, train_and_held
+from .uncertainty import cross_validate
 
 #: Query points that travel to the tasks at a time.
 BLOCK = 4096
@@ -64,6 +65,25 @@ def monomial_powers(q: int, degree: int) -> np.ndarray:
     return np.array([p for p in itertools.product(range(degree + 1), repeat=q) if sum(p) <= degree])
 
 
+def choose_degree(df: DataFrame, variables: Sequence[str], dt: float, degrees: Sequence[int] = (1, 2, 3, 4, 5), window: int = 9, folds: int = 16) -> int:
+    """The lowest degree whose error on left-out trajectories is within one standard error of the best. One pass: matrices of the largest library by
+    trajectory (by `folds` groups of them where there are more; by stretches of time where there is one), of which lower degrees are parts."""
+    library = build_library(variables, max(degrees))
+    rows = features(df, variables, dt, window)
+    ends = df.agg(F.count_distinct("traj").alias("k"), F.max("step").alias("s")).first()
+    fold = F.pmod(F.col("traj").cast("long"), F.lit(folds)) if ends["k"] > 1 else F.floor(F.col("step") * 4 / (ends["s"] + 1))
+    found = grams(rows, columns(library), {v: F.col(f"{v}_t") for v in variables}, fold)
+    level = [max((sum(n for _, n in m) for m in e.terms), default=0) for e in library.values()]
+    scores = {}
+    for d in degrees:
+        own = {k: g.keep([i for i, x in enumerate(level) if x <= d]) for k, g in found.items()}
+        errors = [cross_validate(own, k, "fitter", fitter=lambda g, k: regression.solve(g, k, None, 1e-8)) for k in range(len(variables))]
+        each = np.mean([list(e["errors"].values()) for e in errors], axis=0)
+        scores[d] = float(each.mean()), float(each.std(ddof=1) / np.sqrt(len(each))) if len(each) > 1 else 0.0
+    best = min(scores.values())
+    return min(d for d, (e, _) in scores.items() if e <= best[0] + best[1])
+
+
 def surrogate(df: DataFrame, variables: Sequence[str], dt: float, degree: int = 3, window: int = 9) -> tuple[dict[str, Expr], Gram]:
     """Polynomial vector field of the data (ridge), and its Gram matrix."""
     library = build_library(variables, degree)
@@ -129,8 +149,20 @@ def generator_name(a: np.ndarray, names: Sequence[str], tolerance: float = 0.1)
     return "linear map"
 
 
-def discrete_symmetries(fields: Mapping[str, Expr], states: np.ndarray, tolerance: float = 0.03, reversing: bool = True) -> list[dict]:
-    """Signed permutations S (variables four at most; sign flips beyond) with S f(x) = f(S x), or = -f(S x) if they turn time around."""
+def _supported(moved: np.ndarray, states: np.ndarray, radius: float) -> np.ndarray:
+    """Which of the moved states have one of the states within the radius."""
+    return np.concatenate([(((moved[lo : lo + 256, None] - states[None]) ** 2).sum(axis=2).min(axis=1)) <= radius**2 for lo in range(0, len(moved), 256)])
+
+
+def discrete_symmetries(fields: Mapping[str, Expr], states: np.ndarray, tolerance: float = 0.03, reversing: bool = True, least: float = 0.3) -> list[dict]:
+    """Signed permutations S (variables four at most; sign flips beyond) with S f(x) = f(S x), or = -f(S x) if they turn time around.
+
+    Compared where the data reach: a moved state counts if a state lies within the radius that most states have to their own neighbour, and a map
+    that takes fewer than the share `least` of the states into the data's reach says nothing."""
+    span = states.std(axis=0) + 1e-12
+    scaled = states / span
+    near = np.concatenate([np.partition(((scaled[lo : lo + 256, None] - scaled[None]) ** 2).sum(axis=2), min(1, len(scaled) - 1), axis=1)[:, min(1, len(scaled) - 1)] for lo in range(0, len(scaled), 256)])
+    radius = max(0.1, 2 * float(np.sqrt(np.quantile(near, 0.95))))
     names = list(fields)
     q = len(names)
     order = list(itertools.permutations(range(q))) if q <= 4 else [tuple(range(q))]
@@ -142,17 +174,20 @@ def discrete_symmetries(fields: Mapping[str, Expr], states: np.ndarray, toleranc
                 continue
             s = np.array(signs)
             moved = states[:, p] * s
+            inside = _supported(moved / span, scaled, radius)
+            if inside.mean() < least:
+                continue
             there, size = values(moved), np.sqrt((f**2).mean()) + 1e-300
             for turn in (1, -1) if reversing else (1,):
-                error = float(np.sqrt(((f[:, p] * s - turn * there) ** 2).mean()) / size)
+                error = float(np.sqrt(((f[:, p] * s - turn * there)[inside] ** 2).mean()) / size)
                 if error <= tolerance:
                     text = "(" + ", ".join(f"{'-' if k < 0 else ''}{names[i]}" for i, k in zip(p, signs, strict=True)) + ")"
                     out.append({"map": text, "time": "reversed" if turn < 0 else "kept", "error": error})
     return out
 
 
-def detect_symmetries(df: DataFrame, variables: Sequence[str], dt: float, degree: int = 3, window: int = 9, tolerance: float = 0.05) -> dict:
-    fields, _ = surrogate(df, variables, dt, degree, window)
+def detect_symmetries(df: DataFrame, variables: Sequence[str], dt: float, degree: int | None = 3, window: int = 9, tolerance: float = 0.05) -> dict:
+    fields, _ = surrogate(df, variables, dt, degree or choose_degree(df, variables, dt, window=window), window)
     states = sample_states(df, variables)
     return {"generators": linear_generators(fields, states, tolerance), "discrete": discrete_symmetries(fields, states, tolerance), "surrogate": {v: e.text(5) for v, e in fields.items()}}
 

@@ -39,6 +39,21 @@ def cross_validated(found: Mapping, target: int, fitter: Callable[[Gram, int], n
     return {k: g.error(fitter(every - g, target), target) for k, g in found.items()}
 
 
+def cross_validate(found: Mapping, target: int, mode: str = "refit", coef: np.ndarray | None = None, support: Sequence[int] | None = None, fitter: Callable[[Gram, int], np.ndarray] | None = None) -> dict:
+    """Errors on folds of a model whose coefficients stay (fixed), are refitted on a support to the other folds (refit), or of whatever a fitter makes of
+    them (fitter), with their mean and standard error and how alike the folds' sets of terms are."""
+    fits = {"fixed": lambda g, k: np.asarray(coef, float), "refit": lambda g, k: regression.solve(g, k, support), "fitter": fitter}
+    if mode not in fits or fits[mode] is None:
+        raise ValueError(f"mode {mode!r}: give fixed with coef, refit with support, or fitter with a function")
+    every, errors, sets = total(found), {}, []
+    for k in sorted(found, key=str):
+        c = fits[mode](every - found[k], target)
+        errors[k] = found[k].error(c, target)
+        sets.append({every.terms[i] for i in np.flatnonzero(c)})
+    e = np.array(list(errors.values()))
+    return {"errors": errors, "mean": float(e.mean()), "se": float(e.std(ddof=1) / np.sqrt(len(e))) if len(e) > 1 else 0.0, "stability": term_stability(sets)}
+
+
 def bags(blocks: Mapping[int, Gram], count: int, draws: int) -> Iterator[Gram]:
     """Bags of `draws` blocks by a portable integer hash: (bag * 7919 + slot * 104729) mod 1000003 mod blocks."""
     for inside, _ in bags_and_rest(blocks, count, draws):
