@@ -287,3 +287,40 @@ def test_shapes_are_told_apart(spark):
         assert shape_of(x, y)["shape"] == name, name
     df = spark.createDataFrame([(float(a), float(3 * a / (0.5 + a))) for a in x], "x double, y double")
     assert shape_in(df, "x", "y")["shape"] == "saturating"
+
+
+def test_assessment_turns_to_the_weak_form_under_noise(spark):
+    s = SYSTEMS["lotka_volterra"]
+    df = simulate(spark, s, 3, noise=0.05, t_end=20)
+    a = assess.assess(df, s.variables, s.dt, s.rhs)
+    assert a["basis"] == "weak form" and sum(t["significant"] for t in a["terms"]) >= 3 and len(a["removal_evidence"]) == 4
+    text = assess.brief_markdown(a)
+    assert text.startswith(f"# {assess.verdict(a)['status']}") and "| x | `x` |" in text
+    assert assess.refit_disagreement([{"coef": 1.0, "given": 2.0}, {"coef": 3.0, "given": None}]) == 0.5
+    assert assess.use_weak({"noise_rel": {"u": 0.01}, "change_per_step": {"u": 0.1}}, "pde") and not assess.use_weak({"noise_rel": {"u": 0.01}, "change_per_step": {"u": 0.1}})
+
+
+def test_cross_validation_modes_refuse_what_is_missing():
+    g = {k: gram.of_arrays(np.eye(2) + k, np.ones((2, 1)), ["a", "b"], ["y"]) for k in range(2)}
+    for mode in ("fitter", "other"):
+        with pytest.raises(ValueError):
+            uncertainty.cross_validate(g, 0, mode)
+
+
+def test_arms_against_cases(spark):
+    from fluxion.plans.benchmark import ARMS, run_arms
+
+    def fails(df, variables, dt):
+        raise ValueError("nothing found")
+
+    got = {r["arm"]: r for r in run_arms(spark, [{"system": "lotka_volterra", "noise": 0.0}, {"system": "kdv", "noise": 0.0}], {"plain": ARMS["plain"], "fails": fails}, t_end=10).collect()}
+    assert set(got) == {"plain", "fails"} and got["fails"]["score"] == -10.0 and got["plain"]["f1"] > 0.5
+
+
+def test_ways_follow_the_facts():
+    from fluxion.plans.discover import pick_ways
+
+    facts = {"ranges": {"x": (-1.0, 1.0)}, "noise_rel": {"x": 0.001}}
+    assert pick_ways({"facts": facts, "config": {"custom": []}}, 2) == ["terms", "functions"]
+    assert pick_ways({"facts": facts, "config": {"custom": ["sin(x)"]}}, 1) == ["functions"]
+    assert pick_ways({"facts": facts | {"sum_variation": 0.0}, "config": {"custom": []}}, 1) == ["coordinates"]
