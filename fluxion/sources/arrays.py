@@ -29,8 +29,9 @@ def infer_arrays(arrays: Mapping[str, np.ndarray], card: Card, hints: Mapping[st
     known = set(numeric)
     vectors = {k: a.ravel() for k, a in numeric.items() if a.size == max(a.shape, default=0) and a.size > 2}
     rising = {k for k, v in vectors.items() if np.all(np.diff(v) > 0) or np.all(np.diff(v) < 0)}
-    time = hints.get("time") or next((k for k in rising if k.lower() in TIME_NAMES), None)
-    space = [k for k in rising if k.lower() in SPACE_NAMES and k != time]
+    named = lambda names: sorted((k for k in rising if k.lower() in names), key=lambda k: (names.index(k.lower()), k))
+    time = hints.get("time") or next(iter(named(TIME_NAMES)), None)
+    space = [k for k in named(SPACE_NAMES) if k != time]
     fields = {k: a for k, a in numeric.items() if a.ndim >= 2 and a.size != max(a.shape) and derivative_of(k, known) is None}
     name = hints.get("field") or max(fields, key=lambda k: (fields[k].size, k), default=None)
     if name is None:
