@@ -604,7 +604,7 @@ def blocks_and_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     "coefficient_intervals",
     f"""WITH {OBS}, b AS (SELECT traj % 16 AS block, u, step FROM obs), s AS (SELECT block, count(*) AS n, sum(u) AS x, sum(u * u) AS xx, sum(step) AS y, sum(u * step) AS xy FROM b GROUP BY 1),
 p AS (SELECT block, row_number() OVER (ORDER BY CAST(block AS VARCHAR)) - 1 AS place FROM s),
-d AS (SELECT bag, ((bag * 7919 + slot * 104729) % 1000003) % 16 AS place FROM (SELECT unnest(range(0, 100)) AS bag) a, (SELECT unnest(range(0, 16)) AS slot) c),
+k AS (SELECT count(*) AS k FROM s), d AS (SELECT bag, ((bag * 7919 + place * 104729) % 1000003) % k AS place FROM (SELECT unnest(range(0, 100)) AS bag) a, p, k),
 e AS (SELECT bag, sum(n) AS n, sum(x) AS x, sum(xx) AS xx, sum(y) AS y, sum(xy) AS xy FROM d JOIN p USING (place) JOIN s USING (block) GROUP BY 1), f AS (SELECT (n * xy - x * y) / (n * xx - x * x) AS v FROM e)
 SELECT round(quantile_cont(v, 0.05), 8) AS low, round(quantile_cont(v, 0.95), 8) AS high, quantile_cont(v, 0.05) * quantile_cont(v, 0.95) > 0 AS significant FROM f""",
 )
