@@ -2,8 +2,10 @@
 
 The automaton of all templates (a few thousand words; built once in each worker) reads a text's words as a stream and
 knows, at every word, the longest stretch ending there that some template contains. Stretches that can't be extended and
-have at least `least` words are placed in their templates and chained in order, with gaps of at most `gap` words, into
-covered template spans. A template whose chains cover the share `cover` of its words gives its label.
+have at least `least` words are placed in their templates and chained by dynamic programming: in order in text and template,
+with gaps of at most `gap` words, overlaps trimmed, so that a chain covers as many template words as it can. Chains of a
+template within as many words of one of them as the template has form one covered span; a span that covers the share `cover`
+of the template's words, each counted once, gives its label.
 
 Words outside the templates' vocabulary reset the automaton, so that only runs of vocabulary words are streamed one by one.
 Base phrases (labels that always hold where a phrase stands) are found by comparing word hashes at every place.
@@ -14,6 +16,7 @@ results. Extra columns are ignored. Texts are read whole, whatever their length.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -177,31 +180,81 @@ class Scanner:
         for s, e in zip(start[end - start >= self.least].tolist(), end[end - start >= self.least].tolist(), strict=True):
             yield int(doc[s]), int(at[s] - offsets[doc[s]]), numbers[at[s] : at[s] + e - s].tolist()
 
-    def chains(self, numbers: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int, int, int]]]:
-        """(template, first word, last word + 1, covered words of the template) of the chains in each document."""
+    def spans(self, numbers: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int, int, int]]]:
+        """(template, first word, last word + 1, covered words of the template) of the covered spans in each document."""
         matches: list[dict[int, list]] = [defaultdict(list) for _ in range(len(offsets) - 1)]
         for doc, first, words in self.runs(numbers, offsets):
             for state, length, end in self.automaton.matches(words, self.least):
                 for template, to in self.automaton.places[state]:
                     matches[doc][template].append((first + end - length, first + end, to - length, to))
-        out: list[list[tuple[int, int, int, int]]] = []
-        for own in matches:
-            found = []
-            for template, spans in own.items():
-                chain = None
-                for start, end, lo, hi in sorted(spans):
-                    if chain and lo < chain[4] and start < chain[2]:  # another place of words already taken
-                        continue
-                    if chain and lo >= chain[4] and start >= chain[2] and start - chain[2] <= self.gap:
-                        chain = [template, chain[1], end, chain[3] + hi - lo, hi]
-                    else:
-                        if chain:
-                            found.append(tuple(chain[:4]))
-                        chain = [template, start, end, hi - lo, hi]
-                if chain:
-                    found.append(tuple(chain[:4]))
-            out.append(sorted(found, key=lambda c: c[1:]))
-        return out
+        return [sorted((span for t, m in own.items() for span in self._together(t, chains_of(m, self.gap))), key=lambda c: c[1:]) for own in matches]
+
+    def _together(self, template: int, chains: list[list[tuple[int, int, int, int]]]) -> Iterator[tuple[int, int, int, int]]:
+        """Chains near one another put together, starting from those that cover most."""
+        size = self.sizes[template]
+        chains = sorted(chains)
+        starts = [c[0][0] for c in chains]
+        free = [True] * len(chains)
+        for k in sorted(range(len(chains)), key=lambda k: (-_covered(chains[k]), k)):
+            if not free[k]:
+                continue
+            low, high = starts[k] - size, chains[k][-1][1] + size
+            near = [i for i in range(bisect_left(starts, low), bisect_right(starts, high)) if free[i] and chains[i][-1][1] <= high]
+            for i in near:
+                free[i] = False
+            pieces = [piece for i in near for piece in chains[i]]
+            yield template, pieces[0][0], max(p[1] for p in pieces), _covered(pieces)
+
+
+def _covered(pieces: list[tuple[int, int, int, int]]) -> int:
+    """Template words in any of the pieces."""
+    total = reached = 0
+    for lo, hi in sorted(p[2:] for p in pieces):
+        total += max(0, hi - max(lo, reached))
+        reached = max(reached, hi)
+    return total
+
+
+def chains_of(matches: list[tuple[int, int, int, int]], gap: int) -> list[list[tuple[int, int, int, int]]]:
+    """Chains of matches (start, end in the text; lo, hi in the template), the one that covers most first, each word of the text in one at most.
+
+    A chain's matches follow one another in text and template. Where two overlap, the later one loses its first words. Of chains that
+    cover equally many words, the one that ends first is taken. Only matches that end less than a gap before another's start, or within
+    it, can come before it, so the work grows with matches times those in one such stretch.
+    """
+    matches = sorted(matches, key=lambda m: (m[1], m[3], m[0]))
+    ends = [m[1] for m in matches]
+    best, before, cut = [], [], []
+    for j, (start, end, lo, hi) in enumerate(matches):
+        score, link, lost = hi - lo, -1, 0
+        for i in range(bisect_left(ends, start - gap, 0, j), j):
+            _, end_i, _, hi_i = matches[i]
+            trim = max(0, end_i - start, hi_i - lo)
+            if trim < hi - lo and start + trim - end_i <= gap and best[i] + hi - lo - trim > score:
+                score, link, lost = best[i] + hi - lo - trim, i, trim
+        best.append(score)
+        before.append(link)
+        cut.append(lost)
+    used = [False] * len(matches)
+    taken: list[tuple[int, int]] = []
+    out = []
+    for j in sorted(range(len(matches)), key=lambda j: (-best[j], j)):
+        chain = []
+        while j >= 0 and not used[j]:
+            used[j] = True
+            start, end, lo, hi = matches[j]
+            lost = cut[j]
+            chain.append((start + lost, end, lo + lost, hi))
+            j = before[j]
+        chain.reverse()
+        if not chain:
+            continue
+        at = bisect_left(taken, (chain[0][0], 0))
+        inside = at < len(taken) and taken[at][0] < chain[-1][1] or at > 0 and taken[at - 1][1] > chain[0][0]
+        if not inside:  # else another reading of words already taken
+            insort(taken, (chain[0][0], chain[-1][1]))
+            out.append(chain)
+    return out
 
 
 @lru_cache(4)
@@ -215,7 +268,7 @@ def scan_licences(
 ) -> DataFrame:
     """A row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
-    spans: label, start and end (words) and share of the template covered, of every chain that gives a label.
+    spans: label, start and end (words) and share of the template covered, of every covered span that gives a label.
     """
     key = (tuple((k, tuple(v)) for k, v in templates.items()), tuple(base.items()), least, gap, cover)
     schema = fields(
@@ -229,9 +282,9 @@ def scan_licences(
         for i, j, hashed, offsets in K.words(batch.column(1), K.ALNUM):
             numbers = s.numbers(hashed)
             rows = []
-            for places, chains in zip(s.phrases(numbers, offsets), s.chains(numbers, offsets), strict=True):
+            for places, found in zip(s.phrases(numbers, offsets), s.spans(numbers, offsets), strict=True):
                 known = {label for _, label in places}
-                shares = [(s.labels[t], a, b, c / s.sizes[t]) for t, a, b, c in chains]
+                shares = [(s.labels[t], a, b, c / s.sizes[t]) for t, a, b, c in found]
                 spans = [{"label": label, "start": a, "end": b, "share": x} for label, a, b, x in shares if x >= s.cover]
                 labels = known | {x["label"] for x in spans}
                 at = [a for a, _ in places]

@@ -297,3 +297,52 @@ def test_licence_templates_are_found_with_edits(spark, label):
     text = "Some words before. " + licences.TEMPLATES[label][-1].replace("software", "library").upper() + " and after"
     row = licences.scan_licences(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
     assert label in row["labels"].split(",") and row["score"] >= 0.6
+
+
+def test_licence_chains_cover_as_many_words_as_any():
+    import random
+    from itertools import combinations
+
+    rng = random.Random(11)
+
+    def worth(chain, gap):
+        """Words that a series of matches covers, or 0 if it is no chain."""
+        total, text, template = 0, None, 0
+        for start, end, lo, hi in chain:
+            lost = max(0, text - start, template - lo) if text is not None else 0
+            if lost >= hi - lo or text is not None and start + lost - text > gap:
+                return 0
+            total, text, template = total + hi - lo - lost, end, hi
+        return total
+
+    for _ in range(300):
+        matches = []
+        for _ in range(rng.randint(1, 7)):
+            start, lo, n = rng.randint(0, 30), rng.randint(0, 20), rng.randint(1, 6)
+            matches.append((start, start + n, lo, lo + n))
+        matches = sorted(set(matches), key=lambda m: (m[1], m[3], m[0]))
+        most = max(worth(c, 5) for k in range(1, len(matches) + 1) for c in combinations(matches, k))
+        chains = licences.chains_of(matches, 5)
+        assert sum(hi - lo for _, _, lo, hi in chains[0]) == most
+        places = sorted((c[0][0], c[-1][1]) for c in chains)
+        assert all(a[1] <= b[0] for a, b in zip(places, places[1:], strict=False))
+        assert all(p[1] <= q[0] and p[3] <= q[2] for c in chains for p, q in zip(c, c[1:], strict=False))
+
+
+def test_licence_keeps_its_label_with_long_insertions_and_gaps(spark):
+    texts = []
+    for label in ("mit", "apache-2", "gpl-3", "bsd-3"):
+        w = re.findall("[A-Za-z0-9]+", licences.TEMPLATES[label][-1])
+        for k in range(1, len(w)):
+            texts.append((label, " ".join(w[:k] + ["zebra"] * 13 + w[k:])))
+    texts.append(("mit", licences.TEMPLATES["mit"][-1].replace("a copy of this software and associated documentation files (the Software)", "a copy of the Software")))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"].split(",") for r in licences.scan_licences(docs).collect()}
+    assert [i for i, (label, _) in enumerate(texts) if label not in got[i]] == []
+
+
+def test_licence_words_strewn_over_a_long_text_give_no_label(spark):
+    w = re.findall("[A-Za-z0-9]+", licences.TEMPLATES["mit"][-1])
+    text = " ".join(" ".join(w[k : k + 3]) + " zebra" * 400 for k in range(0, len(w) - 2, 3))
+    row = licences.scan_licences(spark.createDataFrame([(1, text * 3)], "doc_id long, text string")).collect()[0]
+    assert row["labels"] == "" and row["score"] < 0.6
