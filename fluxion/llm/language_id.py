@@ -76,6 +76,27 @@ def profiles(texts: pa.Array, dimensions: int) -> Iterator[tuple[int, int, np.nd
         i = j
 
 
+def _distinct(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys (all below `size`) in order, and every key's place among them; sorts only where a table would be large beside the keys."""
+    if size > 8 * len(keys):
+        return np.unique(keys, return_inverse=True)
+    seen = np.zeros(size, bool)
+    seen[keys] = True
+    values = np.flatnonzero(seen)
+    place = np.zeros(size, np.int32)
+    place[values] = np.arange(len(values), dtype=np.int32)
+    return values, place[keys]
+
+
+def _counted(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys (all below `size`) in order, and how often each occurs."""
+    if size > 8 * len(keys):
+        return np.unique(keys, return_counts=True)
+    counts = np.bincount(keys, minlength=size)
+    values = np.flatnonzero(counts)
+    return values, counts[values]
+
+
 def _bundle(own: list[str], total: np.ndarray, opening: bool) -> None:
     fold = _folding()
     flat = np.frombuffer(" ".join(own).encode("utf-32-le", "surrogatepass"), np.int32)
@@ -88,15 +109,15 @@ def _bundle(own: list[str], total: np.ndarray, opening: bool) -> None:
     codes = np.concatenate([[0], folded[keep], [0]])
     if len(codes) < 3:
         return
-    alphabet, place = np.unique(codes, return_inverse=True)
-    a = len(alphabet)
+    alphabet, place = _distinct(codes, 0x110000)
+    a, place = len(alphabet), place.astype(np.int64)
     key = (place[:-2] * a + place[1:-1]) * a + place[2:]
     middle = codes[1:-1] != 0
     owner = doc[: len(key)][middle]
-    grams, gram = np.unique(key[middle], return_inverse=True)
+    grams, gram = _distinct(key[middle], a**3)
     if not len(grams):
         return
-    pairs, counts = np.unique(owner * len(grams) + gram, return_counts=True)
+    pairs, counts = _counted(owner * len(grams) + gram, len(own) * len(grams))
     triples = np.stack([alphabet[grams // (a * a)], alphabet[grams // a % a], alphabet[grams % a]], axis=1)
     row, column = np.divmod(pairs, len(grams))
     for lo in range(0, len(grams), 4096):
