@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .catalogue import OBS, W, query, table, trajectories
 from .functions import expressions as X
 from .functions import numerics as N
-from .operators import assess, coordinates, datasets, diagnostics, fields, gram, library, memory, regression, scoring, symmetry, systems, uncertainty, weakform, windows
+from .operators import assess, coordinates, datasets, diagnostics, field_symmetry, fields, gram, library, memory, regression, scoring, symmetry, systems, uncertainty, weakform, windows
 from .operators.simulate import blind, derivatives, simulate
 from .operators.systems import SYSTEMS, System
 from .sources import arrays, ingest, readers
@@ -516,6 +516,25 @@ def field_symmetries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "translation boolean, reflection string, galilean double", [(f["translation"], ", ".join(f["reflections"]) or None, float(f["galilean"]))])
 
 
+@query(
+    "field_symmetries_measured",
+    "SELECT * FROM (VALUES ('burgers', 'translation', 'x', CAST(NULL AS DOUBLE)), ('burgers', 'symmetry', 'x -> -x, u -> -u', NULL), ('burgers', 'boost', 'u', 1.0), "
+    "('advection_diffusion', 'translation', 'x', NULL), ('advection_diffusion', 'symmetry', 'u -> -u', NULL), ('advection_diffusion', 'shift', 'u', NULL), "
+    "('advection_diffusion', 'generator', 'scaling', NULL)) AS v(system, kind, what, velocity)",
+)
+def field_symmetries_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From frames alone: Burgers' equation has the mirror image with a change of sign and boosts; a linear equation has shifts and scalings."""
+    found: list[tuple] = []
+    for name in ("burgers", "advection_diffusion"):
+        s = SYSTEMS[name]
+        r = field_symmetry.detect_field_symmetries(simulate(spark, s, 2, t_end=1.0), s, s.dt, window=5, fraction=None)
+        found += [(name, "translation", "x", None)] if r["translation"] else []
+        found += [(name, v, k, None) for k, v in r["maps"].items() if v != "no"]
+        found += [(name, v["kind"], k, round(v["velocity"]["x"], 3) if "velocity" in v else None) for k, v in r["shifts"].items() if v["kind"] != "no"]
+        found += [(name, "generator", "scaling" if np.allclose(a, np.eye(1)) else str(a), None) for a in r["generators"]]
+    return rows(spark, "system string, kind string, what string, velocity double", found)
+
+
 # --- simulation and scores
 
 

@@ -81,3 +81,29 @@ def test_weak_ode_under_noise(spark):
     df = simulate(spark, s, 4, noise=0.02)
     out = weak_sindy_ode(df, s.variables, s.dt, degree=2, half=10)
     assert structure_metrics(out["rhs"], s.rhs, s.variables)["recall"] >= 6 / 7, out
+
+
+def test_field_symmetries_from_data(spark):
+    import numpy as np
+
+    from fluxion.operators.field_symmetry import detect_field_symmetries, field_maps
+    from fluxion.operators.systems import System
+
+    assert set(field_maps(["u", "v"])) == {"u -> -u", "v -> -v", "u -> -u, v -> -v", "u <-> v"}
+    # u_t = -(1 + sin(x) / 2) u_x keeps u along characteristics; frames are made by integrating it
+    s = System("placed", {"u": "-u_x - 0.5*sin(x)*u_x + 0.1*u_xx"}, ("fourier", 1.0, 3, 0.0, None), 0.02, 1.0, 1.0, ("x",), "periodic", {"x": (64, 2 * np.pi, 0.0)}, dt_sim=1e-3)
+    found = detect_field_symmetries(simulate(spark, s, 2), s, s.dt, degree=1, max_derivative=2, window=5, fraction=None)
+    assert not found["translation"] and found["gain"]["u"] > 0.05
+    # a field that never changes: nothing to measure against
+    still = spark.createDataFrame([(0, k, 0.1 * k, [1.0] * 64) for k in range(20)], "traj int, step int, t double, u array<double>")
+    none = detect_field_symmetries(still, s, 0.1, degree=1, max_derivative=2, window=5, fraction=None)
+    assert none["maps"] == {} and none["generators"] == [] and none["translation"]
+
+
+def test_field_symmetries_under_noise(spark):
+    from fluxion.operators.field_symmetry import detect_field_symmetries
+
+    s = SYSTEMS["burgers"]
+    found = detect_field_symmetries(simulate(spark, s, 3, noise=0.01, t_end=1.0), s, s.dt, max_derivative=2, fraction=0.2)
+    assert found["translation"] and found["maps"]["x -> -x"] != "symmetry" and found["maps"]["u -> -u"] != "symmetry"
+    assert found["maps"]["x -> -x, u -> -u"] in ("symmetry", "inconclusive")
