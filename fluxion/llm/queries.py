@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup, near_dup, url_filter
+from .collocations import ORACLE_SQL as _PHRASES_SQL
+from .collocations import collocations
 from .decontaminate import contaminated
 from .language_id import language_id
 from .licences import scan_licences
@@ -72,9 +74,18 @@ def op10_line_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.md5(F.encode("text", "utf-8")).alias("text_md5"))
 
 
+def op13_prefix_grown_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_bloom_url_filter": url_filter.ORACLE_SQL, "op7_superminhash_near_dup": near_dup.ORACLE_SQL, "op10_line_window_dedup": line_dedup.ORACLE_SQL}
+    return {
+        "op3_bloom_url_filter": url_filter.ORACLE_SQL,
+        "op7_superminhash_near_dup": near_dup.ORACLE_SQL,
+        "op10_line_window_dedup": line_dedup.ORACLE_SQL,
+        "op13_prefix_grown_collocations": _PHRASES_SQL,
+    }
