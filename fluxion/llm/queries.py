@@ -19,6 +19,7 @@ from .near_dup import near_duplicates
 from .packing import pack
 from .personal_data import find_personal_data
 from .quality import resample
+from .spelling import spelling_variants
 from .support import table
 from .url_filter import filter_urls, listed_of
 
@@ -74,6 +75,10 @@ def op10_line_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.md5(F.encode("text", "utf-8")).alias("text_md5"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_grown_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
