@@ -11,6 +11,8 @@ from . import line_dedup, near_dup, url_filter
 from .collocations import ORACLE_SQL as _PHRASES_SQL
 from .collocations import collocations
 from .decontaminate import contaminated
+from .jaccard_join import ORACLE_SQL as _JOIN_SQL
+from .jaccard_join import jaccard_join
 from .language_id import language_id
 from .licences import scan_licences
 from .line_dedup import dedup_lines
@@ -19,6 +21,7 @@ from .near_dup import near_duplicates
 from .packing import pack
 from .personal_data import find_personal_data
 from .quality import resample
+from .spelling import ORACLE_SQL as _SPELLING_SQL
 from .spelling import spelling_variants
 from .support import table
 from .url_filter import filter_urls, listed_of
@@ -79,6 +82,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_partition_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_grown_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -92,5 +99,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_bloom_url_filter": url_filter.ORACLE_SQL,
         "op7_superminhash_near_dup": near_dup.ORACLE_SQL,
         "op10_line_window_dedup": line_dedup.ORACLE_SQL,
+        "op11_spelling_variants": _SPELLING_SQL,
+        "op12_partition_jaccard_join": _JOIN_SQL,
         "op13_prefix_grown_collocations": _PHRASES_SQL,
     }

@@ -226,3 +226,29 @@ def spelling_variants(docs: DataFrame, letters: int = LETTERS, least: int = LEAS
         .select("word", F.col("best.word").alias("form"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), (-F.col("best.n")).alias("form_n"))
     )
     return formed.join(roots(formed.where("form is not null")), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+#: The same with deletions as strings; the checksum is a fold over bytes with its table.
+ORACLE_SQL = r"""
+WITH RECURSIVE k AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+r AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents) GROUP BY ALL),
+x AS (SELECT run, c, hex(encode(concat(doc_id, ':', run))) AS x FROM r),
+h AS (
+  SELECT run, c, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, (2 * i + 1)::INT, 2))::BIGINT)),
+    lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8))) AS h FROM x, k),
+w AS (
+  SELECT w, sum(c)::BIGINT AS n FROM (SELECT c, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS w FROM h)
+  WHERE length(w) >= 5 GROUP BY 1 HAVING sum(c) >= 3),
+d AS (SELECT w, n, i, substr(w, 1, i::INT) || substr(w, i::INT + 2) AS r FROM (SELECT w, n, unnest(range(length(w))) AS i FROM w)),
+p AS (
+  SELECT a.w AS a, b.w AS b FROM d a JOIN d b ON a.i = b.i AND a.r = b.r AND a.w <> b.w
+  UNION SELECT d.w, w.w FROM d JOIN w ON d.r = w.w UNION SELECT w.w, d.w FROM d JOIN w ON d.r = w.w),
+q AS (SELECT p.a, count(*) AS n_near, arg_min(w.w, (-w.n, w.w)) AS best, max(w.n) AS best_n FROM p JOIN w ON w.w = p.b GROUP BY 1),
+f AS (SELECT w.w AS word, CASE WHEN best_n >= 2 * n THEN best END AS form, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= 2 * n THEN best_n END AS form_n FROM w LEFT JOIN q ON q.a = w.w),
+c AS (SELECT word, word AS at FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.at WHERE f.form IS NOT NULL),
+z AS (SELECT c.word, c.at AS root FROM c JOIN f ON f.word = c.at WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN z USING (word)
+"""
