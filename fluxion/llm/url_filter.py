@@ -44,7 +44,7 @@ def canonical(url: Column) -> Column:
     """Host without `www.` and default port, path without a closing `/` or index page, sorted query without tracking; no scheme, no fragment. Null if there is no host."""
     host, path, query = parts(url)
     host = F.regexp_replace(F.regexp_replace(host, "(:80|:443)?$", ""), "^www[.]", "")
-    path = F.regexp_replace(F.regexp_replace(path, "/index[.]html?$", "/"), "/+$", "")
+    path = F.rtrim(F.regexp_replace(path, "/index[.]html?$", "/"), F.lit("/"))
     kept = F.array_sort(F.filter(F.split(query, "&", -1), lambda p: (p != "") & ~p.rlike(TRACKING)))
     return F.when(host != "", F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")))
 
