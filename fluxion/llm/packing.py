@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .support import fields, id_type, map_arrow, materialise
 
 SIZE, CLOSING, ROUNDS = 2048, 0, (30, 300)
-_BLANKS = re.compile(r"\s{100000}")
+_BLANKS = re.compile(r"\s+")
 
 
 @lru_cache(2)
@@ -61,7 +61,7 @@ def encoder(path: str):
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={"<|endoftext|>": len(table)})
 
     def encode(text: str) -> list[int]:
-        if len(text) >= 100_000 and _BLANKS.search(text):
+        if len(text) >= 100_000 and any(m.end() - m.start() >= 100_000 for m in _BLANKS.finditer(text)):
             return slow(text)
         return fast.encode(text, allowed_special="all")
 
