@@ -202,12 +202,17 @@ def _asked(sketch: DataFrame, costly: _Bits, percent: int) -> DataFrame:
     return map_arrow(sketch.where("doc_id is not null").select("doc_id", "n_shingles", "key0", "count0", "key1", "count1"), ask, schema)
 
 
-def _neighbourhoods(docs: DataFrame, asked: _Bits, shingle: int, percent: int) -> DataFrame:
-    """key, doc_id, asks: keys of sets without one shingle, as far as such keys are asked for or have the segment asked for itself."""
+def _neighbourhoods(docs: DataFrame, reps: DataFrame, asked: _Bits, shingle: int, percent: int) -> DataFrame:
+    """key, doc_id, asks: keys of sets without one shingle, as far as such keys are asked for or have the segment asked for itself.
+
+    Texts aren't shuffled: a bitmap passes over most that stand for no class, the exact join follows.
+    """
     schema = fields(("key", "long"), ("doc_id", id_type(docs)), ("asks", "boolean"))
+    stand = _Bits(reps.select(F.xxhash64("doc_id").alias("key")))
 
     def emit(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         plan = Plan(percent)
+        batch = batch.filter(pa.array(stand.has(batch.column(2).to_numpy().view(_U))))
         for i, j, parts, offsets in _sets(batch.column(1), shingle):
             ids = batch.column(0).slice(i, j - i)
             doc = np.repeat(np.arange(j - i), np.diff(offsets))
@@ -225,7 +230,7 @@ def _neighbourhoods(docs: DataFrame, asked: _Bits, shingle: int, percent: int) -
                     if len(at):
                         yield pa.RecordBatch.from_arrays([pa.array(less[at].view(np.int64)), ids.take(pa.array(doc[own[at]])), pa.array(np.full(len(at), flag))], names=schema.names)
 
-    return map_arrow(docs.where("doc_id is not null").select("doc_id", "text"), emit, schema)
+    return map_arrow(docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h")), emit, schema).join(reps, "doc_id", "left_semi")
 
 
 def _bitmaps(members: list[np.ndarray], bits: int = 2048) -> np.ndarray:
@@ -296,7 +301,7 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     deletions = _Bits(materialise(asked.where("deletes").select("key").distinct()))
     entries = index.withColumn("asks", F.lit(False)).unionByName(asked.select("key", "doc_id", F.lit(True).alias("asks")))
     if deletions.any:
-        entries = entries.unionByName(_neighbourhoods(docs.join(reps, "doc_id", "left_semi"), deletions, shingle, percent))
+        entries = entries.unionByName(_neighbourhoods(docs, reps, deletions, shingle, percent))
     # the smallest set that asks leads its bucket; buckets of one set, or where none asks, go
     buckets = materialise(
         entries.groupBy("key")
