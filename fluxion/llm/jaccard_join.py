@@ -7,8 +7,8 @@ partners of its own band and the next lower one only, and asks in those two (`Pl
 
 1. Every whole text becomes its set of distinct shingles; its size, a fingerprint and the keys of its segments in both bands
    leave the scan. Equal sets form classes; the smallest doc_id stands for its class from here on.
-2. Index: the keys of all segments of a set in its own band. Keys that more than `costly` sets share go into a bitmap of
-   bounded size.
+2. Index: the keys of all segments of a set in its own band. Keys are counted; those of several sets, and of more than
+   `costly` sets, go into bitmaps of bounded size. A key that only one set has or asks for is not sent on.
 3. Allocation (`_allocate`): a set asks with segments of cheap keys, 0 each, as many as H needs; costly and empty ones are
    left out (-1). Where cheap ones are too few, those of two shingles or more are asked with one deletion (1), and only then
    costly ones. A set's choice is its own: the index has everything that it may ask for.
@@ -177,29 +177,47 @@ def _allocate(key: np.ndarray, count: np.ndarray, costly: np.ndarray, differ: in
     return v
 
 
-def _asked(sketch: DataFrame, costly: _Bits, percent: int) -> DataFrame:
-    """key, doc_id, deletes: what each set asks for."""
-    schema = fields(("key", "long"), ("doc_id", id_type(sketch)), ("deletes", "boolean"))
+def _of_classes(sketch: DataFrame, reps: DataFrame) -> tuple[DataFrame, _Bits]:
+    """What _allocated and _all_keys read; and the bitmap by which they pass over most documents that stand for no class."""
+    columns = ("doc_id", "n_shingles", "key0", "count0", "key1", "count1")
+    return sketch.where("doc_id is not null and (size(key0) > 0 or size(key1) > 0)").select(*columns, F.xxhash64("doc_id").alias("h")), _Bits(reps.select(F.xxhash64("doc_id").alias("key")))
+
+
+def _all_keys(sketch: DataFrame, reps: DataFrame) -> DataFrame:
+    """key: every segment's key in both bands."""
+    source, stand = _of_classes(sketch, reps)
+
+    def keys(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        batch = batch.filter(pa.array(stand.has(batch.column(2).to_numpy().view(_U))))
+        for k in (0, 1):
+            yield pa.RecordBatch.from_arrays([batch.column(k).flatten()], names=["key"])
+
+    return map_arrow(source.select("key0", "key1", "h"), keys, fields(("key", "long")))
+
+
+def _allocated(sketch: DataFrame, reps: DataFrame, costly: _Bits, percent: int, wanted: list[_Bits] | None) -> DataFrame:
+    """key, doc_id, asks: of wanted keys, those that a set has in its own band, or asks for in either; without `wanted`, the keys asked with a deletion."""
+    source, stand = _of_classes(sketch, reps)
+    schema = fields(("key", "long"), ("doc_id", id_type(sketch)), ("asks", "boolean"))
 
     def ask(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         plan = Plan(percent)
-        n = batch.column(1).to_numpy()
-        keys, rows, deletes = [], [], []
-        for k, (_, differ) in enumerate(_bands(n, plan)):
+        batch = batch.filter(pa.array(stand.has(batch.column(6).to_numpy().view(_U))))
+        for k, (_, differ) in enumerate(_bands(batch.column(1).to_numpy(), plan)):
             column, counts = batch.column(2 + 2 * k), batch.column(3 + 2 * k)
             key, count, at = column.flatten().to_numpy().view(_U), counts.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.diff(column.offsets.to_numpy()))])
-            dear = costly.has(key)
+            dear, v = costly.has(key), np.full(len(key), -1, np.int8)
             for d in np.flatnonzero(np.diff(at)).tolist():
-                s, e = at[d], at[d + 1]
-                v = _allocate(key[s:e], count[s:e], dear[s:e], int(differ[d]))
-                chosen = np.flatnonzero(v >= 0)
-                keys.append(key[s:e][chosen])
-                rows.append(np.full(len(chosen), d))
-                deletes.append(v[chosen] > 0)
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(deletes))], names=schema.names)
+                v[at[d] : at[d + 1]] = _allocate(key[at[d] : at[d + 1]], count[at[d] : at[d + 1]], dear[at[d] : at[d + 1]], int(differ[d]))
+            if wanted is None:
+                keep = v > 0
+            else:
+                keep = (v >= 0) if k else np.ones(len(key), bool)
+                keep &= np.logical_or.reduce([w.has(key) for w in wanted])
+            keep = np.flatnonzero(keep)
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), batch.column(0).take(pa.array(np.searchsorted(at, keep, "right") - 1)), pa.array(v[keep] >= 0)], names=schema.names)
 
-    return map_arrow(sketch.where("doc_id is not null").select("doc_id", "n_shingles", "key0", "count0", "key1", "count1"), ask, schema)
+    return map_arrow(source, ask, schema)
 
 
 def _neighbourhoods(docs: DataFrame, reps: DataFrame, asked: _Bits, shingle: int, percent: int) -> DataFrame:
@@ -230,7 +248,7 @@ def _neighbourhoods(docs: DataFrame, reps: DataFrame, asked: _Bits, shingle: int
                     if len(at):
                         yield pa.RecordBatch.from_arrays([pa.array(less[at].view(np.int64)), ids.take(pa.array(doc[own[at]])), pa.array(np.full(len(at), flag))], names=schema.names)
 
-    return map_arrow(docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h")), emit, schema).join(reps, "doc_id", "left_semi")
+    return map_arrow(docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h")), emit, schema)
 
 
 def _bitmaps(members: list[np.ndarray], bits: int = 2048) -> np.ndarray:
@@ -294,14 +312,16 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     sketch = materialise(set_sketches(docs, shingle, percent))
     classes = materialise(sketch.where("set_a is not null and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")))
     reps = classes.select(F.col("rep").alias("doc_id"))
-    standing = materialise(sketch.where("size(key0) > 0 or size(key1) > 0").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "key0", "count0", "key1", "count1"))
-    index = standing.select(F.explode("key0").alias("key"), "doc_id")
-    dear = _Bits(materialise(index.groupBy("key").count().where(F.col("count") > costly).select("key")))
-    asked = materialise(_asked(standing, dear, percent))
-    deletions = _Bits(materialise(asked.where("deletes").select("key").distinct()))
-    entries = index.withColumn("asks", F.lit(False)).unionByName(asked.select("key", "doc_id", F.lit(True).alias("asks")))
+    # most keys are one set's alone: only those of several go on, behind bitmaps
+    several = materialise(_all_keys(sketch, reps).groupBy("key").count().where("count > 1"))
+    dear = _Bits(several.where(F.col("count") > costly))
+    deletions = _Bits(materialise(_allocated(sketch, reps, dear, percent, None).select("key").distinct()))
+    wanted, near = [_Bits(several)], None
     if deletions.any:
-        entries = entries.unionByName(_neighbourhoods(docs, reps, deletions, shingle, percent))
+        near = materialise(_neighbourhoods(docs, reps, deletions, shingle, percent))
+        wanted.append(_Bits(near.select("key").distinct()))
+    entries = _allocated(sketch, reps, dear, percent, wanted)
+    entries = materialise((entries.unionByName(near) if near is not None else entries).join(reps, "doc_id", "left_semi"))
     # the smallest set that asks leads its bucket; buckets of one set, or where none asks, go
     buckets = materialise(
         entries.groupBy("key")
@@ -311,7 +331,7 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     )
     members = materialise(entries.select("key", "doc_id").join(buckets, "key").where("doc_id <> leader"))
     pairs = members.select(F.least("leader", "doc_id").alias("src"), F.greatest("leader", "doc_id").alias("dst")).distinct()
-    sized = standing.select("doc_id", "n_shingles")
+    sized = classes.select(F.col("rep").alias("doc_id"), "n_shingles")
     pairs = materialise(
         pairs.join(sized.toDF("src", "na"), "src").join(sized.toDF("dst", "nb"), "dst").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("src", "dst")
     )
