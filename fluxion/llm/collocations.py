@@ -29,8 +29,8 @@ from . import kernel as K
 from .support import fields, map_arrow, materialise
 
 LEAST, LONGEST, TOP, INSIDE = 30, 4, 2000, 80
-#: Pointers that a task takes of one prefix, and about as many as a bucket of prefixes holds; tokens that a task gathers before it sends.
-MOST, FLUSH = 1 << 19, 1 << 21
+#: Pointers that a task takes of one prefix, and about as many as a bucket of prefixes holds; tokens that a task gathers before it sends; rows of an Arrow batch.
+MOST, BUCKET, FLUSH, ROWS = 1 << 16, 1 << 18, 1 << 20, 1 << 16
 _BREAK = b".,;:!?\n\x0b\x0c\r"
 _WORD = K.byte_table([b for b in range(256) if b not in b" \t" and b not in _BREAK])
 _STOP = K.byte_table(list(_BREAK))
@@ -199,9 +199,10 @@ def _extensions(docs: DataFrame, seed: int, frequent: _Bits, hot: list[_Bits], l
         for k in range(d):
             of = of[hot[k].has(_prefix([known[of[:, i]] for i in range(k + 1)]))]
         of, _, n = _counted(known, of[:, : d + 1], np.zeros(len(of), np.int8))
-        if len(of):
-            words = [known[of[:, k]].view(np.int64) if k <= d else np.zeros(len(of), np.int64) for k in range(LONGEST)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, words), pa.array(n)], names=schema.names)
+        for s in range(0, len(of), ROWS):
+            part = of[s : s + ROWS]
+            words = [known[part[:, k]].view(np.int64) if k <= d else np.zeros(len(part), np.int64) for k in range(LONGEST)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, words), pa.array(n[s : s + ROWS])], names=schema.names)
 
     return _pointers(docs, seed, frequent, send, schema).groupBy(*_W).agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
@@ -302,7 +303,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, most: int = MOST) -> t
         hot.append(bits)
         level = materialise(_extensions(docs, seed, frequent, hot, least))
         found.append(level)
-    buckets = max(1, -(-2 * places // most))
+    buckets = max(1, -(-places // BUCKET))
     found.append(materialise(_grown(docs, seed, frequent, hot, buckets, least)))
     phrases = found[0]
     for more in found[1:]:
