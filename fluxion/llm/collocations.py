@@ -2,11 +2,12 @@
 
 1. Words of every language are counted; a word's id is a 64-bit hash of language and word. A frequent word that shares its id
    with another word makes the whole count start again with another seed, so ids are exact for what follows.
-2. Every place of a frequent word that a frequent word follows in its piece is a pointer: the word and the up to three after
-   it. Words that aren't frequent end it. A bitmap of bounded size answers "frequent"; false answers only let more through.
-3. A pointer goes to the task of its prefix: that of its first word, if no more than `most` places begin with it; else of
-   its first two words, or three, or four. Counts of prefixes so split are plain sums made before (`_extensions`), by as many
-   passes as there are levels with such a prefix. So no task gets a whole hot prefix, and what a task gets is complete for it.
+2. Pairs of frequent words that follow one another in a piece are counted. Every place of a frequent pair that goes on is a
+   pointer: its words and the one or two after them, as long as each next pair is frequent. Bitmaps of bounded size answer
+   "frequent"; false answers only let more through.
+3. A pointer goes to the task of its prefix: its first two words, if no more than `most` places begin with them; else its first
+   three. Counts of prefixes so split are plain sums made before (`_extensions`), by as many passes as there are levels with
+   such a prefix. So no task gets a whole hot prefix, and what a task gets is complete for it.
    Pointers are sorted and counted within tasks before they are sent, as one block for each task and bucket of prefixes.
 4. In its task a prefix is grown (`_grow`): sort its pointers by the next word, count, and go down into frequent ones only.
 5. Phrases and words join by their ids for the counts of both parts of every cut and for the longer phrases around them.
@@ -30,7 +31,7 @@ from .support import fields, map_arrow, materialise
 
 LEAST, LONGEST, TOP, INSIDE = 30, 4, 2000, 80
 #: Pointers that a task takes of one prefix, and about as many as a bucket of prefixes holds; tokens that a task gathers before it sends; rows of an Arrow batch.
-MOST, BUCKET, FLUSH, ROWS = 1 << 16, 1 << 18, 1 << 20, 1 << 16
+MOST, BUCKET, FLUSH, ROWS = 1 << 18, 1 << 18, 1 << 20, 1 << 16
 _BREAK = b".,;:!?\n\x0b\x0c\r"
 _WORD = K.byte_table([b for b in range(256) if b not in b" \t" and b not in _BREAK])
 _STOP = K.byte_table(list(_BREAK))
@@ -138,7 +139,7 @@ def _prefix(parts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _pointers(docs: DataFrame, seed: int, frequent: _Bits, send, schema) -> DataFrame:
+def _pointers(docs: DataFrame, seed: int, frequent: _Bits, pairs: _Bits | None, send, schema) -> DataFrame:
     """send(dictionary of ids, windows [n, LONGEST] of places in it, -1 where they end) for every FLUSH tokens of a task, at ends of documents."""
 
     def windows(ids: np.ndarray, begins: np.ndarray):
@@ -147,6 +148,9 @@ def _pointers(docs: DataFrame, seed: int, frequent: _Bits, send, schema) -> Data
         often = frequent.has(known)[local]
         goes_on = np.zeros(len(ids) + LONGEST, bool)  # a frequent word after a frequent word of its piece
         goes_on[1 : len(ids)] = often[1:] & often[:-1] & ~begins[1:]
+        if pairs is not None:
+            at = np.flatnonzero(goes_on)
+            goes_on[at] = pairs.has(_prefix([ids[at - 1], ids[at]]))
         at = np.flatnonzero(goes_on[1 : len(ids) + 1])
         out = np.full((len(at), LONGEST), -1, np.int32)
         out[:, 0] = local[at]
@@ -189,7 +193,7 @@ def _counted(known: np.ndarray, of: np.ndarray, bucket: np.ndarray) -> tuple[np.
 _W = [f"w{k}" for k in range(1, LONGEST + 1)]
 
 
-def _extensions(docs: DataFrame, seed: int, frequent: _Bits, hot: list[_Bits], least: int) -> DataFrame:
+def _extensions(docs: DataFrame, seed: int, frequent: _Bits, pairs: _Bits | None, hot: list[_Bits], least: int) -> DataFrame:
     """w1 to w4 (0: none) and a: the counts of at least `least` of phrases that extend a hot prefix by one word."""
     d = len(hot)
     schema = fields(*((w, "long") for w in _W), ("a", "long"))
@@ -204,7 +208,7 @@ def _extensions(docs: DataFrame, seed: int, frequent: _Bits, hot: list[_Bits], l
             words = [known[part[:, k]].view(np.int64) if k <= d else np.zeros(len(part), np.int64) for k in range(LONGEST)]
             yield pa.RecordBatch.from_arrays([*map(pa.array, words), pa.array(n[s : s + ROWS])], names=schema.names)
 
-    return _pointers(docs, seed, frequent, send, schema).groupBy(*_W).agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    return _pointers(docs, seed, frequent, pairs, send, schema).groupBy(*_W).agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 
 def _grow(words: np.ndarray, n: np.ndarray, depth: int, least: int, out: list) -> None:
@@ -225,7 +229,7 @@ def _grow(words: np.ndarray, n: np.ndarray, depth: int, least: int, out: list) -
             _grow(words[s:e], n[s:e], depth + 1, least, out)
 
 
-def _grown(docs: DataFrame, seed: int, frequent: _Bits, hot: list[_Bits], buckets: int, least: int) -> DataFrame:
+def _grown(docs: DataFrame, seed: int, frequent: _Bits, pairs: _Bits, hot: list[_Bits], buckets: int, least: int) -> DataFrame:
     """w1 to w4 (0: none) and a of the phrases that grow from prefixes that aren't hot."""
     sent = fields(("bucket", "long"), ("known", "binary"), ("of", "binary"), ("depth", "binary"), ("n", "binary"))
     schema = fields(*((w, "long") for w in _W), ("a", "long"))
@@ -277,7 +281,7 @@ def _grown(docs: DataFrame, seed: int, frequent: _Bits, hot: list[_Bits], bucket
         columns = list(zip(*out, strict=True)) if out else [[]] * (LONGEST + 1)
         return pa.table([pa.array(np.array(c, _U).view(np.int64)) for c in columns[:LONGEST]] + [pa.array(columns[LONGEST], pa.int64())], names=schema.names)
 
-    return _pointers(docs, seed, frequent, send, sent).groupBy("bucket").applyInArrow(grow, schema)
+    return _pointers(docs, seed, frequent, pairs, send, sent).groupBy("bucket").applyInArrow(grow, schema)
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, most: int = MOST) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -294,17 +298,19 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, most: int = MOST) -> t
     frequent = _Bits(vocabulary.select(F.col("id").alias("key")))
     places = vocabulary.agg(F.sum("n")).first()[0] or 0
     singles = vocabulary.select(F.col("id").alias("w1"), *(F.lit(0).cast("long").alias(w) for w in _W[1:]), F.col("n").alias("a"))
-    found, hot, level = [singles], [], singles
-    for d in range(1, LONGEST):  # prefixes with more places than a task takes
-        heavy = level.where(F.col("a") > most)
-        bits = _Bits(_keys(heavy, d).distinct())
+    # pairs of frequent words, then what follows prefixes with more places than a task takes
+    hot = [frequent]
+    level = materialise(_extensions(docs, seed, frequent, None, hot, least))
+    pairs, found = _Bits(_keys(level, 2)), [singles, level]
+    for d in range(2, LONGEST):
+        bits = _Bits(_keys(level.where(F.col("a") > most), d))
         if not bits.any:
             break
         hot.append(bits)
-        level = materialise(_extensions(docs, seed, frequent, hot, least))
+        level = materialise(_extensions(docs, seed, frequent, pairs, hot, least))
         found.append(level)
     buckets = max(1, -(-places // BUCKET))
-    found.append(materialise(_grown(docs, seed, frequent, hot, buckets, least)))
+    found.append(materialise(_grown(docs, seed, frequent, pairs, hot, buckets, least)))
     phrases = found[0]
     for more in found[1:]:
         phrases = phrases.unionByName(more)
