@@ -14,9 +14,10 @@ partners of its own band and the next lower one only, and asks in those two (`Pl
    costly ones. A set's choice is its own: the index has everything that it may ask for.
 4. One-deletion neighbourhoods: the keys asked with a deletion go into a bitmap; a second scan emits, of sets in the index, the
    keys without one shingle that are asked for, and of sets that have such a key themselves its keys without one shingle.
-5. In a bucket of equal keys the smallest set that asks is compared with all others on full sets; links contract to components.
-   Buckets that still hold several components are dealt out in blocks of bounded size, and sets of different components are
-   compared there (`_between`), behind an exact bound from bitmaps of the sets. So no group lands in one task, no copies are
+5. In a bucket of equal keys the smallest set that asks is compared with all others; links contract to components. Buckets that
+   still hold several components are dealt out in blocks of bounded size, and sets of different components are compared there
+   (`_dealt`). Both times a bound comes first: two bitmaps, one bit for a shingle, differ in no more bits than the sets
+   do in shingles. Full sets are fetched for what passes it only, and decide. So no group lands in one task, no copies are
    compared twice, and no link between components is lost.
 
 Sets are sets of 64-bit hashes of whole shingles: two different shingles of a pair agree by chance once in 2**64.
@@ -77,6 +78,37 @@ class Plan:
         return np.where(need > 0, need + 1 + np.ceil(SPARE * (need + 1)).astype(np.int64), 1)
 
 
+def _bitmaps(parts: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """A bitmap of each set, of as many bits as the power of two from its size on, 64 at least."""
+    n = np.diff(offsets)
+    bits = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(bits)])
+    out = np.zeros(base[-1], bool)
+    doc = np.repeat(np.arange(len(n)), n)
+    out[base[doc] + (parts & (bits[doc] - 1).astype(_U)).astype(np.int64)] = True
+    packed = np.packbits(out, bitorder="little")
+    return [packed[s:e].tobytes() for s, e in zip((base[:-1] // 8).tolist(), (base[1:] // 8).tolist(), strict=True)]
+
+
+def _folded(bits: bytes, size: int) -> np.ndarray:
+    """The bitmap of the same set with `size` words."""
+    return np.bitwise_or.reduce(np.frombuffer(bits, _U).reshape(-1, size), axis=0)
+
+
+def _near_by_bits(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (src, dst) whose bitmaps a and b (of sets of na and nb shingles) differ in no more bits than similar sets do in shingles."""
+    schema = fields(("src", id_type(pairs, "src")), ("dst", id_type(pairs, "src")))
+
+    def test(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        keep = []
+        for a, b, na, nb in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+            size = min(len(a), len(b)) // 8
+            keep.append((100 + percent) * int(np.bitwise_count(_folded(a, size) ^ _folded(b, size)).sum()) <= (100 - percent) * (na + nb))
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], names=schema.names).filter(pa.array(keep, pa.bool_()))
+
+    return map_arrow(pairs.select("src", "dst", "a", "b", "na", "nb"), test, schema)
+
+
 def _sets(column: pa.Array, shingle: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last + 1, hashes sorted within documents and distinct, offsets) for runs of whole documents."""
     for i, j, hashed, offsets in K.words(column, K.NOT_SPACE):
@@ -138,7 +170,7 @@ def _bands(sizes: np.ndarray, plan: Plan) -> list[tuple[np.ndarray, np.ndarray]]
 
 def set_sketches(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, set_a and set_b (fingerprint; null if empty), and for the own and the lower band keys and numbers of shingles of segments."""
-    schema = fields(("doc_id", id_type(docs)), ("n_shingles", "long"), ("set_a", "long"), ("set_b", "long"), *((n, t) for k in "01" for n, t in ((f"key{k}", "array<long>"), (f"count{k}", "array<int>"))))
+    schema = fields(("doc_id", id_type(docs)), ("n_shingles", "long"), ("set_a", "long"), ("set_b", "long"), ("bits", "binary"), *((n, t) for k in "01" for n, t in ((f"key{k}", "array<long>"), (f"count{k}", "array<int>"))))
 
     def sketch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         plan = Plan(percent)
@@ -150,6 +182,7 @@ def set_sketches(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
                 a[full] = np.bitwise_xor.reduceat(parts, offsets[:-1][full])
                 b[full] = np.add.reduceat(K.mix(parts), offsets[:-1][full])
             out = [batch.column(0).slice(i, j - i), pa.array(n), pa.array(K.mix(a).view(np.int64), mask=~full), pa.array(b.view(np.int64), mask=~full)]
+            out.append(pa.array(_bitmaps(parts, offsets), pa.binary()))
             for band, _ in _bands(n, plan):
                 base, sums, count, _ = _segments(parts, offsets, band, plan)
                 out += [lists(_keys(sums, count, base, band).view(np.int64), base), lists(count.astype(np.int32), base)]
@@ -251,19 +284,20 @@ def _neighbourhoods(docs: DataFrame, reps: DataFrame, asked: _Bits, shingle: int
     return map_arrow(docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h")), emit, schema)
 
 
-def _bitmaps(members: list[np.ndarray], bits: int = 2048) -> np.ndarray:
-    out = np.zeros((len(members), bits // 64), _U)
-    for row, m in zip(out, members, strict=True):
-        slot = m & _U(bits - 1)
-        np.bitwise_or.at(row, (slot >> _U(6)).astype(np.int64), _U(1) << (slot & _U(63)))
-    return out
+def _blocks(rest: DataFrame, block: int) -> DataFrame:
+    """key, major (the largest component), n1 and n2 (blocks of it and of the others) of buckets of several components. rest: key, comp, n_shingles."""
+    counted = materialise(rest.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")))
+    majors = materialise(counted.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("k")).where("k > 1").select("key", F.col("m.comp").alias("major")))
+    blocks = [
+        F.greatest(F.lit(1), F.ceil(F.sum(F.when(which, F.col("n")).otherwise(0)) / block), F.ceil(F.sum(F.when(which, F.col("s")).otherwise(0)) / BLOCK_SHINGLES)).cast("int").alias(n)
+        for n, which in (("n1", F.col("comp") == F.col("major")), ("n2", F.col("comp") != F.col("major")))
+    ]
+    return materialise(counted.join(majors, "key").groupBy("key", "major").agg(*blocks))
 
 
-def _between(rest: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components within buckets. rest: key, doc_id, comp; sizes: key, major (the largest component), n1 and n2 (blocks of it and of the others)."""
-    kind = id_type(rest)
-    schema = fields(("src", kind), ("dst", kind))
-    dealt = (
+def _dealt(rest: DataFrame, sizes: DataFrame, payload: DataFrame) -> DataFrame:
+    """Members of buckets, each in all the groups (key, kind, p, q) in which blocks of the largest component meet those of others (kind 0), or these one another."""
+    return (
         rest.join(sizes, "key")
         .withColumn("mine", F.col("comp") == F.col("major"))
         .withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.greatest(F.lit(1), F.when(F.col("mine"), F.col("n1")).otherwise(F.col("n2")))).cast("int"))
@@ -272,15 +306,50 @@ def _between(rest: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -
                concat(transform(sequence(0, n1 - 1), x -> struct(0 as kind, x as p, own as q)),
                       transform(sequence(0, n2 - 1), x -> struct(1 as kind, least(own, x) as p, greatest(own, x) as q))))) as to"""))
         .select("key", "doc_id", "comp", "mine", "to.*")
-        .join(sets, "doc_id")
+        .join(payload, "doc_id")
     )
 
+
+def _partners(group: pa.Table, both: bool, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each member outside the largest component, those of other components that its size and bitmap allow."""
+    comp, mine = group["comp"].to_numpy(), group["mine"].to_numpy()
+    size, bits = group["n"].to_numpy(), group["bits"].to_pylist()
+    words = np.array([len(x) // 8 for x in bits])
+    folded = {w: np.array([_folded(x, w) if len(x) >= 8 * w else np.zeros(w, _U) for x in bits]) for w in np.unique(words).tolist()}
+    for a in np.flatnonzero(~mine).tolist():
+        with_ = np.flatnonzero(mine) if both else np.arange(a + 1, len(bits))
+        with_ = with_[(comp[with_] != comp[a]) & (100 * np.minimum(size[with_], size[a]) >= percent * np.maximum(size[with_], size[a]))]
+        out = []
+        for w in np.unique(np.minimum(words[with_], words[a])).tolist():
+            part = with_[np.minimum(words[with_], words[a]) == w]
+            apart = np.bitwise_count(folded[w][part] ^ folded[w][a]).sum(axis=1, dtype=np.int64)
+            out.append(part[(100 + percent) * apart <= (100 - percent) * (size[part] + size[a])])
+        if out:
+            yield a, np.concatenate(out)
+
+
+def _possible(dealt: DataFrame, percent: int) -> DataFrame:
+    """key, doc_id of the members that a set of another component may be similar to."""
+    schema = fields(("key", "long"), ("doc_id", id_type(dealt)))
+
+    def test(key: tuple, group: pa.Table) -> pa.Table:
+        found = set()
+        for a, with_ in _partners(group, key[1].as_py() == 0, percent):
+            if len(with_):
+                found |= {a, *with_.tolist()}
+        return group.select(["key", "doc_id"]).take(pa.array(sorted(found), pa.int64()))
+
+    return dealt.groupBy("key", "kind", "p", "q").applyInArrow(test, schema)
+
+
+def _between(dealt: DataFrame, percent: int) -> DataFrame:
+    """Links between components within the groups of _dealt, whose members come with full sets."""
+    kind = id_type(dealt)
+    schema = fields(("src", kind), ("dst", kind))
+
     def test(key: tuple, group: pa.Table) -> pa.Table:
-        both = key[1].as_py() == 0
-        ids, comp, mine = group["doc_id"].to_pylist(), group["comp"].to_pylist(), group["mine"].to_numpy()
+        ids, comp = group["doc_id"].to_pylist(), group["comp"].to_pylist()
         members = [np.frombuffer(s, _U) for s in group["shingles"].to_pylist()]
-        size = np.array([len(s) for s in members])
-        bitmap = _bitmaps(members)
         parent: dict = {}
 
         def root(x):
@@ -289,12 +358,7 @@ def _between(rest: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -
             return x
 
         src, dst = [], []
-        for a in np.flatnonzero(~mine).tolist():
-            with_ = np.flatnonzero(mine) if both else np.arange(a + 1, len(ids))
-            with_ = with_[100 * np.minimum(size[with_], size[a]) >= percent * np.maximum(size[with_], size[a])]
-            # bits set in one bitmap only are shingles of one set only
-            apart = np.bitwise_count(bitmap[with_] ^ bitmap[a]).sum(axis=1, dtype=np.int64)
-            with_ = with_[(100 + percent) * apart <= (100 - percent) * (size[with_] + size[a])]
+        for a, with_ in _partners(group, key[1].as_py() == 0, percent):
             for b in with_.tolist():
                 x, y = root(comp[a]), root(comp[b])
                 if x != y and _alike(members[a], members[b], percent):
@@ -331,23 +395,22 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     )
     members = materialise(entries.select("key", "doc_id").join(buckets, "key").where("doc_id <> leader"))
     pairs = members.select(F.least("leader", "doc_id").alias("src"), F.greatest("leader", "doc_id").alias("dst")).distinct()
-    sized = classes.select(F.col("rep").alias("doc_id"), "n_shingles")
-    pairs = materialise(
-        pairs.join(sized.toDF("src", "na"), "src").join(sized.toDF("dst", "nb"), "dst").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("src", "dst")
+    sized = sketch.select("doc_id", F.col("n_shingles").alias("n"), "bits").join(reps, "doc_id", "left_semi")
+    sized = materialise(sized.join(members.select("doc_id").union(members.select("leader")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    likely = materialise(
+        _near_by_bits(
+            pairs.join(sized.toDF("src", "na", "a"), "src").join(sized.toDF("dst", "nb", "b"), "dst").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")), percent
+        )
     )
-    wanted = members.select("doc_id").union(members.select("leader")).distinct()
-    sets = materialise(full_sets(docs, materialise(wanted), shingle).dropDuplicates(["doc_id"]))
-    links = materialise(_verify(pairs, sets, percent))
+    sets = materialise(full_sets(docs, materialise(likely.select(F.col("src").alias("doc_id")).union(likely.select("dst")).distinct()), shingle).dropDuplicates(["doc_id"]))
+    links = materialise(_verify(likely, sets, percent))
     comp = components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
-    rest = materialise(members.select("key", "doc_id").distinct().join(comp, "doc_id", "left").join(sized, "doc_id").select("key", "doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("comp")))
-    counted = materialise(rest.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")))
-    majors = materialise(counted.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("k")).where("k > 1").select("key", F.col("m.comp").alias("major")))
-    blocks = [
-        F.greatest(F.lit(1), F.ceil(F.sum(F.when(which, F.col("n")).otherwise(0)) / block), F.ceil(F.sum(F.when(which, F.col("s")).otherwise(0)) / BLOCK_SHINGLES)).cast("int").alias(n)
-        for n, which in (("n1", F.col("comp") == F.col("major")), ("n2", F.col("comp") != F.col("major")))
-    ]
-    sizes = materialise(counted.join(majors, "key").groupBy("key", "major").agg(*blocks))
-    more = materialise(_between(rest.drop("n_shingles"), sizes, sets, percent))
+    rest = members.select("key", "doc_id").distinct().join(comp, "doc_id", "left").join(sized, "doc_id")
+    rest = materialise(rest.select("key", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("comp")))
+    possible = materialise(_possible(_dealt(rest, _blocks(rest, block), sized), percent).distinct())
+    rest = materialise(rest.join(possible, ["key", "doc_id"], "left_semi"))
+    sets = full_sets(docs, materialise(rest.select("doc_id").distinct()), shingle).dropDuplicates(["doc_id"])
+    more = materialise(_between(_dealt(rest, _blocks(rest, block), sized.join(sets, "doc_id")), percent))
     comps = components(links.union(more))
     classed = materialise(classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component")))
     return (
