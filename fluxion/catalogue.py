@@ -35,6 +35,18 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: Operators on small fixed or simulated input with known results: run by the tests, not registered as queries.
+FACTS: dict[str, tuple[Query, str | None]] = {}
+
+
+def fact(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        FACTS[name] = (f, sql)
+        return f
+
+    return add
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
@@ -363,7 +375,7 @@ def _rounded(df: DataFrame, digits: int = 2) -> DataFrame:
 _LIB = library.build_library(["l_quantity", "l_discount"], 2, names=["l_quantity", "l_discount"])
 
 
-@query("poly_library", "SELECT * FROM (VALUES (0, '1'), (1, 'l_quantity'), (2, 'l_discount'), (3, 'l_quantity*l_quantity'), (4, 'l_quantity*l_discount'), (5, 'l_discount*l_discount')) AS v(place, term)")
+@fact("poly_library", "SELECT * FROM (VALUES (0, '1'), (1, 'l_quantity'), (2, 'l_discount'), (3, 'l_quantity*l_quantity'), (4, 'l_quantity*l_discount'), (5, 'l_discount*l_discount')) AS v(place, term)")
 def poly_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, t) for i, t in enumerate(_LIB)], "place int, term string")
 
@@ -656,24 +668,24 @@ def tumbling_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- what SQL can't express: rows only, held by tests against NumPy
 
 
-@query("stlsq_path")
+@fact("stlsq_path")
 def stlsq_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = SYSTEMS["lorenz"]
     out = sindy.run_sindy(simulate(spark, s, 3, t_end=4), s.variables, s.dt, degree=2, window=5)
     return spark.createDataFrame([(v, r["threshold"], r["n_terms"], r["val_err"], r["model"]) for v, p in out["path"].items() for r in p], "variable string, threshold double, n_terms int, val_err double, model string")
 
 
-@query("rollout")
+@fact("rollout")
 def rollout(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = SYSTEMS["lotka_volterra"]
     return scoring.rollout(simulate(spark, s, 2, t_end=1).where("step = 0"), s.rhs, np.arange(101) * s.dt)
 
 
-@query("etdrk4")
+@fact("etdrk4")
 def etdrk4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate(spark, "kdv", 1, t_end=1).select("traj", "step", "t", F.posexplode("u").alias("ix", "u"))
 
 
 # --- operators whose results are known from elsewhere
 
-from . import catalogue_facts  # noqa: E402, F401
+from . import catalogue_facts, catalogue_scans  # noqa: E402, F401

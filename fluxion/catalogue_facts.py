@@ -1,11 +1,12 @@
-"""Registered queries of operators whose results are known from elsewhere: closed forms, exact solutions, facts of the mathematics, round trips.
+"""Operators whose results are known from elsewhere: closed forms, exact solutions, facts of the mathematics, round trips. Those that read the
+given tables are registered queries; facts on fixed or simulated input are run by the tests only.
 
 Every SQL text states the expected result on its own; none is made by the code under test.
 """
 
 from __future__ import annotations
 
-import tempfile
+import io
 import uuid
 
 import numpy as np
@@ -13,13 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import OBS, W, query, table, trajectories
+from .catalogue import OBS, W, fact, query, table, trajectories
 from .functions import expressions as X
 from .functions import numerics as N
 from .operators import assess, coordinates, datasets, diagnostics, field_symmetry, fields, gram, library, memory, regression, scoring, symmetry, systems, uncertainty, weakform, windows
 from .operators.simulate import blind, derivatives, simulate
 from .operators.systems import SYSTEMS, System
 from .sources import arrays, ingest, readers
+from .sources.storage import shared_folder, write_bytes
 
 
 def rows(spark: SparkSession, schema: str, values: list[tuple]) -> DataFrame:
@@ -31,8 +33,7 @@ def rows(spark: SparkSession, schema: str, values: list[tuple]) -> DataFrame:
 
 def _scratch(spark: SparkSession) -> str:
     """A new folder, in the shared one if the session names it."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="fluxion-")
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def _written(df: DataFrame, how: str, name: str | None = None, **options) -> str:
@@ -67,8 +68,9 @@ def read_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_npz(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nations' keys as an array of trajectories, saved as NPZ, read by tasks and put into long form by its axes."""
     keys = sorted(r[0] for r in table(spark, sf_dir, "nation").select("n_nationkey").collect())  # 25 nations
-    path = f"{tempfile.mkdtemp(prefix='fluxion-')}/d.npz"
-    np.savez(path, u=np.array(keys)[:, None] * 10.0 + np.arange(4), t=np.arange(4) * 0.5)
+    path, data = f"{_scratch(spark)}/d.npz", io.BytesIO()
+    np.savez(data, u=np.array(keys)[:, None] * 10.0 + np.arange(4), t=np.arange(4) * 0.5)
+    write_bytes(spark, path, data.getvalue())
     return readers.array_table(readers.read_file(spark, path), "u", "t", 1.0, "rt").select("traj", "step", "t", "value")
 
 
@@ -127,18 +129,18 @@ def regular_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.regular_time(line, ["u"])[0].select("traj", "step", F.round("t", 5).alias("t"), F.round("u", 4).alias("u"))
 
 
-@query("names_sanitized", "SELECT * FROM (VALUES (0, 'I'), (1, 'lambda_'), (2, 'S_t_mol'), (3, 'sin_'), (4, 'p1_'), (5, 'I_'), (6, 'v2nd')) AS v(place, name)")
+@fact("names_sanitized", "SELECT * FROM (VALUES (0, 'I'), (1, 'lambda_'), (2, 'S_t_mol'), (3, 'sin_'), (4, 'p1_'), (5, 'I_'), (6, 'v2nd')) AS v(place, name)")
 def names_sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "place int, name string", list(enumerate(readers.sanitize_names(["I", "lambda", "S(t) [mol]", "sin", "p1", "I", "2nd"]))))
 
 
-@query("derivative_names", "SELECT * FROM (VALUES ('u_x', 'u'), ('uxx', 'u'), ('u_dot', 'u'), ('uprime', 'u'), ('dudx', 'u'), ('ddu', 'u'), ('vel_t', 'vel'), ('w', NULL)) AS v(name, base)")
+@fact("derivative_names", "SELECT * FROM (VALUES ('u_x', 'u'), ('uxx', 'u'), ('u_dot', 'u'), ('uprime', 'u'), ('dudx', 'u'), ('ddu', 'u'), ('vel_t', 'vel'), ('w', NULL)) AS v(name, base)")
 def derivative_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["u_x", "uxx", "u_dot", "uprime", "dudx", "ddu", "vel_t", "w"]
     return rows(spark, "name string, base string", [(n, arrays.derivative_of(n, {"u", "vel", n})) for n in names])
 
 
-@query("array_roles", "SELECT * FROM (VALUES ('runs', 'Y', 'time', 'rtv'), ('field', 'u', 't', 'tx'), ('turned', 'u', 't', 'xtr'), ('plane', 'u', 't', 'txy')) AS v(case_, field, time, axes)")
+@fact("array_roles", "SELECT * FROM (VALUES ('runs', 'Y', 'time', 'rtv'), ('field', 'u', 't', 'tx'), ('turned', 'u', 't', 'xtr'), ('plane', 'u', 't', 'txy')) AS v(case_, field, time, axes)")
 def array_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, x, y, a = np.arange(40.0), np.linspace(0, 1, 32), np.linspace(0, 2, 24), np.zeros
     cases = {
@@ -149,13 +151,13 @@ def array_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "case_ string, field string, time string, axes string", [(k, r["field"], r["time"], r["axes"]) for k, r in found.items()])
 
 
-@query("canonical_shapes", "SELECT * FROM (VALUES ('tx', '1,4,5,1'), ('xtr', '6,5,4,1'), ('vt', '1,5,4')) AS v(axes, shape)")
+@fact("canonical_shapes", "SELECT * FROM (VALUES ('tx', '1,4,5,1'), ('xtr', '6,5,4,1'), ('vt', '1,5,4')) AS v(axes, shape)")
 def canonical_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     shapes = {"tx": (4, 5), "xtr": (4, 5, 6), "vt": (4, 5)}
     return rows(spark, "axes string, shape string", [(k, ",".join(map(str, arrays.canonical(np.zeros(s), k).shape))) for k, s in shapes.items()])
 
 
-@query("given_derivatives", "SELECT * FROM (VALUES ('a', 'u_x'), ('b', 'u_t'), ('c', 'u_xx'), ('d', NULL)) AS v(name, what)")
+@fact("given_derivatives", "SELECT * FROM (VALUES ('a', 'u_x'), ('b', 'u_t'), ('c', 'u_xx'), ('d', NULL)) AS v(name, what)")
 def given_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of sin(x - t): its derivatives by hand, and an array that is none."""
     x, t = np.linspace(0, 2 * np.pi, 200)[None, :], np.linspace(0, 1, 100)[:, None]
@@ -190,7 +192,7 @@ def seam_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, ", ".join(f"{n} double" for n in names), [tuple(round(f[n], 8) for n in names)])
 
 
-@query(
+@fact(
     "boundary_kinds",
     "SELECT * FROM (VALUES (0, 'periodic', true, 'high'), (1, 'periodic', false, 'high'), (2, 'periodic', false, 'medium'), (3, 'periodic', false, 'medium'), (4, 'unknown', false, 'medium'), (5, 'neumann', false, 'high')) AS v(k, boundary, dropped, confidence)",
 )
@@ -259,7 +261,7 @@ def difference_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped(frames, lambda u: u @ N.difference_matrix(12, 0.5, 1).T)
 
 
-@query(
+@fact(
     "stencil_weights",
     "SELECT kind, i, round(a / 12::DOUBLE, 10) AS w FROM (VALUES ('central', 0, 1), ('central', 1, -8), ('central', 2, 0), ('central', 3, 8), ('central', 4, -1), ('end', 0, -25), ('end', 1, 48), ('end', 2, -36), ('end', 3, 16), ('end', 4, -3)) AS v(kind, i, a)",
 )
@@ -268,7 +270,7 @@ def stencil_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "kind string, i int, w double", [(k, i, round(float(w), 10) + 0.0) for k, o in own.items() for i, w in enumerate(N.stencil(o, 1))])
 
 
-@query("derivative_symbols", "SELECT * FROM (VALUES (0, 'u'), (1, 'v'), (2, 'u_x'), (3, 'u_y'), (4, 'u_xx'), (5, 'u_xy'), (6, 'u_yy'), (7, 'v_x'), (8, 'v_y'), (9, 'v_xx'), (10, 'v_xy'), (11, 'v_yy'), (12, 'x'), (13, 'y')) AS v(place, symbol)")
+@fact("derivative_symbols", "SELECT * FROM (VALUES (0, 'u'), (1, 'v'), (2, 'u_x'), (3, 'u_y'), (4, 'u_xx'), (5, 'u_xy'), (6, 'u_yy'), (7, 'v_x'), (8, 'v_y'), (9, 'v_xx'), (10, 'v_xy'), (11, 'v_yy'), (12, 'x'), (13, 'y')) AS v(place, symbol)")
 def derivative_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "place int, symbol string", list(enumerate(library.derivative_symbols(["u", "v"], ("x", "y"), 2))))
 
@@ -295,7 +297,7 @@ def function_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("grp").agg(*[F.round(F.avg(X.parse(e, ["x", "y"]).column()), 6).alias(n) for n, e in _FUNCTIONS.items()])
 
 
-@query("structure_scores", "SELECT model, p / 2::DOUBLE AS precision_, r / 2::DOUBLE AS recall, e / 10::DOUBLE AS error FROM (VALUES ('same', 2, 2, 0), ('missing', 2, 1, 0), ('extra', 1, 2, 1)) AS v(model, p, r, e)")
+@fact("structure_scores", "SELECT model, p / 2::DOUBLE AS precision_, r / 2::DOUBLE AS recall, e / 10::DOUBLE AS error FROM (VALUES ('same', 2, 2, 0), ('missing', 2, 1, 0), ('extra', 1, 2, 1)) AS v(model, p, r, e)")
 def structure_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = {"x": "x*y - 2*y"}
     models = {"same": "y*(x - 2)", "missing": "-2*y", "extra": "1.1*x*y - 1.8*y + x + x**2"}
@@ -303,25 +305,25 @@ def structure_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "model string, precision_ double, recall double, error double", [(k, m["precision"], m["recall"], round(m["coef_rel_err"], 10)) for k, m in out])
 
 
-@query("combinations_as_text", "SELECT * FROM (VALUES (0, '0'), (1, '2*x - 0.5*x*y'), (2, '1.5')) AS v(k, text)")
+@fact("combinations_as_text", "SELECT * FROM (VALUES (0, '0'), (1, '2*x - 0.5*x*y'), (2, '1.5')) AS v(k, text)")
 def combinations_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = [([0.0, 0.0, 0.0], 0), ([0.0, 2.0, -0.5], 1), ([1.5, 0.0, 0.0], 2)]
     return rows(spark, "k int, text string", [(k, X.linear_combination(c, ["1", "x", "x*y"])) for c, k in cases])
 
 
-@query("judged_pairs", "SELECT * FROM (VALUES ('(x + y)**2', 'x**2 + 2*x*y + y**2', 'equal'), ('1.02*x', 'x', 'close'), ('x*y', 'x + y', 'different')) AS v(a, b, verdict)")
+@fact("judged_pairs", "SELECT * FROM (VALUES ('(x + y)**2', 'x**2 + 2*x*y + y**2', 'equal'), ('1.02*x', 'x', 'close'), ('x*y', 'x + y', 'different')) AS v(a, b, verdict)")
 def judged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = [("(x + y)**2", "x**2 + 2*x*y + y**2"), ("1.02*x", "x"), ("x*y", "x + y")]
     return rows(spark, "a string, b string, verdict string", [(a, b, datasets.judge({"x": a}, {"x": b}, ["x", "y"])) for a, b in pairs])
 
 
-@query("parameters_split", "SELECT * FROM (VALUES ('p0', 'linear'), ('p1', 'linear'), ('p2', 'curved')) AS v(name, kind)")
+@fact("parameters_split", "SELECT * FROM (VALUES ('p0', 'linear'), ('p1', 'linear'), ('p2', 'curved')) AS v(name, kind)")
 def parameters_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     linear, curved = X.split_parameters({"s": X.parse("p0 - p1*s/(p2 + s)")}, ["p0", "p1", "p2"])
     return rows(spark, "name string, kind string", [(p, "linear") for p in linear] + [(p, "curved") for p in curved])
 
 
-@query("linear_part", "SELECT symbol, CAST(-1 AS DOUBLE) AS coef FROM (VALUES ('u_xx'), ('u_xxxx')) AS v(symbol)")
+@fact("linear_part", "SELECT symbol, CAST(-1 AS DOUBLE) AS coef FROM (VALUES ('u_xx'), ('u_xxxx')) AS v(symbol)")
 def linear_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, rest = X.split_linear_part(X.parse("-u*u_x - u_xx - u_xxxx"), "u")
     assert rest == X.parse("-u*u_x")
@@ -378,13 +380,13 @@ def interaction_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "variable string, below double", [(v, float(s > 0.7)) for v, s in found.items()])
 
 
-@query("noise_gain", "SELECT 'u' AS variable, round(0.02 * sqrt(130.0) / 12 / 0.5, 10) AS noise")
+@fact("noise_gain", "SELECT 'u' AS variable, round(0.02 * sqrt(130.0) / 12 / 0.5, 10) AS noise")
 def noise_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cubic over five samples differentiates with (1, -8, 0, 8, -1) / 12."""
     return rows(spark, "variable string, noise double", [(v, round(x, 10)) for v, x in uncertainty.noise_floor(["u"], {"u": 0.02}, 0.5, 5, 3).items()])
 
 
-@query("corner_modes", "SELECT mode, 1 AS most FROM (VALUES (3), (10), (25)) AS v(mode)")
+@fact("corner_modes", "SELECT mode, 1 AS most FROM (VALUES (3), (10), (25)) AS v(mode)")
 def corner_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corner of a single tapered mode lies within four modes of it."""
     t, noise = np.arange(256) / 256, 1e-3 * np.random.default_rng(0).standard_normal(256)
@@ -437,7 +439,7 @@ def single_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "edit string, term string, dbic double", [(e["edit"], e["term"], round(float(e["dbic"]), 3)) for e in found])
 
 
-@query("library_of_fields", "SELECT * FROM (VALUES (0, '1'), (1, 'u_x'), (2, 'u_xx'), (3, 'u'), (4, 'u*u_x'), (5, 'u*u_xx')) AS v(place, term)")
+@fact("library_of_fields", "SELECT * FROM (VALUES (0, '1'), (1, 'u_x'), (2, 'u_xx'), (3, 'u'), (4, 'u*u_x'), (5, 'u*u_xx')) AS v(place, term)")
 def library_of_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "place int, term string", list(enumerate(library.build_library(["u"], 1, dims=("x",), max_derivative=2))))
 
@@ -465,7 +467,7 @@ def polar_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.select("traj", F.col("step").cast("int").alias("step"), F.round("r", 6).alias("r"), F.round("q", 5).alias("q"))
 
 
-@query("models_mapped", "SELECT * FROM (VALUES ('x', 'equal'), ('y', 'equal'), ('a', 'equal')) AS v(variable, verdict)")
+@fact("models_mapped", "SELECT * FROM (VALUES ('x', 'equal'), ('y', 'equal'), ('a', 'equal')) AS v(variable, verdict)")
 def models_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model in logarithms and back; d(log x)/dt by hand."""
     c = coordinates.make_coords("log", {"a": "log(x)", "b": "log(y)"}, ["x", "y"])
@@ -476,7 +478,7 @@ def models_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "variable string, verdict string", out)
 
 
-@query("conserved_sum", "SELECT 'constraint' AS kind, 3 AS terms, true AS equal_weights")
+@fact("conserved_sum", "SELECT 'constraint' AS kind, 3 AS terms, true AS equal_weights")
 def conserved_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S + I + R = 1 of an epidemic."""
     s = SYSTEMS["sir"]
@@ -485,7 +487,7 @@ def conserved_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "kind string, terms int, equal_weights boolean", [(found["kind"], len(c), bool(np.ptp(list(c.values())) < 0.02))])
 
 
-@query("vector_field_symmetries", "SELECT * FROM (VALUES ('hopf', 'generator', 'rotation'), ('lorenz', 'map', '(-x, -y, z)')) AS v(system, kind, what)")
+@fact("vector_field_symmetries", "SELECT * FROM (VALUES ('hopf', 'generator', 'rotation'), ('lorenz', 'map', '(-x, -y, z)')) AS v(system, kind, what)")
 def vector_field_symmetries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known facts: one rotation, one flip, and none of predator and prey."""
     out = []
@@ -496,27 +498,27 @@ def vector_field_symmetries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "system string, kind string, what string", out)
 
 
-@query("equivariant_dimensions", "SELECT * FROM (VALUES ('plane cubic, rotation', 4), ('space cubic, flip of two axes', 30)) AS v(model, free)")
+@fact("equivariant_dimensions", "SELECT * FROM (VALUES ('plane cubic, rotation', 4), ('space cubic, flip of two axes', 30)) AS v(model, free)")
 def equivariant_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     free = lambda names, gens, maps: N.null_space(symmetry.equivariance_constraints(library.build_library(names, 3), names, gens, maps)).shape[1]
     out = [("plane cubic, rotation", free(["x", "y"], [symmetry.rotation_generator(0, 1, 2)], [])), ("space cubic, flip of two axes", free(["x", "y", "z"], [], [np.diag([-1.0, -1.0, 1.0])]))]
     return rows(spark, "model string, free int", out)
 
 
-@query("generators", "SELECT kind, i, j, CAST(a AS DOUBLE) AS a FROM (VALUES ('rotation', 0, 1, -1), ('rotation', 1, 0, 1), ('scaling', 0, 0, 2), ('scaling', 1, 1, -1)) AS v(kind, i, j, a)")
+@fact("generators", "SELECT kind, i, j, CAST(a AS DOUBLE) AS a FROM (VALUES ('rotation', 0, 1, -1), ('rotation', 1, 0, 1), ('scaling', 0, 0, 2), ('scaling', 1, 1, -1)) AS v(kind, i, j, a)")
 def generators(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = {"rotation": symmetry.rotation_generator(0, 1, 2), "scaling": symmetry.scaling_generator([2.0, -1.0])}
     return rows(spark, "kind string, i int, j int, a double", [(k, int(i), int(j), float(m[i, j])) for k, m in own.items() for i, j in zip(*np.nonzero(m), strict=True)])
 
 
-@query("field_symmetries", "SELECT true AS translation, CAST(NULL AS VARCHAR) AS reflection, CAST(6 AS DOUBLE) AS galilean")
+@fact("field_symmetries", "SELECT true AS translation, CAST(NULL AS VARCHAR) AS reflection, CAST(6 AS DOUBLE) AS galilean")
 def field_symmetries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Korteweg-de Vries: a boost u -> u + c goes with x -> x + 6 c t; no mirror image in space alone."""
     f = symmetry.field_symmetries({"u": "-6*u*u_x - u_xxx"}, ["u", "u_x", "u_xxx"])
     return rows(spark, "translation boolean, reflection string, galilean double", [(f["translation"], ", ".join(f["reflections"]) or None, float(f["galilean"]))])
 
 
-@query(
+@fact(
     "field_symmetries_measured",
     "SELECT * FROM (VALUES ('burgers', 'translation', 'x', CAST(NULL AS DOUBLE)), ('burgers', 'symmetry', 'x -> -x, u -> -u', NULL), ('burgers', 'boost', 'u', 1.0), "
     "('advection_diffusion', 'translation', 'x', NULL), ('advection_diffusion', 'symmetry', 'u -> -u', NULL), ('advection_diffusion', 'shift', 'u', NULL), "
@@ -577,18 +579,18 @@ def heat_with_ends_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("traj", "step", "ix", (F.col("u") + 0.0).alias("u"))
 
 
-@query("known_systems", "SELECT * FROM (VALUES ('ode', 18), ('pde', 11)) AS v(kind, n)")
+@fact("known_systems", "SELECT * FROM (VALUES ('ode', 18), ('pde', 11)) AS v(kind, n)")
 def known_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = [s.kind for s in SYSTEMS.values()]
     return rows(spark, "kind string, n int", [(k, kinds.count(k)) for k in ("ode", "pde")])
 
 
-@query("suite_sizes", "SELECT * FROM (VALUES ('default', 29), ('clean', 29), ('noise_ladder', 116), ('noise_types', 116), ('hard', 6)) AS v(suite, n)")
+@fact("suite_sizes", "SELECT * FROM (VALUES ('default', 29), ('clean', 29), ('noise_ladder', 116), ('noise_types', 116), ('hard', 6)) AS v(suite, n)")
 def suite_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "suite string, n int", [(k, len(v)) for k, v in systems.SUITES.items()])
 
 
-@query("blinded_systems", "SELECT CAST(29 AS BIGINT) AS n, CAST(0 AS BIGINT) AS leaks, CAST(0 AS BIGINT) AS moved_too_far")
+@fact("blinded_systems", "SELECT CAST(29 AS BIGINT) AS n, CAST(0 AS BIGINT) AS leaks, CAST(0 AS BIGINT) AS moved_too_far")
 def blinded_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names tell nothing, and coefficients of polynomial systems move by a quarter at most."""
     hidden = {s.name: blind(s, 3) for s in SYSTEMS.values()}
@@ -601,7 +603,7 @@ def blinded_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "n long, leaks long, moved_too_far long", [(len(hidden), leaks, far)])
 
 
-@query("score_of_truth", "SELECT CAST(4 AS INTEGER) AS n_terms, CAST(6.42 AS DOUBLE) AS score, CAST(1 AS DOUBLE) AS valid_frac")
+@fact("score_of_truth", "SELECT CAST(4 AS INTEGER) AS n_terms, CAST(6.42 AS DOUBLE) AS score, CAST(1 AS DOUBLE) AS valid_frac")
 def score_of_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The true equations reach the ceiling of the score: 6.5 less 0.02 a term."""
     s = SYSTEMS["lotka_volterra"]
@@ -646,7 +648,7 @@ def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "model string, nrmse double, n_terms int, z double", [(k, round(m["nrmse"], 8), m["n_terms"], round(float(m["z_vs_best"]), 5)) for k, m in out.items()])
 
 
-@query("term_stability", "SELECT round((0.5 + 1/3.0 + 2/3.0) / 3, 10) AS stability")
+@fact("term_stability", "SELECT round((0.5 + 1/3.0 + 2/3.0) / 3, 10) AS stability")
 def term_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "stability double", [(round(uncertainty.term_stability([{"a"}, {"a", "b"}, {"a", "b", "c"}]), 10),)])
 
@@ -663,7 +665,7 @@ def predictability_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "horizon double, whole boolean", [(round(r["horizon"], 6), r["horizon_is_full_data_span"])])
 
 
-@query("latin_hypercube", "SELECT 'x' AS variable, CAST(i AS INTEGER) AS stratum, CAST(1 AS BIGINT) AS n FROM (SELECT unnest(range(0, 40)) AS i) UNION ALL SELECT 'y', CAST(i AS INTEGER), CAST(1 AS BIGINT) FROM (SELECT unnest(range(0, 40)) AS i)")
+@fact("latin_hypercube", "SELECT 'x' AS variable, CAST(i AS INTEGER) AS stratum, CAST(1 AS BIGINT) AS n FROM (SELECT unnest(range(0, 40)) AS i) UNION ALL SELECT 'y', CAST(i AS INTEGER), CAST(1 AS BIGINT) FROM (SELECT unnest(range(0, 40)) AS i)")
 def latin_hypercube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One candidate in each of the strata of each side of the widened box."""
     plan = assess.candidates(spark, {"x": (0.0, 1.0), "y": (-5.0, 5.0)})
@@ -671,19 +673,19 @@ def latin_hypercube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(F.explode(side).alias("s")).groupBy(F.col("s.variable").alias("variable"), F.floor(F.col("s.p") * 40).cast("int").alias("stratum")).agg(F.count("*").alias("n"))
 
 
-@query("grades", "SELECT * FROM (VALUES (0, 'low'), (1, 'medium'), (2, 'medium'), (3, 'high'), (4, 'high')) AS v(held, level)")
+@fact("grades", "SELECT * FROM (VALUES (0, 'low'), (1, 'medium'), (2, 'medium'), (3, 'high'), (4, 'high')) AS v(held, level)")
 def grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "held int, level string", [(k, assess.grade({f"c{i}": i < k for i in range(4)})["level"]) for k in range(5)])
 
 
-@query("data_advice", "SELECT * FROM (VALUES ('clean', 0), ('noisy', 1), ('coarse', 1), ('all', 3)) AS v(case_, n)")
+@fact("data_advice", "SELECT * FROM (VALUES ('clean', 0), ('noisy', 1), ('coarse', 1), ('all', 3)) AS v(case_, n)")
 def data_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = lambda noise, step, n: {"noise_rel": {"u": noise}, "change_per_step": {"u": step}, "n_traj": n}
     cases = {"clean": f(0.01, 0.1, 4), "noisy": f(0.06, 0.1, 4), "coarse": f(0.01, 0.4, 4), "all": f(0.06, 0.4, 1)}
     return rows(spark, "case_ string, n int", [(k, len(assess.data_advice(v))) for k, v in cases.items()])
 
 
-@query("verdicts", "SELECT * FROM (VALUES ('nothing', 'INCONCLUSIVE'), ('sure', 'CONFIDENT'), ('telling', 'COLLECT MORE DATA'), ('alike', 'CONFIDENT IN PREDICTIONS'), ('poor', 'INCONCLUSIVE')) AS v(case_, status)")
+@fact("verdicts", "SELECT * FROM (VALUES ('nothing', 'INCONCLUSIVE'), ('sure', 'CONFIDENT'), ('telling', 'COLLECT MORE DATA'), ('alike', 'CONFIDENT IN PREDICTIONS'), ('poor', 'INCONCLUSIVE')) AS v(case_, status)")
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = {
         "confidence": {"level": "medium"}, "missing_term_evidence": [], "terms": [{"significant": True}], "experiments": {"ranked": []}, "model_ambiguity": {"indistinguishable": ["model", "other"]},
@@ -694,7 +696,7 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "case_ string, status string", [(k, assess.verdict(a)["status"]) for k, a in cases.items()])
 
 
-@query("open_questions", "SELECT CAST(2 AS INTEGER) AS n")
+@fact("open_questions", "SELECT CAST(2 AS INTEGER) AS n")
 def open_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = assess.questions([{"term": "x*y", "var": "x", "significant": False}, {"term": "x", "var": "x", "significant": True}], ["a", "b"])
     return rows(spark, "n int", [(len(asked),)])
@@ -742,7 +744,7 @@ def lessons_retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.retrieve(p, memory.fingerprint("Brand#13", 3, 0.0125, 0)).select("lesson", F.round("score", 8).alias("score"))
 
 
-@query("lessons_kept", "SELECT * FROM (VALUES (0, 'use the weak form for noisy data'), (1, 'smooth first')) AS v(place, lesson)")
+@fact("lessons_kept", "SELECT * FROM (VALUES (0, 'use the weak form for noisy data'), (1, 'smooth first')) AS v(place, lesson)")
 def lessons_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "place int, lesson string", list(enumerate(memory.add_lessons([], ["use the weak form for noisy data", "use the weak form for very noisy data", "smooth first"]))))
 
@@ -760,14 +762,14 @@ def cross_validated_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "mode string, in_order int, stability double", [(k, int(got["fixed"]["mean"] <= r["mean"] + 1e-9), r["stability"]) for k, r in got.items()])
 
 
-@query("equivariant_fit", "SELECT 4 AS free_parameters, true AS fits")
+@fact("equivariant_fit", "SELECT 4 AS free_parameters, true AS fits")
 def equivariant_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = SYSTEMS["hopf"]
     r = symmetry.equivariant_sindy(simulate(spark, s, 3, noise=0.01), s.variables, s.dt, 3, [symmetry.rotation_generator(0, 1, 2)])
     return rows(spark, "free_parameters int, fits boolean", [(r["free_parameters"], max(r["error"].values()) < 0.2)])
 
 
-@query("varpro", "SELECT parameter, CAST(value AS DOUBLE) AS value FROM (VALUES ('p0', 0.6), ('p1', 1.5), ('p2', 0.3)) AS v(parameter, value)")
+@fact("varpro", "SELECT parameter, CAST(value AS DOUBLE) AS value FROM (VALUES ('p0', 0.6), ('p1', 1.5), ('p2', 0.3)) AS v(parameter, value)")
 def varpro(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The constants of Michaelis and Menten from a skeleton."""
     from .operators.skeleton import fit_skeleton
@@ -777,7 +779,7 @@ def varpro(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "parameter string, value double", [(k, round(p[k], 1)) for k in ("p0", "p1", "p2")])
 
 
-@query("lorenz_recovered", "SELECT * FROM (VALUES ('x', 'x'), ('x', 'y'), ('y', 'x'), ('y', 'y'), ('y', 'x*z'), ('z', 'x*y'), ('z', 'z')) AS v(variable, term)")
+@fact("lorenz_recovered", "SELECT * FROM (VALUES ('x', 'x'), ('x', 'y'), ('y', 'x'), ('y', 'y'), ('y', 'x*z'), ('z', 'x*y'), ('z', 'z')) AS v(variable, term)")
 def lorenz_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seven terms of the true equations, and no other."""
     from .operators import sindy
@@ -787,21 +789,21 @@ def lorenz_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "variable string, term string", [(v, t) for v, e in out["rhs"].items() for t in X.parse(e, s.variables).coefficients()])
 
 
-@query("skeleton_front", "SELECT * FROM (VALUES ('a'), ('b'), ('d')) AS v(equation)")
+@fact("skeleton_front", "SELECT * FROM (VALUES ('a'), ('b'), ('d')) AS v(equation)")
 def skeleton_front(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators.skeleton import pareto_front
 
     return pareto_front(rows(spark, "equation string, complexity int, loss double", [("a", 1, 3.0), ("b", 2, 1.0), ("c", 3, 2.0), ("d", 4, 0.5)])).select("equation")
 
 
-@query("degree_chosen", "SELECT 2 AS degree")
+@fact("degree_chosen", "SELECT 2 AS degree")
 def degree_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predator and prey are quadratic."""
     s = SYSTEMS["lotka_volterra"]
     return rows(spark, "degree int", [(symmetry.choose_degree(simulate(spark, s, 4), s.variables, s.dt, window=5),)])
 
 
-@query("weak_statistics", "SELECT variable, term, true AS significant FROM (VALUES ('x', 'x'), ('x', 'x*y'), ('y', 'y'), ('y', 'x*y')) AS v(variable, term)")
+@fact("weak_statistics", "SELECT variable, term, true AS significant FROM (VALUES ('x', 'x'), ('x', 'x*y'), ('y', 'y'), ('y', 'x*y')) AS v(variable, term)")
 def weak_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Under 3 % of noise the true terms of predator and prey are significant on the weak form."""
     s = SYSTEMS["lotka_volterra"]

@@ -248,6 +248,26 @@ def uniform_space(frames: DataFrame, x: Sequence[float], fields: Sequence[str],
     return frames.mapInPandas(run, frames.schema), even
 
 
+def uniform_plane(frames: DataFrame, nodes: Sequence[Sequence[float]], fields: Sequence[str], tolerance: float = 1e-3) -> tuple[DataFrame, list[np.ndarray]]:
+    """Fields of two axes (row-major) on a uniform grid: the spline of one axis after the other, frame by frame."""
+    nodes = [np.asarray(x, float) for x in nodes]
+    even = [np.linspace(x[0], x[-1], len(x)) for x in nodes]
+    if all(np.abs(x - e).max() <= tolerance * abs(e[1] - e[0]) for x, e in zip(nodes, even, strict=True) if len(x) > 1):
+        return frames, even
+    shape = [len(x) for x in nodes]
+
+    def run(batches):
+        for pdf in batches:
+            for f in fields:
+                z = np.stack(pdf[f]).astype(float).reshape(-1, *shape)
+                z = N.not_a_knot(nodes[0], z.transpose(1, 0, 2).reshape(shape[0], -1))(even[0]).reshape(shape[0], -1, shape[1]).transpose(1, 0, 2)
+                z = N.not_a_knot(nodes[1], z.transpose(2, 0, 1).reshape(shape[1], -1))(even[1]).reshape(shape[1], -1, shape[0]).transpose(1, 2, 0)
+                pdf[f] = list(z.reshape(len(pdf), -1))
+            yield pdf
+
+    return frames.mapInPandas(run, frames.schema), even
+
+
 def travelling_speed(frames: DataFrame, field: str, nodes: int, length: float, dt: float) -> dict:
     """Median shift between neighbouring frames (largest cross-correlation) as a speed, and its correlation with amplitude (1-D periodic)."""
 

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numerics import savgol_weights
 
@@ -116,11 +117,43 @@ def never_falls(df: DataFrame, columns: Sequence[str], ordinal: str) -> dict[str
     return {c: bool(r[c]) for c in columns}
 
 
-def elapsed(df: DataFrame, stamp: str, order: Sequence[str], unit_seconds: float = 1.0, key: Sequence[str] = ()) -> DataFrame:
-    """df with `t`: time since the first row of the key (in the given order, not the smallest stamp), in units."""
+def elapsed(df: DataFrame, stamp: str, order: Sequence[str], unit_seconds: float = 1.0, key: Sequence[str] = (), salts: int = 0) -> DataFrame:
+    """df with `t`: time since the first row of the key (in the given order, not the smallest stamp), in units.
+
+    Without a key the first row is one aggregate, handed to all rows. With `salts`, a key's rows are dealt to as many parts, each of which meets the
+    key's first stamp, so that a long key is many tasks; without, they are one window."""
     micros = F.unix_micros(F.col(stamp).cast("timestamp"))
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return df.withColumn("t", (micros - F.first(micros).over(w)) / F.lit(1e6 * unit_seconds))
+    if key and not salts:
+        w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return df.withColumn("t", (micros - F.first(micros).over(w)) / F.lit(1e6 * unit_seconds))
+    first = df.groupBy(*key).agg(F.min_by(micros, F.struct(*order)).alias("_first"))
+    if not key:
+        both = df.crossJoin(F.broadcast(first))  # one row
+    else:
+        salt = F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int")
+        both = df.withColumn("_salt", salt).join(first.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*key, "_salt"]).drop("_salt")
+    return both.select(*df.columns, ((micros - F.col("_first")) / F.lit(1e6 * unit_seconds)).alias("t"))
+
+
+def in_chunks(df: DataFrame, by: str, chunk: int = CHUNK) -> DataFrame:
+    """df with `_c`: which stretch of the order a row is in, about `chunk` rows each. Whole numbers are cut at multiples of chunk; other
+    orders at even distances, as many as their range holds chunks of rows on average."""
+    if isinstance(df.schema[by].dataType, T.IntegralType):
+        return df.withColumn("_c", F.floor(F.col(by) / chunk))
+    row = df.agg(F.min(by).cast("double"), F.max(by).cast("double"), F.count("*")).first()
+    if not row[2] or row[0] is None or row[0] == row[1]:
+        return df.withColumn("_c", F.lit(0).cast("long"))
+    width = (row[1] - row[0]) / max(1, -(-row[2] // chunk))
+    return df.withColumn("_c", F.coalesce(F.floor((F.col(by).cast("double") - row[0]) / width), F.lit(-1)))
+
+
+def numbered(df: DataFrame, by: str, key: Sequence[str] = KEY, into: str = "step", chunk: int = CHUNK) -> DataFrame:
+    """df with the number (from 0) of each row of its key in the order of `by`: rows count within chunks, chunks are added up before them."""
+    cut = in_chunks(df.drop(into), by, chunk)
+    own = cut.withColumn("_k", F.row_number().over(Window.partitionBy(*key, "_c").orderBy(by)) - 1)
+    w = Window.partitionBy(*key).orderBy("_c")
+    before = cut.groupBy(*key, "_c").agg(F.count("*").alias("_n")).select(*key, "_c", (F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    return own.join(before, [*key, "_c"]).withColumn(into, (F.col("_k") + F.col("_before")).cast("int")).drop("_c", "_k", "_n", "_before")
 
 
 def average_duplicates(df: DataFrame, values: Sequence[str], key: Sequence[str] = ("traj", "t")) -> DataFrame:
@@ -128,18 +161,34 @@ def average_duplicates(df: DataFrame, values: Sequence[str], key: Sequence[str]
     return df.groupBy(*key).agg(*[F.avg(v).alias(v) for v in values])
 
 
-def fill_gaps(df: DataFrame, values: Sequence[str], key: Sequence[str] = KEY, by: str = "step") -> DataFrame:
-    """Nulls filled by linear interpolation over the order column; constant beyond the ends; 0 where a whole series is null."""
-    back = Window.partitionBy(*key).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*key).orderBy(by).rowsBetween(0, Window.unboundedFollowing)
+def fill_gaps(df: DataFrame, values: Sequence[str], key: Sequence[str] = KEY, by: str = "step", chunk: int = CHUNK) -> DataFrame:
+    """Nulls filled by linear interpolation over the order column; constant beyond the ends; 0 where a whole series is null.
+
+    Chunks of a series are filled by themselves and need of the rest the last known sample before and the first one after them only, which a
+    window over one row for each chunk finds: a long series is many tasks."""
+    cut = in_chunks(df, by, chunk)
+    own = Window.partitionBy(*key, "_c").orderBy(by)
+    back, ahead = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(0, Window.unboundedFollowing)
+    known = {v: F.when(F.col(v).isNotNull(), F.struct(F.col(by).alias("x"), F.col(v).alias("y"))) for v in values}
+    inside = cut.select("*", *[c for v in values for c in (F.last(known[v], True).over(back).alias(f"_b_{v}"), F.first(known[v], True).over(ahead).alias(f"_a_{v}"))])
+    ends = cut.groupBy(*key, "_c").agg(*[c for v in values for c in (F.max_by(known[v], F.when(F.col(v).isNotNull(), F.col(by))).alias(f"_z_{v}"), F.min_by(known[v], F.when(F.col(v).isNotNull(), F.col(by))).alias(f"_f_{v}"))])
+    w = Window.partitionBy(*key).orderBy("_c")
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    outside = ends.select(*key, "_c", *[c for v in values for c in (F.last(f"_z_{v}", True).over(before).alias(f"_p_{v}"), F.first(f"_f_{v}", True).over(after).alias(f"_n_{v}"))])
+    same = [F.col(f"i.{k}").eqNullSafe(F.col(f"o.{k}")) for k in (*key, "_c")]
     out = []
     for v in values:
-        at = F.when(F.col(v).isNotNull(), F.col(by))
-        x0, x1 = F.last(at, True).over(back), F.first(at, True).over(ahead)
-        y0, y1 = F.last(v, True).over(back), F.first(v, True).over(ahead)
-        line = F.when(x1 == x0, y0).otherwise(y0 + (y1 - y0) * (F.col(by) - x0) / (x1 - x0))
-        out.append(F.coalesce(F.col(v), line, y0, y1, F.lit(0.0)).alias(v))
-    return df.select(*[c for c in df.columns if c not in values], *out)
+        b, a = F.coalesce(f"_b_{v}", f"_p_{v}"), F.coalesce(f"_a_{v}", f"_n_{v}")
+        x0, y0, x1, y1 = b["x"], b["y"], a["x"], a["y"]
+        line = F.when(x1 == x0, y0).otherwise(y0 + (y1 - y0) * (F.col(f"i.{by}") - x0) / (x1 - x0))
+        out.append(F.coalesce(F.col(f"i.{v}"), line, y0, y1, F.lit(0.0)).alias(v))
+    return inside.alias("i").join(outside.alias("o"), same).select(*[F.col(f"i.{c}").alias(c) for c in df.columns if c not in values], *out)
+
+
+def without_values(df: DataFrame, values: Sequence[str], key: Sequence[str] = KEY) -> dict[str, int]:
+    """For each value, how many series (keys) have none at all: what fill_gaps makes zeros."""
+    row = df.groupBy(*key).agg(*[F.count(v).alias(v) for v in values]).agg(*[F.count_if(F.col(v) == 0).alias(v) for v in values]).first()
+    return {v: int(row[v] or 0) for v in values}
 
 
 def longest_gap(df: DataFrame, value: str, key: Sequence[str] = KEY, by: str = "step") -> DataFrame:
@@ -170,15 +219,33 @@ def step_change(df: DataFrame, variables: Sequence[str], key: Sequence[str] = KE
     return changes.agg(*[(F.avg(f"_{v}") / (F.stddev_pop(v) + F.lit(1e-12))).alias(v) for v in variables])
 
 
-def unwrap(df: DataFrame, angle: str, period: float, key: Sequence[str] = KEY, by: Sequence[str] = ORDER, into: str | None = None) -> DataFrame:
-    """df with the angle made continuous: every jump of half a period or more is taken back by whole periods."""
-    w = along(key, by)
-    d = F.col(angle) - F.lag(angle).over(w)
+def _turns(d: Column, period: float) -> Column:
+    """Whole periods that take back a jump of d; a jump of exactly half a period keeps its direction."""
     half = period / 2
-    inside = d - F.floor((d + half) / period) * period
-    inside = F.when((inside == -half) & (d > 0), F.lit(half)).otherwise(inside)
-    fix = F.when(F.abs(d) < half, F.lit(0.0)).otherwise(inside - d)
-    return df.withColumn("_f", F.coalesce(fix, F.lit(0.0))).withColumn(into or angle, F.col(angle) + F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_f")
+    down = F.floor((d + half) / period)
+    tie = (d - down * period == -half) & (d > 0)
+    return F.when(F.abs(d) >= half, F.when(tie, 1 - down).otherwise(-down)).otherwise(F.lit(0))
+
+
+def unwrap(df: DataFrame, angle: str, period: float, key: Sequence[str] = KEY, by: Sequence[str] = ORDER, into: str | None = None, chunk: int = CHUNK) -> DataFrame:
+    """df with the angle made continuous: every jump of half a period or more is taken back by whole periods.
+
+    A prefix sum in two levels: turns are counted within chunks of the order, then over one row for each chunk, whose first angle meets the last one
+    of the chunk before. Turns are whole numbers, so the sums don't depend on how rows are cut."""
+    order = by[0]
+    cut = in_chunks(df, order, chunk)
+    own = Window.partitionBy(*key, "_c").orderBy(*by)
+    jumps = cut.withColumn("_j", F.coalesce(_turns(F.col(angle) - F.lag(angle).over(own), period), F.lit(0)))
+    summed = jumps.withColumn("_s", F.sum("_j").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    at = F.struct(*by)
+    ends = jumps.groupBy(*key, "_c").agg(F.min_by(angle, at).alias("_f"), F.max_by(angle, at).alias("_l"), F.sum("_j").alias("_t"))
+    w = Window.partitionBy(*key).orderBy("_c")
+    joint = ends.select(*key, "_c", "_t", F.coalesce(_turns(F.col("_f") - F.lag("_l").over(w), period), F.lit(0)).alias("_j0"))
+    before = joint.select(*key, "_c", (F.sum(F.col("_t") + F.col("_j0")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_t")).alias("_o"))
+    same = [F.col(f"i.{k}").eqNullSafe(F.col(f"o.{k}")) for k in (*key, "_c")]
+    out = summed.alias("i").join(before.alias("o"), same)
+    value = (F.col(f"i.{angle}") + (F.col("_s") + F.col("_o")) * F.lit(float(period))).alias(into or angle)
+    return out.select(*[value if c == (into or angle) else F.col(f"i.{c}").alias(c) for c in df.columns], *([] if (into or angle) in df.columns else [value]))
 
 
 def with_halo(df: DataFrame, chunk: int, halo: int, by: str = "step") -> DataFrame:

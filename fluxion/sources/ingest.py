@@ -105,7 +105,7 @@ def detect_layout(df: DataFrame, card: Card, hints: Mapping[str, object] | None
     still = {r["name"]: r["parameter"] for r in parameter_columns(df, "_traj", values).collect()} if values else {}
     parameters = [c for c in values if still[c]]
     values = [c for c in values if c not in parameters]
-    space = _preferred(space_columns(df, ("_traj", time), values))
+    space = _preferred(space_columns(df, ("_traj", time), values), hints.get("space"))
     for c in space:
         card.assume("space column", c, "high" if c.lower() in SPACE_NAMES else "medium", "several values at each time, shared by many rows")
     return df, Layout("pde" if space else "ode", time, trajectory, space, [c for c in values if c not in space], parameters, constants, "_ordinal")
@@ -138,9 +138,12 @@ def space_columns(df: DataFrame, key: Sequence[str], columns: Sequence[str]) ->
     return [c for c in columns if (row["_n"] or 0) > 1 and row[c] > 1 and every[c] <= every["_rows"] / 2]
 
 
-def _preferred(found: Sequence[str]) -> list[str]:
-    """Two of them at most, those with names of space if there are any."""
-    return ([c for c in found if c.lower() in SPACE_NAMES] or list(found))[:2]
+def _preferred(found: Sequence[str], given: Sequence[str] | None = None) -> list[str]:
+    """Those given; else those with names of space if there are any. More than two are refused, since cells would fall on one another."""
+    space = list(given) if given is not None else [c for c in found if c.lower() in SPACE_NAMES] or list(found)
+    if len(space) > 2:
+        raise ValueError(f"{', '.join(space)} look like space: fields of two axes at most; name them in the hints (space) or drop the others")
+    return space
 
 
 def to_trajectories(df: DataFrame, layout: Layout, unit: str = "s") -> DataFrame:
@@ -152,29 +155,73 @@ def to_trajectories(df: DataFrame, layout: Layout, unit: str = "s") -> DataFrame
         df = df.withColumn("t", F.col(layout.time).cast("double"))
     names = dict(zip(layout.variables, sanitize_names(layout.variables), strict=True))
     rows = windows.average_duplicates(df.select(F.col("_traj").alias("traj"), "t", *[F.col(c).cast("double").alias(n) for c, n in names.items()], *layout.parameters), [*names.values(), *layout.parameters])
-    return rows.withColumn("step", (F.row_number().over(Window.partitionBy("traj").orderBy("t")) - 1).cast("int"))
+    return windows.numbered(rows, "t")
 
 
 def to_grid(df: DataFrame, layout: Layout) -> DataFrame:
-    """frames(traj, step, t, <field> arrays) of a long 1-D field: every (time, node), missing cells null, the last of doubled cells.
-
-    The nodes are one row, no larger than a frame, which meets every time of a trajectory; cells are then looked up by an equi-join."""
-    x = layout.space[0]
-    base = df.select(F.col("_traj").alias("traj"), F.col(layout.time).cast("double").alias("t"), F.col(x).cast("double").alias("x"), *layout.variables, layout.order)
-    one = base.groupBy("traj", "t", "x").agg(*[F.max_by(v, layout.order).alias(v) for v in layout.variables])
-    nodes = one.agg(F.sort_array(F.collect_set("x")).alias("nodes"))
-    grid = one.select("traj", "t").distinct().crossJoin(F.broadcast(nodes)).select("traj", "t", F.explode("nodes").alias("x"))
-    rows = grid.join(one, ["traj", "t", "x"], "left").groupBy("traj", "t").agg(F.array_sort(F.collect_list(F.struct("x", *layout.variables))).alias("z"))
-    out = rows.select("traj", "t", *[F.col(f"z.{v}").alias(n) for v, n in zip(layout.variables, sanitize_names(layout.variables), strict=True)])
+    """frames(traj, step, t, <field> arrays) of a long field over one or two axes: every (time, node), missing cells null, the last of doubled cells.
+
+    Frames are row-major: cell ix * ny + iy. Each axis's nodes are numbered in a table of their own, which cells meet by an equi-join on
+    their coordinate; every frame then counts through its cells and looks them up by an equi-join on (trajectory, time, cell)."""
+    axes = layout.space
+    base = df.select(F.col("_traj").alias("traj"), F.col(layout.time).cast("double").alias("t"), *[F.col(a).cast("double").alias(f"_x{k}") for k, a in enumerate(axes)], *[F.col(v).alias(f"_v{k}") for k, v in enumerate(layout.variables)], F.col(layout.order).alias("_o"))
+    values = [f"_v{k}" for k in range(len(layout.variables))]
+    one = base.groupBy("traj", "t", *[f"_x{k}" for k in range(len(axes))]).agg(*[F.max_by(v, "_o").alias(v) for v in values])
+    sizes = [len(grid_nodes(df, layout, k)) for k in range(len(axes))]
+    cell = F.lit(0)
+    for k, n in enumerate(sizes):
+        nodes = one.select(f"_x{k}").distinct().withColumn(f"_i{k}", F.row_number().over(Window.orderBy(f"_x{k}")) - 1)  # an axis of a frame
+        one = one.join(nodes, f"_x{k}")
+        cell = cell * n + F.col(f"_i{k}")
+    one = one.select("traj", "t", cell.alias("_cell"), *values)
+    grid = one.select("traj", "t").distinct().withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(int(np.prod(sizes)) - 1))))
+    rows = grid.join(one, ["traj", "t", "_cell"], "left").groupBy("traj", "t").agg(F.array_sort(F.collect_list(F.struct("_cell", *values))).alias("z"))
+    out = rows.select("traj", "t", *[F.col(f"z.{v}").alias(n) for v, n in zip(values, sanitize_names(layout.variables), strict=True)])
     return out.withColumn("step", (F.row_number().over(Window.partitionBy("traj").orderBy("t")) - 1).cast("int"))
 
 
-def grid_nodes(df: DataFrame, layout: Layout) -> np.ndarray:
-    return np.array([r["x"] for r in df.select(F.col(layout.space[0]).cast("double").alias("x")).distinct().orderBy("x").collect()])  # one axis of the grid
+def doubled_cells(df: DataFrame, layout: Layout) -> int:
+    """Rows of a long field beyond the first of their trajectory, time and nodes: to_grid keeps the last of them."""
+    each = df.groupBy("_traj", layout.time, *layout.space).count()
+    return int(each.agg(F.sum(F.col("count") - 1)).first()[0] or 0)
+
+
+def grid_nodes(df: DataFrame, layout: Layout, axis: int = 0) -> np.ndarray:
+    return np.array([r["x"] for r in df.select(F.col(layout.space[axis]).cast("double").alias("x")).where("x is not null").distinct().orderBy("x").collect()])  # one axis of the grid
+
+
+#: Knots on either side of a chunk of a spline. What a spline does at a knot fades by half with each knot at least, by 0.27 where they are even.
+SPLINE_HALO = 64
+
+
+def splined(df: DataFrame, variables: Sequence[str], dt: float, chunk: int = windows.CHUNK) -> DataFrame:
+    """obs(traj, step, t, variables) at t0 + i dt of each trajectory, from its not-a-knot spline.
+
+    The spline's equations are tridiagonal and dominated by their diagonal, so the second derivatives of a stretch depend on knots around it by a share
+    that halves with each: chunks are solved with SPLINE_HALO more knots on either side, and each gives the even times between its own first knot and
+    the next chunk's. Where a trajectory begins or ends, the chunk has the true end condition. A trajectory is as many tasks as it has chunks."""
+    knots = windows.numbered(df.dropna(subset=["t", *variables]).select("traj", "t", *variables), "t", chunk=chunk)
+    dealt = windows.with_halo(knots, chunk, min(SPLINE_HALO, chunk))
+    w = Window.partitionBy("traj").orderBy("chunk")
+    first = knots.groupBy("traj", F.floor(F.col("step") / chunk).alias("chunk")).agg(F.min("t").alias("_from"), F.max("t").alias("_end"))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    spans = first.select("traj", "chunk", "_from", F.lead("_from").over(w).alias("_to"), F.first("_from").over(whole).alias("_t0"), F.last("_end").over(whole).alias("_t1"))
+
+    def spline(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("step")
+        t, t0, t1, low, high = pdf["t"].to_numpy(), *(pdf[c].iloc[0] for c in ("_t0", "_t1", "_from", "_to"))
+        n = int((t1 - t0) / dt + 1e-9) + 1
+        place = lambda x: int(np.ceil((x - t0) / dt - 1e-9))
+        i = np.arange(max(0, place(low)), n if np.isnan(high) else min(n, place(high)))
+        y = N.not_a_knot(t, pdf[list(variables)].to_numpy(float))(t0 + dt * i)
+        return pd.DataFrame({"traj": pdf["traj"].iloc[0], "step": i, "t": t0 + dt * i} | {v: y[:, k] for k, v in enumerate(variables)})
+
+    kind = df.schema["traj"].dataType.simpleString()
+    return dealt.drop("own").join(spans, ["traj", "chunk"]).groupBy("traj", "chunk").applyInPandas(spline, f"traj {kind}, step int, t double, " + ", ".join(f"{v} double" for v in variables))
 
 
 def regular_time(df: DataFrame, variables: Sequence[str], tolerance: float = 1e-3, resample: bool = True) -> tuple[DataFrame, float]:
-    """Trajectories on one uniform step (the median over all): those that deviate are read from a not-a-knot spline in their own task; all are
+    """Trajectories on one uniform step (the median over all): those that deviate are read from a not-a-knot spline; all are
     cut to the shortest. A trajectory whose time falls is reversed."""
     facts = windows.sampling(df.withColumn("t", F.col("t")), "t", order=("t",))
     row = facts.agg(F.median("dt").alias("dt"), F.max("deviation").alias("dev"), (F.max("dt") / F.min("dt") - 1).alias("spread")).first()
@@ -182,16 +229,7 @@ def regular_time(df: DataFrame, variables: Sequence[str], tolerance: float = 1e-
     if row["dev"] > tolerance or row["spread"] > tolerance:
         if not resample:
             raise ValueError(f"times are not uniform (deviation {row['dev']:.3g}) and resampling is off")
-
-        def spline(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("t").dropna(subset=list(variables))
-            t = pdf["t"].to_numpy()
-            n = int((t[-1] - t[0]) / dt + 1e-9) + 1
-            at = t[0] + dt * pd.RangeIndex(n).to_numpy()
-            y = N.not_a_knot(t, pdf[list(variables)].to_numpy(float))(at)
-            return pd.DataFrame({"traj": pdf["traj"].iloc[0], "step": range(n), "t": at} | {v: y[:, i] for i, v in enumerate(variables)})
-
-        df = df.select("traj", "step", "t", *variables).groupBy("traj").applyInPandas(spline, "traj int, step int, t double, " + ", ".join(f"{v} double" for v in variables))
+        df = splined(df, variables, dt)
     least = df.groupBy("traj").count().agg(F.min("count").alias("_least"))
     return df.join(F.broadcast(least)).where("step < _least").drop("_least"), dt
 
@@ -226,9 +264,11 @@ def finish_fields(frames: DataFrame, names: Sequence[str], nodes: Sequence[np.nd
     if len(nodes) == 1:
         frames, even = fields.uniform_space(frames, nodes[0], names)
         nodes = [even]
+    else:
+        frames, nodes = fields.uniform_plane(frames, nodes, names)
     shape, dims = [len(x) for x in nodes], "xy"[: len(nodes)]
     given, drop = hints.get("boundary"), hints.get("drop_end")
-    found = {d: fields.decide_boundary(fields.periodicity(frames, names[0], shape, k), given, drop) for k, d in enumerate(dims)}
+    found = {d: _common_boundary([fields.decide_boundary(fields.periodicity(frames, n, shape, k), given, drop) for n in names]) for k, d in enumerate(dims)}
     for d, b in found.items():
         card.assume(f"boundary ({d})", b["boundary"], b["confidence"], b["why"])
     kept = [n - bool(b["drop_end"]) for n, b in zip(shape, found.values(), strict=True)]
@@ -244,6 +284,13 @@ def finish_fields(frames: DataFrame, names: Sequence[str], nodes: Sequence[np.nd
     return frames, {"kind": "pde", "variables": list(names), "spatial_dims": list(dims), "boundary": boundary, "grid": grid}
 
 
+def _common_boundary(found: Sequence[Mapping]) -> Mapping:
+    """What all fields say of an axis, no surer than the least sure; unknown where they differ."""
+    if len({(f["boundary"], f["drop_end"]) for f in found}) > 1:
+        return {"boundary": "unknown", "drop_end": False, "confidence": "low", "why": "fields differ in it"}
+    return min(found, key=lambda f: ("low", "medium", "high").index(f["confidence"]))
+
+
 def fill_frames(frames: DataFrame, names: Sequence[str]) -> DataFrame:
     """Missing cells by linear interpolation along time, node by node."""
     rest = [c for c in frames.columns if c not in names]
@@ -295,11 +342,15 @@ def ingest(spark, path: str, hints: Mapping[str, object] | None = None) -> tuple
         return out, meta, card
     df, layout = detect_layout(read_file(spark, path), card, hints)
     if layout.kind == "pde":
-        frames, meta = finish_fields(to_grid(df, layout), sanitize_names(layout.variables), [grid_nodes(df, layout)], card, hints)
+        if again := doubled_cells(df, layout):
+            card.warnings.append(f"{again} rows share their time and place with another: the last of each is kept")
+        frames, meta = finish_fields(to_grid(df, layout), sanitize_names(layout.variables), [grid_nodes(df, layout, k) for k in range(len(layout.space))], card, hints)
         dt = windows.sampling(frames.select("traj", "step", "t"), order=("step",)).agg(F.median("dt")).first()[0]
         return frames, meta | {"dt": float(dt), "layout": asdict(layout)}, card
     names = sanitize_names(layout.variables)
-    obs = windows.fill_gaps(to_trajectories(df, layout), names, by="t")  # times may be uneven
+    raw = to_trajectories(df, layout)
+    card.warnings += [f"{v} has no value at all in {n} trajectories: zeros there" for v, n in windows.without_values(raw, names).items() if n]
+    obs = windows.fill_gaps(raw, names, by="t")  # times may be uneven
     for angle in hints.get("unwrap", []):
         top = obs.agg(F.max(angle) - F.min(angle)).first()[0]
         obs = windows.unwrap(obs, angle, 360.0 if top > 7 else 2 * float(np.pi))

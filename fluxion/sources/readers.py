@@ -43,6 +43,8 @@ def read_file(spark: SparkSession, path: str) -> DataFrame:
         return read_arrays(spark, path)
     if ext in (".parquet", ".orc"):
         return getattr(spark.read, ext[1:])(path)
+    if not ext:  # a folder written by write_dataset
+        return load_dataset(spark, path)[0]
     if ext in (".h5", ".hdf5"):
         raise UnsupportedFormat(f"{path}: HDF5 needs h5py, which is not installed")
     raise UnsupportedFormat(f"{path}: unknown extension {ext!r}; known are {', '.join([*TABLES, '.json', *ARRAYS, '.parquet', '.orc'])}")
