@@ -16,7 +16,7 @@ partners of its own band and the next lower one only, and asks in those two (`Pl
    keys without one shingle that are asked for, and of sets that have such a key themselves its keys without one shingle.
 5. In a bucket of equal keys the smallest set that asks is compared with all others; links contract to components. Buckets that
    still hold several components are dealt out in blocks of bounded size, and sets of different components are compared there
-   (`_dealt`). Both times a bound comes first: two bitmaps, one bit for a shingle, differ in no more bits than the sets
+   (`_dealt`). Both times a bound comes first: two bitmaps, four bits or more for a shingle, differ in no more bits than the sets
    do in shingles. Full sets are fetched for what passes it only, and decide. So no group lands in one task, no copies are
    compared twice, and no link between components is lost.
 
@@ -79,9 +79,9 @@ class Plan:
 
 
 def _bitmaps(parts: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """A bitmap of each set, of as many bits as the power of two from its size on, 64 at least."""
+    """A bitmap of each set, of as many bits as the power of two from four times its size on, 64 at least."""
     n = np.diff(offsets)
-    bits = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    bits = 1 << np.maximum(6, 2 + np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
     base = np.concatenate([[0], np.cumsum(bits)])
     out = np.zeros(base[-1], bool)
     doc = np.repeat(np.arange(len(n)), n)
