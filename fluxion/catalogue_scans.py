@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalogue import query, table
-from .operators import windows
+from .functions.expressions import parse
+from .operators import symmetry, uncertainty, windows
 from .sources import ingest
 
 #: Rows of a chunk in these queries.
@@ -83,3 +84,30 @@ def grid_two_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "lineitem").where(F.col("l_suppkey") % 7 < 5).select("l_linenumber", "l_quantity", "l_discount", "l_orderkey", F.col("l_orderkey").alias("o"), F.lit(0).alias("_traj"))
     frames = ingest.to_grid(e, ingest.Layout("pde", "l_linenumber", None, ["l_quantity", "l_discount"], ["l_orderkey"], [], [], "o"))
     return frames.select("step", F.posexplode("l_orderkey").alias("cell", "orderkey"))
+
+
+@query(
+    "bracket_sums",
+    """WITH s AS (SELECT CAST(l_quantity AS DOUBLE) / 50 AS x, CAST(l_discount AS DOUBLE) * 10 AS y FROM lineitem), b AS (SELECT unnest([{'c': 0, 'u': y, 'v': x}, {'c': 1, 'u': -x, 'v': y}, {'c': 2, 'u': -x, 'v': y}, {'c': 3, 'u': -y, 'v': -x}]) AS b, x, y FROM s),
+p AS (SELECT b.c AS a, unnest([{'c': 0, 'w': b.u * y + b.v * x}, {'c': 1, 'w': b.v * y - b.u * x}, {'c': 2, 'w': b.v * y - b.u * x}, {'c': 3, 'w': -b.u * y - b.v * x}]) AS q FROM b)
+SELECT CAST(a AS INTEGER) AS a, CAST(q.c AS INTEGER) AS b, round(sum(q.w) / count(*), 6) AS mean FROM p GROUP BY 1, 2""",
+)
+def bracket_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brackets of the unit matrices with the rotation x' = y, y' = -x, over all line items as states."""
+    s = table(spark, sf_dir, "lineitem").select((F.col("l_quantity").cast("double") / 50).alias("x"), (F.col("l_discount").cast("double") * 10).alias("y"))
+    m, _, _ = symmetry.bracket_sums({"x": parse("y", ["x", "y"]), "y": parse("-x", ["x", "y"])}, s)
+    n = s.count()
+    return spark.createDataFrame([(a, b, round(float(m[a, b]) / n, 6)) for a in range(4) for b in range(4)], "a int, b int, mean double")
+
+
+@query(
+    "models_by_effective_samples",
+    """WITH r AS (SELECT l_orderkey AS b, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem), s AS (SELECT avg(y * y) AS q, count(*) / 7.0 AS n FROM r),
+m AS (SELECT unnest(['flat', 'line']) AS model), e AS (SELECT model, b, avg(power(CASE model WHEN 'flat' THEN 38000 ELSE 1500 * x END - y, 2) / q) AS e FROM r, s, m GROUP BY 1, 2)
+SELECT model, round(sqrt(avg(e)), 6) AS nrmse, round(any_value(n) * ln(avg(e)) + ln(any_value(n)), 3) AS bic FROM e, s GROUP BY 1""",
+)
+def models_by_effective_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two models of a price, orders as blocks, all of them; BIC with a seventh of the rows as samples."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y_t"), F.lit(0.0).alias("y"))
+    found = uncertainty.compare_models(rows, {"flat": {"y": "38000"}, "line": {"y": "1500*x"}}, F.col("l_orderkey"), correlation=7.0)["models"]
+    return spark.createDataFrame([(m, round(float(v["nrmse"]), 6), round(float(v["bic"]), 3)) for m, v in found.items()], "model string, nrmse double, bic double")

@@ -114,7 +114,9 @@ def refit_disagreement(terms: Sequence[Mapping]) -> float:
 
 
 def term_statistics(found: Mapping, variables: Sequence[str], own: Mapping, library: Mapping, effective: float | None = None) -> tuple[list[dict], list[dict], list[dict]]:
-    """(terms with intervals, what removing each does to BIC, additions that lower BIC by more than 10, two for each variable), from blocks' matrices."""
+    """(terms with intervals, what removing each does to BIC, additions that lower BIC by more than 10, two for each variable), from blocks' matrices.
+
+    `effective`: independent samples, rows over the length of their correlation (`effective_samples`); without it, each group counts as one."""
     every, place = uncertainty.total(found), {e: i for i, e in enumerate(library.values())}
     n = effective or len(found)
     terms, removal, missing = [], [], []
@@ -133,13 +135,22 @@ def term_statistics(found: Mapping, variables: Sequence[str], own: Mapping, libr
     return terms, removal, missing
 
 
+def effective_samples(rows: float, correlation: float) -> float:
+    """Independent samples among rows of which about `correlation` neighbours say the same; ten at least."""
+    return max(rows / correlation, 10.0)
+
+
+#: Of weak rows, whose test functions overlap, a quarter counts.
+WEAK_OVERLAP = 4
+
+
 def weak_stats(df: DataFrame, variables: Sequence[str], dt: float, rhs: Mapping[str, str], degree: int = 2, half: int = 12, p: int = 8) -> dict:
     """Intervals, removals and additions on the weak form, where noisy derivatives bias nothing; test functions overlap, so that a quarter of them count."""
     names = [*variables, "t"]
     own = {v: parse(e, names) for v, e in rhs.items()}
     library = build_library(variables, degree, custom=[t for e in own.values() for t in e.coefficients()], names=names)
     found = weak_grams(df, variables, library, dt, half, p)
-    terms, removal, missing = term_statistics(found, variables, own, library, max(uncertainty.total(found).n / 4, 10.0))
+    terms, removal, missing = term_statistics(found, variables, own, library, effective_samples(uncertainty.total(found).n, WEAK_OVERLAP))
     return {"terms": terms, "removal_evidence": removal, "missing_term_evidence": missing, "basis": "weak form"}
 
 
@@ -152,17 +163,17 @@ def assess(df: DataFrame, variables: Sequence[str], dt: float, rhs: Mapping[str,
     extra = [t for e in own.values() for t in e.coefficients()]
     library = build_library(variables, degree, custom=extra, names=names)
     shape = df.groupBy("traj").count().agg(F.max("count").alias("n")).first()["n"]
-    block = grouped("traj", uncertainty.block_of("step", shape, window))
+    block = uncertainty.block_of("step", shape, window)
     basis = "weak form" if use_weak(facts) else "derivatives"
-    found = grams(rows, columns(library), {v: F.col(f"{v}_t") for v in variables}, block) if basis == "derivatives" else weak_grams(df, variables, library, dt)
-    terms, removal, missing = term_statistics(found, variables, own, library)
+    found = grams(rows, columns(library), {v: F.col(f"{v}_t") for v in variables}, grouped("traj", block)) if basis == "derivatives" else weak_grams(df, variables, library, dt)
+    terms, removal, missing = term_statistics(found, variables, own, library, effective_samples(uncertainty.total(found).n, window if basis == "derivatives" else WEAK_OVERLAP))
     if basis == "derivatives" and refit_disagreement(terms) > 0.25:  # derivatives and model disagree: integrals decide
         basis, found = "weak form", weak_grams(df, variables, library, dt)
-        terms, removal, missing = term_statistics(found, variables, own, library)
+        terms, removal, missing = term_statistics(found, variables, own, library, effective_samples(uncertainty.total(found).n, WEAK_OVERLAP))
     models = {"model": dict(rhs), **{k: dict(m) for k, m in (rivals or {}).items()}}
     for i, m in enumerate(missing):  # a rival from each edit, with the edit's own coefficients
         models[f"with {m['term']} in {m['var']} ({i})"] = {**rhs, m["var"]: linear_combination(m["coef"].values(), m["coef"])}
-    compared = uncertainty.compare_models(rows, models, block)
+    compared = uncertainty.compare_models(rows, models, F.struct("traj", block), correlation=window)
     validation = scoring.validate(df, variables, rhs, dt, window)
     scale = {r["variable"]: r["std"] for r in ranges(df, variables).collect()}
     noise = {v: max(facts["noise_rel"][v], 1e-3) * scale[v] for v in variables}

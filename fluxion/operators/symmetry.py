@@ -18,42 +18,86 @@ from .library import build_library, columns
 from .sindy import features, train_and_held
 from .uncertainty import cross_validate
 
-#: Query points that travel to the tasks at a time.
-BLOCK = 4096
-
-
-def nearest(asked: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """id, other, place, distance: the k nearest other points (id, x) of every asked point, exactly.
-
-    Asked points are a stated set: they go in blocks of BLOCK rows; every task keeps k candidates for each, so that k rows per point and task
-    are shuffled, not pairs."""
-    kind = points.schema["id"].dataType.simpleString()
-    blocks = max(1, -(-asked.count() // BLOCK))
-    found = None
-    for b in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toPandas()
-        ids, table = own["id"].to_numpy(), np.stack(own["x"]).astype(float) if len(own) else np.zeros((0, 1))
-        sent = points.sparkSession.sparkContext.broadcast((ids, table))
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, table = sent.value
-            best_d = np.full((len(ids), k), np.inf)
-            best_i = np.full((len(ids), k), -1, object)
-            for pdf in batches:
-                other, x = pdf["id"].to_numpy(), np.stack(pdf["x"]).astype(float)
-                for lo in range(0, len(ids), 256):
-                    d = np.stack([((x - q) ** 2).sum(axis=1) for q in table[lo : lo + 256]])
-                    d[ids[lo : lo + 256, None] == other[None, :]] = np.inf
-                    alld = np.concatenate([best_d[lo : lo + 256], d], axis=1)
-                    alli = np.concatenate([best_i[lo : lo + 256], np.broadcast_to(other.astype(object), d.shape)], axis=1)
-                    keep = np.lexsort((np.where(alli == None, 0, alli).astype(float), alld), axis=1)[:, :k]  # noqa: E711
-                    best_d[lo : lo + 256] = np.take_along_axis(alld, keep, 1)
-                    best_i[lo : lo + 256] = np.take_along_axis(alli, keep, 1)
-            at = np.isfinite(best_d)
-            yield pd.DataFrame({"id": np.repeat(ids, at.sum(axis=1)), "other": best_i[at].tolist(), "distance": np.sqrt(best_d[at])})
-
-        part = points.select("id", "x").mapInPandas(run, f"id {kind}, other {kind}, distance double")
-        found = part if found is None else found.union(part)
+#: Points of a cell's part and asked points that meet in one group; pivots, at most.
+BLOCK, PIVOTS = 4096, 1024
+
+
+def nearest(asked: DataFrame, points: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """id, other, place, distance: the k nearest other points (id, x) of every asked point, exactly; ties go to the smaller id.
+
+    Cells around pivots (points by smallest hash, as many as there are blocks of points) and the triangle inequality: an asked point at distance d of its
+    own pivot has k others within d plus that cell's (k + 1)-th distance to the pivot, so only cells whose nearest possible point lies within that
+    bound see it. Points are read once for the pivots, once for the cells and once for the groups. Cells are dealt in parts of some `block` points, and the asked
+    points that a cell sees in blocks, so no cell, however crowded, is one task. Every group keeps k candidates for each asked point."""
+    spark, kind = points.sparkSession, points.schema["id"].dataType.simpleString()
+    count = points.count()
+    number = int(min(PIVOTS, max(1, -(-count // block))))
+    pivots = points.orderBy(F.xxhash64("id", F.lit(3)), "id").select("x").limit(number).toPandas()
+    empty = spark.createDataFrame([], f"id {kind}, other {kind}, distance double, place int")
+    if not len(pivots):
+        return empty
+    at = spark.sparkContext.broadcast(np.stack(pivots["x"]).astype(float))
+    number = len(pivots)
+
+    def distances(x: np.ndarray) -> np.ndarray:
+        return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in at.value], axis=1)
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                d = distances(np.stack(pdf["x"]).astype(float))
+                yield pd.DataFrame({"id": pdf["id"], "x": pdf["x"], "cell": d.argmin(axis=1).astype(np.int32), "d": d.min(axis=1)})
+
+    celled = points.select("id", F.col("x").cast("array<double>").alias("x")).mapInPandas(cells, f"id {kind}, x array<double>, cell int, d double")
+    least = F.slice(F.array_sort(F.flatten(F.collect_list("ds"))), 1, k + 1)
+    # the smallest distances of a cell by parts first, so that no list is longer than k + 1 for each part
+    parts = celled.groupBy("cell", F.pmod(F.xxhash64("id"), F.lit(max(1, count // block))).alias("p")).agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.slice(F.array_sort(F.collect_list("d")), 1, k + 1).alias("ds"))
+    table = parts.groupBy("cell").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), least.alias("ds")).toPandas().set_index("cell").reindex(range(number))
+    low, high = table["lo"].fillna(np.inf).to_numpy(), table["hi"].fillna(-np.inf).to_numpy()
+    size = table["n"].fillna(0).to_numpy(np.int64)
+    kth = np.array([d[k] if isinstance(d, (list, np.ndarray)) and len(d) > k else np.inf for d in table["ds"]])
+    facts = spark.sparkContext.broadcast((low, high, kth, size))
+
+    def routes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        low, high, kth, size = facts.value
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            d = distances(np.stack(pdf["x"]).astype(float))
+            bound = (d + kth).min(axis=1)  # any cell's k + 1 points closest to its pivot hold k others
+            reach = (np.maximum(np.maximum(low - d, d - high), 0) <= bound[:, None] * (1 + 1e-12)) & (size > 0)
+            row, cell = np.nonzero(reach)
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[row], "x": pdf["x"].to_numpy()[row], "cell": cell.astype(np.int32)})
+
+    sent = asked.select("id", F.col("x").cast("array<double>").alias("x")).mapInPandas(routes, f"id {kind}, x array<double>, cell int")
+    seen = sent.groupBy("cell").count().toPandas().set_index("cell")["count"].reindex(range(number)).fillna(0).to_numpy(np.int64)
+    share = spark.createDataFrame([(c, int(max(1, -(-size[c] // block))), int(max(1, -(-seen[c] // block)))) for c in range(number) if size[c] and seen[c]], "cell int, parts int, blocks int")
+    own = lambda n: F.pmod(F.xxhash64("id", F.lit(5)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    share = F.broadcast(share)  # PIVOTS rows at most
+    met = celled.select("id", "x", "cell").join(share, "cell").withColumn("part", own("parts")).withColumn("block", every("blocks")).withColumn("ask", F.lit(False))
+    met = met.unionByName(sent.join(share, "cell").withColumn("block", own("blocks")).withColumn("part", every("parts")).withColumn("ask", F.lit(True)))
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        ask = pdf["ask"].to_numpy()
+        ids, other = pdf["id"].to_numpy()[ask], pdf["id"].to_numpy()[~ask]
+        if not len(ids) or not len(other):
+            return pd.DataFrame({"id": ids[:0], "other": other[:0], "distance": np.zeros(0)})
+        q, x = (np.stack(pdf["x"].to_numpy()[w]) for w in (ask, ~ask))
+        out = []
+        for lo in range(0, len(ids), 64):
+            d = np.stack([((x - p) ** 2).sum(axis=1) for p in q[lo : lo + 64]])
+            d[ids[lo : lo + 64, None] == other[None, :]] = np.inf
+            n = min(k, len(other))
+            edge = np.partition(d, n - 1, axis=1)[:, n - 1]
+            for i in range(len(d)):  # ties at the edge all go on: the smaller id wins in the end
+                j = np.flatnonzero((d[i] <= edge[i]) & np.isfinite(d[i]))
+                if len(j) > n:
+                    j = j[np.lexsort((other[j], d[i][j]))[:n]]
+                out.append((np.repeat(ids[lo + i], len(j)), other[j], np.sqrt(d[i][j])))
+        return pd.DataFrame({n: np.concatenate([o[c] for o in out]) for c, n in enumerate(("id", "other", "distance"))})
+
+    found = met.select("cell", "part", "block", "id", "x", "ask").groupBy("cell", "part", "block").applyInPandas(search, f"id {kind}, other {kind}, distance double")
     w = Window.partitionBy("id").orderBy("distance", "other")
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
@@ -102,30 +146,42 @@ def sample_states(df: DataFrame, variables: Sequence[str], n: int = 2000, seed:
     return rows[list(variables)].to_numpy(float)
 
 
-def linear_generators(fields: Mapping[str, Expr], states: np.ndarray, tolerance: float = 0.02, affine: bool = False) -> list[dict]:
-    """Matrices A whose flow exp(sA) maps the vector field into itself: [A x, f] = 0 on the states, by a generalized eigenproblem (size of the
-    bracket against that of the generator's action). The trivial f itself is not linear, so it doesn't appear."""
+def bracket_sums(fields: Mapping[str, Expr], states: DataFrame | np.ndarray, affine: bool = False) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Products, summed over all states, of the brackets [A x, f] of the unit matrices A (i, j) with one another, and of the sizes J A x of their action.
+
+    Of a table, brackets are columns, and one Gram matrix of them over its rows holds all sums: what reaches the driver is that matrix."""
     names = list(fields)
     q = len(names)
-    values = {n: states[:, i] for i, n in enumerate(names)}
-    f = np.stack([np.broadcast_to(e.numpy()(values), len(states)) for e in fields.values()], axis=1)
-    jac = np.stack([np.stack([np.broadcast_to(e.diff(n).numpy()(values), len(states)) for n in names], axis=1) for e in fields.values()], axis=1)
-    rows, sizes, labels = [], [], []
-    for i in range(q):
-        for j in range(q + affine):
-            x = states[:, j] if j < q else np.ones(len(states))
-            # A = e_i e_j^T: (A f)_k = delta_ki f_j; J A x = J[:, i] x_j
-            bracket = -jac[:, :, i] * x[:, None]
-            if j < q:
-                bracket[:, i] += f[:, j]
-            action = np.zeros_like(f)
-            action[:, i] = x
-            rows.append(bracket.ravel())
-            sizes.append((jac @ action[:, :, None])[:, :, 0].ravel())
-            labels.append((i, j))
-    m, s = np.array(rows), np.array(sizes)
-    own = s @ s.T + 1e-9 * np.trace(s @ s.T) / len(s) * np.eye(len(s))
-    w, v = N.generalized_eigh(m @ m.T, own)
+    labels = [(i, j) for i in range(q) for j in range(q + affine)]
+    if isinstance(states, np.ndarray):
+        values = {n: states[:, i] for i, n in enumerate(names)}
+        whole = lambda e: np.broadcast_to(e.numpy()(values), len(states))
+        f, jac = [whole(e) for e in fields.values()], [[whole(e.diff(n)) for n in names] for e in fields.values()]
+        x, zero = [*values.values(), np.ones(len(states))], np.zeros(len(states))
+    else:
+        f, jac = [e.column() for e in fields.values()], [[e.diff(n).column() for n in names] for e in fields.values()]
+        x, zero = [*map(F.col, names), F.lit(1.0)], F.lit(0.0)
+    # A = e_i e_j^T: (A f)_k = delta_ki f_j; J A x = J[:, i] x_j
+    action = [[jac[k][i] * x[j] for i, j in labels] for k in range(q)]
+    bracket = [[(f[j] if k == i and j < q else zero) - action[k][c] for c, (i, j) in enumerate(labels)] for k in range(q)]
+    if isinstance(states, np.ndarray):
+        m, s = (np.array([np.concatenate([part[k][c] for k in range(q)]) for c in range(len(labels))]) for part in (bracket, action))
+        return m @ m.T, s @ s.T, labels
+    n = len(labels)
+    each = states.select(F.explode(F.array(*[F.struct(*[c.cast("double").alias(f"c{i}") for i, c in enumerate([*bracket[k], *action[k]])]) for k in range(q)])).alias("z")).select("z.*")
+    xx = grams(each, {f"c{i}": F.col(f"c{i}") for i in range(2 * n)}, {})[None].xx
+    return xx[:n, :n], xx[n:, n:], labels
+
+
+def linear_generators(fields: Mapping[str, Expr], states: DataFrame | np.ndarray, tolerance: float = 0.02, affine: bool = False) -> list[dict]:
+    """Matrices A whose flow exp(sA) maps the vector field into itself: [A x, f] = 0 on all the states, by a generalized eigenproblem (size of the
+    bracket against that of the generator's action). The trivial f itself is not linear, so it doesn't appear. Where several are found, `templates` names
+    those known generators that lie in the space they span."""
+    names = list(fields)
+    q = len(names)
+    m, s, labels = bracket_sums(fields, states, affine)
+    own = s + 1e-9 * np.trace(s) / len(s) * np.eye(len(s))
+    w, v = N.generalized_eigh(m, own)
     out = []
     for value, vec in zip(w, v.T, strict=True):
         if np.sqrt(max(value, 0)) > tolerance:
@@ -135,7 +191,24 @@ def linear_generators(fields: Mapping[str, Expr], states: np.ndarray, tolerance:
             a[i, j] = x
         a /= np.abs(a).max()
         out.append({"residual": float(np.sqrt(max(value, 0))), "matrix": a, "name": generator_name(a[:, :q], names)})
-    return out
+    inside = generators_in_span([g["matrix"][:, :q] for g in out], names) if out else []
+    return [g | {"templates": inside} for g in out]
+
+
+def principal_angles(a: Sequence[np.ndarray], b: Sequence[np.ndarray]) -> np.ndarray:
+    """Angles between the spaces that two sets of matrices span, smallest first."""
+    bases = [np.linalg.qr(np.array([np.ravel(m) for m in part], float).T)[0] for part in (a, b)]
+    return np.arccos(np.clip(np.linalg.svd(bases[0].T @ bases[1], compute_uv=False), -1, 1))
+
+
+def generators_in_span(found: Sequence[np.ndarray], names: Sequence[str], tolerance: float = 0.1) -> list[str]:
+    """Names of the rotations of a plane, the scaling of each variable and of all, that lie in the span of the matrices found: an eigenproblem gives any
+    basis of it, in which a rotation and a scaling may be mixed."""
+    q = len(names)
+    unit = np.eye(q)
+    known = {f"rotation in {names[i]}-{names[j]}": rotation_generator(i, j, q) for i in range(q) for j in range(i)}
+    known |= {"scaling of all": unit} | ({f"scaling of {n}": np.outer(unit[i], unit[i]) for i, n in enumerate(names)} if q > 1 else {})
+    return [name for name, a in known.items() if principal_angles(found, [a])[0] < tolerance]
 
 
 def generator_name(a: np.ndarray, names: Sequence[str], tolerance: float = 0.1) -> str:
@@ -186,10 +259,12 @@ def discrete_symmetries(fields: Mapping[str, Expr], states: np.ndarray, toleranc
     return out
 
 
-def detect_symmetries(df: DataFrame, variables: Sequence[str], dt: float, degree: int | None = 3, window: int = 9, tolerance: float = 0.05) -> dict:
+def detect_symmetries(df: DataFrame, variables: Sequence[str], dt: float, degree: int | None = 3, window: int = 9, tolerance: float = 0.05, sample: int = 2000) -> dict:
+    """Generators from sums over all rows; discrete maps, which need the data's reach around every state, on `sample` states, drawn from ten times as many
+    by hash so that thin regions count as much as crowded ones."""
     fields, _ = surrogate(df, variables, dt, degree or choose_degree(df, variables, dt, window=window), window)
-    states = sample_states(df, variables)
-    return {"generators": linear_generators(fields, states, tolerance), "discrete": discrete_symmetries(fields, states, tolerance), "surrogate": {v: e.text(5) for v, e in fields.items()}}
+    states = balanced_sample(sample_states(df, variables, 10 * sample), sample)
+    return {"generators": linear_generators(fields, df, tolerance), "discrete": discrete_symmetries(fields, states, tolerance), "surrogate": {v: e.text(5) for v, e in fields.items()}}
 
 
 def rotation_generator(i: int, j: int, q: int) -> np.ndarray:

@@ -125,20 +125,24 @@ def paired_z(df: DataFrame, difference: str, block: Sequence[str]) -> DataFrame:
     return each.agg(F.count("*").alias("blocks"), (F.avg("d") / (F.stddev_samp("d") / F.sqrt(F.count("*")))).alias("z"))
 
 
-def compare_models(rows: DataFrame, models: Mapping[str, Mapping[str, str]], block: Column, limit: float = 2.0) -> dict:
-    """Models against derivatives (columns `<v>_t` of features): error, BIC with the number of blocks as rows, z against the best; the model with fewest
-    terms of those within `limit` standard errors of the best is preferred."""
+def compare_models(rows: DataFrame, models: Mapping[str, Mapping[str, str]], block: Column, limit: float = 2.0, correlation: float | None = None) -> dict:
+    """Models against derivatives (columns `<v>_t` of features): error, BIC, z against the best over blocks; the model with fewest
+    terms of those within `limit` standard errors of the best is preferred.
+
+    BIC takes as samples the rows over the length of their correlation, so that it grows with the data; without a length, the number of blocks. Blocks stay on
+    the executors, all of them: what reaches the driver is one row."""
     from ..functions.expressions import parse
 
     variables = list(next(iter(models.values())))
-    names = [*variables, "t"]
+    names = [*dict.fromkeys([*variables, "t", *[c for c in rows.columns if not c.endswith("_t")]])]
     scale = rows.agg(*[F.avg(F.col(f"{v}_t") ** 2).alias(v) for v in variables]).first()
     error = {m: sum((((parse(rhs[v], names).column() - F.col(f"{v}_t")) ** 2 / (scale[v] + 1e-300) for v in variables)), F.lit(0.0)) for m, rhs in models.items()}
     at = {m: f"_m{i}" for i, m in enumerate(models)}
-    each = rows.select(block.alias("_b"), *[e.alias(at[m]) for m, e in error.items()]).groupBy("_b").agg(*[F.avg(c).alias(c) for c in at.values()]).persist()
+    each = rows.select(block.alias("_b"), *[e.alias(at[m]) for m, e in error.items()]).groupBy("_b").agg(F.count("*").alias("_n"), *[F.avg(c).alias(c) for c in at.values()]).persist()
     try:  # one aggregate for the means, one for the differences to the best: a row for all blocks each
-        row = each.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in at.values()]).first()
-        n, mean = row["n"], {m: float(row[c]) for m, c in at.items()}
+        row = each.agg(F.count("*").alias("n"), F.sum("_n").alias("rows"), *[F.avg(c).alias(c) for c in at.values()]).first()
+        n, samples = row["n"], row["n"] if correlation is None else max(row["rows"] / correlation, 10.0)
+        mean = {m: float(row[c]) for m, c in at.items()}
         best = min(mean, key=mean.get)
         spread = each.agg(*[F.stddev_samp(F.col(c) - F.col(at[best])).alias(c) for c in at.values()]).first()
     finally:
@@ -148,7 +152,7 @@ def compare_models(rows: DataFrame, models: Mapping[str, Mapping[str, str]], blo
         d = spread[at[m]]
         z = 0.0 if m == best or not d else float((mean[m] - mean[best]) / (d / np.sqrt(n)))
         k = sum(len(parse(e, names).terms) for e in rhs.values())
-        out[m] = {"nrmse": float(np.sqrt(mean[m] / len(variables))), "n_terms": k, "z_vs_best": z, **regression.information(mean[m] * n, n, k)}
+        out[m] = {"nrmse": float(np.sqrt(mean[m] / len(variables))), "n_terms": k, "z_vs_best": z, **regression.information(mean[m] * samples, samples, k)}
     equal = [m for m in models if out[m]["z_vs_best"] < limit]
     preferred = min(equal, key=lambda m: (out[m]["n_terms"], mean[m]))
     return {"models": out, "best": best, "preferred": preferred, "ranking": sorted(models, key=lambda m: (m != preferred, mean[m])), "indistinguishable": equal}
