@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import query, table
+from .catalogue import OBS, W, query, table, trajectories
 from .functions.expressions import parse
-from .operators import symmetry, uncertainty, windows
+from .operators import symmetry, uncertainty, weakform, windows
 from .sources import ingest
 
 #: Rows of a chunk in these queries.
@@ -111,3 +111,37 @@ def models_by_effective_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y_t"), F.lit(0.0).alias("y"))
     found = uncertainty.compare_models(rows, {"flat": {"y": "38000"}, "line": {"y": "1500*x"}}, F.col("l_orderkey"), correlation=7.0)["models"]
     return spark.createDataFrame([(m, round(float(v["nrmse"]), 6), round(float(v["bic"]), 3)) for m, v in found.items()], "model string, nrmse double, bic double")
+
+
+@query(
+    "weak_noise_gram",
+    f"""WITH {OBS}, n AS (SELECT *, count(*) OVER (PARTITION BY traj) AS n FROM obs), c AS (SELECT traj, step FROM n WHERE traj % 5 = 0 AND step % 2 = 0 AND step >= 3 AND step + 3 < n),
+o AS (SELECT o, power(1 - power(o / 4.0, 2), 8) AS phi, o * power(1 - power(o / 4.0, 2), 7) AS dphi FROM (SELECT unnest(range(-4, 5)) AS o)),
+z AS (SELECT dphi AS l, phi AS a, phi * 2 * u AS b FROM c, o, obs s WHERE s.traj = c.traj AND s.step = c.step + o)
+SELECT unnest(['lhs lhs', 'lhs u', 'lhs u*u', 'u u', 'u u*u', 'u*u u*u']) AS pair, round(unnest([sum(l * l), sum(l * a), sum(l * b), sum(a * a), sum(a * b), sum(b * b)]), 4) AS total FROM z""",
+)
+def weak_noise_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What unit noise in the events' values does to weak rows of a fifth of the users: left side and terms 1, u, u^2."""
+    library = {t: parse(t, ["u"]) for t in ("1", "u", "u*u")}
+    g = weakform.noise_grams(trajectories(spark, sf_dir), ["u"], library, 1.0, 4, F.col("traj") % 5 == 0)["u"]
+    found = {"lhs lhs": g.yy[0], "lhs u": g.xy[1, 0], "lhs u*u": g.xy[2, 0], "u u": g.xx[1, 1], "u u*u": g.xx[1, 2], "u*u u*u": g.xx[2, 2]}
+    return spark.createDataFrame([(k, round(float(v), 4)) for k, v in found.items()], "pair string, total double")
+
+
+_SMOOTH7 = " + ".join(f"({w}) * lag(u, {k}) OVER w" if k > 0 else f"({w}) * lead(u, {-k}) OVER w" if k < 0 else f"({w}) * u" for k, w in zip(range(3, -4, -1), (-2, 3, 6, 7, 6, 3, -2), strict=True))
+_SLOPE7 = " + ".join(f"({w}) * lag({{0}}, {k}) OVER w" if k > 0 else f"({w}) * lead({{0}}, {-k}) OVER w" for k, w in zip((3, 2, 1, -1, -2, -3), (22, -67, -58, 58, 67, -22), strict=True))
+
+
+@query(
+    "calibrated_floor",
+    f"""WITH {OBS}, s AS (SELECT *, ({_SMOOTH7}) / 21.0 AS m FROM obs {W}), g AS (SELECT stddev_pop(u - m) / sqrt(1 - 7 / 21.0) AS noise, stddev_pop(u) AS sd FROM s),
+a AS (SELECT traj, step, u, list_transform([1, 2], lambda k: (traj * 7919 + step * 104729 + k * 611953) % 2147483647) AS r FROM obs),
+b AS (SELECT traj, step, u, list_transform(list_transform(r, lambda x: (x * x) % 2147483647), lambda x: (x * 48271 + 11) % 2147483647) AS r FROM a),
+h AS (SELECT traj, step, u, list_transform(list_transform(r, lambda x: (x * x) % 2147483647), lambda x: ((x * 48271 + 11) % 2147483647 + 0.5) / 2147483647.0) AS r FROM b),
+e AS (SELECT traj, step, u, noise * sqrt(-2 * ln(r[1])) * cos(2 * pi() * r[2]) AS e FROM h, g),
+d AS (SELECT ({_SLOPE7.format('u')}) / 252.0 AS a, ({_SLOPE7.format('e')}) / 252.0 AS b FROM e {W})
+SELECT round(any_value(noise), 5) AS noise, round(any_value(noise / sd), 6) AS noise_rel, round(sqrt(avg(b * b)) / sqrt(avg(a * a)), 6) AS floor FROM d, g WHERE a IS NOT NULL""",
+)
+def calibrated_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = uncertainty.calibrated_floor(trajectories(spark, sf_dir), ["u"], 1.0, 7)["u"]
+    return spark.createDataFrame([tuple(round(float(r[k]), n) for k, n in (("noise", 5), ("noise_rel", 6), ("floor", 6)))], "noise double, noise_rel double, floor double")

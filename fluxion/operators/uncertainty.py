@@ -196,6 +196,34 @@ def noise_floor(variables: Sequence[str], noise: Mapping[str, float], dt: float,
     return {v: gain * noise[v] for v in variables}
 
 
+def white_noise(seed: int, *keys: str) -> Column:
+    """A standard normal by hash of whole-number keys: the same for a row whatever the partitioning (two uniforms of a quadratic congruential hash)."""
+    primes, m = (7919, 104729, 1299709, 15485863), F.lit(2147483647)
+    square = lambda x: F.pmod(x * x, m)  # noqa: E731  squares break up the even spacing that a linear hash of steps has
+    step = lambda x: F.pmod(x * 48271 + 11, m)
+    start = lambda s: F.pmod(sum((F.col(k).cast("long") * F.lit(p) for k, p in zip(keys, primes, strict=False)), F.lit(s * 611953)), m)
+    u = lambda s: (step(square(step(square(start(s))))) + F.lit(0.5)) / F.lit(2147483647.0)
+    return F.sqrt(-2.0 * F.log(u(seed + 1))) * F.cos(2.0 * np.pi * u(seed + 2))
+
+
+def calibrated_floor(df: DataFrame, variables: Sequence[str], dt: float, window: int = 9, order: int = 3, method: str = "savgol", seed: int = 0) -> dict[str, dict[str, float]]:
+    """For each variable: noise (from what a 7-point cubic filter leaves, calibrated by its centre weight), noise_rel (over the deviation), and floor:
+    the error of derivatives, relative to their size, that noise of that size alone causes through the same filters, measured on seeded normals.
+
+    A model whose derivative error is near the floor is as good as these data allow. All rows take part, in two passes of windows over chunks."""
+    from ..functions.numerics import savgol_weights
+    from .windows import smooth_and_differentiate
+
+    centre = float(savgol_weights(7, 3)[3])
+    left = smooth_and_differentiate(df.select("traj", "step", *variables), variables, dt, 7, 3, ends=False)
+    row = left.agg(*[F.stddev_pop(F.col(v) - F.col(f"{v}_s")).alias(f"r_{v}") for v in variables], *[F.stddev_pop(v).alias(f"s_{v}") for v in variables]).first()
+    noise = {v: float(row[f"r_{v}"] or 0.0) / np.sqrt(1 - centre) for v in variables}
+    drawn = df.select("traj", "step", *[(white_noise(seed + 3 * k, "traj", "step") * F.lit(noise[v])).alias(v) for k, v in enumerate(variables)])
+    rms = lambda d: d.agg(*[F.sqrt(F.avg(F.col(f"{v}_t") ** 2)).alias(v) for v in variables]).first()
+    own, alone = (rms(smooth_and_differentiate(d.select("traj", "step", *variables), variables, dt, window, order, method, ends=method == "fd")) for d in (df, drawn))
+    return {v: {"noise": float(noise[v]), "noise_rel": float(noise[v]) / (float(row[f"s_{v}"] or 0.0) + 1e-12), "floor": float(alone[v] or 0.0) / (float(own[v] or 0.0) + 1e-300)} for v in variables}
+
+
 def select_thresholds(train: Gram, held: Gram, thresholds: Sequence[float] = regression.THRESHOLDS) -> dict[str, float]:
     """For each target, the threshold of its sweep's choice."""
     return {v: regression.sweep(train, held, k, thresholds)[0]["threshold"] for k, v in enumerate(train.targets)}
