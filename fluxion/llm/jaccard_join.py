@@ -141,21 +141,28 @@ def _keys(sums: np.ndarray, count: np.ndarray, base: np.ndarray, band: np.ndarra
     return K.mix(sums + count.astype(_U) * _STEP + K.mix(np.repeat(band, m).astype(_U) << _U(40) | place.astype(_U)))
 
 
+#: Where in a key the three slots of a filter are read.
+_SHIFTS = (0, 19, 38)
+
+
 class _Bits:
-    """Membership in a set of keys by a bitmap of bounded size: never a false no."""
+    """Membership in a set of keys by a Bloom filter of bounded size, 16 bits and three slots a key: never a false no."""
 
     def __init__(self, keys: DataFrame):
         count = keys.count()
         self.size = min(_FILTER_BITS[1], max(_FILTER_BITS[0], 1 << (16 * count).bit_length()))
-        slot = F.col("key").bitwiseAND(F.lit(self.size - 1))
-        found = keys.select(F.shiftright(slot, 6).alias("w"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("b")).groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toPandas()
+        slots = keys.select(F.explode(F.array(*[F.shiftrightunsigned("key", s).bitwiseAND(F.lit(self.size - 1)) for s in _SHIFTS])).alias("slot"))
+        found = slots.select(F.shiftright("slot", 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("b")).groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toArrow()
         words = np.zeros(self.size // 64, np.int64)
-        words[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
+        words[found["w"].to_numpy()] = found["b"].to_numpy()
         self.words, self.any = keys.sparkSession.sparkContext.broadcast(words.view(_U)), count > 0
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        slot = keys & _U(self.size - 1)
-        return (self.words.value[slot >> _U(6)] >> (slot & _U(63))) & _U(1) != 0
+        out = np.ones(len(keys), bool)
+        for s in _SHIFTS:
+            slot = keys >> _U(s) & _U(self.size - 1)
+            out &= (self.words.value[slot >> _U(6)] >> (slot & _U(63))) & _U(1) != 0
+        return out
 
 
 def _bands(sizes: np.ndarray, plan: Plan) -> list[tuple[np.ndarray, np.ndarray]]:
