@@ -45,23 +45,29 @@ def _forest(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").mapInArrow(run, schema)
 
 
+def _handed_back(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Links with their sources' minima. least is a written table: no aggregate stands between its exchange and the join."""
+    return edges.join(least, "src")
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """node, component (smallest node reachable) of every node of the undirected links (src, dst).
 
     Alternating large-star and small-star contraction; every round is written to the shared folder. Hubs are safe: minima
-    are partial aggregates, and the join that hands them back may be split by adaptive execution. Links with a null end and
+    are partial aggregates and written out before the join that hands them back, so that both its sides are plain exchanges
+    and adaptive execution can split a hub. Links with a null end and
     loops are ignored. Rounds grow with the logarithm of the nodes; if `most` don't do, it raises rather than return a part.
     """
     edges = materialise(_forest(edges.where("src is not null and dst is not null and src <> dst")).distinct())
     for _ in range(most):
         # large star: every larger neighbour of u gets the smallest node around u
         both = edges.union(edges.select("dst", "src"))
-        least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m"))
-        large = both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct()
+        least = materialise(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m")))
+        large = materialise(_handed_back(both.where("dst > src"), least).select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct())
         # small star: u and its smaller neighbours get the smallest of them
-        least = large.groupBy("src").agg(F.min("dst").alias("m"))
+        least = materialise(large.groupBy("src").agg(F.min("dst").alias("m")))
         small = (
-            large.join(least, "src")
+            _handed_back(large, least)
             .select(F.explode(F.array(F.struct("src", F.col("m").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("m").alias("dst")))).alias("e"))
             .select("e.*")
             .where("src <> dst")

@@ -5,8 +5,9 @@ lines; windows of blank lines only are left out. Over the whole corpus, the firs
 position) stays; every later place, in the same document or another, is removed, and covered positions are merged: the
 lines that any later place covers go. What remains is joined by `\\n`.
 
-Counting is a partial aggregate, so that a window found in a third of all documents is one row per task; the join that
-hands the first places back is a plain equi-join, which adaptive execution can split. No document's lines are exploded
+Counting is a partial aggregate, so that a window found in a third of all documents is one row per task. First places are
+written out before they are handed back, so that both sides of that join are plain exchanges and adaptive execution can
+split a hot window. No document's lines are exploded
 with their text: only hashes travel, and the text meets the sorted starts of its later windows once.
 
 Defined cases: a document of fewer than three lines has no window and stays as it is; null text stays null (n_lines 0);
@@ -42,11 +43,16 @@ def windows(docs: DataFrame) -> DataFrame:
     return made.where("w.full").select("doc_id", "pos", "w.a", "w.b")
 
 
+def later_than(found: DataFrame, first: DataFrame) -> DataFrame:
+    """The windows that aren't their own first place; first: a, b, first, a written table."""
+    return found.join(first, ["a", "b"]).where("not (doc_id = first.doc_id and pos = first.pos)")
+
+
 def later_places(docs: DataFrame) -> DataFrame:
     """doc_id, starts: sorted starts of the windows that occurred before."""
     found = materialise(windows(docs))
     first = found.groupBy("a", "b").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = found.join(first, ["a", "b"]).where("not (doc_id = first.doc_id and pos = first.pos)")
+    later = later_than(found, materialise(first))
     return later.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
 
 

@@ -301,3 +301,52 @@ def test_contract_types_of_the_new_queries(spark, data):
     for name, columns in want.items():
         assert dict(queries()[name](spark, data).dtypes) == columns
     assert reduce(int.__add__, map(len, want.values())) == 17
+
+
+# joins that a hot key can't hold
+
+
+@pytest.fixture
+def skewed(spark):
+    """Adaptive execution with thresholds of a few kilobytes, so that small tables count as skewed."""
+    low = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.files.maxPartitionBytes": "64k",
+        "spark.sql.files.openCostInBytes": "1k",
+    }
+    before = {k: spark.conf.get(k, None) for k in low}
+    for k, v in low.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_hub_of_links_is_split(skewed):
+    from fluxion.llm.graph import _handed_back, components
+    from fluxion.llm.support import materialise
+
+    star = materialise(skewed.range(1, 60_001).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst")).repartition(8))
+    least = materialise(star.groupBy("src").agg(F.min("dst").alias("m")))
+    joined = _handed_back(star, least)
+    joined.collect()
+    assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    found = components(star)
+    assert found.count() == 60_001 and found.select("component").distinct().collect() == [(0,)]
+
+
+def test_hot_window_is_split(skewed):
+    from fluxion.llm.line_dedup import dedup_lines, later_than
+    from fluxion.llm.support import materialise
+
+    found = materialise(skewed.range(60_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("pos"), F.lit(5).cast("long").alias("a"), F.lit(6).cast("long").alias("b")).repartition(8))
+    first = materialise(found.groupBy("a", "b").agg(F.min(F.struct("doc_id", "pos")).alias("first")))
+    later = later_than(found, first)
+    assert len(later.collect()) == 59_999
+    assert "skew=true" in later._jdf.queryExecution().executedPlan().toString()
+    docs = skewed.range(3_000).select(F.col("id").alias("doc_id"), F.lit("one\ntwo\nthree").alias("text"))
+    assert dedup_lines(docs).where("n_removed = 3").count() == 2_999
