@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .catalogue import OBS, W, query, table, trajectories
 from .functions.expressions import parse
 from .operators import symmetry, uncertainty, weakform, windows
+from .operators.datasets import judged
 from .sources import ingest
 
 #: Rows of a chunk in these queries.
@@ -145,3 +146,18 @@ SELECT round(any_value(noise), 5) AS noise, round(any_value(noise / sd), 6) AS n
 def calibrated_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = uncertainty.calibrated_floor(trajectories(spark, sf_dir), ["u"], 1.0, 7)["u"]
     return spark.createDataFrame([tuple(round(float(r[k]), n) for k, n in (("noise", 5), ("noise_rel", 6), ("floor", 6)))], "noise double, noise_rel double, floor double")
+
+
+@query(
+    "quotients_judged",
+    """WITH p AS (SELECT p_partkey, p_size AS k, p_partkey % 4 AS form, p_partkey % 3 AS edit FROM part)
+SELECT p_partkey, CASE WHEN edit = 0 THEN 'equal' WHEN edit = 1 THEN 'close' ELSE 'different' END AS verdict FROM p""",
+)
+def quotients_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotients written in one of four ways, with the parts' sizes as coefficients, against a/(b + c): as they are, 2 % off or half as large again."""
+    k = F.col("p_size").cast("string")
+    by = F.element_at(F.array(F.lit("1"), F.lit("1.02"), F.lit("1.5")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    forms = ("{by}/(b/({k}*a) + c/({k}*a))", "{by}*{k}*a*b/(b + c)/b", "{by}*{k}*(a**2 - a*c)/((b + c)*(a - c))", "{by}*{k}*a*(1/b - c/(b*(b + c)))")
+    text = lambda form: F.replace(F.replace(F.lit(form), F.lit("{by}"), by), F.lit("{k}"), k)
+    written = F.element_at(F.array(*[text(f) for f in forms]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return judged(table(spark, sf_dir, "part").select("p_partkey", written.alias("a"), F.concat(k, F.lit("*a/(b + c)")).alias("b")), ["a", "b", "c"]).select("p_partkey", "verdict")

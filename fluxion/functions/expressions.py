@@ -381,13 +381,26 @@ def structure_metrics(found: Mapping[str, str], truth: Mapping[str, str], names:
 
 
 def equivalent(a: str, b: str, names: Iterable[str], tolerance: float = 0.05, seed: int = 0) -> str:
-    """`equal`, `close` (same terms, coefficients within tolerance), `different` or `undecided` (numerically alike, other form)."""
+    """`equal`, `close` (same terms, coefficients within tolerance), `different` or `undecided` (numerically alike, other form).
+
+    Quotients are compared in rational normal form; numbers are drawn only where forms have other terms or are too large.
+    """
+    from .rational import TooLarge, near, same
+
     names = list(names)
     x, y = parse(a, names), parse(b, names)
     if x == y:
         return "equal"
-    if x.terms.keys() == y.terms.keys():
+    if x.terms.keys() == y.terms.keys() and not any(isinstance(atom, Group) for m in x.terms for atom, _ in m):
         return "close" if all(abs(c - y.terms[m]) <= tolerance * max(abs(y.terms[m]), 1e-12) for m, c in x.terms.items()) else "different"
+    try:
+        if same(x, y):
+            return "equal"
+        alike = near(x, y, tolerance)
+        if alike is not None:
+            return "close" if alike else "different"
+    except (TooLarge, ZeroDivisionError, OverflowError):
+        pass
     rng = np.random.default_rng(seed)
     values = {n: rng.uniform(0.3, 2.0, 256) for n in names}
     p, q = np.broadcast_to(x.numpy()(values), 256), np.broadcast_to(y.numpy()(values), 256)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +80,25 @@ def judge(candidate: Mapping[str, str], truth: Mapping[str, str], names: Sequenc
     return max((equivalent(candidate.get(v, "0"), e, names, tolerance) for v, e in truth.items()), key=order.index)
 
 
+def judged(pairs: DataFrame, names: Sequence[str], tolerance: float = 0.05) -> DataFrame:
+    """pairs with the column verdict of their columns a and b (`unreadable` where one of them is null or no expression)."""
+    from ..functions.expressions import ExpressionError, equivalent
+
+    names = list(names)
+
+    def one(a: str | None, b: str | None) -> str:
+        try:
+            return "unreadable" if a is None or b is None else equivalent(a, b, names, tolerance)
+        except ExpressionError:
+            return "unreadable"
+
+    @F.pandas_udf("string")
+    def verdict(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+
+    return pairs.withColumn("verdict", verdict("a", "b"))
+
+
 def check_symbols(rhs: Mapping[str, str], allowed: Sequence[str]) -> None:
     for e in rhs.values():
         parse(e, allowed)
