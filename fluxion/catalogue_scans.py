@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import OBS, W, query, table, trajectories
 from .functions.expressions import parse
-from .operators import symmetry, uncertainty, weakform, windows
+from .operators import memory, symmetry, uncertainty, weakform, windows
 from .operators.datasets import judged
 from .sources import ingest
 
@@ -161,3 +161,20 @@ def quotients_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda form: F.replace(F.replace(F.lit(form), F.lit("{by}"), by), F.lit("{k}"), k)
     written = F.element_at(F.array(*[text(f) for f in forms]), (F.col("p_partkey") % 4 + 1).cast("int"))
     return judged(table(spark, sf_dir, "part").select("p_partkey", written.alias("a"), F.concat(k, F.lit("*a/(b + c)")).alias("b")), ["a", "b", "c"]).select("p_partkey", "verdict")
+
+
+@query(
+    "first_of_alike_documents",
+    r"""WITH RECURSIVE w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z_]{3,}')) AS w FROM documents),
+e AS (SELECT doc_id, len(w) AS n, unnest(w) AS x FROM w),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 160 * count(*) > 60 * (a.n + b.n)),
+o AS (SELECT w.doc_id, row_number() OVER (ORDER BY w.doc_id) AS i, coalesce(list(l.a) FILTER (l.a IS NOT NULL), []) AS before FROM w LEFT JOIN l ON l.b = w.doc_id GROUP BY w.doc_id),
+g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL
+  SELECT o.i, CASE WHEN list_has_any(g.kept, o.before) THEN g.kept ELSE list_append(g.kept, o.doc_id) END FROM g JOIN o ON o.i = g.i + 1),
+k AS (SELECT unnest(kept) AS doc_id FROM g WHERE i = (SELECT count(*) FROM w))
+SELECT w.doc_id, CAST(len(w) AS INTEGER) AS n_words, w.doc_id IN (SELECT doc_id FROM k) AS kept,
+  CASE WHEN w.doc_id IN (SELECT doc_id FROM k) THEN w.doc_id ELSE (SELECT min(l.a) FROM l WHERE l.b = w.doc_id AND l.a IN (SELECT doc_id FROM k)) END AS stays_as FROM w""",
+)
+def first_of_alike_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = memory.first_of_alike(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return out.select("doc_id", "n_words", "kept", F.coalesce("resembles", "doc_id").alias("stays_as"))

@@ -8,6 +8,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import written
+
 ALIKE = 0.6
 
 
@@ -36,6 +38,55 @@ def add_lessons(kept: list[str], new: Iterable[str], alike: float = ALIKE) -> li
     return out
 
 
+def alike_pairs(sets: DataFrame, percent: int = 60) -> DataFrame:
+    """a, b: pairs of ids (a < b) whose word sets have a Jaccard similarity over percent / 100. sets: id, w (distinct words, no two sets equal).
+
+    Words are ordered from rare to frequent. Sets of n words that are alike share one of their first n - floor(percent * n / 100), so that pairs meet there
+    only, and of these only such as sizes and the places of the word leave possible. Whole sets decide. No group is collected: words meet by an
+    equi-join of two written tables, so that a frequent word can be split.
+    """
+    each = sets.select("id", F.size("w").alias("n"), F.explode("w").alias("word"))
+    often = written(each.groupBy("word").count())
+    ordered = each.join(often, "word").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("count", "word"))).alias("o"))
+    first = ordered.select("id", "n", F.posexplode(F.expr(f"slice(o, 1, n - n * {percent} div 100)")).alias("place", "x"))
+    first = written(first.select("id", "n", "place", F.col("x.word").alias("word")))
+    one, two = (first.select("word", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "place")]) for s in "ab")
+    most = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))  # words in common from this one on
+    enough = (100 + percent) * most > percent * (F.col("n_a") + F.col("n_b"))
+    # a pair is taken at its first word in common only where the bound holds there, which it does for all that are alike
+    met = written(one.join(two, "word").where((F.col("id_a") < F.col("id_b")) & enough).select("id_a", "id_b").distinct())
+    w = lambda s: sets.select(F.col("id").alias(f"id_{s}"), F.col("w").alias(f"w_{s}"))
+    both = met.join(w("a"), "id_a").join(w("b"), "id_b").withColumn("shared", F.size(F.array_intersect("w_a", "w_b")))
+    return both.where((100 + percent) * F.col("shared") > percent * (F.size("w_a") + F.size("w_b"))).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+
+def first_of_alike(texts: DataFrame, id: str, text: str, percent: int = 60) -> DataFrame:
+    """id, n_words, kept, resembles: texts in the order of their ids, of which one stays if it resembles none that stayed before.
+
+    `resembles` is the smallest id that stayed and that a dropped text resembles (similarity of word sets over percent / 100). Equal sets are one class,
+    its smallest id speaks for it, so that copies are never paired; what is paired are different sets that are alike. Which stay is settled in rounds: a
+    text without undecided alike ones before it stays, and all that it resembles go; rounds are as many as the longest chain of such decisions.
+    Texts that are null or have no words stay and resemble nothing. Rows of equal id and text get equal results; null ids are left out.
+    """
+    w = F.sort_array(words(text))
+    own = texts.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.coalesce(w, F.array().cast("array<string>")).alias("w"))
+    own = written(own.select("id", "w", F.size("w").alias("n_words"), F.xxhash64("w").alias("h"), F.xxhash64("w", F.lit(1)).alias("k")))
+    reps = written(own.where("n_words > 0").groupBy("h", "k").agg(F.min("id").alias("id"), F.min_by("w", "id").alias("w")))
+    links = written(alike_pairs(reps.select("id", "w"), percent))
+    gone, open_ = None, links
+    while not open_.isEmpty():
+        stays = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")), "a", "left_anti")
+        goes = written(open_.join(stays, "a", "left_semi").select(F.col("b").alias("gone")).distinct())
+        open_ = written(open_.join(goes, F.col("a") == F.col("gone"), "left_anti").join(goes, F.col("b") == F.col("gone"), "left_anti"))
+        gone = goes if gone is None else gone.union(goes)
+    to = links if gone is None else links.join(gone, F.col("a") == F.col("gone"), "left_anti")
+    to = to.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to"))
+    classed = written(reps.select("h", "k", F.col("id").alias("rep"), "id").join(to, "id", "left").select("h", "k", "rep", "to"))
+    out = own.select("id", "n_words", "h", "k").join(classed, ["h", "k"], "left")
+    kept = F.coalesce(F.col("to").isNull() & (F.col("id") == F.col("rep")), F.lit(True))
+    return out.select(F.col("id").alias(id), "n_words", kept.alias("kept"), F.when(~kept, F.coalesce("to", "rep")).alias("resembles"))
+
+
 def retrieve(lessons: DataFrame, like: Mapping[str, object], k: int = 8) -> DataFrame:
     """The k lessons whose fingerprint (columns kind, n_vars, noise, dims, boundary, good) is most like: lesson, score."""
     same = lambda c, w: F.when(F.col(c).eqNullSafe(F.lit(like[c])), F.lit(w)).otherwise(F.lit(0.0))

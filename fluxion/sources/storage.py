@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,3 +28,10 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     out = at.getFileSystem(conf).create(at)
     out.write(bytearray(data))
     out.close()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: cuts lineage, survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
