@@ -43,7 +43,7 @@ def main(arguments: Sequence[str] | None = None) -> dict:
 
 
 def run(a: argparse.Namespace) -> dict:
-    from .operators import assess, datasets, diagnostics, fields, scoring, symmetry
+    from .operators import assess, datasets, diagnostics, field_assess, field_intuition, fields, scoring, symmetry
     from .operators.systems import SYSTEMS
     from .plans.discover import discover
     from .sources import ingest, readers
@@ -67,11 +67,16 @@ def run(a: argparse.Namespace) -> dict:
         if a.to:
             readers.write_dataset(df, a.to, meta)
         return {"meta": meta, "assumptions": card.assumptions, "warnings": card.warnings, "review_first": card.review_first}
+    if a.command == "intuit" and meta["kind"] == "pde":
+        return field_intuition.intuit_fields(df, ingest.system_of(meta), meta["dt"])
     if a.command == "intuit":
         return diagnostics.intuit(df, meta["variables"], meta["dt"])
     if a.command == "symmetries":
         return symmetry.detect_symmetries(df, meta["variables"], meta["dt"], a.degree)
-    found = assess.assess(df, meta["variables"], meta["dt"], json.loads(a.rhs))
+    if meta["kind"] == "pde":
+        found = field_assess.assess_fields(df, ingest.system_of(meta), meta["dt"], json.loads(a.rhs))
+    else:
+        found = assess.assess(df, meta["variables"], meta["dt"], json.loads(a.rhs))
     return {"verdict": assess.verdict(found), "assessment": found}
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from .catalogue import OBS, W, query, table, trajectories
 from .functions.expressions import parse
-from .operators import memory, symmetry, uncertainty, weakform, windows
+from .operators import field_assess, field_intuition, fields, memory, symmetry, uncertainty, weakform, windows
 from .operators.datasets import judged
+from .operators.systems import System
 from .sources import ingest
 
 #: Rows of a chunk in these queries.
@@ -178,3 +179,74 @@ SELECT w.doc_id, CAST(len(w) AS INTEGER) AS n_words, w.doc_id IN (SELECT doc_id
 def first_of_alike_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = memory.first_of_alike(table(spark, sf_dir, "documents"), "doc_id", "text")
     return out.select("doc_id", "n_words", "kept", F.coalesce("resembles", "doc_id").alias("stays_as"))
+
+
+def hourly_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """traj (event type), step (day), u: sums of the events' values by hour of the day, a periodic axis of 24 nodes."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("traj"), F.floor(us / 86400e6).alias("step"), F.pmod(F.floor(us / 3600e6), F.lit(24)).alias("h"), "value")
+    hours = [F.sum(F.when(F.col("h") == h, F.col("value")).otherwise(0.0)) for h in range(24)]
+    return e.groupBy("traj", "step").agg(F.array(*hours).alias("u"))
+
+
+_HOURLY = """f AS (SELECT event_type AS traj, CAST(floor(epoch_us(ts) / 86400e6) AS BIGINT) AS step, CAST(floor(epoch_us(ts) / 3600e6) AS BIGINT) % 24 AS h, sum(value) AS u FROM events GROUP BY 1, 2, 3)"""
+
+
+@query(
+    "mode_rates",
+    f"""WITH {_HOURLY}, z AS (SELECT traj, step, k, sum(u * cos(2 * pi() * k * h / 24)) AS re, -sum(u * sin(2 * pi() * k * h / 24)) AS im FROM f, (SELECT unnest(range(0, 13)) AS k) GROUP BY 1, 2, 3),
+s AS (SELECT a.k, sqrt(a.re ** 2 + a.im ** 2) AS amp, sqrt(b.re ** 2 + b.im ** 2) AS next, atan2(b.im * a.re - b.re * a.im, b.re * a.re + b.im * a.im) AS turn FROM z a JOIN z b ON a.traj = b.traj AND a.k = b.k AND b.step = a.step + 1),
+c AS (SELECT k, quantile_disc(amp, 0.2) AS cut, avg(amp * amp) AS power FROM s WHERE amp > 0 AND next > 0 GROUP BY 1)
+SELECT CAST(s.k AS INTEGER) AS k, round(2 * pi() * s.k / 24, 6) AS wave_number, count(*) AS steps, round(any_value(power), 4) AS power, round(quantile_disc(ln(next / amp), 0.5), 6) AS growth,
+  round(CASE WHEN s.k NOT IN (0, 12) THEN quantile_disc(turn, 0.5) END, 6) AS frequency FROM s JOIN c USING (k) WHERE amp >= cut AND amp > 0 AND next > 0 GROUP BY s.k""",
+)
+def mode_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the modes of a day's profile grow and turn from day to day, hours as nodes."""
+    found = field_intuition.mode_rates(hourly_fields(spark, sf_dir), "u", 24.0, 1.0, 8)
+    value = lambda x, n: None if x != x else round(float(x), n)
+    return spark.createDataFrame(
+        [(int(r.k), value(r.wave_number, 6), int(r.steps), value(r.power, 4), value(r.growth, 6), value(r.frequency, 6)) for r in found.itertuples()],
+        "k int, wave_number double, steps long, power double, growth double, frequency double",
+    )
+
+
+@query(
+    "field_moments",
+    f"""WITH {_HOURLY}, g AS (SELECT traj, step, coalesce(f.u, 0) AS u FROM (SELECT DISTINCT traj, step FROM f) d CROSS JOIN (SELECT unnest(range(0, 24)) AS h) n LEFT JOIN f USING (traj, step, h)),
+m AS (SELECT traj, step, avg(u) AS m FROM g GROUP BY 1, 2), d AS (SELECT avg(d) AS d FROM (SELECT stddev_pop(m) AS d FROM m GROUP BY traj)), s AS (SELECT stddev_pop(u) AS s, avg(u) AS a FROM g)
+SELECT round(any_value(d / s), 8) AS mean_drift, round(avg(power((u - a) / s, 3)), 8) AS skewness, round(any_value(a / s), 8) AS offset_mean FROM g, s, d""",
+)
+def field_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = field_intuition.moments(hourly_fields(spark, sf_dir), "u")
+    return m.select(F.round("mean_drift", 8).alias("mean_drift"), F.round("skewness", 8).alias("skewness"), F.round("offset", 8).alias("offset_mean"))
+
+
+@query(
+    "travelling_shift",
+    f"""WITH {_HOURLY}, g AS (SELECT traj, step, h, coalesce(f.u, 0) AS u FROM (SELECT DISTINCT traj, step FROM f) d CROSS JOIN (SELECT unnest(range(0, 24)) AS h) n LEFT JOIN f USING (traj, step, h)),
+p AS (SELECT traj, step, max(u) - min(u) AS size FROM g GROUP BY 1, 2),
+c AS (SELECT a.traj, a.step, k, sum(a.u * b.u) AS c FROM g a JOIN (SELECT unnest(range(0, 24)) AS k) ON true JOIN g b ON b.traj = a.traj AND b.step = a.step + 1 AND b.h = (a.h + k) % 24 GROUP BY 1, 2, 3),
+s AS (SELECT traj, step, arg_max(k, c) AS k FROM c GROUP BY 1, 2),
+w AS (SELECT CASE WHEN k > 12 THEN k - 24 ELSE k END AS v, size FROM s JOIN p USING (traj, step))
+SELECT median(v)::DOUBLE AS median, (quantile_cont(v::DOUBLE, 0.75) - quantile_cont(v::DOUBLE, 0.25)) AS iqr, round(corr(v, size), 6) AS correlation FROM w""",
+)
+def travelling_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shift by which a day's profile is most like the next day's, in hours."""
+    r = fields.travelling_speed(hourly_fields(spark, sf_dir), "u", 24, 24.0, 1.0, 8)
+    return spark.createDataFrame([(r["median"], r["iqr"], round(r["amplitude_correlation"], 6))], "median double, iqr double, correlation double")
+
+
+@query(
+    "field_coverage",
+    f"""WITH {_HOURLY}, g AS (SELECT traj, step, h, coalesce(f.u, 0) AS u FROM (SELECT DISTINCT traj, step FROM f) d CROSS JOIN (SELECT unnest(range(0, 24)) AS h) n LEFT JOIN f USING (traj, step, h)),
+d AS (SELECT traj, step, lead(u, 3) OVER w - 3 * lead(u, 2) OVER w + 3 * lead(u, 1) OVER w - u AS d FROM g WINDOW w AS (PARTITION BY traj, step ORDER BY h)),
+m AS (SELECT *, median(d) OVER (PARTITION BY traj, step) AS m FROM d WHERE d IS NOT NULL), n AS (SELECT 1.4826 * median(abs(d - m)) / sqrt(20) AS w FROM m GROUP BY traj, step),
+a AS (SELECT traj, max(abs(u)) AS a FROM g GROUP BY 1)
+SELECT round(min(u), 6) AS least, round(max(u), 6) AS most, round(stddev_pop(u), 6) AS deviation, (SELECT round(sqrt(avg(w * w)), 6) FROM n) AS noise, (SELECT count(*) FROM a) AS trajectories,
+  (SELECT round(min(a), 6) FROM a) AS least_amplitude, (SELECT round(max(a), 6) FROM a) AS largest_amplitude FROM g""",
+)
+def field_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = System("hours", {"u": "0"}, (), 1.0, 1.0, 1.0, ("x",), "periodic", {"x": (24, 24.0, 0.0)})
+    c = field_assess.coverage(hourly_fields(spark, sf_dir), s)
+    names = ("least", "most", "deviation", "noise", "least_amplitude", "largest_amplitude")
+    return c.select("trajectories", *[F.round(n, 6).alias(n) for n in names])

@@ -194,6 +194,10 @@ def assess(df: DataFrame, variables: Sequence[str], dt: float, rhs: Mapping[str,
     }
 
 
+def start_of(experiment: Mapping) -> str:
+    return experiment.get("description") or str([round(x, 4) for x in experiment["initial_condition"]])
+
+
 def verdict(a: Mapping) -> dict:
     """CONFIDENT, COLLECT MORE DATA, CONFIDENT IN PREDICTIONS or INCONCLUSIVE, with what to do."""
     if "confidence" not in a:
@@ -207,7 +211,7 @@ def verdict(a: Mapping) -> dict:
     if level == "high" and not strong and not weak or level != "low" and not doubts and not telling:
         return {"status": "CONFIDENT", "recommendation": "use the model"}
     if telling:
-        return {"status": "COLLECT MORE DATA", "recommendation": f"start at {[round(x, 4) for x in ranked[0]['initial_condition']]}"}
+        return {"status": "COLLECT MORE DATA", "recommendation": f"start at {start_of(ranked[0])}"}
     if not a["validation"]["rollout_blew_up"] and a["predictability"]["horizon_is_full_data_span"] and not strong:
         return {"status": "CONFIDENT IN PREDICTIONS", "recommendation": "plausible models agree over the data's range, though their terms differ"}
     return {"status": "INCONCLUSIVE", "recommendation": "; ".join(a["data_advice"][:2]) or "more trajectories, less noise, or knowledge of the domain"}
@@ -221,7 +225,7 @@ def brief_markdown(a: Mapping) -> str:
     parts += [line(t["var"], f"`{t['term']}`", f"{t['coef']:.4g}", f"{t['ci90'][0]:.4g} to {t['ci90'][1]:.4g}", "yes" if t["significant"] else "no") for t in a["terms"]]
     parts += ["## Missing terms", *([f"- `{m['term']}` in {m['var']}: BIC falls by {-m['dBIC_if_added']:.1f}" for m in a["missing_term_evidence"]] or ["none"])]
     parts += ["## Models that explain the data as well", ", ".join(a["model_ambiguity"]["indistinguishable"])]
-    parts += ["## Next experiments", *([f"- start at {[round(x, 4) for x in r['initial_condition']]} (score {r['score']:.3g})" for r in a["experiments"]["ranked"]] or ["none"])]
+    parts += ["## Next experiments", *([f"- start at {start_of(r)} (score {r['score']:.3g})" for r in a["experiments"]["ranked"]] or ["none"])]
     parts += ["## Questions", *([f"- {q}" for q in a["questions_for_human"]] or ["none"]), "## Advice", *([f"- {x}" for x in a["data_advice"]] or ["none"])]
     return "\n".join(parts) + "\n"
 

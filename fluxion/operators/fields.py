@@ -268,19 +268,26 @@ def uniform_plane(frames: DataFrame, nodes: Sequence[Sequence[float]], fields: S
     return frames.mapInPandas(run, frames.schema), even
 
 
-def travelling_speed(frames: DataFrame, field: str, nodes: int, length: float, dt: float) -> dict:
-    """Median shift between neighbouring frames (largest cross-correlation) as a speed, and its correlation with amplitude (1-D periodic)."""
+def travelling_speed(frames: DataFrame, field: str, nodes: int, length: float, dt: float, chunk: int = CHUNK) -> dict:
+    """Median shift between neighbouring frames (largest cross-correlation, the smallest shift of equals) as a speed, its interquartile range, and its correlation
+    with amplitude (1-D periodic). Steps over a missing frame and from or to a flat frame are left out; None where nothing is left or doesn't vary."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        u = np.stack(pdf.sort_values("step")[field]).astype(float)
+        pdf = pdf.sort_values("step")
+        u = np.stack([np.asarray(a, float) for a in pdf[field]])
+        size = np.ptp(u, axis=1)
+        pairs = pdf["own"].to_numpy()[:-1] & (np.diff(pdf["step"].to_numpy()) == 1) & (size[:-1] > 0) & (size[1:] > 0)
         z = np.fft.rfft(u - u.mean(axis=1, keepdims=True), axis=1)
-        shift = np.fft.irfft(np.conj(z[:-1]) * z[1:], n=nodes, axis=1).argmax(axis=1)
+        shift = np.fft.irfft(np.conj(z[:-1]) * z[1:], n=nodes, axis=1)[pairs].argmax(axis=1)
         shift = np.where(shift > nodes // 2, shift - nodes, shift)
-        return pd.DataFrame({"speed": shift * length / nodes / dt, "amplitude": np.ptp(u[:-1], axis=1)})
+        return pd.DataFrame({"speed": shift * length / nodes / dt, "amplitude": size[:-1][pairs]})
 
-    rows = frames.select("traj", "step", field).groupBy("traj").applyInPandas(run, "speed double, amplitude double")
+    own = frames.select("traj", "step", field).where(F.col(field).isNotNull())
+    rows = with_halo(own, chunk, 1).groupBy("traj", "chunk").applyInPandas(run, "speed double, amplitude double")
+    # speeds are multiples of a node a step, so that the exact percentile counts as many values as there are nodes
     r = rows.agg(F.percentile("speed", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.try_divide(F.covar_pop("speed", "amplitude"), F.stddev_pop("speed") * F.stddev_pop("amplitude")).alias("c")).first()
-    return {"median": r["q"][1], "iqr": r["q"][2] - r["q"][0], "amplitude_correlation": r["c"]}
+    q = r["q"] or [None] * 3
+    return {"median": q[1], "iqr": q[2] - q[0] if r["q"] else None, "amplitude_correlation": r["c"]}
 
 
 def validate_fields(frames: DataFrame, system: System, rhs: Mapping[str, str], dt: float, window: int = 9, fraction: float | None = 0.3, steps: int | None = None) -> dict:

@@ -7,6 +7,7 @@ projections are a join-free window sum over a trajectory; for frames they are ma
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Mapping, Sequence
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import Expr, Symbol, linear_combination
 from . import regression
-from .gram import Gram, added, grams, packed_gram
+from .gram import GROUPS, Gram, added, grams, packed_gram
 from .library import build_library, columns, derivative_symbols
 from .quantiles import median
 from .simulate import derivatives
@@ -153,6 +154,8 @@ def _split_derivative(e: Expr, fields: Sequence[str]) -> tuple[float, list[tuple
 
 #: Draws of noise by which the floor of a field's weak residual is estimated.
 NOISE_DRAWS = 2
+#: Neighbouring centres along an axis that make a block.
+BLOCK = 8
 
 
 def _white(u: np.ndarray) -> float:
@@ -175,9 +178,10 @@ def _slope(plan: tuple, f: str, u: np.ndarray, names: Sequence[str], system: Sys
     return out
 
 
-def weak_field_grams(frames: DataFrame, system: System, library: Mapping[str, Expr], dt: float, half_t: int | None = None, half_x: Mapping[str, int] | None = None, p: int = 8) -> dict[str, Gram]:
+def weak_field_grams(frames: DataFrame, system: System, library: Mapping[str, Expr], dt: float, half_t: int | None = None, half_x: Mapping[str, int] | None = None, p: int = 8, blocks: bool = False) -> dict[str, Gram]:
     """{train, held: Gram} of projected terms, and {noise <field>: Gram} of what noise does to the held-out ones; a task for each trajectory, whose matrices are added up on the executors. Held out is the last
-    trajectory; the only one serves for both. Widths are chosen from the data's corner modes where not given."""
+    trajectory; the only one serves for both. Widths are chosen from the data's corner modes where not given. blocks: instead, a matrix for each group of blocks of
+    neighbouring test functions (BLOCK of them along time and each axis, so that most overlaps are within a block), of all trajectories."""
     names, dims = system.variables, system.dims
     terms = list(library)
     plan = {t: _split_derivative(e, names) for t, e in library.items()}
@@ -230,6 +234,16 @@ def weak_field_grams(frames: DataFrame, system: System, library: Mapping[str, Ex
             else:
                 columns_.append(project(np.broadcast_to(compiled[t](values), u.shape[:-1]), ""))
         y = np.stack([project(u[..., i], "", 1) for i in range(q)], axis=1)
+        if blocks:
+            count = [len(range(ht, nt - ht, max(1, ht // 2))), *[len(range(0, n, s) if wrap else range(hx[d], n - hx[d], s)) for d in dims for n, s in [(system.grid[d][0], max(1, hx[d] // 2))]]]
+            place = np.stack([i.ravel() // BLOCK for i in np.indices(count)], axis=1)
+            cells, at = np.unique(place, axis=0, return_inverse=True)
+            theta, groups = np.stack(columns_, axis=1), {}
+            for b, cell in enumerate(cells):
+                mine = at.ravel() == b
+                g = str(zlib.crc32(f"{pdf['traj'].iloc[0]}:{cell.tolist()}".encode()) % GROUPS)
+                groups[g] = groups.get(g, 0.0) + packed_gram(theta[mine], y[mine])
+            return pd.DataFrame({"label": list(groups), "m": list(groups.values())})
         label = "held" if pdf["traj"].iloc[0] == ends["b"] else "train"
         out = {label: packed_gram(np.stack(columns_, axis=1), y)}
         if label == "held":  # what white noise of each field's own size does to the rows, by draws that are the same in every run
