@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.storage import written
 
 ALIKE = 0.6
+#: Bytes of sketches in a block of sets.
+BLOCK = 1 << 21
 
 
 def words(text: str) -> Column:
@@ -18,6 +25,10 @@ def words(text: str) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z_]{3,}"), F.lit(0)))
 
 
+def hashes(words: str) -> Column:
+    return F.transform(F.col(words), lambda x: F.xxhash64(x))
+
+
 def jaccard(a: str, b: str) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
@@ -38,29 +49,128 @@ def add_lessons(kept: list[str], new: Iterable[str], alike: float = ALIKE) -> li
     return out
 
 
-def alike_pairs(sets: DataFrame, percent: int = 60) -> DataFrame:
-    """a, b: pairs of ids (a < b) whose word sets have a Jaccard similarity over percent / 100. sets: id, w (distinct words, no two sets equal).
-
-    Words are ordered from rare to frequent. Sets of n words that are alike share one of their first n - floor(percent * n / 100), so that pairs meet there
-    only, and of these only such as sizes and the places of the word leave possible. Whole sets decide. No group is collected: words meet by an
-    equi-join of two written tables, so that a frequent word can be split.
-    """
-    each = sets.select("id", F.size("w").alias("n"), F.explode("w").alias("word"))
-    often = written(each.groupBy("word").count())
-    ordered = each.join(often, "word").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("count", "word"))).alias("o"))
-    first = ordered.select("id", "n", F.posexplode(F.expr(f"slice(o, 1, n - n * {percent} div 100)")).alias("place", "x"))
-    first = written(first.select("id", "n", "place", F.col("x.word").alias("word")))
-    one, two = (first.select("word", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "place")]) for s in "ab")
-    most = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))  # words in common from this one on
-    enough = (100 + percent) * most > percent * (F.col("n_a") + F.col("n_b"))
-    # a pair is taken at its first word in common only where the bound holds there, which it does for all that are alike
-    met = written(one.join(two, "word").where((F.col("id_a") < F.col("id_b")) & enough).select("id_a", "id_b").distinct())
-    w = lambda s: sets.select(F.col("id").alias(f"id_{s}"), F.col("w").alias(f"w_{s}"))
-    both = met.join(w("a"), "id_a").join(w("b"), "id_b").withColumn("shared", F.size(F.array_intersect("w_a", "w_b")))
-    return both.where((100 + percent) * F.col("shared") > percent * (F.size("w_a") + F.size("w_b"))).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-
-
-def first_of_alike(texts: DataFrame, id: str, text: str, percent: int = 60) -> DataFrame:
+def _base(percent: int) -> float:
+    """Sets of alike pairs differ in size by less than this factor."""
+    return 100 / max(percent, 1)
+
+
+def sketched(sets: DataFrame, percent: int = 60) -> DataFrame:
+    """sets (n: size, x: hashes of words) with `band`, sizes within one factor of each other, and `s` in place of x: for each of B bits whether an odd number of
+    words falls on it, B being a power of 2 of at least three times the sizes of the band. Words that two sets don't share are at least as many as the
+    bits in which their sketches differ."""
+    base = _base(percent)
+    cut = 0 < percent < 100
+    banded = sets.withColumn("band", F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(base)).cast("int") if cut else F.lit(0))
+    keep = [c for c in banded.columns if c != "x"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x")
+            flat, at = x.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False))])
+            out = []
+            for i, t in enumerate(batch.column("band").to_pylist()):
+                bits = 64 << max(0, math.ceil(math.log2(3 * base ** (t + 1) / 64))) if cut else 4096
+                odd = np.bincount((flat[at[i] : at[i + 1]] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+                out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(out, pa.binary())], names=[*keep, "s"])
+
+    return banded.mapInArrow(run, T.StructType([*[banded.schema[c] for c in keep], T.StructField("s", T.BinaryType())]))
+
+
+def _folded(s: pa.Array, bits: int) -> np.ndarray:
+    """Sketches as columns of 64-bit words, brought to fewer bits (a power of 2) by adding halves up."""
+    raw = np.frombuffer(b"".join(s.to_pylist()), np.uint64).reshape(len(s), -1) if len(s) else np.zeros((0, bits // 64), np.uint64)
+    while raw.shape[1] > bits // 64:
+        half = raw.shape[1] // 2
+        raw = raw[:, :half] ^ raw[:, half:]
+    return np.ascontiguousarray(raw.T)
+
+
+def _possible(one: tuple, other: tuple, same: bool, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For rows of one the rows of other that sizes and sketches leave possible. Each: sizes (ascending in other) and sketches; of `same` rows a pair once."""
+    n_a, s_a = one
+    n_b, s_b = other
+    words = len(s_b)
+    stops = sorted({max(1, words // 2), max(1, 3 * words // 4), words})
+    for i in range(len(n_a)):
+        n = int(n_a[i])
+        lo = i + 1 if same else int(np.searchsorted(100 * n_b, percent * n, "right"))
+        hi = int(np.searchsorted(percent * n_b, 100 * n, "left"))
+        if lo >= hi:
+            continue
+        most = ((100 - percent) * (n_b[lo:hi] + n) - 1) // (100 + percent)
+        differ, at, start = np.zeros(hi - lo, np.int32), None, 0
+        for stop in stops:
+            for w in range(start, stop):
+                differ += np.bitwise_count((s_b[w, lo:hi] if at is None else s_b[w, lo + at]) ^ s_a[w, i])
+            left = np.flatnonzero(differ <= (most if at is None else most[at]))
+            at, differ, start = left if at is None else at[left], differ[left], stop
+            if not len(at):
+                break
+        if len(at):
+            yield i, lo + at
+
+
+def possible_pairs(sketches: DataFrame, percent: int = 60, block: int = BLOCK) -> DataFrame:
+    """a, b: pairs of ids (a < b) that sizes and sketches leave possible; all that are alike are among them. sketches: id, n, band, s.
+
+    Bands are cut into blocks of about `block` bytes, and each block meets those of its band and of the next: a task holds two blocks, whatever the words'
+    frequencies. Pairs are compared by bits within the task; only those left are written."""
+    size = {r["band"]: -(-r["bytes"] // block) for r in sketches.groupBy("band").agg(F.sum(F.length("s")).alias("bytes")).collect()}  # a row for each band
+    spark, kind = sketches.sparkSession, sketches.schema["id"].dataType
+    meets = []
+    for t, m in size.items():
+        for g in range(m):
+            meets += [(t, g, t, 0, min(g, x), max(g, x), int(g > x)) for x in range(m)]
+            meets += [(t, g, t, 1, g, x, 0) for x in range(size.get(t + 1, 0))] + [(t, g, t - 1, 1, x, g, 1) for x in range(size.get(t - 1, 0))]
+    names = "band int, g int, at int, kind int, p int, q int, side int"
+    counts = F.create_map(*[F.lit(x) for kv in size.items() for x in kv]) if size else F.lit(None).cast("map<int,int>")
+    own = sketches.withColumn("g", F.pmod(F.xxhash64("id"), F.try_element_at(counts, "band")).cast("int"))
+    dealt = own.join(F.broadcast(spark.createDataFrame(meets, names)), ["band", "g"]).select("at", "kind", "p", "q", "side", "id", "n", "s")
+
+    def test(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(list(batches)).select(["side", "id", "n", "s"]).combine_chunks().sort_by("n")
+        bits = 8 * pc.min(pc.binary_length(group["s"])).as_py()
+        side = group["side"].to_numpy()
+        same = key[1].as_py() == 0 and key[2].as_py() == key[3].as_py()
+        halves = [group] if same else [group.filter(pa.array(side == k)) for k in (0, 1)]
+        parts = [(h["n"].to_numpy().astype(np.int64), _folded(h["s"], bits)) for h in halves]
+        to, a, b, many = group.schema.field("id").type, [], [], 0
+        ids = [h["id"].combine_chunks() for h in halves]
+
+        def found() -> pa.RecordBatch:
+            one, two = (x.take(pa.array(np.concatenate(y))) if y else pa.array([], to) for x, y in ((ids[0], a), (ids[-1], b)))
+            return pa.RecordBatch.from_arrays([one, two], names=["a", "b"])
+
+        for i, at in _possible(parts[0], parts[-1], same, percent):
+            a.append(np.full(len(at), i))
+            b.append(at)
+            many += len(at)
+            if many > 1 << 18:
+                yield found()
+                a, b, many = [], [], 0
+        yield found()
+
+    pairs = dealt.groupBy("at", "kind", "p", "q").applyInArrow(test, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def alike_pairs(sets: DataFrame, percent: int = 60, sketches: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """a, b: pairs of ids (a < b) whose word sets have a Jaccard similarity over percent / 100. sets: id, w (distinct words, no two sets equal); may hold more
+    rows than sketches (id, n, band, s), which are made from sets where they aren't given.
+
+    Sketches of word sets leave few pairs possible beside those that are alike; whole sets decide."""
+    if sketches is None:
+        sketches = written(sketched(sets.select("id", F.size("w").alias("n"), hashes("w").alias("x")), percent))
+    met = written(possible_pairs(sketches, percent, block))
+    ids = written(met.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    held = written(sets.join(ids, "id", "left_semi").select("id", "w").dropDuplicates(["id"]))
+    w = lambda s: held.select(F.col("id").alias(s), F.col("w").alias(f"w_{s}"))
+    both = met.join(w("a"), "a").join(w("b"), "b").withColumn("shared", F.size(F.array_intersect("w_a", "w_b")))
+    return both.where((100 + percent) * F.col("shared") > percent * (F.size("w_a") + F.size("w_b"))).select("a", "b")
+
+
+def first_of_alike(texts: DataFrame, id: str, text: str, percent: int = 60, block: int = BLOCK) -> DataFrame:
     """id, n_words, kept, resembles: texts in the order of their ids, of which one stays if it resembles none that stayed before.
 
     `resembles` is the smallest id that stayed and that a dropped text resembles (similarity of word sets over percent / 100). Equal sets are one class,
@@ -70,9 +180,10 @@ def first_of_alike(texts: DataFrame, id: str, text: str, percent: int = 60) -> D
     """
     w = F.sort_array(words(text))
     own = texts.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.coalesce(w, F.array().cast("array<string>")).alias("w"))
-    own = written(own.select("id", "w", F.size("w").alias("n_words"), F.xxhash64("w").alias("h"), F.xxhash64("w", F.lit(1)).alias("k")))
-    reps = written(own.where("n_words > 0").groupBy("h", "k").agg(F.min("id").alias("id"), F.min_by("w", "id").alias("w")))
-    links = written(alike_pairs(reps.select("id", "w"), percent))
+    of = own.select("id", F.size("w").alias("n"), F.xxhash64("w").alias("h"), F.xxhash64("w", F.lit(1)).alias("k"), hashes("w").alias("x"))
+    sets, own = own, written(sketched(of, percent))
+    reps = written(own.where("n > 0").groupBy("h", "k").agg(F.min("id").alias("id"), F.min_by(F.struct("n", "band", "s"), "id").alias("of")).select("h", "k", "id", "of.*"))
+    links = written(alike_pairs(sets, percent, reps, block))
     gone, open_ = None, links
     while not open_.isEmpty():
         stays = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")), "a", "left_anti")
@@ -82,7 +193,7 @@ def first_of_alike(texts: DataFrame, id: str, text: str, percent: int = 60) -> D
     to = links if gone is None else links.join(gone, F.col("a") == F.col("gone"), "left_anti")
     to = to.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to"))
     classed = written(reps.select("h", "k", F.col("id").alias("rep"), "id").join(to, "id", "left").select("h", "k", "rep", "to"))
-    out = own.select("id", "n_words", "h", "k").join(classed, ["h", "k"], "left")
+    out = own.select("id", F.col("n").alias("n_words"), "h", "k").join(classed, ["h", "k"], "left")
     kept = F.coalesce(F.col("to").isNull() & (F.col("id") == F.col("rep")), F.lit(True))
     return out.select(F.col("id").alias(id), "n_words", kept.alias("kept"), F.when(~kept, F.coalesce("to", "rep")).alias("resembles"))
 

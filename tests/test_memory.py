@@ -54,3 +54,19 @@ def test_chain_ties_copies_and_nothing(spark):
     six = "one two six ten red"  # 3 of 5: not over 0.6
     assert memory.first_of_alike(spark.createDataFrame([(1, six), (2, "one two six")], "n long, t string"), "n", "t").where("kept").count() == 2
     assert memory.first_of_alike(spark.createDataFrame([], "n long, t string"), "n", "t").count() == 0
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_sketches_leave_few_pairs_and_lose_none(spark, seed):
+    """Few words shared by all texts: pairs that meet at a word are all of them, pairs to be confirmed are hardly more than the alike ones, in blocks of any size."""
+    rng = random.Random(seed)
+    words = [a + b + c + d for a in "bdkt" for b in "aeiou" for c in "lmnr" for d in "aeiou"]
+    sets = [rng.sample(words, rng.randrange(6, 130)) for _ in range(250)]
+    sets += [s[: len(s) * 4 // 5] for s in sets[:60]]
+    alike = {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if 100 * len(set(a) & set(b)) > 60 * len(set(a) | set(b))}
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "id long, w array<string>").repartition(3)
+    sketches = memory.sketched(df.selectExpr("id", "size(w) as n", "transform(w, x -> xxhash64(x)) as x")).cache()
+    for block in (256, 1 << 21):
+        got = {(r["a"], r["b"]) for r in memory.possible_pairs(sketches, block=block).collect()}
+        assert alike <= got and len(got) < len(alike) + 400
+    assert {(r["a"], r["b"]) for r in memory.alike_pairs(df).collect()} == alike
