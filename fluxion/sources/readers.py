@@ -238,8 +238,9 @@ def sanitize_names(names: list[str], coordinates: tuple[str, ...] = ("t", "x", "
 
 
 def write_dataset(df: DataFrame, path: str, meta: dict) -> None:
-    """Parquet by trajectory, and meta.json beside it, written by Spark so that any store will do."""
-    df.write.mode("overwrite").partitionBy("traj").parquet(f"{path}/data")
+    """Parquet, each file in the order of trajectories, and meta.json beside it, written by Spark so that any store will do. Files are as many as tasks,
+    however many trajectories there are."""
+    df.sortWithinPartitions(*[c for c in ("traj", "step") if c in df.columns]).write.mode("overwrite").parquet(f"{path}/data")
     df.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 

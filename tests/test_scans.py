@@ -159,3 +159,11 @@ def test_dataset_folders_are_read(spark, tmp_path):
     df = spark.createDataFrame([(0, 0, 0.0, 1.5)], "traj int, step int, t double, u double")
     R.write_dataset(df, str(tmp_path / "set"), {"kind": "ode"})
     assert R.read_file(spark, str(tmp_path / "set")).first()["u"] == 1.5
+
+
+def test_files_of_a_dataset_do_not_grow_with_its_trajectories(spark, tmp_path):
+    df = spark.range(600).selectExpr("id div 2 as traj", "cast(id % 2 as int) as step", "id * 0.5 as u").repartition(3)
+    R.write_dataset(df, str(tmp_path / "set"), {"kind": "ode"})
+    assert len(list((tmp_path / "set" / "data").rglob("*.parquet"))) <= 3
+    back, meta = R.load_dataset(spark, str(tmp_path / "set"))
+    assert meta == {"kind": "ode"} and sorted(map(tuple, back.select("traj", "step", "u").collect())) == [(i // 2, i % 2, i * 0.5) for i in range(600)]
