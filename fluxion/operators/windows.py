@@ -167,14 +167,16 @@ def fill_gaps(df: DataFrame, values: Sequence[str], key: Sequence[str] = KEY, by
     Chunks of a series are filled by themselves and need of the rest the last known sample before and the first one after them only, which a
     window over one row for each chunk finds: a long series is many tasks."""
     cut = in_chunks(df, by, chunk)
-    own = Window.partitionBy(*key, "_c").orderBy(by)
-    back, ahead = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(0, Window.unboundedFollowing)
+    own = Window.partitionBy(*key, "_c")
+    placed = cut.withColumn("_i", F.row_number().over(own.orderBy(by)))
+    # frames that end at the last row are filled anew for every row: looking ahead is looking back in the opposite order
+    back, ahead = own.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0), own.orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)
     known = {v: F.when(F.col(v).isNotNull(), F.struct(F.col(by).alias("x"), F.col(v).alias("y"))) for v in values}
-    inside = cut.select("*", *[c for v in values for c in (F.last(known[v], True).over(back).alias(f"_b_{v}"), F.first(known[v], True).over(ahead).alias(f"_a_{v}"))])
+    inside = placed.select("*", *[c for v in values for c in (F.last(known[v], True).over(back).alias(f"_b_{v}"), F.last(known[v], True).over(ahead).alias(f"_a_{v}"))])
     ends = cut.groupBy(*key, "_c").agg(*[c for v in values for c in (F.max_by(known[v], F.when(F.col(v).isNotNull(), F.col(by))).alias(f"_z_{v}"), F.min_by(known[v], F.when(F.col(v).isNotNull(), F.col(by))).alias(f"_f_{v}"))])
-    w = Window.partitionBy(*key).orderBy("_c")
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    outside = ends.select(*key, "_c", *[c for v in values for c in (F.last(f"_z_{v}", True).over(before).alias(f"_p_{v}"), F.first(f"_f_{v}", True).over(after).alias(f"_n_{v}"))])
+    w = Window.partitionBy(*key)
+    before, after = (w.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_c"), F.desc("_c")))
+    outside = ends.select(*key, "_c", *[c for v in values for c in (F.last(f"_z_{v}", True).over(before).alias(f"_p_{v}"), F.last(f"_f_{v}", True).over(after).alias(f"_n_{v}"))])
     same = [F.col(f"i.{k}").eqNullSafe(F.col(f"o.{k}")) for k in (*key, "_c")]
     out = []
     for v in values:

@@ -167,3 +167,17 @@ def test_files_of_a_dataset_do_not_grow_with_its_trajectories(spark, tmp_path):
     assert len(list((tmp_path / "set" / "data").rglob("*.parquet"))) <= 3
     back, meta = R.load_dataset(spark, str(tmp_path / "set"))
     assert meta == {"kind": "ode"} and sorted(map(tuple, back.select("traj", "step", "u").collect())) == [(i // 2, i % 2, i * 0.5) for i in range(600)]
+
+
+def test_gaps_are_filled_without_frames_to_the_end(spark):
+    """A frame that ends at the last row is filled anew for every row, which is quadratic in a chunk."""
+    rows = [(k, i, None if (i * 7 + k) % 5 else float(i * i)) for k in (0, 1) for i in range(40)] + [(2, i, None) for i in range(3)]
+    df = spark.createDataFrame(rows, "traj int, step int, u double")
+    filled = windows.fill_gaps(df, ["u"], chunk=8)
+    assert "unboundedfollowing" not in filled._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = {(r["traj"], r["step"]): r["u"] for r in filled.collect()}
+    for k in (0, 1):
+        known = [(i, u) for t, i, u in rows if t == k and u is not None]
+        want = np.interp(range(40), *zip(*known, strict=True))
+        assert np.allclose([got[k, i] for i in range(40)], want)
+    assert got[2, 1] == 0.0
