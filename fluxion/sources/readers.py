@@ -12,6 +12,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -193,20 +194,23 @@ def array_headers(arrays: DataFrame) -> dict[str, np.ndarray]:
 
 
 def inspect(df: DataFrame) -> DataFrame:
-    """A row for each column: type, rows, nulls, distinct values, least and most of numbers (as doubles), an example of others."""
-    out = []
-    for f in df.schema:
-        c = F.col(f"`{f.name}`")
-        number = isinstance(f.dataType, (T.NumericType, T.BooleanType))
-        out.append(
-            F.struct(
-                F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"), F.count(F.lit(1)).alias("rows"), F.count_if(c.isNull()).alias("nulls"),
-                F.count_distinct(c).alias("n_unique") if not isinstance(f.dataType, (T.MapType,)) else F.lit(None).cast("long").alias("n_unique"),
-                (F.min(c.cast("double")) if number else F.lit(None).cast("double")).alias("least"), (F.max(c.cast("double")) if number else F.lit(None).cast("double")).alias("most"),
-                (F.lit(None).cast("string") if number else F.min(c.cast("string"))).alias("example"),
-            )
-        )
-    return df.agg(F.array(*out).alias("a")).select(F.inline("a"))
+    """A row for each column: type, rows, nulls, distinct values, least and most of numbers (as doubles), an example of others.
+
+    Each column is grouped by itself, so that no row is made once for each distinct count."""
+    return reduce(DataFrame.unionAll, [_inspected(df, f) for f in df.schema])
+
+
+def _inspected(df: DataFrame, f: T.StructField) -> DataFrame:
+    number = isinstance(f.dataType, (T.NumericType, T.BooleanType))
+    own, c = df.select(F.col(f"`{f.name}`").alias("c")), F.col("c")
+    apart = not isinstance(f.dataType, T.MapType)
+    own = own.groupBy("c").count() if apart else own.withColumn("count", F.lit(1).cast("long"))
+    return own.agg(
+        F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"), F.coalesce(F.sum("count"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(c.isNull(), F.col("count"))), F.lit(0)).alias("nulls"),
+        F.count(c).alias("n_unique") if apart else F.lit(None).cast("long").alias("n_unique"),
+        (F.min(c.cast("double")) if number else F.lit(None).cast("double")).alias("least"), (F.max(c.cast("double")) if number else F.lit(None).cast("double")).alias("most"),
+        (F.lit(None).cast("string") if number else F.min(c.cast("string"))).alias("example"),
+    )
 
 
 def is_monotone(df: DataFrame, value: str, order: str, key: tuple[str, ...] = ()) -> DataFrame:

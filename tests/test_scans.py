@@ -181,3 +181,13 @@ def test_gaps_are_filled_without_frames_to_the_end(spark):
         want = np.interp(range(40), *zip(*known, strict=True))
         assert np.allclose([got[k, i] for i in range(40)], want)
     assert got[2, 1] == 0.0
+
+
+def test_inspection_makes_no_row_for_each_distinct_count(spark):
+    df = spark.createDataFrame([(1, 0.0, "b", [1], {"k": 1}), (None, -0.0, "a", [1], None), (1, float("nan"), None, None, {"k": 2})], "n int, `x.y` double, s string, l array<int>, m map<string,int>")
+    found = R.inspect(df)
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["name"]: (r["type"], r["rows"], r["nulls"], r["n_unique"], r["least"], r["example"]) for r in found.collect()}
+    assert list(got) == df.columns and got["n"] == ("int", 3, 1, 1, 1.0, None) and got["x.y"] == ("double", 3, 0, 2, 0.0, None)
+    assert got["s"] == ("string", 3, 1, 2, None, "a") and got["l"][:4] == ("array<int>", 3, 1, 1) and got["m"][:4] == ("map<string,int>", 3, 1, None)
+    assert [r["rows"] for r in R.inspect(df.where("false")).collect()] == [0] * 5
