@@ -7,17 +7,19 @@ partners of its own band and the next lower one only, and asks in those two (`Pl
 
 1. Every whole text becomes its set of distinct shingles; its size, a fingerprint and the keys of its segments in both bands
    leave the scan. Equal sets form classes; the smallest doc_id stands for its class from here on.
-2. Index: the keys of all segments of a set in its own band. Keys are counted; those of several sets, and of more than
-   `costly` sets, go into bitmaps of bounded size. A key that only one set has or asks for is not sent on.
+2. Keys are counted, those of several sets go into a bitmap of bounded size. Similar sets differ in H segments at most, so all but H
+   of a set's segments have shared keys (`_companions`): sets with fewer are done with, and only the full sets of the others are fetched.
+   Index: the keys of all segments of a set in its own band, counted again among these sets.
 3. Allocation (`_allocate`): a set asks with segments of cheap keys, 0 each, as many as H needs; costly and empty ones are
    left out (-1). Where cheap ones are too few, those of two shingles or more are asked with one deletion (1), and only then
    costly ones. A set's choice is its own: the index has everything that it may ask for.
-4. One-deletion neighbourhoods: the keys asked with a deletion go into a bitmap; a second scan emits, of sets in the index, the
-   keys without one shingle that are asked for, and of sets that have such a key themselves its keys without one shingle.
+4. One-deletion neighbourhoods: the keys asked with a deletion go into a bitmap; from full sets come, of sets in the index, the
+   keys without one shingle that are asked for, and of sets that have such a key themselves its keys without one shingle: one key
+   for each shingle and band at most, whatever a group's size.
 5. In a bucket of equal keys the smallest set that asks is compared with all others; links contract to components. Buckets that
    still hold several components are dealt out in blocks of bounded size, and sets of different components are compared there
-   (`_dealt`). Both times a bound comes first: two bitmaps, four bits or more for a shingle, differ in no more bits than the sets
-   do in shingles. Full sets are fetched for what passes it only, and decide. So no group lands in one task, no copies are
+   (`_dealt`). Both times a bound comes first: two bitmaps of parities, two bits or more for a shingle, differ in no more bits than
+   the sets do in shingles. Full sets decide on what passes it. So no group lands in one task, no copies are
    compared twice, and no link between components is lost.
 
 Sets are sets of 64-bit hashes of whole shingles: two different shingles of a pair agree by chance once in 2**64.
@@ -33,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +47,8 @@ from .support import fields, id_type, lists, map_arrow, materialise
 SHINGLE, PERCENT = 4, 85
 #: Sets that may share a key before it counts as costly; spare segments for each that H needs; members and shingles of a block.
 COSTLY, SPARE, BLOCK, BLOCK_SHINGLES = 32, 0.25, 1024, 500_000
+#: Pairs, or words of bitmaps, that are compared at a time; rows of a slot.
+CELLS, SLOT = 1 << 20, 20_000
 _U = np.uint64
 _ODD, _STEP, _SEED = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), 0x165667B19E3779F9
 _FILTER_BITS = (1 << 20, 1 << 26)
@@ -79,20 +84,19 @@ class Plan:
 
 
 def _bitmaps(parts: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """A bitmap of each set, of as many bits as the power of two from four times its size on, 64 at least."""
+    """A bitmap of each set: whether an odd number of shingles falls on a bit; as many bits as the power of two from twice its size on, 64 at least."""
     n = np.diff(offsets)
-    bits = 1 << np.maximum(6, 2 + np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    bits = 1 << np.maximum(6, 1 + np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
     base = np.concatenate([[0], np.cumsum(bits)])
-    out = np.zeros(base[-1], bool)
     doc = np.repeat(np.arange(len(n)), n)
-    out[base[doc] + (parts & (bits[doc] - 1).astype(_U)).astype(np.int64)] = True
-    packed = np.packbits(out, bitorder="little")
+    hits = np.bincount(base[doc] + (parts & (bits[doc] - 1).astype(_U)).astype(np.int64), minlength=base[-1])
+    packed = np.packbits(hits.astype(np.uint8) & 1, bitorder="little")
     return [packed[s:e].tobytes() for s, e in zip((base[:-1] // 8).tolist(), (base[1:] // 8).tolist(), strict=True)]
 
 
 def _folded(bits: bytes, size: int) -> np.ndarray:
     """The bitmap of the same set with `size` words."""
-    return np.bitwise_or.reduce(np.frombuffer(bits, _U).reshape(-1, size), axis=0)
+    return np.bitwise_xor.reduce(np.frombuffer(bits, _U).reshape(-1, size), axis=0)
 
 
 def _near_by_bits(pairs: DataFrame, percent: int) -> DataFrame:
@@ -217,35 +221,61 @@ def _allocate(key: np.ndarray, count: np.ndarray, costly: np.ndarray, differ: in
     return v
 
 
-def _of_classes(sketch: DataFrame, reps: DataFrame) -> tuple[DataFrame, _Bits]:
-    """What _allocated and _all_keys read; and the bitmap by which they pass over most documents that stand for no class."""
-    columns = ("doc_id", "n_shingles", "key0", "count0", "key1", "count1")
-    return sketch.where("doc_id is not null and (size(key0) > 0 or size(key1) > 0)").select(*columns, F.xxhash64("doc_id").alias("h")), _Bits(reps.select(F.xxhash64("doc_id").alias("key")))
+def _nested(column: pa.Array) -> np.ndarray:
+    """Offsets of the lists of a column, from 0."""
+    return np.concatenate([[0], np.cumsum(np.diff(column.offsets.to_numpy()))])
 
 
-def _all_keys(sketch: DataFrame, reps: DataFrame) -> DataFrame:
-    """key: every segment's key in both bands."""
-    source, stand = _of_classes(sketch, reps)
+def _keyed(sketch: DataFrame) -> DataFrame:
+    return sketch.where("doc_id is not null and (size(key0) > 0 or size(key1) > 0)")
+
+
+def _all_keys(sketch: DataFrame, stand: _Bits | None = None) -> DataFrame:
+    """key: every segment's key in both bands. `stand` passes over most documents that stand for no class."""
 
     def keys(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        batch = batch.filter(pa.array(stand.has(batch.column(2).to_numpy().view(_U))))
+        batch = batch if stand is None else batch.filter(pa.array(stand.has(batch.column(2).to_numpy().view(_U))))
         for k in (0, 1):
             yield pa.RecordBatch.from_arrays([batch.column(k).flatten()], names=["key"])
 
-    return map_arrow(source.select("key0", "key1", "h"), keys, fields(("key", "long")))
+    return map_arrow(_keyed(sketch).select("key0", "key1", F.xxhash64("doc_id").alias("h")), keys, fields(("key", "long")))
+
+
+def _companions(sketch: DataFrame, stand: _Bits, shared: _Bits, percent: int) -> DataFrame:
+    """The rows of sketch whose sets share as many segments with others as a similar pair shares.
+
+    A pair that differs in D shingles has equal shingles in all but D segments at most, so of a set's segments with shingles all but
+    D have shared keys. For partners that a set asks in the lower band D is at most `Plan.differ`; in its own, where larger ones ask
+    too, the bound for the largest.
+    """
+    kept = [x.name for x in sketch.schema.fields]
+    schema = fields(*((x.name, x.dataType) for x in sketch.schema.fields))
+
+    def test(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        plan = Plan(percent)
+        batch = batch.filter(pa.array(stand.has(batch.column("h").to_numpy().view(_U))))
+        n, keep = batch.column("n_shingles").to_numpy(), np.zeros(batch.num_rows, bool)
+        most = (100 - percent) * (n + 100 * n // percent) // (100 + percent)
+        for k, (_, differ) in enumerate(_bands(n, plan)):
+            column = batch.column(f"key{k}")
+            key, count, at = column.flatten().to_numpy().view(_U), batch.column(f"count{k}").flatten().to_numpy(), _nested(column)
+            full = np.concatenate([[0], np.cumsum(count > 0)])
+            alone = np.concatenate([[0], np.cumsum((count > 0) & ~shared.has(key))])
+            keep |= (full[at[1:]] > full[at[:-1]]) & (alone[at[1:]] - alone[at[:-1]] <= (differ if k else most))
+        yield batch.filter(pa.array(keep)).select(kept)
+
+    return map_arrow(_keyed(sketch).withColumn("h", F.xxhash64("doc_id")), test, schema)
 
 
-def _allocated(sketch: DataFrame, reps: DataFrame, costly: _Bits, percent: int, wanted: list[_Bits] | None) -> DataFrame:
+def _allocated(sketch: DataFrame, costly: _Bits, percent: int, wanted: list[_Bits] | None) -> DataFrame:
     """key, doc_id, asks: of wanted keys, those that a set has in its own band, or asks for in either; without `wanted`, the keys asked with a deletion."""
-    source, stand = _of_classes(sketch, reps)
     schema = fields(("key", "long"), ("doc_id", id_type(sketch)), ("asks", "boolean"))
 
     def ask(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         plan = Plan(percent)
-        batch = batch.filter(pa.array(stand.has(batch.column(6).to_numpy().view(_U))))
         for k, (_, differ) in enumerate(_bands(batch.column(1).to_numpy(), plan)):
             column, counts = batch.column(2 + 2 * k), batch.column(3 + 2 * k)
-            key, count, at = column.flatten().to_numpy().view(_U), counts.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.diff(column.offsets.to_numpy()))])
+            key, count, at = column.flatten().to_numpy().view(_U), counts.flatten().to_numpy(), _nested(column)
             dear, v = costly.has(key), np.full(len(key), -1, np.int8)
             for d in np.flatnonzero(np.diff(at)).tolist():
                 v[at[d] : at[d + 1]] = _allocate(key[at[d] : at[d + 1]], count[at[d] : at[d + 1]], dear[at[d] : at[d + 1]], int(differ[d]))
@@ -257,24 +287,22 @@ def _allocated(sketch: DataFrame, reps: DataFrame, costly: _Bits, percent: int,
             keep = np.flatnonzero(keep)
             yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), batch.column(0).take(pa.array(np.searchsorted(at, keep, "right") - 1)), pa.array(v[keep] >= 0)], names=schema.names)
 
-    return map_arrow(source, ask, schema)
+    return map_arrow(_keyed(sketch).select("doc_id", "n_shingles", "key0", "count0", "key1", "count1"), ask, schema)
 
 
-def _neighbourhoods(docs: DataFrame, reps: DataFrame, asked: _Bits, shingle: int, percent: int) -> DataFrame:
-    """key, doc_id, asks: keys of sets without one shingle, as far as such keys are asked for or have the segment asked for itself.
-
-    Texts aren't shuffled: a bitmap passes over most that stand for no class, the exact join follows.
-    """
-    schema = fields(("key", "long"), ("doc_id", id_type(docs)), ("asks", "boolean"))
-    stand = _Bits(reps.select(F.xxhash64("doc_id").alias("key")))
+def _neighbourhoods(sets: DataFrame, asked: _Bits, percent: int) -> DataFrame:
+    """key, doc_id, asks: keys of sets (doc_id, shingles) without one shingle, as far as such keys are asked for or have the segment asked for itself."""
+    schema = fields(("key", "long"), ("doc_id", id_type(sets)), ("asks", "boolean"))
 
     def emit(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         plan = Plan(percent)
-        batch = batch.filter(pa.array(stand.has(batch.column(2).to_numpy().view(_U))))
-        for i, j, parts, offsets in _sets(batch.column(1), shingle):
-            ids = batch.column(0).slice(i, j - i)
-            doc = np.repeat(np.arange(j - i), np.diff(offsets))
-            for k, (band, _) in enumerate(_bands(np.diff(offsets), plan)):
+        size = pc.binary_length(batch.column(1)).to_numpy() // 8
+        cuts = np.flatnonzero(np.diff(np.cumsum(size) // BLOCK_SHINGLES, prepend=-1))
+        for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(size)], strict=True):
+            ids, n = batch.column(0).slice(i, j - i), size[i:j]
+            parts = np.frombuffer(b"".join(batch.column(1).slice(i, j - i).to_pylist()), _U)
+            doc, offsets = np.repeat(np.arange(j - i), n), np.concatenate([[0], np.cumsum(n)])
+            for k, (band, _) in enumerate(_bands(n, plan)):
                 base, sums, count, cell = _segments(parts, offsets, band, plan)
                 own = np.flatnonzero(cell >= 0)
                 c = cell[own]
@@ -288,7 +316,7 @@ def _neighbourhoods(docs: DataFrame, reps: DataFrame, asked: _Bits, shingle: int
                     if len(at):
                         yield pa.RecordBatch.from_arrays([pa.array(less[at].view(np.int64)), ids.take(pa.array(doc[own[at]])), pa.array(np.full(len(at), flag))], names=schema.names)
 
-    return map_arrow(docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h")), emit, schema)
+    return map_arrow(sets.select("doc_id", "shingles"), emit, schema)
 
 
 def _blocks(rest: DataFrame, block: int) -> DataFrame:
@@ -302,7 +330,7 @@ def _blocks(rest: DataFrame, block: int) -> DataFrame:
     return materialise(counted.join(majors, "key").groupBy("key", "major").agg(*blocks))
 
 
-def _dealt(rest: DataFrame, sizes: DataFrame, payload: DataFrame) -> DataFrame:
+def _dealt(rest: DataFrame, sizes: DataFrame) -> DataFrame:
     """Members of buckets, each in all the groups (key, kind, p, q) in which blocks of the largest component meet those of others (kind 0), or these one another."""
     return (
         rest.join(sizes, "key")
@@ -312,51 +340,82 @@ def _dealt(rest: DataFrame, sizes: DataFrame, payload: DataFrame) -> DataFrame:
             if(mine, transform(sequence(0, n2 - 1), x -> struct(0 as kind, own as p, x as q)),
                concat(transform(sequence(0, n1 - 1), x -> struct(0 as kind, x as p, own as q)),
                       transform(sequence(0, n2 - 1), x -> struct(1 as kind, least(own, x) as p, greatest(own, x) as q))))) as to"""))
-        .select("key", "doc_id", "comp", "mine", "to.*")
-        .join(payload, "doc_id")
+        .select(F.xxhash64("key", "to.kind", "to.p", "to.q").alias("part"), F.col("to.kind").alias("kind"), "doc_id", "comp", "mine")
     )
 
 
-def _partners(group: pa.Table, both: bool, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Of each member outside the largest component, those of other components that its size and bitmap allow."""
-    comp, mine = group["comp"].to_numpy(), group["mine"].to_numpy()
-    size, bits = group["n"].to_numpy(), group["bits"].to_pylist()
+def _met(part: np.ndarray, kind: np.ndarray, mine: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that meet in a part, some CELLS at a time: those outside the largest component with those in it (kind 0) or one another. Rows come sorted by (part, mine)."""
+    new = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    size = np.diff(np.append(new, len(part)))
+    end, others = np.repeat(new + size, size), np.repeat(new + np.add.reduceat(~mine, new, dtype=np.int64), size)
+    left = np.flatnonzero(~mine)
+    low, high = np.where(kind[left] == 0, others[left], left + 1), end[left]
+    total = np.concatenate([[0], np.cumsum(high - low)])
+    s = 0
+    while s < len(left):
+        e = max(s + 1, int(np.searchsorted(total, total[s] + CELLS, "right")) - 1)
+        n = high[s:e] - low[s:e]
+        yield np.repeat(left[s:e], n), np.arange(total[e] - total[s]) + np.repeat(low[s:e] - (total[s:e] - total[s]), n)
+        s = e
+
+
+def _near_rows(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the pairs of different components that meet in a part and whose sizes and bitmaps allow a link; a pair that meets in several parts once. Rows come sorted by (part, mine)."""
+    doc = group["doc_id"].combine_chunks().dictionary_encode().indices.to_numpy()
+    first = np.unique(doc, return_index=True)[1]
+    comp, size = group["comp"].combine_chunks().dictionary_encode().indices.to_numpy(), group["n"].to_numpy()
+    bits = group["bits"].take(pa.array(first)).to_pylist()
     words = np.array([len(x) // 8 for x in bits])
-    folded = {w: np.array([_folded(x, w) if len(x) >= 8 * w else np.zeros(w, _U) for x in bits]) for w in np.unique(words).tolist()}
-    for a in np.flatnonzero(~mine).tolist():
-        with_ = np.flatnonzero(mine) if both else np.arange(a + 1, len(bits))
-        with_ = with_[(comp[with_] != comp[a]) & (100 * np.minimum(size[with_], size[a]) >= percent * np.maximum(size[with_], size[a]))]
-        out = []
-        for w in np.unique(np.minimum(words[with_], words[a])).tolist():
-            part = with_[np.minimum(words[with_], words[a]) == w]
-            apart = np.bitwise_count(folded[w][part] ^ folded[w][a]).sum(axis=1, dtype=np.int64)
-            out.append(part[(100 + percent) * apart <= (100 - percent) * (size[part] + size[a])])
-        if out:
-            yield a, np.concatenate(out)
-
-
-def _possible(dealt: DataFrame, percent: int) -> DataFrame:
-    """key, doc_id of the members that a set of another component may be similar to."""
-    schema = fields(("key", "long"), ("doc_id", id_type(dealt)))
-
-    def test(key: tuple, group: pa.Table) -> pa.Table:
-        found = set()
-        for a, with_ in _partners(group, key[1].as_py() == 0, percent):
-            if len(with_):
-                found |= {a, *with_.tolist()}
-        return group.select(["key", "doc_id"]).take(pa.array(sorted(found), pa.int64()))
-
-    return dealt.groupBy("key", "kind", "p", "q").applyInArrow(test, schema)
+    # sets of a pair are of like sizes: the bitmap of one has as many words as the other's, or twice as many
+    folded, place = {}, {}
+    for w in np.unique(words).tolist():
+        of = np.flatnonzero((words == w) | (words == 2 * w))
+        folded[w], place[w] = np.array([_folded(bits[k], w) for k in of.tolist()]), np.zeros(len(bits), np.int64)
+        place[w][of] = np.arange(len(of))
+    found = []
+    for a, b in _met(group["part"].to_numpy(), group["kind"].to_numpy(), group["mine"].to_numpy()):
+        may = (comp[a] != comp[b]) & (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b]))
+        a, b = a[may], b[may]
+        pair, at = np.unique(np.minimum(doc[a], doc[b]).astype(np.int64) * len(bits) + np.maximum(doc[a], doc[b]), return_index=True)
+        a, b = a[at], b[at]
+        x, y, bound = doc[a], doc[b], (100 - percent) * (size[a] + size[b])
+        width = np.minimum(words[x], words[y])
+        for w in np.unique(width).tolist():
+            of = np.flatnonzero(width == w)
+            for at in np.array_split(of, len(of) * w // CELLS + 1):
+                apart = np.bitwise_count(folded[w][place[w][x[at]]] ^ folded[w][place[w][y[at]]]).sum(axis=1, dtype=np.int64)
+                at = at[(100 + percent) * apart <= bound[at]]
+                found.append((pair[at], a[at], b[at]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    pair, a, b = (np.concatenate(k) for k in zip(*found, strict=True))
+    at = np.unique(pair, return_index=True)[1]
+    return a[at], b[at]
+
+
+_BY_PART = [("part", "ascending"), ("mine", "ascending")]
+
+
+def _possible(dealt: DataFrame, sized: DataFrame, percent: int, slots: int) -> DataFrame:
+    """The rows of dealt whose set may be similar to one of another component in its part. Slots of many parts come to a task together, and a pair counts in one part of a slot."""
+    schema = fields(*((x.name, x.dataType) for x in dealt.schema.fields))
+
+    def test(group: pa.Table) -> pa.Table:
+        group = group.sort_by(_BY_PART)
+        return group.select(schema.names).take(pa.array(np.unique(np.concatenate(_near_rows(group, percent)))))
+
+    return dealt.withColumn("slot", F.pmod("part", F.lit(slots))).join(sized, "doc_id").groupBy("slot").applyInArrow(test, schema)
 
 
 def _between(dealt: DataFrame, percent: int) -> DataFrame:
-    """Links between components within the groups of _dealt, whose members come with full sets."""
+    """Links between components within the parts of _dealt, whose members come with sizes, bitmaps and full sets."""
     kind = id_type(dealt)
     schema = fields(("src", kind), ("dst", kind))
 
-    def test(key: tuple, group: pa.Table) -> pa.Table:
-        ids, comp = group["doc_id"].to_pylist(), group["comp"].to_pylist()
-        members = [np.frombuffer(s, _U) for s in group["shingles"].to_pylist()]
+    def test(group: pa.Table) -> pa.Table:
+        group = group.sort_by(_BY_PART)
+        ids, comp, sets = (group[name].to_pylist() for name in ("doc_id", "comp", "shingles"))
         parent: dict = {}
 
         def root(x):
@@ -365,17 +424,16 @@ def _between(dealt: DataFrame, percent: int) -> DataFrame:
             return x
 
         src, dst = [], []
-        for a, with_ in _partners(group, key[1].as_py() == 0, percent):
-            for b in with_.tolist():
-                x, y = root(comp[a]), root(comp[b])
-                if x != y and _alike(members[a], members[b], percent):
-                    parent[max(x, y)] = min(x, y)
-                    src.append(ids[a])
-                    dst.append(ids[b])
+        for a, b in zip(*(k.tolist() for k in _near_rows(group, percent)), strict=True):
+            x, y = root(comp[a]), root(comp[b])
+            if x != y and _alike(np.frombuffer(sets[a], _U), np.frombuffer(sets[b], _U), percent):
+                parent[max(x, y)] = min(x, y)
+                src.append(ids[a])
+                dst.append(ids[b])
         to = group.schema.field("doc_id").type
         return pa.table({"src": pa.array(src, to), "dst": pa.array(dst, to)})
 
-    return dealt.groupBy("key", "kind", "p", "q").applyInArrow(test, schema)
+    return dealt.groupBy("part").applyInArrow(test, schema)
 
 
 def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, costly: int = COSTLY, block: int = BLOCK) -> DataFrame:
@@ -383,16 +441,21 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     sketch = materialise(set_sketches(docs, shingle, percent))
     classes = materialise(sketch.where("set_a is not null and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")))
     reps = classes.select(F.col("rep").alias("doc_id"))
-    # most keys are one set's alone: only those of several go on, behind bitmaps
-    several = materialise(_all_keys(sketch, reps).groupBy("key").count().where("count > 1"))
+    # most keys are one set's alone, and most sets share fewer than a similar pair does: these go before anything is compared
+    stand = _Bits(reps.select(F.xxhash64("doc_id").alias("key")))
+    shared = _Bits(materialise(_all_keys(sketch, stand).groupBy("key").count().where("count > 1").select("key")))
+    few = materialise(_companions(sketch, stand, shared, percent).join(reps, "doc_id", "left_semi"))
+    stay = materialise(few.select("doc_id").distinct())
+    sets = materialise(full_sets(docs, stay, shingle).dropDuplicates(["doc_id"]))
+    several = materialise(_all_keys(few).groupBy("key").count().where("count > 1"))
     dear = _Bits(several.where(F.col("count") > costly))
-    deletions = _Bits(materialise(_allocated(sketch, reps, dear, percent, None).select("key").distinct()))
+    deletions = _Bits(materialise(_allocated(few, dear, percent, None).select("key").distinct()))
     wanted, near = [_Bits(several)], None
     if deletions.any:
-        near = materialise(_neighbourhoods(docs, reps, deletions, shingle, percent))
+        near = materialise(_neighbourhoods(sets, deletions, percent))
         wanted.append(_Bits(near.select("key").distinct()))
-    entries = _allocated(sketch, reps, dear, percent, wanted)
-    entries = materialise((entries.unionByName(near) if near is not None else entries).join(reps, "doc_id", "left_semi"))
+    entries = _allocated(few, dear, percent, wanted)
+    entries = materialise(entries.unionByName(near) if near is not None else entries)
     # the smallest set that asks leads its bucket; buckets of one set, or where none asks, go
     buckets = materialise(
         entries.groupBy("key")
@@ -402,22 +465,20 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     )
     members = materialise(entries.select("key", "doc_id").join(buckets, "key").where("doc_id <> leader"))
     pairs = members.select(F.least("leader", "doc_id").alias("src"), F.greatest("leader", "doc_id").alias("dst")).distinct()
-    sized = sketch.select("doc_id", F.col("n_shingles").alias("n"), "bits").join(reps, "doc_id", "left_semi")
+    sized = few.select("doc_id", F.col("n_shingles").alias("n"), "bits")
     sized = materialise(sized.join(members.select("doc_id").union(members.select("leader")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     likely = materialise(
         _near_by_bits(
             pairs.join(sized.toDF("src", "na", "a"), "src").join(sized.toDF("dst", "nb", "b"), "dst").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")), percent
         )
     )
-    sets = materialise(full_sets(docs, materialise(likely.select(F.col("src").alias("doc_id")).union(likely.select("dst")).distinct()), shingle).dropDuplicates(["doc_id"]))
     links = materialise(_verify(likely, sets, percent))
     comp = components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
     rest = members.select("key", "doc_id").distinct().join(comp, "doc_id", "left").join(sized, "doc_id")
     rest = materialise(rest.select("key", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("comp")))
-    possible = materialise(_possible(_dealt(rest, _blocks(rest, block), sized), percent).distinct())
-    rest = materialise(rest.join(possible, ["key", "doc_id"], "left_semi"))
-    sets = full_sets(docs, materialise(rest.select("doc_id").distinct()), shingle).dropDuplicates(["doc_id"])
-    more = materialise(_between(_dealt(rest, _blocks(rest, block), sized.join(sets, "doc_id")), percent))
+    dealt = materialise(_dealt(rest, _blocks(rest, block)))
+    possible = materialise(_possible(dealt, sized, percent, dealt.count() // SLOT + 1))
+    more = materialise(_between(possible.join(sized, "doc_id").join(sets, "doc_id"), percent))
     comps = components(links.union(more))
     classed = materialise(classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component")))
     return (

@@ -189,6 +189,74 @@ def test_bands_hold_all_partners():
     assert low[0] == 1 and (np.diff(low) > 0).all()
 
 
+def tables_written(monkeypatch, spark, rows, **how):
+    """The result of the join, and of each table that it writes the columns and the number of rows."""
+    out, write = [], J.materialise
+
+    def seen(df):
+        out.append((set(df.columns), (done := write(df)).count()))
+        return done
+
+    monkeypatch.setattr(J, "materialise", seen)
+    return {tuple(r) for r in J.jaccard_join(docs_of(spark, rows), **how).collect()}, out
+
+
+def test_join_passes_over_sets_that_share_a_passage_only(spark, monkeypatch):
+    rng = random.Random(5)
+    passage = [f"p{k}" for k in range(150)]
+    rows = [(k, " ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(300)]), None) for k in range(150)]
+    rows += [(1000 + k, text + " more", None) for k, text, _ in rows[:3]]
+    got, tables = tables_written(monkeypatch, spark, rows)
+    assert got == joined_by_hand(rows)
+    assert 0 < max(n for columns, n in tables if {"key", "doc_id"} <= columns) <= 6 * 200  # six sets, 200 segments at most
+
+
+def test_join_rows_of_a_group_grow_as_its_members(spark, monkeypatch):
+    """A group of copies edited so much that few are linked: no table with full sets or keys grows with the square."""
+    words = [f"w{k}" for k in range(100)]
+
+    def run(n):
+        rng, rows = random.Random(6), []
+        for k in range(n):
+            text = list(words)
+            for at in rng.sample(range(100), 6):
+                text[at] = f"e{rng.randrange(10**6)}"
+            rows.append((k, " ".join(text), None))
+        got, tables = tables_written(monkeypatch, spark, rows)
+        monkeypatch.undo()
+        assert got == joined_by_hand(rows)
+        return sum(n for _, n in tables)
+
+    assert run(160) <= 3.2 * run(80)
+
+
+def test_parities_differ_in_no_more_bits_than_sets_and_tell_sets_apart():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 40, 700, 3000):
+        for m in (n, n + n // 7):
+            a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            b = np.concatenate([a[: n - n // 10], rng.integers(0, 1 << 63, m - n + n // 10).astype(np.uint64)])
+            x, y = J._bitmaps(np.concatenate([a, b]), np.array([0, n, n + m]))
+            w = min(len(x), len(y)) // 8
+            apart, differ = int(np.bitwise_count(J._folded(x, w) ^ J._folded(y, w)).sum()), len(set(a.tolist()) ^ set(b.tolist()))
+            assert apart <= differ and (n < 700 or apart >= 0.8 * differ) and (apart - differ) % 2 == 0
+
+
+def test_rows_that_meet(monkeypatch):
+    rng = np.random.default_rng(4)
+    part = np.sort(rng.integers(0, 12, 90))
+    kind = part % 2
+    mine = rng.random(90) < 0.4
+    mine[kind == 1] = False
+    order = np.lexsort((mine, part))
+    part, kind, mine = part[order], kind[order], mine[order]
+    want = {(a, b) for a in range(90) for b in range(90) if part[a] == part[b] and not mine[a] and (mine[b] if kind[a] == 0 else a < b)}
+    for cells in (1, 7, 1 << 20):
+        monkeypatch.setattr(J, "CELLS", cells)
+        got = [p for a, b in J._met(part, kind, mine) for p in zip(a.tolist(), b.tolist(), strict=True)]
+        assert len(got) == len(want) and set(got) == want
+
+
 # collocations
 
 
