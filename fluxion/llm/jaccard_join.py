@@ -51,7 +51,7 @@ COSTLY, SPARE, BLOCK, BLOCK_SHINGLES = 32, 0.25, 1024, 500_000
 CELLS, SLOT = 1 << 20, 20_000
 _U = np.uint64
 _ODD, _STEP, _SEED = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), 0x165667B19E3779F9
-_FILTER_BITS = (1 << 20, 1 << 26)
+_FILTER_BITS = (1 << 20, 1 << 29)
 
 
 class Plan:
@@ -146,7 +146,7 @@ def _keys(sums: np.ndarray, count: np.ndarray, base: np.ndarray, band: np.ndarra
 
 
 #: Where in a key the three slots of a filter are read.
-_SHIFTS = (0, 19, 38)
+_SHIFTS = (0, 17, 34)
 
 
 class _Bits:
